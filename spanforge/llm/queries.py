@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, media, mixing, quality_bands, url_rules
+from spanforge.llm import byte_bpe, ctw, langid, media, mixing, quality_bands, url_rules
 
 #: The rules of op2: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -22,6 +22,13 @@ def held_out(ident, folds: int):
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % folds == 1, F.lit(False))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3)
+    got = langid.identify(docs, langid.fit(docs, ~out))
+    return got.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -31,6 +38,11 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ctw.score_texts(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.quality_bands(table(spark, sf_dir, "documents"))
 
@@ -58,7 +70,7 @@ def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_rules, op3_pivotal_mix, op6_quality_bands, op8_byte_bpe, op9_media_tiles)
+    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op6_quality_bands, op8_byte_bpe, op9_media_tiles)
 }
 
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
