@@ -144,3 +144,18 @@ def in_blocks(df: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_BYT
     row = slim.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(1, math.ceil((row[0] or 0) / block_bytes), math.ceil(row[1] / BLOCK_DOCS))
     return slim.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 256), F.octet_length("text")), F.lit(n)).cast("int"))
+
+
+def messages(parts: np.ndarray, count: int, content) -> list[tuple]:
+    """(part, *content(positions)) for every part that has positions."""
+    order = np.argsort(parts, kind="stable")
+    edges = np.searchsorted(parts[order], np.arange(count + 1))
+    return [(k, *content(order[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -214,25 +214,19 @@ def _ask(part_count: int):
                 counts.append(np.diff(np.append(starts, len(got))) * want)
         grams, n = _merged(keys, counts)
         parts = common.mixed(grams >> _U(8 * (DEPTH - 1))) % _U(part_count)
-        rows = _messages(parts.astype(np.int64), part_count, lambda pick: (None, grams[pick].astype("<u8").tobytes(), n[pick].astype("<i8").tobytes()))
+        rows = common.messages(parts.astype(np.int64), part_count, lambda pick: (None, grams[pick].astype("<u8").tobytes(), n[pick].astype("<i8").tobytes()))
         flat, per = common.words(texts)
         codes, vocabulary = common.coded(flat)
         n = np.bincount(codes, weights=np.repeat(train, per), minlength=len(vocabulary)).astype(np.int64)
         vocabulary, n = pa.concat_arrays([vocabulary, pa.array([""])]), np.append(n, train.sum())
         parts = common.hashes(vocabulary) % _U(part_count)
-        rows += [(part + part_count, *rest) for part, *rest in _messages(parts.astype(np.int64), part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, n[pick].astype("<i8").tobytes()))]
+        rows += [(part + part_count, *rest) for part, *rest in common.messages(parts.astype(np.int64), part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, n[pick].astype("<i8").tobytes()))]
         words = pa.array([None if r[1] is None else r[1].to_pylist() for r in rows], pa.list_(pa.string()))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "words": words, "grams": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
     return run
 
 
-def _messages(parts: np.ndarray, count: int, content) -> list[tuple]:
-    order = np.argsort(parts, kind="stable")
-    edges = np.searchsorted(parts[order], np.arange(count + 1))
-    return [(k, *content(order[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-
-
 MESSAGE = "part int, block int, words array<string>, grams binary, counts binary"
 NODE = "c1 int, bit int, prefix int, n0 double, n1 double, kids double"
 
