@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, ctw, jaccard, langid, media, mixing, quality_bands, url_rules
+from spanforge.llm import byte_bpe, ctw, jaccard, langid, media, mixing, quality_bands, substrings, url_rules
 
 #: The rules of op2: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -43,6 +43,11 @@ def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.quality_bands(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles)
+    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles)
 }
 
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
