@@ -217,23 +217,39 @@ def fit(df: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text",
     return network.frozen()
 
 
+def labelled(model: Predictor | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    raws = texts.cast(pa.binary()).to_pylist()
+    real = np.array([has_letter(raw, "") or (not raw.isascii() and has_letter(raw, raw.decode())) for raw in raws], bool)
+    names, scores = ["und"] * len(raws), np.zeros(len(raws))
+    if model is not None and real.any():
+        where = np.flatnonzero(real)
+        p = model.pooled([raws[k] for k in where])
+        best = p.argmax(1)
+        scores[where] = np.clip(p[np.arange(len(where)), best], 0, 1)
+        for k, b in zip(where, best, strict=True):
+            names[k] = model.languages[b]
+    return names, scores
+
+
 def identify(df: DataFrame, model: Predictor | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
-            texts = common.filled(part.column("text"))
-            raws = texts.cast(pa.binary()).to_pylist()
-            real = np.array([has_letter(raw, "") or (not raw.isascii() and has_letter(raw, raw.decode())) for raw in raws], bool)
-            names, scores = ["und"] * len(raws), np.zeros(len(raws))
-            if model is not None and real.any():
-                where = np.flatnonzero(real)
-                p = model.pooled([raws[k] for k in where])
-                best = p.argmax(1)
-                scores[where] = np.clip(p[np.arange(len(where)), best], 0, 1)
-                for k, b in zip(where, best, strict=True):
-                    names[k] = model.languages[b]
+            names, scores = labelled(model, common.filled(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def filtered(df: DataFrame, model: Predictor | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of df, all columns, in which a language is recognised with ``least`` probability or more; one map, no join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, text):
+            names, scores = labelled(model, common.filled(part.column(text)))
+            yield part.filter(pa.array([name != "und" and score >= least for name, score in zip(names, scores, strict=True)]))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, ctw, jaccard, langid, media, mixing, quality_bands, substrings, url_rules
+from spanforge.llm import byte_bpe, ctw, jaccard, langid, line_templates, media, mixing, quality_bands, substrings, url_rules
 
 #: The rules of op2: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -78,8 +78,13 @@ def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles)
+    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles, op10_line_templates)
 }
 
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
