@@ -179,7 +179,8 @@ def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block
     parts = max(4, min(1 << 20, total // (40 * PART_KEYS)))
     told = blocks.groupBy("block").applyInArrow(_ask(parts), "part int, block int, keys binary").groupBy("part").applyInArrow(_repeated, "block int, part int, keys binary")
     cut = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(parts), f"block int, doc_id {kind}, start int, shard long, segment string")
-    places = common.written(cut.withColumn("mark", F.xxhash64("segment")))
+    windows = F.size(F.split("segment", " ")) - (WINDOW - 1)
+    places = common.written(cut.withColumn("mark", F.xxhash64("segment")).withColumn("windows", windows))
     del told, cut
     common.release(spark)
     first = places.groupBy("shard", "mark", "segment").agg(F.min(F.struct("doc_id", "start")).alias("first"))
@@ -189,7 +190,8 @@ def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block
     ordered = first.select("shard", "mark", "segment", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("at"))
     masks = common.written(ordered.groupBy("at").applyInArrow(_first_windows, f"shard long, mark long, first struct<doc_id:{kind},start:int>, mask binary"))
     common.drop_written(first)
-    windows = F.size(F.split("segment", " ")) - (WINDOW - 1)
-    gone = places.join(masks, ["shard", "mark"]).select("block", "doc_id", "start", windows.alias("windows"), F.when(F.col("first").eqNullSafe(F.struct("doc_id", "start")), F.col("mask")).alias("mask"))
+    del first, ordered
+    common.release(spark)
+    gone = places.drop("segment").join(masks, ["shard", "mark"]).select("block", "doc_id", "start", "windows", F.when(F.col("first").eqNullSafe(F.struct("doc_id", "start")), F.col("mask")).alias("mask"))
     gone = gone.where("mask IS NULL OR instr(hex(mask), '01') > 0")
     return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_drop, f"doc_id {kind}, n_words long, n_removed long, kept string")
