@@ -162,6 +162,8 @@ class Top:
 
 def gram_stream(raws: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(gram, text) at every byte and end of the texts."""
+    if not raws:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     flat = np.frombuffer(b"".join(bytes([END]) * depth + raw + bytes([END]) for raw in raws), np.uint8)
     sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + depth + 1
     n = len(flat) - depth
@@ -197,6 +199,37 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return flat[order][starts], np.add.reduceat(n[order], starts) if len(starts) else n[:0]
 
 
+def _block_grams(raws: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block in order, and their counts in its training texts."""
+    keys, counts = [], []
+    for at, to in _by_text(raws):
+        for want in (True, False):  # grams of training texts count, others are asked for
+            got = np.sort(gram_stream([raw for raw, t in zip(raws[at:to], train[at:to], strict=True) if t == want])[0])
+            starts, _ = _runs(got)
+            keys.append(got[starts])
+            counts.append(np.diff(np.append(starts, len(got))) * want)
+    return _merged(keys, counts)
+
+
+def _block_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a block with the end (an empty word), in an order that rows don't matter to; their hashes; the
+    code of every word; words of each text."""
+    flat, per = common.words(texts)
+    codes, vocabulary = common.coded(flat)
+    vocabulary = pa.concat_arrays([vocabulary, pa.array([""])])
+    h = common.hashes(vocabulary)
+    order = np.argsort(h, kind="stable")
+    if (h[order][1:] == h[order][:-1]).any():  # equal hashes: the words themselves decide
+        order = np.asarray(sorted(order.tolist(), key=lambda k: (h[k], vocabulary[k].as_py())))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return vocabulary.take(pa.array(order)), h[order], place[codes], per
+
+
+def _parts_of(grams: np.ndarray, count: int) -> np.ndarray:
+    return (common.mixed(grams >> _U(8 * (DEPTH - 1))) % _U(count)).astype(np.int64)
+
+
 def _ask(part_count: int):
     """Block of texts -> messages (part, block, grams or words, training counts); parts of words follow those of grams."""
 
@@ -205,22 +238,13 @@ def _ask(part_count: int):
         texts = pc.ascii_lower(common.filled(table.column("text")))
         train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         raws = texts.cast(pa.binary()).to_pylist()
-        keys, counts = [], []
-        for at, to in _by_text(raws):
-            for want in (True, False):  # grams of training texts count, others are asked for
-                got = np.sort(gram_stream([raw for raw, t in zip(raws[at:to], train[at:to], strict=True) if t == want])[0])
-                starts, _ = _runs(got)
-                keys.append(got[starts])
-                counts.append(np.diff(np.append(starts, len(got))) * want)
-        grams, n = _merged(keys, counts)
-        parts = common.mixed(grams >> _U(8 * (DEPTH - 1))) % _U(part_count)
-        rows = common.messages(parts.astype(np.int64), part_count, lambda pick: (None, grams[pick].astype("<u8").tobytes(), n[pick].astype("<i8").tobytes()))
-        flat, per = common.words(texts)
-        codes, vocabulary = common.coded(flat)
-        n = np.bincount(codes, weights=np.repeat(train, per), minlength=len(vocabulary)).astype(np.int64)
-        vocabulary, n = pa.concat_arrays([vocabulary, pa.array([""])]), np.append(n, train.sum())
-        parts = common.hashes(vocabulary) % _U(part_count)
-        rows += [(part + part_count, *rest) for part, *rest in common.messages(parts.astype(np.int64), part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, n[pick].astype("<i8").tobytes()))]
+        grams, n = _block_grams(raws, train)
+        rows = common.messages(_parts_of(grams, part_count), part_count, lambda pick: (None, grams[pick].astype("<u8").tobytes(), n[pick].astype("<u4").tobytes()))
+        vocabulary, h, codes, per = _block_words(texts)
+        m = np.bincount(codes, weights=np.repeat(train, per), minlength=len(vocabulary)).astype(np.int64)
+        m[np.flatnonzero(pc.equal(vocabulary, "").to_numpy(zero_copy_only=False))] = train.sum()
+        parts = (h % _U(part_count)).astype(np.int64)
+        rows += [(part + part_count, *rest) for part, *rest in common.messages(parts, part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, m[pick].astype("<u4").tobytes()))]
         words = pa.array([None if r[1] is None else r[1].to_pylist() for r in rows], pa.list_(pa.string()))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "words": words, "grams": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
@@ -233,14 +257,14 @@ NODE = "c1 int, bit int, prefix int, n0 double, n1 double, kids double"
 
 def _grams_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
-    return _merged(keys, [np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()])
+    return _merged(keys, [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()])
 
 
 def _word_counts(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, list[int]]:
     """Distinct words, their counts, the code of each message's words, and the messages' lengths."""
     lists = common.chunked(table.column("words"))
     codes, vocabulary = common.coded(lists.flatten())
-    n = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
     return vocabulary, np.bincount(codes, weights=n, minlength=len(vocabulary)).astype(np.int64), codes, pc.list_value_length(lists).to_pylist()
 
 
@@ -261,70 +285,70 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.asarray(c), t) for c, t in zip(columns, kinds, strict=True)], names=["c1", "bit", "prefix", "n0", "n1", "kids"])
 
 
-ANSWER = "block int, words array<string>, grams binary, value binary, known binary"
+ANSWER = "block int, part int, value binary"
 
 
 def _answered(asked: pa.Table, top: pa.Table) -> pa.Table:
-    """One part's messages and the nodes above -> for each block the values of what it asked for."""
+    """One part's messages and the nodes above -> for each block what it asked for, in the order asked.
+
+    Grams are told log10 probabilities as 32-bit floats, words their training counts.
+    """
     if not asked.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())], names=["block", "words", "grams", "value", "known"])
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["block", "part", "value"])
     nodes = {k: np.concatenate([np.asarray(x) for x in top.column(k).to_pylist()]) if top.num_rows else np.zeros(0) for k in ("c1", "bit", "prefix", "n0", "n1", "kids")}
     said = nodes["c1"] < 0
     if asked.column("grams")[0].as_py() is None:
-        total, distinct = nodes["n0"][said].sum(), nodes["n1"][said].sum()
         _, n, codes, lengths = _word_counts(asked)
-        value = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        edges = np.cumsum(lengths)[:-1]
-        values, known = np.split(value[codes], edges), np.split((n > 0)[codes], edges)
-        grams = [None] * asked.num_rows
-        words = asked.column("words")
+        values = np.split(n[codes].astype("<u4"), np.cumsum(lengths)[:-1])
     else:
         part = {k: v[~said] for k, v in nodes.items()}
         above = Top(part["c1"].astype(int), part["bit"].astype(int), part["prefix"].astype(int), part["n0"], part["n1"], part["kids"])
         distinct, n = _grams_of(asked)
         value = Tree(distinct, n, 2).gram_log(above) / math.log(10)
-        grams = asked.column("grams").to_pylist()
-        values = [value[np.searchsorted(distinct, np.frombuffer(x, "<u8"))] for x in grams]
-        known = [np.zeros(0, bool)] * len(grams)
-        words = pa.array([None] * len(grams), pa.list_(pa.string()))
-    return pa.table({"block": asked.column("block"), "words": common.chunked(words) if not isinstance(words, pa.Array) else words, "grams": pa.array(grams, pa.binary()), "value": pa.array([x.astype("<f8").tobytes() for x in values], pa.binary()), "known": pa.array([x.astype(np.uint8).tobytes() for x in known], pa.binary())})
-
-
-SCORE = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-
-
-def _scored(texts: pa.Table, told: pa.Table) -> pa.Table:
-    """One block's texts and the values of its grams and words -> scores."""
-    n = texts.num_rows
-    if not n:
-        return pa.table([pa.array([], t) for t in (texts.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
-    lower = pc.ascii_lower(common.filled(texts.column("text")))
-    raws = lower.cast(pa.binary()).to_pylist()
-    of_words = pc.is_null(told.column("grams")).to_numpy(zero_copy_only=False)
-    rows = told.to_pylist()
-    grams = np.concatenate([np.frombuffer(r["grams"], "<u8") for r, w in zip(rows, of_words, strict=True) if not w])
-    value = np.concatenate([np.frombuffer(r["value"], "<f8") for r, w in zip(rows, of_words, strict=True) if not w])
-    order = np.argsort(grams)
-    grams, value = grams[order], value[order]
-    score = np.zeros(n)
-    for at, to in _by_text(raws):
-        got, doc = gram_stream(raws[at:to])
-        both = np.sort(got << _U(16) | doc.astype(np.uint64))
-        got, doc = both >> _U(16), (both & _U(0xFFFF)).astype(np.int64)
-        starts, run = _runs(got)
-        each = value[np.searchsorted(grams, got[starts])]
-        score[at:to] = np.bincount(doc, weights=each[run], minlength=to - at)
-    vocabulary = pa.concat_arrays([pa.array(r["words"], pa.string()) for r, w in zip(rows, of_words, strict=True) if w])
-    word_value = np.concatenate([np.frombuffer(r["value"], "<f8") for r, w in zip(rows, of_words, strict=True) if w])
-    word_known = np.concatenate([np.frombuffer(r["known"], np.uint8) for r, w in zip(rows, of_words, strict=True) if w])
-    flat, per = common.words(lower)
-    codes, mine = common.coded(flat)
-    at = pc.index_in(mine, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-    end = pc.index_in(pa.array([""]), value_set=vocabulary)[0].as_py()
-    doc = np.repeat(np.arange(n), per)
-    base = np.bincount(doc, weights=word_value[at], minlength=n) + word_value[end]
-    known = np.bincount(doc, weights=word_known[at], minlength=n).astype(np.int64) + int(word_known[end])
-    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": per + 1, "n_known": known, "base_score": base, "score": score, "n_bytes": np.fromiter(map(len, raws), np.int64, n)})
+        values = [value[np.searchsorted(distinct, np.frombuffer(x, "<u8"))].astype("<f4") for x in asked.column("grams").to_pylist()]
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "value": pa.array([x.tobytes() for x in values], pa.binary())})
+
+
+SCORE = "doc_id {id}, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long"
+
+
+def _scored(part_count: int):
+    """One block's texts and the values of its grams and words -> scores. The block finds its grams again, in order."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        n = texts.num_rows
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "n_bytes"]
+        if not n:
+            return pa.table([pa.array([], t) for t in (texts.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=names)
+        lower = pc.ascii_lower(common.filled(texts.column("text")))
+        raws = lower.cast(pa.binary()).to_pylist()
+        answers = dict(zip(told.column("part").to_pylist(), told.column("value").to_pylist(), strict=True))
+
+        def in_order(parts: np.ndarray, first: int, kind: str) -> np.ndarray:
+            out = np.empty(len(parts), kind)
+            order = np.argsort(parts, kind="stable")
+            out[order] = np.concatenate([np.frombuffer(answers[first + k], kind) for k in np.unique(parts).tolist()])
+            return out
+
+        grams, _ = _block_grams(raws, np.ones(n, bool))
+        value = in_order(_parts_of(grams, part_count), 0, "<f4").astype(np.float64)
+        score = np.zeros(n)
+        for at, to in _by_text(raws):
+            got, doc = gram_stream(raws[at:to])
+            both = np.sort(got << _U(16) | doc.astype(np.uint64))
+            got, doc = both >> _U(16), (both & _U(0xFFFF)).astype(np.int64)
+            starts, run_ = _runs(got)
+            each = value[np.searchsorted(grams, got[starts])]
+            score[at:to] = np.bincount(doc, weights=each[run_], minlength=to - at)
+        vocabulary, h, codes, per = _block_words(lower)
+        counts = in_order((h % _U(part_count)).astype(np.int64), part_count, "<u4").astype(np.float64)
+        end = counts[np.flatnonzero(pc.equal(vocabulary, "").to_numpy(zero_copy_only=False))[0]]
+        doc, of = np.repeat(np.arange(n), per), counts[codes]
+        logs = np.bincount(doc, weights=np.log10(of + 0.5), minlength=n) + np.log10(end + 0.5)
+        known = np.bincount(doc, weights=of > 0, minlength=n).astype(np.int64) + int(end > 0)
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array(per + 1), pa.array(known), pa.array(logs), pa.array(score), pa.array(np.fromiter(map(len, raws), np.int64, n))], names=names)
+
+    return run
 
 
 def score_texts(df: DataFrame, held: Column, ident: str = "doc_id", text: str = "text", block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
@@ -344,7 +368,8 @@ def score_texts(df: DataFrame, held: Column, ident: str = "doc_id", text: str =
     one = nodes.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names])
     tops = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2 * parts - 1))))
     told = asked.groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(_answered, ANSWER)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, SCORE.format(id=kind))
-    tokens = nodes.where("c1 < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)).cast("long").alias("train_tokens"))
-    out = scored.crossJoin(F.broadcast(tokens))
-    return out.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1)))
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(parts), SCORE.format(id=kind))
+    tokens = nodes.where("c1 < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)).cast("long").alias("train_tokens"), F.coalesce(F.sum("n1"), F.lit(0)).alias("distinct"))
+    out = scored.crossJoin(F.broadcast(tokens))  # one row
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("distinct") + 1))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", "n_bytes", (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"))
