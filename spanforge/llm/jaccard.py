@@ -32,8 +32,8 @@ from spanforge.llm.components import components
 
 #: Shingle width, least similarity in hundredths, shingles that one part of the key space holds about.
 WIDTH, LEAST, PART_KEYS = 5, 75, 2_000_000
-#: Cost of one subset's row, relative to one step of a list's scan.
-SUBSET_COST = 1.5
+#: Rows that an entry of a list costs (itself and about one test against a centre), where a subset costs its own row.
+SCAN_COST = 2.0
 _U = np.uint64
 
 
@@ -94,9 +94,9 @@ def _count(table: pa.Table) -> pa.Table:
     })
 
 
-SET = "doc_id {id}, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, scan long, shingles binary"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary())
-_NAMES = ("doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "scan", "shingles")
+SET = "doc_id {id}, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, shingles binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+_NAMES = ("doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "shingles")
 
 
 def _index(parts: int, width: int, least: int):
@@ -127,11 +127,10 @@ def _index(parts: int, width: int, least: int):
         kept, kept_doc, kept_nth = key[ranked][shared], doc[shared], nth[shared]
         many = np.bincount(kept_doc, minlength=n)
         in_base = np.bincount(kept_doc, weights=kept_nth < base[kept_doc], minlength=n).astype(np.int32)
-        scan = np.bincount(kept_doc, weights=df[ranked][shared], minlength=n).astype(np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(kept.view(np.int64)))
         raw, edges = key.astype("<u8"), np.cumsum(size)
         held = [raw[b - s : b].tobytes() if m else None for s, b, m in zip(size, edges, many, strict=True)]
-        return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(scan), pa.array(held, pa.binary())], names=list(_NAMES))
+        return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(held, pa.binary())], names=list(_NAMES))
 
     return run
 
@@ -154,11 +153,11 @@ def _similar(least: int):
 
 
 def boundary(costs: list[tuple[int, int, float, float]]) -> int:
-    """Largest size to treat as small: costs are (size class, its largest size, subset cost, scan cost)."""
+    """Largest size to treat as small: costs are (size class, its largest size, rows of subsets, rows of lists)."""
     costs = sorted(costs)
     options = [(sum(c[3] for c in costs), 0)]
     for k, (_, most, _, _) in enumerate(costs):
-        options.append((SUBSET_COST * sum(c[2] for c in costs[: k + 1]) + sum(c[3] for c in costs[k + 1 :]), most))
+        options.append((sum(c[2] for c in costs[: k + 1]) + sum(c[3] for c in costs[k + 1 :]), most))
     return min(options)[1]
 
 
@@ -186,12 +185,12 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
     indexed = common.written(indexed.withColumn("n", F.col("n_shingles")))
     common.drop_written(sets)
     common.release(spark)
-    cost = indexed.select("n", F.floor(4 * F.log2("n")).alias("class"), (F.size("prefix") * (F.size("prefix") - 1) / 2).alias("subsets"), F.col("scan"))
-    limit = boundary([tuple(r) for r in cost.groupBy("class").agg(F.max("n"), F.sum("subsets").cast("double"), F.sum("scan").cast("double")).collect()])
+    cost = indexed.select("n", F.floor(4 * F.log2("n")).alias("class"), (F.size("prefix") * (F.size("prefix") - 1) / 2).alias("subsets"), (SCAN_COST * F.col("in_base")).alias("lists"))
+    limit = boundary([tuple(r) for r in cost.groupBy("class").agg(F.max("n"), F.sum("subsets").cast("double"), F.sum("lists").cast("double")).collect()])
     pairs_of = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x, y))))
     small = indexed.where(F.col("n") * least <= 100 * limit).select(F.col("doc_id").alias("d"), "n", F.explode(pairs_of).alias("sig"), F.lit(0).alias("way"))
-    large = indexed.where(F.col("n") > limit).select(F.col("doc_id").alias("d"), "n", F.explode(F.slice("prefix", 1, F.greatest(F.lit(1), "in_base"))).alias("sig"), F.lit(1).alias("way")).where(F.lit(True))
-    entries = small.unionByName(large).distinct()
+    large = indexed.where(F.col("n") > limit).select(F.col("doc_id").alias("d"), "n", F.explode(F.slice("prefix", 1, F.greatest(F.lit(1), "in_base"))).alias("sig"), F.lit(1).alias("way"))
+    entries = small.unionByName(large)
     often = entries.groupBy("sig", "way").count().where("count > 1").drop("count")
     entries = common.written(entries.join(often, ["sig", "way"]))
     tested = edges = comps = None
