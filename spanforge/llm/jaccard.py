@@ -8,9 +8,10 @@ that divides them minimises the summed cost of both; sets up to 4/3 of it do bot
 between blocks of documents and parts of the key space as packed arrays; shingles met in one document only are never indexed.
 
 Equal sets form a class first, and its least id stands for it. Within a bucket (a subset's or a list's sets) every set is
-compared with one centre, then the sets not yet connected with a second, then what is left of the bucket pair by pair:
-links within one component need no test, so a group of many near copies costs about one comparison a copy, and no link between
-different components is left out. Similarities are exact over 64-bit shingle hashes.
+compared with a centre, and in further rounds with other centres what is not yet connected, then what is left of the bucket
+pair by pair: links within one component need no test, so a group of many near copies costs a few comparisons a copy, and no
+link between different components is left out. Pairs are tested only if their sizes, the places of the common shingle and
+bitmaps of the sets leave room for the overlap that a link needs. Similarities are exact over 64-bit shingle hashes.
 
 Cases: without words (or text) a set is empty and linked with nothing; fewer words than a shingle has are one shingle. A null
 id is linked with nothing and has no component. Ids must name rows: repeated rows are linked as equal sets. Other columns are
@@ -34,6 +35,8 @@ from spanforge.llm.components import components
 WIDTH, LEAST, PART_KEYS = 5, 75, 2_000_000
 #: Rows that an entry of a list costs (itself and about one test against a centre), where a subset costs its own row.
 SCAN_COST = 2.0
+#: Of each round, the orders by which a bucket picks its centre, dealt by the bucket's key; bits of a set's bitmap.
+ROUNDS, BITS = (1, 1, 8, 8), 1024
 _U = np.uint64
 
 
@@ -94,9 +97,26 @@ def _count(table: pa.Table) -> pa.Table:
     })
 
 
-SET = "doc_id {id}, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, shingles binary"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-_NAMES = ("doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "shingles")
+SET = "doc_id {id}, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, first int, bitmap array<long>, shingles binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+_NAMES = ("doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "first", "bitmap", "shingles")
+
+
+def _bitmaps(key: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """Of each wanted text, the parity of its shingles by their last bits, as longs: two sets differ in as many shingles at
+    least as their bitmaps in bits."""
+    rows = np.flatnonzero(wanted)
+    out = np.zeros((len(rows), BITS // 64), np.int64)
+    where = np.full(len(wanted), -1)
+    where[rows] = np.arange(len(rows))
+    mine = where[doc]
+    for at in range(0, len(rows), 1024):
+        here = (mine >= at) & (mine < at + 1024)
+        n = min(1024, len(rows) - at)
+        odd = np.bincount((mine[here] - at) * BITS + (key[here] & _U(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
+        out[at : at + n] = np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1, bitorder="little").view("<i8")
+    ends = np.cumsum(np.where(wanted, BITS // 64, 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out.ravel()))
 
 
 def _index(parts: int, width: int, least: int):
@@ -127,10 +147,13 @@ def _index(parts: int, width: int, least: int):
         kept, kept_doc, kept_nth = key[ranked][shared], doc[shared], nth[shared]
         many = np.bincount(kept_doc, minlength=n)
         in_base = np.bincount(kept_doc, weights=kept_nth < base[kept_doc], minlength=n).astype(np.int32)
+        first = np.full(n, 1 << 30, np.int32)  # place of the first shared shingle: all that follow in order are shared too
+        np.minimum.at(first, kept_doc, kept_nth.astype(np.int32))
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(kept.view(np.int64)))
+        maps = _bitmaps(key, doc, many > 0)
         raw, edges = key.astype("<u8"), np.cumsum(size)
         held = [raw[b - s : b].tobytes() if m else None for s, b, m in zip(size, edges, many, strict=True)]
-        return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(held, pa.binary())], names=list(_NAMES))
+        return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(first), maps, pa.array(held, pa.binary())], names=list(_NAMES))
 
     return run
 
@@ -187,10 +210,13 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
     common.release(spark)
     cost = indexed.select("n", F.floor(4 * F.log2("n")).alias("class"), (F.size("prefix") * (F.size("prefix") - 1) / 2).alias("subsets"), (SCAN_COST * F.col("in_base")).alias("lists"))
     limit = boundary([tuple(r) for r in cost.groupBy("class").agg(F.max("n"), F.sum("subsets").cast("double"), F.sum("lists").cast("double")).collect()])
-    pairs_of = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x, y))))
-    small = indexed.where(F.col("n") * least <= 100 * limit).select(F.col("doc_id").alias("d"), "n", F.explode(pairs_of).alias("sig"), F.lit(0).alias("way"))
-    large = indexed.where(F.col("n") > limit).select(F.col("doc_id").alias("d"), "n", F.explode(F.slice("prefix", 1, F.greatest(F.lit(1), "in_base"))).alias("sig"), F.lit(1).alias("way"))
-    entries = small.unionByName(large)
+    # room: how large the overlap can be if this shingle (the second of this subset) is the first (second) common one
+    room = lambda at: (F.col("n") - F.col("first") - at).cast("long").alias("room")
+    pairs_of = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y, j: F.struct(F.xxhash64(x, y).alias("sig"), room(i + j)))))
+    listed = F.transform(F.slice("prefix", 1, F.greatest(F.lit(1), "in_base")), lambda x, i: F.struct(x.alias("sig"), room(i)))
+    small = indexed.where(F.col("n") * least <= 100 * limit).select(F.col("doc_id").alias("d"), "n", F.explode(pairs_of).alias("e"), F.lit(0).alias("way"))
+    large = indexed.where(F.col("n") > limit).select(F.col("doc_id").alias("d"), "n", F.explode(listed).alias("e"), F.lit(1).alias("way"))
+    entries = small.unionByName(large).select("e.sig", "way", "d", "n", "e.room")
     often = entries.groupBy("sig", "way").count().where("count > 1").drop("count")
     entries = common.written(entries.join(often, ["sig", "way"]))
     tested = edges = comps = None
@@ -201,24 +227,31 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
         both = left.join(bytes_of.select(F.col("d").alias("v"), F.col("shingles").alias("set_b")), "v").select("u", "v", "set_a", "set_b")
         return common.written(both.mapInArrow(_similar(least), f"u {kind}, v {kind}"))
 
-    for step in range(3):
-        open_ = entries.withColumn("c", F.col("d")) if comps is None else entries.join(comps.select(F.col("node").alias("d"), F.col("component")), "d", "left").select("sig", "way", "d", "n", F.coalesce("component", "d").alias("c"))
-        mixed = open_.groupBy("sig", "way").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64(F.lit(step), "d").alias("h"), "d", "n", "c")).alias("centre")).where("low <> high")
-        if step < 2:
-            met = open_.join(mixed, ["sig", "way"]).where((F.col("c") != F.col("centre.c")) & _fits(F.col("n"), F.col("centre.n"), least))
+    def may_link(n1: Column, room1: Column, n2: Column, room2: Column) -> Column:
+        """Sizes fit, and the overlap that this bucket leaves room for is enough. Linked sets meet so in their first bucket."""
+        return _fits(n1, n2, least) & ((100 + least) * F.least(room1, room2) >= least * (n1 + n2))
+
+    for step in range(len(ROUNDS) + 1):
+        open_ = entries.withColumn("c", F.col("d")) if comps is None else entries.join(comps.select(F.col("node").alias("d"), F.col("component")), "d", "left").select("sig", "way", "d", "n", "room", F.coalesce("component", "d").alias("c"))
+        last = step == len(ROUNDS)
+        order = F.xxhash64(F.lit(step), F.pmod("sig", F.lit(1 if last else ROUNDS[step])), "d")
+        mixed = open_.groupBy("sig", "way").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(order.alias("h"), "d", "n", "room", "c")).alias("centre")).where("low <> high")
+        if not last:
+            met = open_.join(mixed, ["sig", "way"]).where((F.col("c") != F.col("centre.c")) & may_link(F.col("n"), F.col("room"), F.col("centre.n"), F.col("centre.room")))
             pairs = met.select(F.least("d", "centre.d").alias("u"), F.greatest("d", "centre.d").alias("v")).distinct()
         else:
-            still = open_.join(mixed.select("sig", "way"), ["sig", "way"])
-            other = still.select("sig", "way", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            met = still.join(other, ["sig", "way"]).where((F.col("d") < F.col("d2")) & (F.col("c") != F.col("c2")) & _fits(F.col("n"), F.col("n2"), least))
-            pairs = met.select(F.col("d").alias("u"), F.col("d2").alias("v")).distinct()
+            maps = indexed.select(F.col("doc_id").alias("d"), *[F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITS // 64)])
+            still = open_.join(mixed.select("sig", "way"), ["sig", "way"]).join(maps, "d")
+            other = still.select("sig", "way", *[F.col(c).alias(f"{c}_") for c in ("d", "n", "room", "c", *maps.columns[1:])])
+            differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_"))) for m in maps.columns[2:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("m0_"))))
+            close = (100 + least) * differ <= (100 - least) * (F.col("n") + F.col("n_"))  # else too few can be common
+            met = still.join(other, ["sig", "way"]).where((F.col("d") < F.col("d_")) & (F.col("c") != F.col("c_")) & may_link(F.col("n"), F.col("room"), F.col("n_"), F.col("room_")) & close)
+            pairs = met.select(F.col("d").alias("u"), F.col("d_").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = common.written(pairs)
         if pairs.isEmpty():
-            if step < 2:
-                continue
-            break
+            continue
         found = verified(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
