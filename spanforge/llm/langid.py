@@ -209,7 +209,7 @@ def fit(df: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text",
     fit_for = learn & F.col(lang).isNotNull()
     # a threshold on the hash first, so that what tasks send does not grow with their number
     n = df.where(fit_for).count()
-    least = -(1 << 63) + int(min(1.0, 1.25 * rows / max(1, n)) * ((1 << 64) - 1))
+    least = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, 1.25 * rows / max(1, n)) * (1 << 64)))
     some = df.where(fit_for & (mark <= F.lit(least)) & (F.length(text) > 0)).select(mark.alias("mark"), F.col(lang).alias("lang"), F.col(text).substr(place + 1, F.lit(SAMPLE_CHARS)).alias("text"))
     got = [(r.lang, r.text.encode()) for r in some.orderBy("mark", "lang", "text").limit(rows).collect()]
     got = [(lang, raw) for lang, raw in got if has_letter(raw, raw.decode())]
