@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanforge.functions import splitters
+
 #: What a lexical token and an answer token are.
 LEXICAL, ANSWER = r"[A-Za-z0-9][A-Za-z0-9_\-.]*", r"[a-z0-9]+"
 #: Phrases by which an answer is taken as a refusal.
@@ -40,18 +43,13 @@ def with_context(text: Column, prefix: Column) -> Column:
     return F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("\n\n"), text)).otherwise(text)
 
 
-def bucket(token: Column, dims: int = DIMS) -> Column:
-    """A token's dimension, by arithmetic that any SQL engine can repeat."""
-    last, second = F.substring(token, -1, 1), F.substring(token, 2, 1)
-    return ((F.ascii(token) * 131 + F.ascii(last) * 31 + F.length(token) * 7 + F.ascii(second) * 17) % dims).cast("int")
-
+@F.pandas_udf("array<double>")
+def hashed_bag(texts: pd.Series) -> pd.Series:
+    """Unit vector of token counts by hashed dimension, zeros without tokens: the embedder where there is no model.
 
-def hashed_bag(text: Column, dims: int = DIMS) -> Column:
-    """Unit vector of token counts by dimension, array<double>; zeros without tokens. One pass over the tokens."""
-    slots = F.transform(lexical_tokens(text), lambda t: bucket(t, dims))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    A model takes its place as another vectorised function from texts to arrays, loaded once a worker.
+    """
+    return pd.Series(list(splitters.bag_vectors([t or "" for t in texts], DIMS)))
 
 
 def is_refusal(answer: Column) -> Column:

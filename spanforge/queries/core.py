@@ -162,7 +162,7 @@ def corpus_fingerprint(spark, sf_dir):
 
 # ---------------------------------------------------------------- tokens
 
-LEX = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\\-.]*'), x -> lower(x))"
+LEX = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\\-.]*'), lambda x: lower(x))"
 ANS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 
@@ -180,8 +180,8 @@ def tokens_answer(spark, sf_dir):
 
 # ---------------------------------------------------------------- truth
 
-TRUTH = """found AS (SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS at, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-    truth AS (SELECT item_id AS qid, (row_number() OVER (PARTITION BY item_id ORDER BY doc_id, at) - 1)::BIGINT AS span_ix, doc_id, at::BIGINT AS "start", (at + n)::BIGINT AS "end" FROM found)"""
+TRUTH = """found AS (SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS p, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    truth AS (SELECT item_id AS qid, (row_number() OVER (PARTITION BY item_id ORDER BY doc_id, p) - 1)::BIGINT AS span_ix, doc_id, p::BIGINT AS "start", (p + n)::BIGINT AS "end" FROM found)"""
 
 
 @query(f"WITH {TRUTH} SELECT * FROM truth")
@@ -218,7 +218,7 @@ def authored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY item_ix) AS nth FROM items),
     checked AS (SELECT item_ix, item_id, CASE WHEN nth > 1 THEN 'duplicate_id' WHEN kind = 4 THEN 'unknown_doc'
         WHEN kind <> 5 AND (length(text) - length(replace(text, quote, ''))) / length(quote) > 1 THEN 'ambiguous_quote'
-        WHEN kind = 5 OR strpos(text, quote) = 0 THEN 'unresolved_quote' END AS reason FROM numbered)
+        WHEN kind = 5 AND len(list_filter(range(1, length(text) - length(quote) + 2), lambda i: substr(text, i, length(quote)) = quote)) < 8 OR strpos(text, quote) = 0 THEN 'unresolved_quote' END AS reason FROM numbered)
     SELECT item_ix, item_id, reason FROM checked WHERE reason IS NOT NULL""")
 def quote_rejections(spark, sf_dir):
     return truth.judged_items(authored_items(spark, sf_dir), documents(spark, sf_dir))[1]
@@ -237,13 +237,13 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSAGES = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM documents WHERE text IS NOT NULL),
-    placed AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, regexp_replace(part, '^\s+|\s+$', '', 'g') AS body FROM lines),
-    kept AS (SELECT doc_id, ix, at + length(part) - length(regexp_replace(part, '^\s+', '')) AS a, body, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS nth FROM placed
+    placed AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p, regexp_replace(part, '^\s+|\s+$', '', 'g') AS body FROM lines),
+    kept AS (SELECT doc_id, ix, p + length(part) - length(regexp_replace(part, '^\s+', '')) AS a, body, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS nth FROM placed
         WHERE body <> '' AND NOT regexp_matches(body, '^(#|\||!!!|///|```|~~~|CHAPTER|SECTION|BOOK|PART|FOOTNOTE|Appendices|\* \* \*|---|===)')),
     docs2 AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
     runs AS (SELECT x.doc_id, x.a, y.a + length(y.body) AS b FROM kept x JOIN kept y ON x.doc_id = y.doc_id AND y.nth BETWEEN x.nth AND x.nth + 2),
     cut AS (SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", substr(text, (a + 1)::BIGINT, (b - a)::BIGINT) AS passage FROM runs JOIN docs2 USING (doc_id)),
-    judged AS (SELECT *, len(regexp_extract_all(passage, '[.!?]["'')\]]*(\s|$)')) AS ends, len(list_filter(string_split(passage, chr(10)), x -> starts_with(trim(x), '*') OR starts_with(trim(x), '-'))) AS bullets FROM cut),
+    judged AS (SELECT *, len(regexp_extract_all(passage, '[.!?]["'')\]]*(\s|$)')) AS ends, len(list_filter(string_split(passage, chr(10)), lambda x: starts_with(trim(x), '*') OR starts_with(trim(x), '-'))) AS bullets FROM cut),
     passages AS (SELECT doc_id, "start", "end", passage FROM judged WHERE length(passage) > 300 AND length(passage) < 700 AND (ends >= 2 OR bullets >= 3) AND (substr(passage, 1, 1) <> lower(substr(passage, 1, 1)) OR bullets >= 3))"""
 
 
@@ -457,10 +457,10 @@ def per_question_records(spark, sf_dir):
 BOOT = """firsts10 AS (SELECT qid, coalesce(1.0::DOUBLE / min(CASE WHEN score >= 0.5 THEN rank END), 0) AS rr FROM best GROUP BY qid),
     arr AS (SELECT list(rr ORDER BY qid) AS vs, count(*) AS n FROM firsts10),
     draws AS (SELECT it, round(avg(vs[1 + (('0x' || substr(md5('0:' || it || ':' || slot), 1, 8))::BIGINT % n)]), 9) AS m FROM arr, range(0, 500) t(it), (SELECT unnest(range(0, n)) AS slot FROM arr) GROUP BY it),
-    placed_ AS (SELECT m, row_number() OVER (ORDER BY m, it) - 1 AS at FROM draws)"""
+    placed_ AS (SELECT m, row_number() OVER (ORDER BY m, it) - 1 AS p FROM draws)"""
 
 
-@query(f"{FLOW}, {BOOT} SELECT (SELECT n FROM arr)::BIGINT AS n, (SELECT round(avg(rr), 9) FROM firsts10) AS point, max(CASE WHEN at = 12 THEN m END) AS low, max(CASE WHEN at = 486 THEN m END) AS high FROM placed_")
+@query(f"{FLOW}, {BOOT} SELECT (SELECT n FROM arr)::BIGINT AS n, (SELECT round(avg(rr), 9) FROM firsts10) AS point, max(CASE WHEN p = 12 THEN m END) AS low, max(CASE WHEN p = 486 THEN m END) AS high FROM placed_")
 def bootstrap_mrr_ci(spark, sf_dir):
     """500 resamples of the questions; places 12 and 486 bound 95 per cent."""
     hits = alignment.first_hits(alignment.align(*flow(spark, sf_dir)), 10, 0.5)
