@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from spanforge.functions import splitters
 
@@ -43,7 +44,7 @@ def with_context(text: Column, prefix: Column) -> Column:
     return F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("\n\n"), text)).otherwise(text)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_bag(texts: pd.Series) -> pd.Series:
     """Unit vector of token counts by hashed dimension, zeros without tokens: the embedder where there is no model.
 
