@@ -331,7 +331,7 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(chunks, questions, 10, post=post)
 
 
-DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END) % 64)"
+DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END * 17) % 64)"
 DENSE = f"""cvec AS (SELECT doc_id, "start", "end", {DIM} AS dim, sum(tf)::DOUBLE AS v FROM post GROUP BY ALL),
     cnorm AS (SELECT doc_id, "start", "end", sqrt(sum(v * v)) AS nv FROM cvec GROUP BY ALL),
     qvec AS (SELECT qid, {DIM} AS dim, sum(qtf)::DOUBLE AS v FROM qtok GROUP BY ALL),
