@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from spanforge.llm import common
 
 #: Bytes beyond which a piece takes the heap; upper ends of the length buckets; distinct pieces that a worker remembers.
-LONGEST, BUCKETS, REMEMBERED = 256, (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 300_000
+LONGEST, BUCKETS, REMEMBERED = 256, (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 150_000
 NONE = np.int32(1 << 30)
 
 
@@ -214,7 +214,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, ident: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(vocabulary)
         encoder = Encoder(table, pattern)
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", 2 << 20):
             ids = encoder.batch(common.filled(part.column("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([table.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -7,10 +7,11 @@ Words are runs of characters other than the six ASCII white-space characters, wh
 from __future__ import annotations
 
 import atexit
+import functools
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,37 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library: it gives memory back by itself or not at all
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine: workers are reused, and what one stage held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+_TRIM = _trimmer()
+
+
+def lean(fn: Callable) -> Callable:
+    """The same function of Arrow tables, giving memory back after each group."""
+
+    @functools.wraps(fn)
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return fn(*tables)
+        finally:
+            trim()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most`` bytes of text at most, or one row."""
     for batch in batches:
@@ -80,6 +112,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             to = max(at + 1, int(np.searchsorted(ends, start + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 def chunked(column) -> pa.Array:

@@ -360,15 +360,15 @@ def score_texts(df: DataFrame, held: Column, ident: str = "doc_id", text: str =
     kind = blocks.schema["doc_id"].dataType.simpleString()
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (2 * PART_BYTES)))
-    asked = blocks.groupBy("block").applyInArrow(_ask(parts), MESSAGE)
-    nodes = asked.groupBy("part").applyInArrow(_summed, NODE)
+    asked = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts)), MESSAGE)
+    nodes = asked.groupBy("part").applyInArrow(common.lean(_summed), NODE)
     # at most 65,280 nodes and one row of totals, whatever the corpus
     nodes = nodes.groupBy("c1", "bit", "prefix").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "kids")])
     names = ("c1", "bit", "prefix", "n0", "n1", "kids")
     one = nodes.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names])
     tops = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2 * parts - 1))))
-    told = asked.groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(_answered, ANSWER)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(parts), SCORE.format(id=kind))
+    told = asked.groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(common.lean(_answered), ANSWER)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_scored(parts)), SCORE.format(id=kind))
     tokens = nodes.where("c1 < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)).cast("long").alias("train_tokens"), F.coalesce(F.sum("n1"), F.lit(0)).alias("distinct"))
     out = scored.crossJoin(F.broadcast(tokens))  # one row
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("distinct") + 1))

@@ -188,16 +188,16 @@ def _fits(a: Column, b: Column, least: int) -> Column:
     return 100 * F.least(a, b) >= least * F.greatest(a, b)
 
 
-def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bytes: int = common.BLOCK_BYTES // 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``least`` is the similarity in hundredths."""
     spark = df.sparkSession
     blocks = common.in_blocks(df, ident, text, block_bytes)
     kind = blocks.schema["doc_id"].dataType.simpleString()
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (6 * PART_KEYS)))
-    asked = blocks.groupBy("block").applyInArrow(_ask(parts, width), "part int, block int, keys binary")
-    told = asked.groupBy("part").applyInArrow(_count, "block int, part int, keys binary, often binary")
-    sets = common.written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_index(parts, width, least), SET.format(id=kind)))
+    asked = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts, width)), "part int, block int, keys binary")
+    told = asked.groupBy("part").applyInArrow(common.lean(_count), "block int, part int, keys binary, often binary")
+    sets = common.written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_index(parts, width, least)), SET.format(id=kind)))
     del blocks, asked, told
     common.release(spark)
     key = ["n_shingles", "sig_a", "sig_b"]

@@ -170,15 +170,15 @@ def _drop(texts: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(counts), "n_removed": pa.array(removed), "kept": pc.binary_join(lists, " ")})
 
 
-def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = common.BLOCK_BYTES // 2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every text; kept words are joined by one space."""
     spark = df.sparkSession
     blocks = common.in_blocks(df, ident, text, block_bytes)
     kind = blocks.schema["doc_id"].dataType.simpleString()
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (40 * PART_KEYS)))
-    told = blocks.groupBy("block").applyInArrow(_ask(parts), "part int, block int, keys binary").groupBy("part").applyInArrow(_repeated, "block int, part int, keys binary")
-    cut = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(parts), f"block int, doc_id {kind}, start int, shard long, segment string")
+    told = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts)), "part int, block int, keys binary").groupBy("part").applyInArrow(common.lean(_repeated), "block int, part int, keys binary")
+    cut = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_cut(parts)), f"block int, doc_id {kind}, start int, shard long, segment string")
     windows = F.size(F.split("segment", " ")) - (WINDOW - 1)
     places = common.written(cut.withColumn("mark", F.xxhash64("segment")).withColumn("windows", windows))
     del told, cut
@@ -188,10 +188,10 @@ def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block
     size = first.agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_CHARS))
     ordered = first.select("shard", "mark", "segment", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("at"))
-    masks = common.written(ordered.groupBy("at").applyInArrow(_first_windows, f"shard long, mark long, first struct<doc_id:{kind},start:int>, mask binary"))
+    masks = common.written(ordered.groupBy("at").applyInArrow(common.lean(_first_windows), f"shard long, mark long, first struct<doc_id:{kind},start:int>, mask binary"))
     common.drop_written(first)
     del first, ordered
     common.release(spark)
     gone = places.drop("segment").join(masks, ["shard", "mark"]).select("block", "doc_id", "start", "windows", F.when(F.col("first").eqNullSafe(F.struct("doc_id", "start")), F.col("mask")).alias("mask"))
     gone = gone.where("mask IS NULL OR instr(hex(mask), '01') > 0")
-    return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_drop, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(common.lean(_drop), f"doc_id {kind}, n_words long, n_removed long, kept string")
