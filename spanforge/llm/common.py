@@ -7,7 +7,7 @@ Words are runs of characters other than the six ASCII white-space characters, wh
 from __future__ import annotations
 
 import atexit
-import functools
+import inspect
 import math
 import tempfile
 import uuid
@@ -90,16 +90,17 @@ _TRIM = _trimmer()
 
 
 def lean(fn: Callable) -> Callable:
-    """The same function of Arrow tables, giving memory back after each group."""
+    """The same function of one or two Arrow tables, giving memory back after each group."""
 
-    @functools.wraps(fn)
-    def run(*tables: pa.Table) -> pa.Table:
+    def held(*tables: pa.Table) -> pa.Table:
         try:
             return fn(*tables)
         finally:
             trim()
 
-    return run
+    if len(inspect.signature(fn).parameters) == 1:
+        return lambda table: held(table)
+    return lambda left, right: held(left, right)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
