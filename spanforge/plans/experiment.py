@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators import alignment, chunking, metrics, retrieval
+from spanforge.operators import alignment, chunking, retrieval
+from spanforge.operators.metrics import KS, TAUS, metric_cube
 
 
 @dataclass(frozen=True)
@@ -64,8 +65,8 @@ class Experiment:
         self.configs, self.ranked = configs, out.persist()
         return self
 
-    def metrics(self, ks: tuple = metrics.KS, taus: tuple = metrics.TAUS) -> DataFrame:
-        return metrics.metric_cube(self.ranked, self.truth, ks, taus, ("config_id",))
+    def metrics(self, ks: tuple = KS, taus: tuple = TAUS) -> DataFrame:
+        return metric_cube(self.ranked, self.truth, ks, taus, ("config_id",))
 
     def reach(self) -> DataFrame:
         """(chunk_id, qid, span_ix, best) for each chunker."""
@@ -75,7 +76,7 @@ class Experiment:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def ceilings(self, taus: tuple = metrics.TAUS) -> DataFrame:
+    def ceilings(self, taus: tuple = TAUS) -> DataFrame:
         """(chunk_id, tau, n_spans, reachable)."""
         out = None
         for name, chunks in self._chunks.items():
