@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanforge.functions import text
 
@@ -18,6 +20,8 @@ from spanforge.functions import text
 K1, B, FLOOR, RRF_K, POOL, RERANK_POOL = 1.5, 0.75, 0.25, 60, 50, 30
 #: Bytes of query vectors that travel with a function; beyond, queries go in slices.
 QUERY_BYTES = 32 << 20
+#: Distinct question tokens, and questions, that travel with a function: the matrix over both takes 80 MB at most.
+VOCABULARY, QUESTIONS = 5_000, 2_000
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -29,19 +33,26 @@ def indexed_text(chunks: DataFrame) -> Column:
     return text.with_context(F.col("chunk_text"), F.col("context_prefix")) if "context_prefix" in chunks.columns else F.col("chunk_text")
 
 
+def tokened(chunks: DataFrame) -> DataFrame:
+    """(doc_id, start, end, toks)."""
+    return chunks.select("doc_id", "start", "end", text.lexical_tokens(indexed_text(chunks)).alias("toks"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, start, end, dl, tok, tf): term counts inside a chunk need no exchange, chunk by chunk."""
-    toks = chunks.select("doc_id", "start", "end", text.lexical_tokens(indexed_text(chunks)).alias("toks"))
-    counted = toks.select("doc_id", "start", "end", F.size("toks").cast("long").alias("dl"), F.posexplode(F.array_sort("toks")).alias("pos", "tok"), F.array_sort("toks").alias("s"))
-    # a sorted token array has its equal tokens in runs: the run's first place gives one posting
-    first = (F.col("pos") == 0) | (F.expr("s[pos - 1]") != F.col("tok"))
-    return counted.where(first).select("doc_id", "start", "end", "dl", "tok", (F.size(F.filter("s", lambda x: x == F.col("tok")))).cast("long").alias("tf"))
+    """(doc_id, start, end, dl, tok, tf). Chunks dealt by doc_id stay where they are."""
+    toks = tokened(chunks).select("doc_id", "start", "end", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("tok"))
+    return toks.groupBy("doc_id", "start", "end", "dl", "tok").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def corpus_size(chunks: DataFrame) -> DataFrame:
+    """One row: n chunks and their mean length in tokens."""
+    return tokened(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
 
-def weights(post: DataFrame) -> DataFrame:
+
+def weights(chunks: DataFrame) -> DataFrame:
     """(tok, df, idf): negative weights become FLOOR of the mean weight over the vocabulary."""
-    n = post.select("doc_id", "start", "end").distinct().agg(F.count(F.lit(1)).alias("n"))
-    raw = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+    raw = tokened(chunks).select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    raw = raw.crossJoin(F.broadcast(corpus_size(chunks).select("n")))  # one row
     raw = raw.select("tok", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -58,21 +69,72 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool = True, k1: float = K1, b: float = B, post: DataFrame | None = None) -> DataFrame:
-    """Okapi ranking by score, then document order. ``zero_fill`` also ranks chunks without a common token, with score 0."""
-    post = postings(chunks) if post is None else post
-    asked = question_tokens(questions)
-    idf = weights(post)
-    mean = post.select("doc_id", "start", "end", "dl").distinct().agg(F.avg("dl").alias("avgdl"))
-    wanted = asked.join(idf, "tok").crossJoin(F.broadcast(mean))
-    # few question tokens meet the postings: Spark broadcasts them while they are small
-    hits = post.join(wanted, "tok")
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool = True, k1: float = K1, b: float = B, idf: DataFrame | None = None) -> DataFrame:
+    """Okapi ranking by score, then document order. ``zero_fill`` also ranks chunks without a common token, with score 0.
+
+    Up to ``QUESTIONS`` questions over ``VOCABULARY`` tokens travel to the chunks: a batch of chunks becomes a matrix over the
+    questions' vocabulary, one product scores all pairs, and each batch keeps k rows a question. Pairs never become rows.
+    A larger set of questions is joined with the postings instead.
+    """
+    idf = weights(chunks) if idf is None else idf
+    wanted = question_tokens(questions).join(idf, "tok")
+    ids = questions.select("qid").distinct()
+    size = wanted.agg(F.count_distinct("tok").alias("v"), F.count_distinct("qid").alias("q")).first()
+    if size["v"] > VOCABULARY or ids.count() > QUESTIONS:
+        return _bm25_joined(chunks, ids, wanted, k, zero_fill, k1, b)
+    avgdl = corpus_size(chunks).first()["avgdl"] or 1.0
+    qids = [r.qid for r in ids.orderBy("qid").collect()]
+    rows = wanted.collect()
+    vocabulary = sorted({r.tok for r in rows})
+    place, number = {t: j for j, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    matrix = np.zeros((len(vocabulary), len(qids)))
+    for r in rows:
+        matrix[place[r.tok], number[r.qid]] = r.qtf * r.idf
+    known = pa.array(vocabulary, pa.string())
+    kind = questions.schema["qid"].dataType.simpleString()
+    key = ["doc_id", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in key]))
+                lists = batch.column("toks")
+                dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+                column = pc.index_in(lists.flatten(), value_set=known)
+                row = np.repeat(np.arange(batch.num_rows), dl.astype(np.int64))
+                hit = pc.is_valid(column).to_numpy(zero_copy_only=False)
+                cell = row[hit] * len(vocabulary) + column.filter(pa.array(hit)).to_numpy(zero_copy_only=False)
+                tf = np.bincount(cell, minlength=batch.num_rows * len(vocabulary)).reshape(batch.num_rows, -1).astype(np.float64)
+                scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix, 9).T
+                # rows stand in document order, so a stable sort settles ties as the final order does
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                q, c = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
+                met = ((tf > 0).astype(np.float64) @ (matrix != 0)).T[q, c] > 0
+                keep = np.ones(len(q), bool) if zero_fill else met
+                q, c = q[keep], c[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in key), pa.array(scores[q, c])], ["qid", *key, "score"])
+
+    qid_type = to_arrow_type(questions.schema["qid"].dataType)
+    schema = f"qid {kind}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, start long, end long, score double"
+    scored = tokened(chunks).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "toks").mapInArrow(run, schema) if vocabulary or qids else None
+    if scored is None:
+        scored = chunks.limit(0).select(F.lit(None).cast(kind).alias("qid"), *key, F.lit(0.0).alias("score"))
+    # adding 0 turns a negative zero into zero
+    scored = scored.withColumn("score", F.round("score", 9) + F.lit(0.0))
+    return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", *key, "score")
+
+
+def _bm25_joined(chunks: DataFrame, ids: DataFrame, wanted: DataFrame, k: int, zero_fill: bool, k1: float, b: float) -> DataFrame:
+    """The same ranking by joining postings with question tokens."""
+    hits = postings(chunks).join(wanted, "tok").crossJoin(F.broadcast(corpus_size(chunks).select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", "doc_id", "start", "end").agg(F.round(F.sum(part), 9).alias("score"))
     if zero_fill:
-        # of the chunks without a hit only the first k in order can be ranked: they are among the first k + hits
-        first = chunks.select("doc_id", "start", "end").orderBy("doc_id", "start", "end").limit(4 * k)
-        none = questions.select("qid").distinct().crossJoin(F.broadcast(first)).join(scored.select("qid", "doc_id", "start", "end"), ["qid", "doc_id", "start", "end"], "left_anti")
+        # a question with fewer than k hits takes chunks in order; among the first 2k of them k are no hits
+        few = ids.join(scored.groupBy("qid").agg(F.count(F.lit(1)).alias("hits")), "qid", "left").where(F.coalesce("hits", F.lit(0)) < k).select("qid")
+        first = chunks.select("doc_id", "start", "end").orderBy("doc_id", "start", "end").limit(2 * k)
+        none = few.crossJoin(F.broadcast(first)).join(scored.select("qid", "doc_id", "start", "end"), ["qid", "doc_id", "start", "end"], "left_anti")
         scored = scored.unionByName(none.withColumn("score", F.lit(0.0)))
     return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", "doc_id", "start", "end", "score")
 
@@ -88,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
     if not rows:
         return vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), F.lit(0).cast("long").alias("rank"), *ident, F.lit(0.0).alias("score"))
     step = max(1, QUERY_BYTES // (8 * max(1, len(rows[0].vector))))
-    kind = queries.schema["qid"].dataType.simpleString()
+    kind, qid_type = queries.schema["qid"].dataType.simpleString(), to_arrow_type(queries.schema["qid"].dataType)
     schema = ", ".join([f"qid {kind}", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ident), "score double"])
     slim = vectors.select(*ident, F.col("vector").cast("array<double>").alias("vector"))
     out = None
@@ -107,7 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
                 # all that tie with the last one stay, so that the final order decides
                 floor = np.take_along_axis(scores, best, 1).min(1, keepdims=True)
                 q, c = np.nonzero(scores >= floor - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], None), *(batch.column(n).take(pa.array(c)) for n in ident), pa.array(scores[q, c])], ["qid", *ident, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in ident), pa.array(scores[q, c])], ["qid", *ident, "score"])
 
         found = slim.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -134,8 +196,8 @@ def fuse(dense_ranked: DataFrame, lexical_ranked: DataFrame, k: int = 10, consta
     return top(scored, k, F.col("score").desc(), F.col("d").asc_nulls_last(), F.col("l").asc_nulls_last()).select("qid", "rank", "doc_id", "start", "end", "score")
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = POOL, post: DataFrame | None = None) -> DataFrame:
-    return fuse(dense(chunks, questions, pool), bm25(chunks, questions, pool, post=post), k)
+def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = POOL, idf: DataFrame | None = None) -> DataFrame:
+    return fuse(dense(chunks, questions, pool), bm25(chunks, questions, pool, idf=idf), k)
 
 
 def rerank(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = RERANK_POOL, scorer=None) -> DataFrame:

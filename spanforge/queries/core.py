@@ -301,19 +301,18 @@ COMMON = 200
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, postings, questions), kept: several operators of one query read them."""
+    """(chunks, token weights, questions), kept: several operators of one query read them."""
     chunks = chunking.fixed_chunks(documents(spark, sf_dir), 300, 50).persist()
-    post = retrieval.postings(chunks).persist()
-    common = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= COMMON)
+    idf = retrieval.weights(chunks).persist()
+    common = idf.where(F.col("df") >= COMMON)
     asked = quotes(spark, sf_dir).join(spans(spark, sf_dir).select(F.col("qid").alias("item_id")).distinct(), "item_id")
     toks = asked.select(F.col("item_id").alias("qid"), F.posexplode(T.lexical_tokens(F.col("quote"))).alias("pos", "tok")).join(common.select("tok"), "tok")
     questions = toks.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("question"))
-    return chunks, post, questions.persist()
+    return chunks, idf, questions.persist()
 
 
 BM25 = f"""post AS (SELECT doc_id, "start", "end", tok, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, "start", "end", len(toks) AS dl, unnest(toks) AS tok FROM (SELECT *, {LEX.format('chunk_text')} AS toks FROM chunks)) GROUP BY ALL),
-    lens AS (SELECT DISTINCT doc_id, "start", "end", dl FROM post),
-    stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+    stats AS (SELECT count(*) AS n, avg(len({LEX.format('chunk_text')})) AS avgdl FROM chunks),
     raw AS (SELECT tok, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, stats GROUP BY tok, n),
     idf AS (SELECT tok, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
     qtok AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT t.qid, unnest({LEX.format('b.text')}) AS tok FROM benchmark b JOIN (SELECT DISTINCT qid FROM truth) t ON b.item_id = t.qid) WHERE tok IN (SELECT tok FROM idf WHERE df >= {COMMON}) GROUP BY 1, 2),
@@ -327,8 +326,8 @@ RANKED = 'ranked AS (SELECT * FROM lexical WHERE rank <= 10)'
 
 @query(f"{HEAD} SELECT * FROM lexical WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    chunks, post, questions = corpus(spark, sf_dir)
-    return retrieval.bm25(chunks, questions, 10, post=post)
+    chunks, idf, questions = corpus(spark, sf_dir)
+    return retrieval.bm25(chunks, questions, 10, idf=idf)
 
 
 DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END * 17) % 64)"
@@ -354,8 +353,8 @@ FUSED = """pools AS (SELECT qid, doc_id, "start", "end", min(d) AS d, min(l) AS
 
 @query(f"{HEAD}, {DENSE}, {FUSED} SELECT * FROM hybrid")
 def hybrid_rrf_topk(spark, sf_dir):
-    chunks, post, questions = corpus(spark, sf_dir)
-    return retrieval.hybrid(chunks, questions, 10, post=post)
+    chunks, idf, questions = corpus(spark, sf_dir)
+    return retrieval.hybrid(chunks, questions, 10, idf=idf)
 
 
 RERANKED = """asked AS (SELECT qid, count(*) AS n FROM qtok GROUP BY qid),
@@ -366,8 +365,8 @@ RERANKED = """asked AS (SELECT qid, count(*) AS n FROM qtok GROUP BY qid),
 
 @query(f"{HEAD}, {RERANKED} SELECT * FROM reranked")
 def lexical_rerank_topk(spark, sf_dir):
-    chunks, post, questions = corpus(spark, sf_dir)
-    return retrieval.rerank(retrieval.bm25(chunks, questions, retrieval.RERANK_POOL, post=post), chunks, questions, 10)
+    chunks, idf, questions = corpus(spark, sf_dir)
+    return retrieval.rerank(retrieval.bm25(chunks, questions, retrieval.RERANK_POOL, idf=idf), chunks, questions, 10)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
@@ -388,8 +387,8 @@ FLOW = f"{HEAD}, {RANKED}, {ALIGNED}"
 
 def flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(ranked, truth) of the lexical retriever."""
-    chunks, post, questions = corpus(spark, sf_dir)
-    return retrieval.bm25(chunks, questions, 10, post=post).persist(), spans(spark, sf_dir)
+    chunks, idf, questions = corpus(spark, sf_dir)
+    return retrieval.bm25(chunks, questions, 10, idf=idf).persist(), spans(spark, sf_dir)
 
 
 @query(f"{FLOW} SELECT qid, span_ix, rank, round(overlap, 9) AS overlap, chunk_len FROM aligned")
@@ -624,9 +623,9 @@ RERANK_RECORDS = f"""{RERANKED}, best_rr AS (SELECT r.qid, r.rank, max(CASE WHEN
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reranked configuration, cut at 5, against the same without its reranker."""
-    chunks, post, questions = corpus(spark, sf_dir)
+    chunks, idf, questions = corpus(spark, sf_dir)
     base = records(spark, sf_dir)
-    reranked = retrieval.rerank(retrieval.bm25(chunks, questions, retrieval.RERANK_POOL, post=post), chunks, questions, 5)
+    reranked = retrieval.rerank(retrieval.bm25(chunks, questions, retrieval.RERANK_POOL, idf=idf), chunks, questions, 5)
     after = alignment.per_question(alignment.align(reranked, spans(spark, sf_dir)), alignment.reachability(chunks, spans(spark, sf_dir)))
     return diagnosis.diagnose(after, base).persist()
 
