@@ -177,7 +177,7 @@ def in_blocks(df: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_BYT
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     row = slim.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(1, math.ceil((row[0] or 0) / block_bytes), math.ceil(row[1] / BLOCK_DOCS))
-    return slim.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 256), F.octet_length("text")), F.lit(n)).cast("int"))
+    return slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def messages(parts: np.ndarray, count: int, content) -> list[tuple]:
