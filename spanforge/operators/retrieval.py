@@ -219,11 +219,9 @@ def shared_tokens(question: Column, body: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, text.lexical_tokens(body))).cast("double"), F.nullif(F.size(asked), F.lit(0))), F.lit(0.0))
 
 
-def retrieve(name: str, chunks: DataFrame, questions: DataFrame, k: int = 10, reranked: bool = False) -> DataFrame:
-    """A retriever by name, with or without the second stage."""
-    retrievers = {"bm25": bm25, "dense": dense, "hybrid": hybrid}
+def retrieve(name: str, chunks: DataFrame, questions: DataFrame, k: int = 10, reranked: bool = False, idf: DataFrame | None = None) -> DataFrame:
+    """A retriever by name, with or without the second stage; ``idf`` are token weights of these chunks, if at hand."""
+    retrievers = {"bm25": lambda n: bm25(chunks, questions, n, idf=idf), "dense": lambda n: dense(chunks, questions, n), "hybrid": lambda n: hybrid(chunks, questions, n, idf=idf)}
     if name not in retrievers:
         raise ValueError(f"unknown retriever {name!r}")
-    if not reranked:
-        return retrievers[name](chunks, questions, k)
-    return rerank(retrievers[name](chunks, questions, RERANK_POOL), chunks, questions, k)
+    return rerank(retrievers[name](RERANK_POOL), chunks, questions, k) if reranked else retrievers[name](k)

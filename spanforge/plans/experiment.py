@@ -47,6 +47,7 @@ class Experiment:
     truth: DataFrame
     k: int = 10
     _chunks: dict[str, DataFrame] = field(default_factory=dict)
+    _idf: dict[str, DataFrame] = field(default_factory=dict)
     ranked: DataFrame | None = None
     configs: tuple[Config, ...] = ()
 
@@ -56,11 +57,17 @@ class Experiment:
             self._chunks[config.chunk_id] = retrieval.distinct_chunks(built).persist()
         return self._chunks[config.chunk_id]
 
+    def idf(self, config: Config) -> DataFrame:
+        """Token weights, once a chunker."""
+        if config.chunk_id not in self._idf:
+            self._idf[config.chunk_id] = retrieval.weights(self.chunks(config)).persist()
+        return self._idf[config.chunk_id]
+
     def over(self, configs: tuple[Config, ...] = GRID) -> Experiment:
         """Ranks all questions under all configurations; rows carry config_id."""
         out = None
         for config in configs:
-            rows = retrieval.retrieve(config.retriever, self.chunks(config), self.questions, self.k, config.reranked).withColumn("config_id", F.lit(config.config_id))
+            rows = retrieval.retrieve(config.retriever, self.chunks(config), self.questions, self.k, config.reranked, None if config.retriever == "dense" else self.idf(config)).withColumn("config_id", F.lit(config.config_id))
             out = rows if out is None else out.unionByName(rows)
         self.configs, self.ranked = configs, out.persist()
         return self

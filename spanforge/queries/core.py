@@ -817,3 +817,46 @@ def pending_configs(spark, sf_dir):
     """Where a stopped run resumes: orders without a returned line."""
     done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("config_id"))
     return files.pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("config_id")), done)
+
+
+# ---------------------------------------------------------------- runs and the whole plan
+
+@query("""SELECT concat_ws('-', sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT::VARCHAR) AS fingerprint, count(*)::BIGINT AS n
+    FROM (SELECT sha256(doc_id::VARCHAR || ':' || coalesce(text, '')) AS h FROM documents)""")
+def wide_fingerprint(spark, sf_dir):
+    return files.wide_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+RUNS = "runs AS (SELECT o_orderkey AS run_id, (o_custkey % 40)::BIGINT AS config_id, o_orderdate AS run_ts, 'f' AS corpus_fingerprint, o_orderpriority AS corpus, o_orderstatus AS qa_file FROM orders)"
+
+
+def run_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as runs of 40 configurations, their lines as metric cells."""
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 40).alias("config_id"), F.col("o_orderdate").alias("run_ts"), F.lit("f").alias("corpus_fingerprint"), F.col("o_orderpriority").alias("corpus"), F.col("o_orderstatus").alias("qa_file"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("mrr"))
+    cells = lines.join(runs.select("run_id", "config_id"), F.col("l_orderkey") == F.col("run_id")).select("run_id", "config_id", F.col("l_linenumber").cast("long").alias("k"), F.lit(0.5).alias("tau"), "mrr")
+    return runs, cells
+
+
+@query(f"""WITH {RUNS}, last AS (SELECT * FROM runs WHERE qa_file = 'F' AND corpus = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY config_id ORDER BY run_ts DESC, run_id DESC) = 1)
+    SELECT l.run_id, l.config_id, c.mrr FROM last l LEFT JOIN (SELECT l_orderkey, max(l_discount) AS mrr FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) c ON c.l_orderkey = l.run_id""")
+def candidates_at_cell(spark, sf_dir):
+    """The latest run of each configuration with one cell's metrics, null where it lacks the cell."""
+    runs, cells = run_rows(spark, sf_dir)
+    return ranking.candidates(runs, cells, "F", "1-URGENT", 3, 0.5).select("run_id", "config_id", "mrr")
+
+
+@query(f"""WITH {RUNS}, c AS (SELECT r.config_id, l_linenumber AS k, l_discount AS mrr FROM runs r JOIN lineitem ON l_orderkey = run_id)
+    SELECT config_id, max(mrr) FILTER (WHERE k = 1) AS value FROM c GROUP BY config_id""")
+def metric_at_cell(spark, sf_dir):
+    return files.metric_at(run_rows(spark, sf_dir)[1], "mrr", 1, 0.5)
+
+
+@query()
+def experiment_grid(spark, sf_dir):
+    """Chunk, index, search, fuse, re-rank, align and reduce for four configurations in one plan."""
+    from spanforge.plans.experiment import Config, Experiment
+
+    chunkers = (("fixed", {"size": 300, "overlap": 50}), ("semantic", {"percentile": 90.0}))
+    configs = tuple(Config(c, p, r, r == "bm25") for c, p in chunkers for r in ("bm25", "hybrid"))
+    return Experiment(documents(spark, sf_dir), corpus(spark, sf_dir)[2], spans(spark, sf_dir)).over(configs).metrics()
