@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample from which the cut points come, and URLs that a span holds about.
-SAMPLE_ROWS, SPAN_ROWS = 20_000, 100_000
+#: Rows of the sample from which the cut points come, URLs that a span holds about, and spans at most: a span is swept as a
+#: sorted stream, so larger spans cost time, not memory.
+SAMPLE_ROWS, SPAN_ROWS, SPANS = 20_000, 100_000, 1000
 COLUMNS = "page_id {id}, host string, path string, rule string, verdict string"
 
 
@@ -74,7 +75,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, ident: str = "page_id", url:
     said = F.lower(F.col("host"))
     asked = rules.select(said.alias("host"), F.col("path"), F.col("verdict"), key_of(said).alias("key")).where("key <> '' AND path IS NOT NULL AND verdict IS NOT NULL").distinct()
     n = urls.count()
-    spans = max(1, -(-n // SPAN_ROWS))
+    spans = max(1, min(SPANS, -(-n // SPAN_ROWS)))
     cuts: list[tuple[str, int]] = []
     if spans > 1:
         some = sorted(tuple(r) for r in urls.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("key", "salt").limit(2 * SAMPLE_ROWS).collect())
