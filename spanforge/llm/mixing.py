@@ -27,7 +27,7 @@ from spanforge.llm import common
 WEIGHTS, MOST, FOLD = (1, 2, 3), 3.0, 128
 SEED = 20240229
 #: A document over 1/GIANT of its source and GIANT_MEANS mean documents is rounded against all others of its source at once.
-GIANT, GIANT_MEANS = 200, 16
+GIANT, GIANT_MEANS = 400, 4
 _ROW = "struct<doc_id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,whole:int,p:double>"
 
 
