@@ -292,3 +292,13 @@ def test_empty_pages(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_large_leaves_are_parsed_in_chunks(spark):
+    rows = [(k, f"the user {'abcdefghij'[k % 10]}{chr(97 + k // 10)} logged in from the usual place today", *[None] * 10) for k in range(100)]
+    line_templates.CHUNK, old = 16, line_templates.CHUNK
+    try:
+        got = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(frame(spark, rows)).collect()}
+    finally:
+        line_templates.CHUNK = old
+    assert got == {k: int(k > 0) for k in range(100)}
