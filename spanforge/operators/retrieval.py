@@ -34,7 +34,9 @@ def indexed_text(chunks: DataFrame) -> Column:
 
 
 def tokened(chunks: DataFrame) -> DataFrame:
-    """(doc_id, start, end, toks)."""
+    """(doc_id, start, end, toks); a column of that name, kept with the chunks, is taken as it is."""
+    if "toks" in chunks.columns:
+        return chunks.select("doc_id", "start", "end", "toks")
     return chunks.select("doc_id", "start", "end", text.lexical_tokens(indexed_text(chunks)).alias("toks"))
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import text
 from spanforge.operators import alignment, chunking, retrieval
 from spanforge.operators.metrics import KS, TAUS, metric_cube
 
@@ -54,7 +55,8 @@ class Experiment:
     def chunks(self, config: Config) -> DataFrame:
         if config.chunk_id not in self._chunks:
             built = chunking.build_chunks(self.docs, config.chunker, **config.params)
-            self._chunks[config.chunk_id] = retrieval.distinct_chunks(built).persist()
+            distinct = retrieval.distinct_chunks(built)
+            self._chunks[config.chunk_id] = distinct.withColumn("toks", text.lexical_tokens(retrieval.indexed_text(distinct))).persist()
         return self._chunks[config.chunk_id]
 
     def idf(self, config: Config) -> DataFrame:

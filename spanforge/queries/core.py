@@ -302,7 +302,8 @@ COMMON = 200
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, token weights, questions), kept: several operators of one query read them."""
-    chunks = chunking.fixed_chunks(documents(spark, sf_dir), 300, 50).persist()
+    chunks = chunking.fixed_chunks(documents(spark, sf_dir), 300, 50)
+    chunks = chunks.withColumn("toks", T.lexical_tokens(F.col("chunk_text"))).persist()
     idf = retrieval.weights(chunks).persist()
     common = idf.where(F.col("df") >= COMMON)
     asked = quotes(spark, sf_dir).join(spans(spark, sf_dir).select(F.col("qid").alias("item_id")).distinct(), "item_id")
