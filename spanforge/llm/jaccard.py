@@ -199,7 +199,8 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
     del blocks, asked, told
     common.release(spark)
     key = ["n_shingles", "sig_a", "sig_b"]
-    classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = common.written(classes)  # read back, so that a large class can be split in the join
     members = common.written(sets.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", "rep"))
     # what stands for a class and shares a rare shingle with some other row
     indexed = sets.where(F.size("prefix") > 0).join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])

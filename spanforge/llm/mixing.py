@@ -28,6 +28,8 @@ WEIGHTS, MOST, FOLD = (1, 2, 3), 3.0, 128
 SEED = 20240229
 #: A document over 1/GIANT of its source and GIANT_MEANS mean documents is rounded against all others of its source at once.
 GIANT, GIANT_MEANS = 400, 4
+#: Sources whose targets may be broadcast.
+BROADCAST_SOURCES = 200_000
 _ROW = "struct<doc_id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,whole:int,p:double>"
 
 
@@ -104,7 +106,9 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     sized = common.written(df.select(F.col(ident).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
     targets = source_targets(sized, weights, most, share)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # one row a source: Spark broadcasts it below its threshold and joins by sorting beyond
+    counted = targets.agg(F.max("n"), F.count(F.lit(1))).first()
+    # one row a source, about 60 bytes: broadcast behind a check of their count, else joined by sorting
+    targets = F.broadcast(targets) if counted[1] <= BROADCAST_SOURCES else targets
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p")))
@@ -114,7 +118,7 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     shift = giants.groupBy(F.col("source").alias("of")).agg(F.sum((F.col("p") - F.col("drawn")) * F.col("size")).alias("words"), F.sum("size").alias("held"))
     rows = rows.where(~giant).join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
     rows = rows.withColumn("p", F.when(F.col("of").isNull() & F.col("words").isNull() | (F.col("source_size") <= F.col("held")), F.col("p")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.col("words") / F.nullif(F.col("source_size") - F.col("held"), F.lit(0)))))).drop("of", "words", "held")
-    largest = targets.agg(F.max("n")).first()[0] or 0
+    largest = counted[0] or 0
     done, names = [giants.withColumn("p", F.col("drawn")).drop("drawn")], ["doc_id", "source", "size", "source_size", "target", "n", "whole", "p"]
 
     def fold(rows: DataFrame, block: Column) -> DataFrame:
