@@ -145,7 +145,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
     """Exact cosine top-k of unit vectors: (qid, rank, *ident, score).
 
     ``queries`` has (qid, vector), a stated set; every partition of ``vectors`` (ident, vector) is multiplied with it in numpy
-    and keeps k rows a query, so only k rows a query and batch leave a task.
+    and keeps k rows a query, so only k rows a query and batch leave a task. Queries pass through the driver and travel in
+    slices of ``QUERY_BYTES``; a set that the driver cannot hold is for the caller to split.
     """
     ident = ident or ["vec_id"]
     rows = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).orderBy("qid").collect()

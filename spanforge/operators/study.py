@@ -34,13 +34,13 @@ def rotation(ranked: DataFrame, gold: DataFrame, truth: DataFrame, k: int = 5, t
     cut = ranked.where(F.col("rank") <= k)
     limits = F.broadcast(spark.createDataFrame([(float(i),) for i in ious], "iou double"))
     first = chunk_hits(cut, gold).crossJoin(limits).groupBy("author", "config_id", "iou", "qid").agg(F.min(F.when(F.col("best_iou") >= F.col("iou"), F.col("rank"))).alias("first"))
-    asked = gold.select("author").distinct().crossJoin(F.broadcast(cut.select("config_id").distinct())).crossJoin(limits)
+    asked = gold.select("author").distinct().crossJoin(cut.select("config_id").distinct()).crossJoin(limits)
     questions = truth.select("qid").distinct()
-    every = asked.crossJoin(F.broadcast(questions)).join(first, ["author", "config_id", "iou", "qid"], "left")
+    every = asked.crossJoin(questions).join(first, ["author", "config_id", "iou", "qid"], "left")
     rate = lambda c: (F.round(F.avg(F.col(c).isNotNull().cast("double")), 9), F.round(F.avg(F.coalesce(1.0 / F.col(c), F.lit(0.0))), 9))
     naive = every.groupBy("author", "config_id", "iou").agg(rate("first")[0].alias("naive_hit"), rate("first")[1].alias("naive_mrr"))
     spans = alignment.first_hits(alignment.align(cut, truth, by=("config_id",)), k, tau, ("config_id",))
-    spans = cut.select("config_id").distinct().crossJoin(F.broadcast(questions)).join(spans, ["config_id", "qid"], "left")
+    spans = cut.select("config_id").distinct().crossJoin(questions).join(spans, ["config_id", "qid"], "left")
     aligned = spans.groupBy("config_id").agg(rate("first_rank")[0].alias("aligned_hit"), rate("first_rank")[1].alias("aligned_mrr"))
     return naive.join(aligned, "config_id").withColumn("hit_delta", F.round(F.col("aligned_hit") - F.col("naive_hit"), 9))
 
