@@ -34,7 +34,7 @@ WIDTH, LEAST, PART_KEYS = 5, 75, 2_000_000
 #: Rows that an entry of a list costs (itself and about one test against a centre), where a subset costs its own row.
 SCAN_COST = 2.0
 #: Of each round, the orders by which a bucket picks its centre, dealt by the bucket's key; bits of a set's bitmap.
-ROUNDS, BITS = (1, 1, 8, 8), 1024
+ROUNDS, BITS = (1, 8, 8), 1024
 _U = np.uint64
 
 
