@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = common.written(_stars(_stars(now, True), False))
         common.drop_written(now)
         now = after
-        # done when every component is one star: no end that is pointed at points on
-        if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        # done when every component is one star: each end points at one node, and no end that is pointed at points on
+        if now.select("u").unionByName(now.select(F.col("v").alias("u")).distinct()).groupBy("u").count().where("count > 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -70,6 +70,14 @@ def test_components_of_chains_and_stars(spark):
     assert {got[k] for k in range(41)} == {0} and {got[100 + k] for k in range(20)} == {100} and got[301] == 300
 
 
+@pytest.mark.parametrize("edges", [[(1, 10), (3, 10), (3, 11), (2, 11)], [e for k in range(12) for e in ((k, 100 + k), (k, 101 + k))]])
+def test_components_of_zigzags(spark, edges):
+    """After one round no end that is pointed at points on, but an end may still hang on two nodes."""
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    least = min(min(e) for e in edges)
+    assert sorted((r.node, r.component) for r in got) == [(k, least) for k in sorted({k for e in edges for k in e})]
+
+
 def test_substrings_against_brute_force(spark):
     rows = odd_rows(3, 50)
     rows += [(800, " ".join(["p q"] * 40), *[None] * 10), (801, " ".join(["r"] * 25), *[None] * 10)]
