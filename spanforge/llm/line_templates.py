@@ -7,7 +7,8 @@ documents or more recurs; its lines stay in the first of these documents and are
 
 Equal masked lines are counted before any leaf is gathered, so a line that a third of the documents hold is one row. Leaves
 that fewer than ``DOCS`` documents reach never ship a text, nor do those with a single masked line, which is its own template.
-A leaf of more than ``CHUNK`` masked lines is parsed in chunks, and the chunks' templates once more: no task holds more.
+A leaf is parsed whole by one task, at any size, so that all lines of a template meet. Over ``CHUNK`` masked lines the templates
+to compare are looked up by their words, with the same result; what the task holds grows with the leaf's distinct masked lines.
 
 Lines over ``MOST_WORDS`` words are prose: a template of them has variable places only where words have digits.
 
@@ -17,6 +18,7 @@ document. Rows that repeat an id count as one document. Other columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from spanforge.llm import common
 
 #: Leading words in the tree; least words of a template; most words of a line that generalises; share of words alike; documents of a recurring template.
 LEADING, LEAST_WORDS, MOST_WORDS, LIKE, DOCS = 2, 3, 40, 0.75, 4
-#: Masked lines of a leaf parsed at once; rows of a table that may be broadcast (24 bytes each).
+#: Masked lines of a leaf from which templates are looked up; rows of a table that may be broadcast (24 bytes each).
 CHUNK, BROADCAST_ROWS = 4096, 200_000
 VARIABLE = "<*>"
 _U = np.uint64
@@ -72,10 +74,8 @@ class Lines:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), self.vocabulary.take(pa.array(self.codes[take]))), " ")
 
 
-def grown(rows: list[list[str]], like: float = LIKE) -> tuple[list[int], list[list[str]]]:
-    """Online template growth over rows of equally many words: the template of each row, and the templates."""
-    codes: dict[str, int] = {VARIABLE: 0}
-    matrix = np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], np.int32)
+def _compared(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
+    """The template of each row and the templates, by comparing each row with all of them; code 0 is variable."""
     width = matrix.shape[1]
     templates, held = np.zeros((16, width), np.int32), 0
     own = []
@@ -92,16 +92,86 @@ def grown(rows: list[list[str]], like: float = LIKE) -> tuple[list[int], list[li
             best, held = held, held + 1
             templates[best] = row
         own.append(best)
+    return own, templates[:held]
+
+
+def _looked_up(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
+    """What ``_compared`` finds, where rows are many: only templates that can be alike enough are compared.
+
+    A template with s variable places must share ``like * width - s / 2`` words with the row, in their places. If the row has f
+    words that some other row has there too, one of the shared ones is among any f - need + 1 of them: the least common ones are
+    looked up.
+    """
+    rows, width = matrix.shape
+    _, cells, often = np.unique(matrix + np.arange(width, dtype=np.int64) * (int(matrix.max()) + 1), return_inverse=True, return_counts=True)
+    cells = cells.reshape(rows, width)
+    shared = (often[cells] > 1) & (matrix != 0)
+    templates, held = np.zeros_like(matrix), 0
+    posted: dict[int, list[int]] = {}
+    maker, variable, own = [], [], []
+    need: dict[int, int] = {}  # by the count of variable places
+
+    def post(which: int) -> None:
+        s = variable[which]
+        need.setdefault(s, math.ceil(like * width - 0.5 * s - 1e-9))
+        if need[s] <= width - s:  # else no row is alike enough
+            for cell in cells[maker[which]][shared[maker[which]] & (templates[which] != 0)].tolist():
+                posted.setdefault(s * len(often) + cell, []).append(which)
+
+    for k, row in enumerate(matrix):
+        mine = cells[k][shared[k]].tolist()
+        found: set[int] = set()
+        for s, least in need.items():
+            if len(mine) >= least:
+                lists = sorted((posted.get(s * len(often) + cell, ()) for cell in mine), key=len)
+                found.update(*lists[: len(mine) - least + 1])
+        best = -1
+        if found:
+            asked = np.sort(np.fromiter(found, np.int64, len(found)))
+            now = templates[asked]
+            alike = ((now == row) & (now != 0)).sum(1) + 0.5 * (now == 0).sum(1)
+            top = int(alike.argmax())
+            best = int(asked[top]) if alike[top] >= like * width else -1
+        if best >= 0:
+            differ = (templates[best] != row) & (templates[best] != 0)
+            if differ.any():
+                templates[best][differ] = 0
+                variable[best] += int(differ.sum())
+                post(best)
+        else:
+            best, held = held, held + 1
+            templates[best] = row
+            maker.append(k)
+            variable.append(int((row == 0).sum()))
+            post(best)
+        own.append(best)
+    return own, templates[:held]
+
+
+def _grown(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
+    return (_looked_up if len(matrix) > CHUNK and like > 0.5 else _compared)(matrix, like)
+
+
+def grown(rows: list[list[str]], like: float = LIKE) -> tuple[list[int], list[list[str]]]:
+    """Online template growth over rows of equally many words: the template of each row, and the templates."""
+    codes: dict[str, int] = {VARIABLE: 0}
+    matrix = np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], np.int32)
+    own, templates = _grown(matrix, like)
     names = list(codes)
-    return own, [[names[c] for c in t] for t in templates[:held]]
+    return own, [[names[c] for c in t] for t in templates]
 
 
 def _parse(table: pa.Table) -> pa.Table:
-    """One leaf (or chunk of one): rows in a fixed order -> the template of each."""
+    """One leaf: rows in a fixed order -> the template of each."""
     got = table.sort_by([("often", "descending"), ("line", "ascending")])
-    rows = [line.split(" ") for line in got.column("line").to_pylist()]
-    own, templates = grown(rows)
-    return pa.table({"leaf": got.column("leaf"), "mark": got.column("mark"), "often": got.column("often"), "line": pa.array([" ".join(templates[k]) for k in own], pa.string())})
+    flat = pc.split_pattern(common.chunked(got.column("line")), " ").flatten()
+    codes, vocabulary = common.coded(flat)
+    matrix = np.where(pc.equal(vocabulary, VARIABLE).to_numpy(zero_copy_only=False)[codes], 0, codes + 1).astype(np.int32).reshape(got.num_rows, -1)
+    own, templates = _grown(matrix, LIKE)
+    names = pa.concat_arrays([pa.array([VARIABLE]), vocabulary])
+    ends = np.arange(len(templates) + 1) * matrix.shape[1]
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(templates.ravel()))), " ")
+    return pa.table({"leaf": got.column("leaf"), "mark": got.column("mark"), "often": got.column("often"), "line": lines.take(pa.array(own))})
 
 
 def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:
@@ -129,25 +199,15 @@ def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: in
     texts = lines.join(small(leaves.where("varied").select("leaf")), "leaf")
     texts = texts.groupBy("leaf", "mark").agg(F.count(F.lit(1)).alias("often"), F.first("line").alias("line"))
     texts = common.written(texts)
-    of_leaf = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     row = "leaf long, mark long, often long, line string"
-    chunked = texts.join(of_leaf.where(F.col("size") > CHUNK), "leaf")
-    chunked = chunked.withColumn("chunk", F.pmod("mark", F.ceil(F.col("size") / CHUNK)))
-    once = common.written(chunked.groupBy("leaf", "chunk").applyInArrow(common.lean(_parse), row))
-    heads = once.select("leaf", F.col("line").alias("head")).groupBy("leaf", "head").agg(F.count(F.lit(1)).alias("often")).select("leaf", F.xxhash64("head").alias("mark"), "often", F.col("head").alias("line"))
-    # equal templates of different chunks are one head already; what is left is parsed in chunks of the same bound
-    many = heads.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
-    heads = heads.join(many, "leaf").withColumn("chunk", F.pmod("mark", F.ceil(F.col("size") / CHUNK)))
-    twice = heads.groupBy("leaf", "chunk").applyInArrow(common.lean(_parse), row)
-    large = once.select("leaf", "mark", F.xxhash64("line").alias("head")).join(twice.select("leaf", F.col("mark").alias("head"), "line"), ["leaf", "head"]).select("leaf", "mark", "line")
-    plain = texts.join(of_leaf.where(F.col("size") <= CHUNK).select("leaf"), "leaf", "left_semi").groupBy("leaf").applyInArrow(common.lean(_parse), row).select("leaf", "mark", "line")
-    template = common.written(plain.unionByName(large).select("leaf", "mark", F.xxhash64("line").alias("template")))
+    parsed = texts.groupBy("leaf").applyInArrow(common.lean(_parse), row)
+    template = common.written(parsed.select("leaf", "mark", F.xxhash64("line").alias("template")))
     reached = reached.join(template, ["leaf", "mark"], "left").select("doc_id", "leaf", "mark", F.coalesce("template", "mark").alias("template"))
     reached = common.written(reached)
     per = reached.groupBy("leaf", "template", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= docs)
     per = common.written(per)  # read back, so that a common template can be split in the join
     out = common.written(reached.join(per, ["leaf", "template"]).where("doc_id <> first").select("doc_id", "mark"))
-    for done in (lines, leaves, texts, once, template, reached, per):
+    for done in (lines, leaves, texts, template, reached, per):
         common.drop_written(done)
     return out
 

@@ -310,3 +310,30 @@ def test_large_leaves_are_parsed_in_chunks(spark):
     finally:
         line_templates.CHUNK = old
     assert got == {k: int(k > 0) for k in range(100)}
+
+
+def test_lines_of_one_template_meet_in_a_large_leaf(spark):
+    """More prose than CHUNK in a leaf, and a template of four lines that vary in a word without digits."""
+    rows = [(k, "the user " + " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "cdefgh"), *[None] * 10) for k in range(300)]
+    rows += [(1000 + k, f"the user {name} logged in from home today", *[None] * 10) for k, name in enumerate(("anna", "berta", "carl", "dora"))]
+    line_templates.CHUNK, old = 16, line_templates.CHUNK
+    try:
+        got = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(frame(spark, rows)).collect()}
+    finally:
+        line_templates.CHUNK = old
+    assert got == {r[0]: int(r[0] > 1000) for r in rows}
+
+
+@pytest.mark.parametrize("width", [3, 4, 5, 8, 13])
+def test_looking_templates_up_changes_nothing(width):
+    joined = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        matrix = np.minimum(rng.zipf(1.2 + 0.1 * seed, (400, width)), (60, 9, 3)[seed % 3]).astype(np.int32)
+        matrix[:, :2] = seed % 4  # leading words, variable in some leaves
+        matrix[rng.random(matrix.shape) < 0.1] = 0
+        own, templates = line_templates._compared(matrix, line_templates.LIKE)
+        again, same = line_templates._looked_up(matrix, line_templates.LIKE)
+        assert own == again and (templates == same).all()
+        joined += 400 - len(templates)
+    assert joined
