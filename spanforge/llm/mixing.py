@@ -4,8 +4,9 @@ Every source gets a target of words; a document then deserves ``target / source
 rest is a copy probability. Probabilities are rounded in pairs: words are moved at random from one document to the other
 until one probability is 0 or 1. A move keeps the expectation of both and the words that the source takes, so a source ends
 within one document of its target. Documents are folded within bounded blocks of a source; what one block leaves over (one
-document) goes up a tree of such blocks. A hot source is many blocks from the start. A document that is a good part of its
-source would need very many such moves; it is paired with the rest of its source as a whole, whose probabilities move alike.
+document) goes up a tree of such blocks. A hot source is many blocks from the start. Documents that are a good part of their
+source would need very many such moves; they are folded among themselves first, and the one left over is paired with the rest of
+the source as a whole, whose probabilities move alike.
 
 Only DataFrame functions are used. The draws are hashes of the ids in the pair: reruns agree.
 
@@ -26,7 +27,7 @@ from spanforge.llm import common
 #: Weights by rank of the source's name, repeating; most copies of a document; documents folded by one task's step.
 WEIGHTS, MOST, FOLD = (1, 2, 3), 3.0, 128
 SEED = 20240229
-#: A document over 1/GIANT of its source and GIANT_MEANS mean documents is rounded against all others of its source at once.
+#: Documents over 1/GIANT of their source and GIANT_MEANS mean documents are folded apart, the last against all others of its source at once.
 GIANT, GIANT_MEANS = 400, 4
 #: Sources whose targets may be broadcast.
 BROADCAST_SOURCES = 200_000
@@ -113,13 +114,9 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p")))
     giant = (F.col("size") * GIANT > F.col("source_size")) & (F.col("size") * F.col("n") > GIANT_MEANS * F.col("source_size")) & (F.col("p") > 0)
-    drawn = F.when(_uniform(F.col("doc_id"), F.col("source"), F.lit(0.25)) < F.col("p"), 1.0).otherwise(0.0)
-    giants = rows.where(giant).withColumn("drawn", drawn)
-    shift = giants.groupBy(F.col("source").alias("of")).agg(F.sum((F.col("p") - F.col("drawn")) * F.col("size")).alias("words"), F.sum("size").alias("held"))
-    rows = rows.where(~giant).join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
-    rows = rows.withColumn("p", F.when(F.col("of").isNull() & F.col("words").isNull() | (F.col("source_size") <= F.col("held")), F.col("p")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.col("words") / F.nullif(F.col("source_size") - F.col("held"), F.lit(0)))))).drop("of", "words", "held")
+    giants, rows = rows.where(giant), rows.where(~giant)
     largest = counted[0] or 0
-    done, names = [giants.withColumn("p", F.col("drawn")).drop("drawn")], ["doc_id", "source", "size", "source_size", "target", "n", "whole", "p"]
+    done, names = [], ["doc_id", "source", "size", "source_size", "target", "n", "whole", "p"]
 
     def fold(rows: DataFrame, block: Column) -> DataFrame:
         # large documents first: the smaller ones that follow can take up or give the words that settle them
@@ -129,6 +126,19 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
         done.append(folded.select(F.explode("done").alias("r")).select("r.*"))
         return folded.where("left IS NOT NULL").select("left.*").withColumn("n", F.ceil(F.col("n") / FOLD).cast("long"))
 
+    # under GIANT a source: folded among themselves, and the one left over with the rest of its source as if that were one document
+    held = giants.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("held"), F.first("p").alias("rest"))
+    left = fold(giants, F.lit(0)).join(held, F.col("source").eqNullSafe(F.col("of")))
+    others, own = F.col("source_size") - F.col("held"), F.col("p") * F.col("size")
+    up, down = F.least(F.col("size") - own, F.col("rest") * others), F.least(own, (1 - F.col("rest")) * others)
+    gain = _uniform(F.col("doc_id"), F.col("source"), F.lit(0.25)) * (up + down) < down
+    left = left.withColumn("moved", F.when(gain, up).otherwise(-down)).withColumn("others", others)
+    shift = left.select("of", (F.col("moved") / F.nullif(F.col("others"), F.lit(0))).alias("given"))
+    snapped = lambda p: F.when(p < 1e-12, 0.0).when(p > 1 - 1e-12, 1.0).otherwise(p)
+    rows = rows.join(shift, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = rows.withColumn("p", F.when(F.col("given").isNull(), F.col("p")).otherwise(snapped(F.col("p") - F.col("given")))).select(*names)
+    rows = rows.unionByName(left.withColumn("p", snapped(F.col("p") + F.col("moved") / F.col("size"))).select(*names))
+
     # two blocks of each source wait for the root, where their many small documents settle what the tree leaves over
     spread = lambda level: F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / FOLD)))
     waiting, level = None, 0

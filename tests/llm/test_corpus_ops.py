@@ -240,6 +240,19 @@ def test_rounding_keeps_expectations(spark):
         assert abs(np.mean([r.copies for r in got if r.doc_id % 10 == k]) - 0.4) < 0.12
 
 
+@pytest.mark.parametrize("share", [0.5, 0.35])
+def test_large_documents_are_paired_with_each_other(spark, share):
+    """Ten documents hold nearly all words of a source, more than its 40 others can make up for."""
+    rows = [(s * 100 + k, "w " * (200 if k < 10 else 3), None, f"s{s:03d}", *[None] * 8) for s in range(60) for k in range(50)]
+    got = mixing.mix(frame(spark, rows), weights=(1,), share=share).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.size * r.copies
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= (3 if share == 0.5 else 200) for s in target)
+    for large in (True, False):
+        assert abs(np.mean([r.copies for r in got if (r.size == 200) == large]) - share) < 0.06
+
+
 def test_url_rules_against_brute_force(spark):
     rng = random.Random(2)
     hosts = ["example.org", "a.example.org", "b.a.example.org", "example.com", "notexample.org", "org", "x.com", "EXAMPLE.ORG", "u@example.org:80", ""]
