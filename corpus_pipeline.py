@@ -29,8 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates from all documents but the first that holds them."""
-    got = line_templates.dedup_lines(docs)
+    """Drops lines of recurring templates from all documents but the first that holds them.
+
+    Long lines of two or three documents stay: they are what near_duplicates knows the copies by.
+    """
+    got = line_templates.dedup_lines(docs, exact=line_templates.DOCS)
     return got.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

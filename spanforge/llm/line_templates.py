@@ -10,7 +10,8 @@ that fewer than ``DOCS`` documents reach never ship a text, nor do those with a
 A leaf is parsed whole by one task, at any size, so that all lines of a template meet. Over ``CHUNK`` masked lines the templates
 to compare are looked up by their words, with the same result; what the task holds grows with the leaf's distinct masked lines.
 
-Lines over ``MOST_WORDS`` words are prose: a template of them has variable places only where words have digits.
+Lines over ``MOST_WORDS`` words are prose: a template of them has variable places only where words have digits. If such a line
+stands word by word in ``EXACT_DOCS`` documents it recurs, whatever its template does.
 
 Cases: a null text stays null with 0 lines; lines of fewer than ``LEAST_WORDS`` words and blank lines are always kept. "First" is the least id; a null id is dropped from nowhere and counts as no
 document. Rows that repeat an id count as one document. Other columns are ignored.
@@ -31,6 +32,8 @@ from spanforge.llm import common
 
 #: Leading words in the tree; least words of a template; most words of a line that generalises; share of words alike; documents of a recurring template.
 LEADING, LEAST_WORDS, MOST_WORDS, LIKE, DOCS = 2, 3, 40, 0.75, 4
+#: Documents of a recurring line over MOST_WORDS words that is the same in each.
+EXACT_DOCS = 2
 #: Masked lines of a leaf from which templates are looked up; rows of a table that may be broadcast (24 bytes each).
 CHUNK, BROADCAST_ROWS = 4096, 200_000
 VARIABLE = "<*>"
@@ -54,18 +57,22 @@ class Lines:
         mask = digit[codes] & (2 * figures <= self.counts)[line]
         self.vocabulary = pa.concat_arrays([vocabulary, pa.array([VARIABLE])])
         self.codes = np.where(mask, len(vocabulary), codes)
-        h = common.hashes(self.vocabulary)[self.codes]
+        hashes = common.hashes(self.vocabulary)
+        h = hashes[self.codes]
         nth = np.arange(len(codes)) - np.repeat(starts, self.counts)
         powers = np.cumprod(np.full(int(nth.max()) + 1 if len(nth) else 1, 0x9E3779B97F4A7C15, np.uint64))
-        sums = np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
-        self.hash = common.mixed(sums * (self.counts > 0) + self.counts.astype(np.uint64))
+        sums = lambda h: np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
+        self.hash = common.mixed(sums(h) * (self.counts > 0) + self.counts.astype(np.uint64))
+        self.long = self.counts > MOST_WORDS
+        # of a long line with all its words, apart from any masked line's
+        self.exact = common.mixed(~self.hash ^ sums(hashes[codes]))
         self.fit = self.counts >= LEAST_WORDS
         leaf = self.counts.astype(np.uint64)
         for k in range(LEADING):
             has = self.counts > k
             leaf = common.mixed(leaf * _U(0x9E3779B97F4A7C15) + np.where(has, h[np.minimum(starts + k, max(0, len(h) - 1))] if len(h) else _U(0), _U(0)))
         # a long line is a leaf of its own: it is compared whole
-        self.leaf, self.starts = np.where(self.counts > MOST_WORDS, self.hash, leaf), starts
+        self.leaf, self.starts = np.where(self.long, self.hash, leaf), starts
 
     def masked(self, which: np.ndarray) -> pa.Array:
         size = self.counts[which]
@@ -174,37 +181,47 @@ def _parse(table: pa.Table) -> pa.Table:
     return pa.table({"leaf": got.column("leaf"), "mark": got.column("mark"), "often": got.column("often"), "line": lines.take(pa.array(own))})
 
 
-def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:
-    """(doc_id, mark): the lines to drop, by the hash of their masked words."""
+def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
+    """(doc_id, mark): the lines to drop, by the hash of their masked words or, of long lines, of all words."""
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = slim.schema["doc_id"].dataType.simpleString()
 
+    names = ["doc_id", "leaf", "mark", "line", "whole"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             lines = Lines(common.filled(part.column("text")))
             which = np.flatnonzero(lines.fit)
             _, first = np.unique(np.stack([lines.doc[which].astype(np.uint64), lines.hash[which]], 1), axis=0, return_index=True)
             which = which[np.sort(first)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.doc[which])), pa.array(lines.leaf[which].view(np.int64)), pa.array(lines.hash[which].view(np.int64)), common.chunked(lines.masked(which))], ["doc_id", "leaf", "mark", "line"])
-
-    lines = common.written(slim.mapInArrow(run, f"doc_id {kind}, leaf long, mark long, line string"))
+            # a long line is never parsed: its words are not kept
+            short = ~lines.long[which]
+            masked = lines.masked(which[short]).take(pa.array(np.cumsum(short) - 1, mask=~short))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.doc[which])), pa.array(lines.leaf[which].view(np.int64)), pa.array(lines.hash[which].view(np.int64)), common.chunked(masked), pa.array(np.zeros(len(which), bool))], names)
+            whole = np.flatnonzero(lines.long) if exact < docs else np.zeros(0, np.int64)
+            if len(whole):
+                mark = pa.array(lines.exact[whole].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.doc[whole])), mark, mark, pa.nulls(len(whole), pa.string()), pa.array(np.ones(len(whole), bool))], names)
+
+    lines = common.written(slim.mapInArrow(run, f"doc_id {kind}, leaf long, mark long, line string, whole boolean"))
     marks = lines.select("doc_id", "leaf", "mark")
-    leaves = marks.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("mark") != F.max("mark")).alias("varied")).where(F.col("n") >= docs)
+    enough = F.when(F.col("whole"), exact).otherwise(docs)
+    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("mark") != F.max("mark")).alias("varied"), F.max("whole").alias("whole")).where(F.col("n") >= enough)
     leaves = common.written(leaves)
 
     def small(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
     reached = marks.join(small(leaves), "leaf").distinct()
-    texts = lines.join(small(leaves.where("varied").select("leaf")), "leaf")
+    texts = lines.drop("whole").join(small(leaves.where("varied").select("leaf")), "leaf")
     texts = texts.groupBy("leaf", "mark").agg(F.count(F.lit(1)).alias("often"), F.first("line").alias("line"))
     texts = common.written(texts)
     row = "leaf long, mark long, often long, line string"
     parsed = texts.groupBy("leaf").applyInArrow(common.lean(_parse), row)
     template = common.written(parsed.select("leaf", "mark", F.xxhash64("line").alias("template")))
-    reached = reached.join(template, ["leaf", "mark"], "left").select("doc_id", "leaf", "mark", F.coalesce("template", "mark").alias("template"))
+    reached = reached.join(template, ["leaf", "mark"], "left").select("doc_id", "leaf", "mark", F.coalesce("template", "mark").alias("template"), "whole")
     reached = common.written(reached)
-    per = reached.groupBy("leaf", "template", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= docs)
+    per = reached.groupBy("leaf", "template", "doc_id").agg(F.max("whole").alias("whole")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("whole").alias("whole")).where(F.col("docs") >= enough).drop("whole")
     per = common.written(per)  # read back, so that a common template can be split in the join
     out = common.written(reached.join(per, ["leaf", "template"]).where("doc_id <> first").select("doc_id", "mark"))
     for done in (lines, leaves, texts, template, reached, per):
@@ -212,9 +229,9 @@ def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: in
     return out
 
 
-def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:
+def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
     """All columns of df, its text without recurring lines, and n_lines and n_dropped (columns of these names are replaced)."""
-    marks = recurring(df, ident, text, docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("mark").alias("_marks"))
+    marks = recurring(df, ident, text, docs, exact).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("mark").alias("_marks"))
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     joined = df.select(*rest).join(marks, F.col(ident) == F.col("_of"), "left").drop("_of")
     place, fields = rest.index(text), [f for f in joined.schema.fields if f.name != "_marks"]
@@ -231,7 +248,8 @@ def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs:
                 lines = Lines(texts.take(pa.array(hit)))
                 asked = np.repeat(hit, pc.list_value_length(marks.take(pa.array(hit))).to_numpy(zero_copy_only=False))
                 keys = set(zip(asked.tolist(), marks.take(pa.array(hit)).flatten().to_pylist(), strict=True))
-                gone = [fit and (doc, h) in keys for fit, doc, h in zip(lines.fit, hit[lines.doc].tolist(), lines.hash.view(np.int64).tolist(), strict=True)]
+                whole = [int(e) if long else None for long, e in zip(lines.long, lines.exact.view(np.int64).tolist(), strict=True)]
+                gone = [fit and ((doc, h) in keys or (doc, e) in keys) for fit, doc, h, e in zip(lines.fit, hit[lines.doc].tolist(), lines.hash.view(np.int64).tolist(), whole, strict=True)]
                 kept: dict[int, list[str]] = {}
                 for line, doc, bad in zip(lines.raw.to_pylist(), hit[lines.doc].tolist(), gone, strict=True):
                     dropped[doc] += bad

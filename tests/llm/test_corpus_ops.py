@@ -350,3 +350,13 @@ def test_looking_templates_up_changes_nothing(width):
         assert own == again and (templates == same).all()
         joined += 400 - len(templates)
     assert joined
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    """Word by word only: a line that differs in a figure, or a short one, needs four documents."""
+    long, figures, short = prose(random.Random(1), 55).replace("w", "a"), " ".join(["word"] * 60), "a short line of words"
+    long = long.translate(str.maketrans("0123456789", "bcdefghijk"))
+    texts = [f"{long}\nown line number {k}" for k in range(2)] + [f"{figures} {k} at the end" for k in (7, 8, 8)] + [short] * 3 + [f"{long} more"]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(frame(spark, [(k, t, *[None] * 10) for k, t in enumerate(texts)])).collect()}
+    assert got[1] == ("own line number 1", 1) and got[4] == ("", 1)
+    assert all(got[k] == (texts[k], 0) for k in range(len(texts)) if k not in (1, 4))
