@@ -71,6 +71,14 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _trimmer():
     import ctypes
 

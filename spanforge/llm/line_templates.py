@@ -1,25 +1,29 @@
 """Operator 10, line dedup: a log-template tree.
 
 Lines are parsed at a fixed depth: first by their count of words, then by their leading words; words with a digit are variable
-(``<*>``) from the start, unless they are most of their line. The lines of a leaf are grouped into templates: a line joins the template that shares most words in
-the same places, if it shares at least ``LIKE`` of them, and places that differ become variable. A template met in ``DOCS``
-documents or more recurs; its lines stay in the first of these documents and are dropped from all others.
+(``<*>``) from the start, unless they are most of their line. In a leaf the variable fields of the other places are found in
+two ways that look at counts only, so that no leaf has to stand in one task and no order of lines matters:
 
-Equal masked lines are counted before any leaf is gathered, so a line that a third of the documents hold is one row. Leaves
-that fewer than ``DOCS`` documents reach never ship a text, nor do those with a single masked line, which is its own template.
-A leaf is parsed whole by one task, at any size, so that all lines of a template meet. Over ``CHUNK`` masked lines the templates
-to compare are looked up by their words, with the same result; what the task holds grows with the leaf's distinct masked lines.
+1. A word that fewer than ``DOCS`` documents have in this place of this leaf can be no constant of a recurring template: its
+   place is variable. A line with more than ``1 - LIKE`` of its words variable in this way belongs to no template.
+2. Templates that are equal but for one place share a key, the template with that place variable. Each template takes the key
+   that most templates share (itself counts; ties: as it stands, then the earlier place), in ``ROUNDS`` rounds: so many fields
+   of common words may vary, and any number of fields of rare ones. No template makes more than ``1 - LIKE`` of its line variable.
 
-Lines over ``MOST_WORDS`` words are prose: a template of them has variable places only where words have digits. If such a line
-stands word by word in ``EXACT_DOCS`` documents it recurs, whatever its template does.
+A template met in ``DOCS`` documents or more recurs; its lines stay in the first of these documents and are dropped from all
+others. A line of ``LONG`` words or more that stands word by word in ``EXACT_DOCS`` documents recurs, whatever its template does.
 
-Cases: a null text stays null with 0 lines; lines of fewer than ``LEAST_WORDS`` words and blank lines are always kept. "First" is the least id; a null id is dropped from nowhere and counts as no
-document. Rows that repeat an id count as one document. Other columns are ignored.
+Equal masked lines are counted before anything is exchanged, so a line that a third of the documents hold is one row a batch.
+Leaves that fewer than ``DOCS`` documents reach are left at once. Templates are 64-bit hashes, the exclusive or over their
+constant places, so a key costs one operation. The plan is the same at every size.
+
+Cases: a null text stays null with 0 lines; lines of fewer than ``LEAST_WORDS`` words and blank lines are always kept. "First"
+is the least id; a null id is dropped from nowhere and counts as no document. Rows that repeat an id count as one document.
+Other columns are carried, but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +34,12 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import common
 
-#: Leading words in the tree; least words of a template; most words of a line that generalises; share of words alike; documents of a recurring template.
-LEADING, LEAST_WORDS, MOST_WORDS, LIKE, DOCS = 2, 3, 40, 0.75, 4
-#: Documents of a recurring line over MOST_WORDS words that is the same in each.
-EXACT_DOCS = 2
-#: Masked lines of a leaf from which templates are looked up; rows of a table that may be broadcast (24 bytes each).
-CHUNK, BROADCAST_ROWS = 4096, 200_000
+#: Leading words in the tree; least words of a template; share of words alike; documents of a recurring template.
+LEADING, LEAST_WORDS, LIKE, DOCS = 2, 3, 0.75, 4
+#: Fields of a template whose words are common ones, at most.
+ROUNDS = 3
+#: Words of a line that recurs word by word, and documents from which on it does.
+LONG, EXACT_DOCS = 41, 2
 VARIABLE = "<*>"
 _U = np.uint64
 
@@ -46,7 +50,8 @@ class Lines:
     def __init__(self, texts: pa.Array):
         lists = pc.split_pattern(texts, "\n")
         self.raw = lists.flatten()
-        self.doc = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        self.per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.per)
         self.words, self.counts = common.words(self.raw)
         codes, vocabulary = common.coded(self.words)
         digit = pc.match_substring_regex(vocabulary, "[0-9]").to_numpy(zero_copy_only=False).astype(bool)
@@ -63,7 +68,7 @@ class Lines:
         powers = np.cumprod(np.full(int(nth.max()) + 1 if len(nth) else 1, 0x9E3779B97F4A7C15, np.uint64))
         sums = lambda h: np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
         self.hash = common.mixed(sums(h) * (self.counts > 0) + self.counts.astype(np.uint64))
-        self.long = self.counts > MOST_WORDS
+        self.long = self.counts >= LONG
         # of a long line with all its words, apart from any masked line's
         self.exact = common.mixed(~self.hash ^ sums(hashes[codes]))
         self.fit = self.counts >= LEAST_WORDS
@@ -71,8 +76,7 @@ class Lines:
         for k in range(LEADING):
             has = self.counts > k
             leaf = common.mixed(leaf * _U(0x9E3779B97F4A7C15) + np.where(has, h[np.minimum(starts + k, max(0, len(h) - 1))] if len(h) else _U(0), _U(0)))
-        # a long line is a leaf of its own: it is compared whole
-        self.leaf, self.starts = np.where(self.long, self.hash, leaf), starts
+        self.leaf, self.starts = leaf, starts
 
     def masked(self, which: np.ndarray) -> pa.Array:
         size = self.counts[which]
@@ -81,185 +85,145 @@ class Lines:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), self.vocabulary.take(pa.array(self.codes[take]))), " ")
 
 
-def _compared(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
-    """The template of each row and the templates, by comparing each row with all of them; code 0 is variable."""
-    width = matrix.shape[1]
-    templates, held = np.zeros((16, width), np.int32), 0
-    own = []
-    for row in matrix:
-        # a variable place is alike with anything but counts half, so that the more exact template wins
-        now = templates[:held]
-        alike = ((now == row) & (now != 0)).sum(1) + 0.5 * (now == 0).sum(1)
-        best = int(alike.argmax()) if held else -1
-        if best >= 0 and alike[best] >= like * width:
-            templates[best][templates[best] != row] = 0
-        else:
-            if held == len(templates):
-                templates = np.concatenate([templates, np.zeros_like(templates)])
-            best, held = held, held + 1
-            templates[best] = row
-        own.append(best)
-    return own, templates[:held]
-
-
-def _looked_up(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
-    """What ``_compared`` finds, where rows are many: only templates that can be alike enough are compared.
-
-    A template with s variable places must share ``like * width - s / 2`` words with the row, in their places. If the row has f
-    words that some other row has there too, one of the shared ones is among any f - need + 1 of them: the least common ones are
-    looked up.
-    """
-    rows, width = matrix.shape
-    _, cells, often = np.unique(matrix + np.arange(width, dtype=np.int64) * (int(matrix.max()) + 1), return_inverse=True, return_counts=True)
-    cells = cells.reshape(rows, width)
-    shared = (often[cells] > 1) & (matrix != 0)
-    templates, held = np.zeros_like(matrix), 0
-    posted: dict[int, list[int]] = {}
-    maker, variable, own = [], [], []
-    need: dict[int, int] = {}  # by the count of variable places
-
-    def post(which: int) -> None:
-        s = variable[which]
-        need.setdefault(s, math.ceil(like * width - 0.5 * s - 1e-9))
-        if need[s] <= width - s:  # else no row is alike enough
-            for cell in cells[maker[which]][shared[maker[which]] & (templates[which] != 0)].tolist():
-                posted.setdefault(s * len(often) + cell, []).append(which)
-
-    for k, row in enumerate(matrix):
-        mine = cells[k][shared[k]].tolist()
-        found: set[int] = set()
-        for s, least in need.items():
-            if len(mine) >= least:
-                lists = sorted((posted.get(s * len(often) + cell, ()) for cell in mine), key=len)
-                found.update(*lists[: len(mine) - least + 1])
-        best = -1
-        if found:
-            asked = np.sort(np.fromiter(found, np.int64, len(found)))
-            now = templates[asked]
-            alike = ((now == row) & (now != 0)).sum(1) + 0.5 * (now == 0).sum(1)
-            top = int(alike.argmax())
-            best = int(asked[top]) if alike[top] >= like * width else -1
-        if best >= 0:
-            differ = (templates[best] != row) & (templates[best] != 0)
-            if differ.any():
-                templates[best][differ] = 0
-                variable[best] += int(differ.sum())
-                post(best)
-        else:
-            best, held = held, held + 1
-            templates[best] = row
-            maker.append(k)
-            variable.append(int((row == 0).sum()))
-            post(best)
-        own.append(best)
-    return own, templates[:held]
-
-
-def _grown(matrix: np.ndarray, like: float) -> tuple[list[int], np.ndarray]:
-    return (_looked_up if len(matrix) > CHUNK and like > 0.5 else _compared)(matrix, like)
-
-
-def grown(rows: list[list[str]], like: float = LIKE) -> tuple[list[int], list[list[str]]]:
-    """Online template growth over rows of equally many words: the template of each row, and the templates."""
-    codes: dict[str, int] = {VARIABLE: 0}
-    matrix = np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], np.int32)
-    own, templates = _grown(matrix, like)
-    names = list(codes)
-    return own, [[names[c] for c in t] for t in templates]
-
-
-def _parse(table: pa.Table) -> pa.Table:
-    """One leaf: rows in a fixed order -> the template of each."""
-    got = table.sort_by([("often", "descending"), ("line", "ascending")])
-    flat = pc.split_pattern(common.chunked(got.column("line")), " ").flatten()
-    codes, vocabulary = common.coded(flat)
-    matrix = np.where(pc.equal(vocabulary, VARIABLE).to_numpy(zero_copy_only=False)[codes], 0, codes + 1).astype(np.int32).reshape(got.num_rows, -1)
-    own, templates = _grown(matrix, LIKE)
-    names = pa.concat_arrays([pa.array([VARIABLE]), vocabulary])
-    ends = np.arange(len(templates) + 1) * matrix.shape[1]
-    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(templates.ravel()))), " ")
-    return pa.table({"leaf": got.column("leaf"), "mark": got.column("mark"), "often": got.column("often"), "line": lines.take(pa.array(own))})
-
+def _gathered(keys: np.ndarray, docs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines ``which``: one line for each distinct key, the starts of the keys' documents, and these, each once."""
+    order = which[np.lexsort((docs[which], keys[which]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (docs[order][1:] != docs[order][:-1])
+    order = order[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    return order[first], np.append(first, len(order)), docs[order]
 
-def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
-    """(doc_id, mark): the lines to drop, by the hash of their masked words or, of long lines, of all words."""
-    slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    kind = slim.schema["doc_id"].dataType.simpleString()
 
-    names = ["doc_id", "leaf", "mark", "line", "whole"]
+def lines_of(df: DataFrame, exact: bool) -> DataFrame:
+    """(leaf, mark, line, docs, whole): the masked lines of each batch with the documents that hold them, by (doc_id, text);
+    if ``exact``, long lines again with the hash of all their words."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+    names = ["leaf", "mark", "line", "docs", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             lines = Lines(common.filled(part.column("text")))
-            which = np.flatnonzero(lines.fit)
-            _, first = np.unique(np.stack([lines.doc[which].astype(np.uint64), lines.hash[which]], 1), axis=0, return_index=True)
-            which = which[np.sort(first)]
-            # a long line is never parsed: its words are not kept
-            short = ~lines.long[which]
-            masked = lines.masked(which[short]).take(pa.array(np.cumsum(short) - 1, mask=~short))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.doc[which])), pa.array(lines.leaf[which].view(np.int64)), pa.array(lines.hash[which].view(np.int64)), common.chunked(masked), pa.array(np.zeros(len(which), bool))], names)
-            whole = np.flatnonzero(lines.long) if exact < docs else np.zeros(0, np.int64)
-            if len(whole):
-                mark = pa.array(lines.exact[whole].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.doc[whole])), mark, mark, pa.nulls(len(whole), pa.string()), pa.array(np.ones(len(whole), bool))], names)
-
-    lines = common.written(slim.mapInArrow(run, f"doc_id {kind}, leaf long, mark long, line string, whole boolean"))
-    marks = lines.select("doc_id", "leaf", "mark")
-    enough = F.when(F.col("whole"), exact).otherwise(docs)
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("mark") != F.max("mark")).alias("varied"), F.max("whole").alias("whole")).where(F.col("n") >= enough)
-    leaves = common.written(leaves)
-
-    def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-    reached = marks.join(small(leaves), "leaf").distinct()
-    texts = lines.drop("whole").join(small(leaves.where("varied").select("leaf")), "leaf")
-    texts = texts.groupBy("leaf", "mark").agg(F.count(F.lit(1)).alias("often"), F.first("line").alias("line"))
-    texts = common.written(texts)
-    row = "leaf long, mark long, often long, line string"
-    parsed = texts.groupBy("leaf").applyInArrow(common.lean(_parse), row)
-    template = common.written(parsed.select("leaf", "mark", F.xxhash64("line").alias("template")))
-    reached = reached.join(template, ["leaf", "mark"], "left").select("doc_id", "leaf", "mark", F.coalesce("template", "mark").alias("template"), "whole")
-    reached = common.written(reached)
-    per = reached.groupBy("leaf", "template", "doc_id").agg(F.max("whole").alias("whole")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("whole").alias("whole")).where(F.col("docs") >= enough).drop("whole")
-    per = common.written(per)  # read back, so that a common template can be split in the join
-    out = common.written(reached.join(per, ["leaf", "template"]).where("doc_id <> first").select("doc_id", "mark"))
-    for done in (lines, leaves, texts, template, reached, per):
+            ids = part.column("doc_id")
+            for whole in (False, True) if exact else (False,):
+                keys, leaf = (lines.exact, lines.exact) if whole else (lines.hash, lines.leaf)
+                which, edges, docs = _gathered(keys, lines.doc, np.flatnonzero(lines.long if whole else lines.fit))
+                held = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids.take(pa.array(docs)))
+                masked = pa.nulls(len(which), pa.string()) if whole else lines.masked(which)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[which].view(np.int64)), pa.array(keys[which].view(np.int64)), common.chunked(masked), held, pa.array(np.full(len(which), whole))], names)
+
+    return df.mapInArrow(run, f"leaf long, mark long, line string, docs array<{kind}>, whole boolean")
+
+
+def masked_templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -> DataFrame:
+    """(leaf, mark, t, room, cells) of the masked lines that can have a recurring template: t is the hash of the template,
+    cells its constant places after the leading ones with their hashes, room how many of them may still become variable."""
+    lines = reached.groupBy("leaf", "mark").agg(F.sum(F.size("docs")).alias("n"), F.first("line").alias("line")).withColumn("words", F.split("line", " "))
+    places = F.transform("words", lambda w, k: F.struct(k.alias("pos"), F.when(w != VARIABLE, F.xxhash64(F.col("leaf"), k, w)).alias("h")))
+    room = F.floor((1 - like) * F.size("words") + 1e-9).cast("int")
+    base = common.written(lines.select("leaf", "mark", "n", room.alias("room"), F.filter(places, lambda c: c["h"].isNotNull() & (c["pos"] >= LEADING)).alias("cells")))
+    common_cells = common.written(base.select("n", F.explode("cells.h").alias("h")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= docs).select("h", F.lit(True).alias("held")))
+    each = base.select("leaf", "mark", "room", F.explode_outer("cells").alias("c")).select("leaf", "mark", "room", F.col("c.pos").alias("pos"), F.col("c.h").alias("h"))
+    each = each.join(common_cells, "h", "left")
+    constant = F.when(F.col("held"), F.struct("pos", "h"))
+    out = each.groupBy("leaf", "mark", "room").agg((F.count("pos") - F.count("held")).cast("int").alias("rare"), F.collect_list(constant).alias("cells"), F.bit_xor(F.when(F.col("held"), F.col("h"))).alias("x"))
+    out = out.where("rare <= room").select("leaf", "mark", F.xxhash64("leaf", F.lit(-1)).bitwiseXOR(F.coalesce("x", F.lit(0).cast("long"))).alias("t"), (F.col("room") - F.col("rare")).alias("room"), "cells")
+    out = common.written(out)
+    for done in (base, common_cells):
+        common.drop_written(done)
+    return out
+
+
+def joined(now: DataFrame) -> DataFrame:
+    """One round over templates (t, room, cells): (t, to, pos) of those that make the place pos variable and become ``to``."""
+    keys = now.select("t", F.col("t").alias("to"), F.lit(-1).alias("pos")).unionByName(
+        now.where("room > 0").select("t", F.explode("cells").alias("c")).select("t", F.col("t").bitwiseXOR(F.col("c.h")).alias("to"), F.col("c.pos").alias("pos"))
+    )
+    often = common.written(keys.groupBy("to").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    best = keys.join(often, "to").groupBy("t").agg(F.max(F.struct("n", (-F.col("pos")).alias("early"), "to")).alias("b"))
+    return common.written(best.select("t", F.col("b.to").alias("to"), (-F.col("b.early")).alias("pos")).where("pos >= 0"))
+
+
+def templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE, rounds: int = ROUNDS) -> DataFrame:
+    """(leaf, mark, t): the template of each masked line that can have a recurring one."""
+    first = masked_templates(reached, docs, like)
+    own = first.select("leaf", "mark", "t")
+    once = lambda rows: rows.groupBy("t").agg(F.max("room").alias("room"), F.first("cells").alias("cells"))
+    now = common.written(once(first.select("t", "room", "cells")))
+    for step in range(rounds):
+        moves = joined(now)
+        if moves.isEmpty():
+            break
+        own = own.join(moves.select("t", "to"), "t", "left").select("leaf", "mark", F.coalesce("to", "t").alias("t"))
+        if step < rounds - 1:
+            after = now.join(moves, "t", "left")
+            now = common.written(once(after.select(F.coalesce("to", "t").alias("t"), F.when(F.col("to").isNull(), F.col("room")).otherwise(F.col("room") - 1).alias("room"), F.filter("cells", lambda c: F.coalesce(c["pos"] != F.col("pos"), F.lit(True))).alias("cells"))))
+    return own
+
+
+def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
+    """(doc_id, mark): the lines to drop, by the hash of their masked words or, of long lines, of all words."""
+    slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = common.written(lines_of(slim, exact < docs))
+    short = lines.where("NOT whole").drop("whole")
+    leaves = common.written(short.groupBy("leaf").agg(F.sum(F.size("docs")).alias("n")).where(F.col("n") >= docs).select("leaf"))
+    reached = common.written(short.join(leaves.hint("shuffle_hash"), "leaf"))
+    template = templates(reached, docs)
+    short = reached.select("leaf", "mark", "docs").join(template, ["leaf", "mark"]).select("mark", "t", "docs", F.lit(docs).alias("least"))
+    whole = lines.where("whole").select("mark", F.col("mark").alias("t"), "docs", F.lit(exact).alias("least"))
+    # read back, so that a common template can be split in the join
+    held = common.written(short.unionByName(whole).select("mark", "t", "least", F.explode("docs").alias("doc_id")))
+    per = held.groupBy("t", "doc_id").agg(F.max("least").alias("least")).groupBy("t").agg(F.count("least").alias("n"), F.max("least").alias("least"), F.min("doc_id").alias("first"))
+    per = common.written(per.where("n >= least").select("t", "first"))
+    out = common.written(held.join(per, "t").where("doc_id <> first").select("doc_id", "mark"))
+    for done in (lines, leaves, reached, held, per):
         common.drop_written(done)
+    common.release(df.sparkSession)
     return out
 
 
+def without(texts: pa.Array, marks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts without their lines that stand in the list of marks of their row (null: none), and how many lines went."""
+    dropped = np.zeros(len(texts), np.int64)
+    listed = pc.is_valid(marks).to_numpy(zero_copy_only=False)
+    hit = np.flatnonzero(listed)
+    if not len(hit):
+        return texts, dropped
+    lines, asked = Lines(texts.take(pa.array(hit))), marks.take(pa.array(hit))
+    owner = np.repeat(np.arange(len(hit)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+    values, code = np.unique(asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+    pairs = owner * len(values) + code
+
+    def named(keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+        return (values[at] == keys) & np.isin(lines.doc * len(values) + at, pairs)
+
+    gone = lines.fit & (named(lines.hash) | (lines.long & named(lines.exact))) if len(values) else np.zeros(len(lines.doc), bool)
+    dropped[hit] = np.bincount(lines.doc, weights=gone, minlength=len(hit))
+    left = np.bincount(lines.doc, weights=~gone, minlength=len(hit)).astype(np.int64)
+    rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), lines.raw.filter(pa.array(~gone)))
+    return pc.replace_with_mask(texts, pa.array(listed), pc.binary_join(rest, "\n")), dropped
+
+
 def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
     """All columns of df, its text without recurring lines, and n_lines and n_dropped (columns of these names are replaced)."""
-    marks = recurring(df, ident, text, docs, exact).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("mark").alias("_marks"))
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    joined = df.select(*rest).join(marks, F.col(ident) == F.col("_of"), "left").drop("_of")
-    place, fields = rest.index(text), [f for f in joined.schema.fields if f.name != "_marks"]
+    of, salt, same, held = (common.fresh(df, name) for name in ("of", "salt", "same", "marks"))
+    marks = recurring(df, ident, text, docs, exact).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("mark").alias(held)).withColumn(same, F.lit(0).cast("long"))
+    # rows without an id meet nothing, and must not meet in one task either
+    mine = df.select(*[F.col(f"`{c}`") for c in rest], F.when(F.col(ident).isNull(), F.xxhash64(text)).otherwise(0).alias(salt))
+    both = mine.join(marks.hint("merge"), (F.col(ident) == F.col(of)) & (F.col(salt) == F.col(same)), "left").select(*[F.col(f"`{c}`") for c in rest], held)
+    place, fields = rest.index(text), both.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text):
-            texts = common.filled(part.column(text))
-            dropped = np.zeros(part.num_rows, np.int64)
-            total = pc.if_else(pc.is_null(part.column(text)), 0, pc.add(pc.count_substring(texts, "\n"), 1)).cast(pa.int64())
-            marks = common.chunked(part.column(part.num_columns - 1))
-            hit = np.flatnonzero(pc.is_valid(marks).to_numpy(zero_copy_only=False))
-            out = part.column(text).to_pylist()
-            if len(hit):
-                lines = Lines(texts.take(pa.array(hit)))
-                asked = np.repeat(hit, pc.list_value_length(marks.take(pa.array(hit))).to_numpy(zero_copy_only=False))
-                keys = set(zip(asked.tolist(), marks.take(pa.array(hit)).flatten().to_pylist(), strict=True))
-                whole = [int(e) if long else None for long, e in zip(lines.long, lines.exact.view(np.int64).tolist(), strict=True)]
-                gone = [fit and ((doc, h) in keys or (doc, e) in keys) for fit, doc, h, e in zip(lines.fit, hit[lines.doc].tolist(), lines.hash.view(np.int64).tolist(), whole, strict=True)]
-                kept: dict[int, list[str]] = {}
-                for line, doc, bad in zip(lines.raw.to_pylist(), hit[lines.doc].tolist(), gone, strict=True):
-                    dropped[doc] += bad
-                    if not bad:
-                        kept.setdefault(doc, []).append(line)
-                for doc in hit.tolist():
-                    out[doc] = "\n".join(kept.get(doc, []))
+            given = part.column(place)
+            texts = common.filled(given)
+            total = pc.if_else(pc.is_null(given), 0, pc.add(pc.count_substring(texts, "\n"), 1)).cast(pa.int64())
+            out, dropped = without(texts, common.chunked(part.column(part.num_columns - 1)))
             columns = [part.column(k) for k in range(len(rest))]
-            columns[place] = pa.array(out, pa.string())
+            columns[place] = pc.if_else(pc.is_null(given), pa.nulls(len(texts), pa.string()), out)
             yield pa.RecordBatch.from_arrays([*columns, total, pa.array(dropped)], [*rest, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return both.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
