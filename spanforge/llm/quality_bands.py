@@ -25,9 +25,9 @@ SCHEMA = (
 )
 #: (raw bytes below which the band holds, least ratio, most ratio) of whole texts. Short texts carry the frame's overhead.
 WHOLE_BANDS = ((64, 0.40, 1.60), (256, 0.25, 1.20), (1024, 0.20, 0.98), (8192, 0.15, 0.85), (1 << 62, 0.08, 0.75))
-#: The same for chunks; a rest shorter than MIN_CHUNK is judged with the whole text only.
-CHUNK_BANDS = ((1024, 0.12, 0.98), (1 << 62, 0.10, 0.85))
-CHUNK, MIN_CHUNK, LEVEL = 4096, 512, 3
+#: The same for chunks; the last one of a text is its last CHUNK bytes, so no byte escapes.
+CHUNK_BANDS = ((1 << 62, 0.10, 0.85),)
+CHUNK, LEVEL = 4096, 3
 #: Fixed value: the symbol characters counted.
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8)).astype(np.int64)
@@ -46,11 +46,10 @@ def compression(raw: bytes, compressor, chunk: int = CHUNK) -> tuple[bool, float
     low, high = band(len(raw), WHOLE_BANDS)
     fine, worst = low <= ratio <= high, [ratio, ratio]
     for at in range(0, len(raw) if len(raw) > chunk else 0, chunk):
-        piece = raw[at : at + chunk]
-        if len(piece) >= MIN_CHUNK:
-            r = len(compressor.compress(piece)) / len(piece)
-            low, high = band(len(piece), CHUNK_BANDS)
-            fine, worst = fine and low <= r <= high, [min(worst[0], r), max(worst[1], r)]
+        piece = raw[min(at, len(raw) - chunk) :][:chunk]
+        r = len(compressor.compress(piece)) / len(piece)
+        low, high = band(len(piece), CHUNK_BANDS)
+        fine, worst = fine and low <= r <= high, [min(worst[0], r), max(worst[1], r)]
     return fine, ratio, worst[0], worst[1]
 
 
