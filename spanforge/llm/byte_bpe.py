@@ -2,8 +2,9 @@
 
 A text is cut by the vocabulary's pattern; each distinct piece of a batch is a row of a matrix of token ids, padded within its
 length bucket. In each round every row merges its leftmost pair of least rank; pairs are looked up in an open-addressing
-hash table held in numpy arrays, the tail of the row moves up by one, and finished rows leave the matrix. Pieces over
-``LONGEST`` bytes, where one merge a round would be quadratic, take a heap with the same order of merges.
+hash table held in numpy arrays, the tail of the row moves up by one, and finished rows leave the matrix. A piece over
+``LONGEST`` bytes is a row of its own with the same lookups and compaction; a round merges all its pairs of least rank at once,
+from the left, unless one of these merges makes a pair of lesser rank: then it is the leftmost alone, as ever.
 
 Cases: a null or empty text has no tokens. Any bytes can be encoded, since all 256 single bytes have ranks. Decoding ids gives
 the text's bytes back. Repeated rows give equal values. Ids of rows are passed through; other columns are ignored.
@@ -12,7 +13,6 @@ the text's bytes back. Repeated rows give equal values. Ids of rows are passed t
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from spanforge.llm import common
 
-#: Bytes beyond which a piece takes the heap; upper ends of the length buckets; distinct pieces that a worker remembers.
+#: Bytes beyond which a piece is a row of its own; upper ends of the length buckets; distinct pieces that a worker remembers.
 LONGEST, BUCKETS, REMEMBERED = 256, (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 150_000
 NONE = np.int32(1 << 30)
 
@@ -121,26 +121,34 @@ class Merges:
         return result
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same order of merges for one long piece: a heap of (rank, place), linked neighbours, stale entries skipped."""
-        ids = [int(self.first[b]) for b in piece]
-        n = len(ids)
-        after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-        rank_of = lambda a, b: self.ranks.get(self.tokens[a] + self.tokens[b])
-        heap = [(r, k, 0, 0) for k in range(n - 1) if (r := rank_of(ids[k], ids[k + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, k, mine, other = heapq.heappop(heap)
-            nxt = after[k] if ids[k] is not None else n
-            if ids[k] is None or nxt >= n or version[k] != mine or version[nxt] != other:
-                continue
-            ids[k], ids[nxt], after[k] = rank, None, after[nxt]
-            version[k] += 1
-            if after[k] < n:
-                before[after[k]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b < n and (r := rank_of(ids[a], ids[b])) is not None:
-                    heapq.heappush(heap, (r, a, version[a], version[b]))
-        return np.array([x for x in ids if x is not None], np.int32)
+        """The same merges for one long piece, all places of the least rank in a round."""
+        ids = self.first[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # of overlapping pairs (one token repeated) every other one merges, from the left
+            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            if len(at) > 1:
+                # what each merge meets: merged places on its left, those on its right as they are
+                before = np.where(np.concatenate([[False], at[1:] == at[:-1] + 2]), best, ids[np.maximum(at - 1, 0)])
+                left, right = at > 0, at + 2 < len(ids)
+                made = np.concatenate([self.pair_ranks(before[left], np.full(int(left.sum()), best, np.int32)), self.pair_ranks(np.full(int(right.sum()), best, np.int32), ids[at[right] + 2])])
+                if len(made) and made.min() < best:
+                    at = at[:1]
+            ids = ids.copy()
+            ids[at] = best
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            place = at - np.arange(len(at))
+            # the rank of a pair stands with its left token: that of a merged token is the one its right half had
+            kept = ranks[np.flatnonzero(stay)[:-1]]
+            ids = ids[stay]
+            ranks = kept[: len(ids) - 1]
+            for side in (place - 1, place):
+                side = side[(side >= 0) & (side + 1 < len(ids))]
+                ranks[side] = self.pair_ranks(ids[side], ids[side + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece; a piece that is a token as a whole is that token."""
