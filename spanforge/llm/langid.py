@@ -2,7 +2,8 @@
 
 The network is trained here, in numpy, by backpropagation through time on a bounded sample of labelled rows. It labels every
 byte position; a document's probabilities are the mean over the positions of letters. Texts are read whole, in spans of
-``SPAN`` bytes that form the rows of a matrix.
+``SPAN`` bytes that form the rows of a matrix; each direction starts ``AROUND`` bytes outside its span, so that positions at
+the edges have seen their neighbours too.
 
 Cases: a null text, an empty one, and one without letters (Unicode category L) is ``und`` with score 0; so is every text if
 no labelled row could be learned from. Repeated rows and very long texts are ordinary. Other columns are ignored.
@@ -14,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm import common
 
-#: Labelled rows in the training sample at most, and code points taken from each of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1500
-#: Units of a direction, bytes of a training row, rows of a batch, steps, bytes of a row when predicting, rows predicted at once.
-UNITS, WINDOW, BATCH, STEPS, SPAN, ROWS = 12, 40, 192, 260, 64, 2048
+#: Labelled rows in the training sample at most, and bytes of their texts; both are shared evenly by the languages.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
+#: Units of a direction, bytes of a training row, rows of a batch, steps.
+UNITS, WINDOW, BATCH, STEPS = 12, 40, 192, 260
+#: When predicting: bytes of a row, bytes read on either side of it, rows at once.
+SPAN, AROUND, ROWS = 96, 8, 2048
 _ASCII_LETTER = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
 _LETTER = _ASCII_LETTER | (np.arange(256) >= 128)
 #: The network sees A-Z lower-cased.
@@ -182,11 +185,18 @@ class Predictor:
         n, classes = len(raws), len(self.languages)
         sizes = np.fromiter((-(-len(x) // SPAN) for x in raws), np.int64, n)
         total = int(sizes.sum())
-        flat = np.frombuffer(b"".join(x.ljust(s * SPAN, b"\0") for x, s in zip(raws, sizes, strict=True)), np.uint8).reshape(total, SPAN)
+        flat = np.frombuffer(b" " * AROUND + b"".join(x.ljust(s * SPAN) for x, s in zip(raws, sizes, strict=True)) + b" " * AROUND, np.uint8)
+        rows = np.lib.stride_tricks.as_strided(flat, (total, SPAN + 2 * AROUND), (SPAN, 1), writeable=False)
+        last = np.zeros(total + 1, bool)
+        last[np.cumsum(sizes)] = True  # the row after a text's last one: nothing of another text is seen
         sums, letters = np.zeros((total, classes)), np.zeros(total)
         for at in range(0, total, ROWS):
-            codes = np.ascontiguousarray(flat[at : at + ROWS].T)
+            codes = rows[at : at + ROWS].copy()
+            codes[last[at : at + len(codes)], :AROUND] = 32
+            codes[last[at + 1 : at + 1 + len(codes)], -AROUND:] = 32
+            codes = np.ascontiguousarray(codes.T)
             mask = _LETTER[codes].astype(np.float32)
+            mask[:AROUND], mask[-AROUND:] = 0, 0
             sums[at : at + ROWS] = np.einsum("tnc,tn->nc", self.positions(_LOWER[codes]), mask)
             letters[at : at + ROWS] = mask.sum(0)
         doc = np.repeat(np.arange(n), sizes)
@@ -198,20 +208,25 @@ def has_letter(raw: bytes, text: str) -> bool:
     return bool(_ASCII_LETTER[np.frombuffer(raw, np.uint8)].any()) or any(ch.isalpha() for ch in text)
 
 
-def fit(df: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Predictor | None:
-    """Trains on at most ``rows`` labelled rows among those where ``learn`` holds, the first by a hash of their ids.
+def fit(df: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Predictor | None:
+    """Trains on whole texts of at most ``rows`` labelled rows among those where ``learn`` holds.
 
-    Of each, a stretch of ``SAMPLE_CHARS`` code points at a hashed place is used: the sample is at most 4.5 million characters.
-    None if there is no row to learn from.
+    Each language gives as many, the first by a hash of their ids whose texts fit into its share of ``most`` bytes, and one at
+    least. None if there is no row to learn from.
     """
-    mark = F.xxhash64(F.lit(11), F.col(ident))
-    place = F.pmod(F.xxhash64(F.lit(12), F.col(ident)), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)).cast("int")
-    fit_for = learn & F.col(lang).isNotNull()
-    # a threshold on the hash first, so that what tasks send does not grow with their number
-    n = df.where(fit_for).count()
-    least = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, 1.25 * rows / max(1, n)) * (1 << 64)))
-    some = df.where(fit_for & (mark <= F.lit(least)) & (F.length(text) > 0)).select(mark.alias("mark"), F.col(lang).alias("lang"), F.col(text).substr(place + 1, F.lit(SAMPLE_CHARS)).alias("text"))
-    got = [(r.lang, r.text.encode()) for r in some.orderBy("mark", "lang", "text").limit(rows).collect()]
+    own = df.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(F.lit(11), F.col(ident)).alias("mark"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return None
+    share = max(1, rows // len(counts))
+    # a threshold on the hash first, so that what is dealt does not grow with the table
+    below = {name: min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (1.25 * share + 20) / n) * (1 << 64))) for name, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    some = own.where(F.col("mark") <= F.element_at(limit, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("mark", "text")
+    some = some.select("*", F.row_number().over(order).alias("nth"), F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    some = some.where((F.col("nth") == 1) | (F.col("nth") <= share) & (F.col("bytes") <= most // len(counts)))
+    got = [(r.lang, r.text.encode()) for r in some.orderBy("mark", "lang", "text").collect()]
     got = [(lang, raw) for lang, raw in got if has_letter(raw, raw.decode())]
     if not got:
         return None
