@@ -13,15 +13,15 @@ are fine. Without rules, or where none fits, the verdict is the default. Other c
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample from which the cut points come, URLs that a span holds about, and spans at most: a span is swept as a
-#: sorted stream, so larger spans cost time, not memory.
-SAMPLE_ROWS, SPAN_ROWS, SPANS = 20_000, 100_000, 1000
+#: Keys of the sample a span from which the cut points come (80 keys for a million URLs), and URLs that a span holds about.
+SAMPLE_KEYS, SPAN_ROWS = 8, 100_000
 COLUMNS = "page_id {id}, host string, path string, rule string, verdict string"
 
 
@@ -66,26 +66,39 @@ def sweep(rows: Iterator[tuple], default: str) -> Iterator[tuple]:
         yield ident, host, path, *(best[1:] if best else (None, default))
 
 
+def _spanned(df: DataFrame, cuts: list[str], low: Column, high: Column) -> DataFrame:
+    """df with the numbers ``low`` and ``high`` of the spans that two keys fall into, by binary search among the cut points."""
+    if not cuts:
+        return df.select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    keyed, names = df.select("*", low.alias("low"), high.alias("high")), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array([bisect_right(cuts, key) for key in batch.column(name).to_pylist()], pa.int32()) for name in ("low", "high")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "low", "high"])
+
+    return keyed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", low int, high int")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, ident: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page; ``rules`` has host, path and verdict."""
     kind = pages.schema[ident].dataType
     # a path is compared with rules only, so the hash, not the path, spreads a hot host over the spans
     urls = pages.select(F.col(ident).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    urls = urls.select("id", "host", "path", key_of(F.col("host")).alias("key"), F.conv(F.substring(F.hex(F.xxhash64("id", "path")), 1, 8), 16, 10).cast("long").alias("salt"))
+    urls = urls.select("id", "host", "path", key_of(F.col("host")).alias("key"), F.substring(F.lpad(F.hex(F.xxhash64("id", "path")), 16, "0"), 1, 8).alias("salt"))
     said = F.lower(F.col("host"))
     asked = rules.select(said.alias("host"), F.col("path"), F.col("verdict"), key_of(said).alias("key")).where("key <> '' AND path IS NOT NULL AND verdict IS NOT NULL").distinct()
     n = urls.count()
-    spans = max(1, min(SPANS, -(-n // SPAN_ROWS)))
-    cuts: list[tuple[str, int]] = []
+    spans = -(-n // SPAN_ROWS)
+    cuts: list[str] = []
+    at = F.concat("key", F.lit("\0"), "salt")
     if spans > 1:
-        some = sorted(tuple(r) for r in urls.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("key", "salt").limit(2 * SAMPLE_ROWS).collect())
+        some = sorted(r[0] for r in urls.sample(min(1.0, SAMPLE_KEYS * spans / n), seed=7).select(at).collect())
         cuts = sorted({some[len(some) * k // spans] for k in range(1, spans)}) if some else []
-    edges = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).cast("long").alias("salt")) for k, s in cuts]) if cuts else F.expr("cast(array() as array<struct<key:string,salt:bigint>>)")
-    below = lambda k, s: F.size(F.filter(edges, lambda x: x <= F.struct(k.alias("key"), s.alias("salt"))))
-    placed = urls.select(below(F.col("key"), F.col("salt")).alias("span"), "key", F.lit(1).alias("kind"), "path", "id", "host", F.lit(None).cast("string").alias("verdict"))
+    placed = _spanned(urls, cuts, at, at).select(F.col("low").alias("span"), "key", F.lit(1).alias("kind"), "path", "id", "host", F.lit(None).cast("string").alias("verdict"))
     # the interval of a rule: from its key to the key with the last dot raised to the next character
     last = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/"))
-    reach = asked.withColumn("span", F.explode(F.sequence(below(F.col("key"), F.lit(-1).cast("long")), below(last, F.lit(-1).cast("long")))))
+    reach = _spanned(asked, cuts, F.col("key"), last).withColumn("span", F.explode(F.sequence("low", "high")))
     reach = reach.select("span", "key", F.lit(0).alias("kind"), "path", F.lit(None).cast(kind).alias("id"), "host", "verdict")
     ordered = placed.unionByName(reach).repartition(F.col("span")).sortWithinPartitions("span", "key", "kind")
 
