@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,12 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", at + rows.size, 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 2835, 2835, 256, 0) + palette.tobytes() + rows.tobytes()
 
 
+def _sized(width: int, height: int, raw: bytes) -> None:
+    """Every form takes a bit a sample at least: larger sizes than the bytes can hold are refused before memory is asked for."""
+    if width <= 0 or height <= 0 or width * height > 8 * len(raw):
+        raise ValueError("sizes do not fit the bytes")
+
+
 def _header(raw: bytes, fields: int) -> tuple[list[int], int]:
     """The numbers of a Netpbm header after its magic, and where the samples begin; # starts a comment."""
     got, at = [], 2
@@ -46,7 +53,7 @@ def _header(raw: bytes, fields: int) -> tuple[list[int], int]:
         to = at
         while to < len(raw) and raw[to : to + 1].isdigit():
             to += 1
-        if to == at:
+        if not 0 < to - at < 10:
             raise ValueError("broken Netpbm header")
         got.append(int(raw[at:to]))
         at = to
@@ -57,6 +64,7 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     """P1 to P6: height x width (x 3); bits become 0 and 255, 16-bit samples keep two bytes."""
     kind = raw[1:2]
     (width, height, *most), at = _header(raw, 2 if kind in b"14" else 3)
+    _sized(width, height, raw)
     planes, most = 3 if kind in b"36" else 1, most[0] if most else 1
     if not 0 < most < 65536:
         raise ValueError("Netpbm maximum out of range")
@@ -79,6 +87,7 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
 def decode_bmp(raw: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits; grey palettes give one plane, others red, green, blue."""
     at, head, width, height, _, bits, packing = struct.unpack_from("<I", raw, 10)[0], *struct.unpack_from("<IiiHHI", raw, 14)
+    _sized(abs(width), abs(height), raw)
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP form not supported")
     stride, rows = (abs(width) * bits + 31) // 32 * 4, abs(height)
@@ -134,42 +143,51 @@ def tile(raw: bytes, size: int = 8) -> tuple[np.ndarray, bytes, str]:
     return image, out.getvalue(), np.packbits((small[:, 1:] > small[:, :-1]).ravel()).tobytes().hex()
 
 
-def media_tiles(df: DataFrame, ident: str = "image_id", image: str = "image") -> DataFrame:
-    """Decodes a binary column: (id, height, width, planes, npy, dhash, error)."""
-    slim = df.select(df[ident].alias("id"), df[image].alias("image"))
+def _tiled(raw: bytes | None) -> tuple:
+    """(height, width, planes, NPY tile, difference hash, samples, error); bytes that are no image give an error only."""
+    if raw is None:
+        return (None,) * 7
+    try:
+        image, npy, mark = tile(raw)
+    except (ValueError, ArithmeticError, LookupError, MemoryError, struct.error) as why:
+        return (*(None,) * 6, f"{type(why).__name__}: {why}"[:200])
+    return (*image.shape[:2], image.shape[2] if image.ndim > 2 else 1, npy, mark, np.ascontiguousarray(image).tobytes(), None)
+
+
+def media_tiles(df: DataFrame, ident: str = "image_id", image: str = "image", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decodes a binary column: (id, height, width, planes, npy, dhash, samples, error) and the columns named in ``carry``."""
+    slim = df.select(df[ident].alias("id"), df[image].alias("image"), *carry)
+    names = ["id", "height", "width", "planes", "npy", "dhash", "samples", "error", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.string())
         for part in common.slices(batches, "image"):
-            rows = []
-            for raw in part.column("image").to_pylist():
-                try:
-                    shape, npy, mark = (lambda x: (x[0].shape, x[1], x[2]))(tile(raw)) if raw is not None else ((None, None), None, None)
-                    rows.append((shape[0], shape[1], (shape[2] if len(shape) > 2 else 1) if npy else None, npy, mark, None))
-                except (ValueError, struct.error, IndexError) as why:
-                    rows.append((None, None, None, None, None, str(why)[:200]))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "height", "width", "planes", "npy", "dhash", "error"])
+            rows = [_tiled(raw) for raw in part.column("image").to_pylist()]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *(part.column(c) for c in carry)], names)
 
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, height int, width int, planes int, npy binary, dhash string, error string")
+    more = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in carry)
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, height int, width int, planes int, npy binary, dhash string, samples binary, error string{more}")
 
 
-def text_images(df: DataFrame, ident: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
-    """Stores every whole text as an image and reads it back: (doc_id, n_bytes, payload (read back), media, npy, dhash).
+def text_images(df: DataFrame, ident: str = "doc_id", text: str = "text", form: str | None = None) -> DataFrame:
+    """Stores every whole text as an image: (doc_id, n_bytes, media).
 
-    The payload is the UTF-8 text with zero bytes up to a positive multiple of 64, one image row for each 64 bytes.
+    The payload is the UTF-8 text with zero bytes up to a positive multiple of 64, one image row for each 64 bytes. Without a
+    ``form`` (pgm or bmp) the payload's CRC-32 chooses: even ones are Netpbm, odd ones BMP.
     """
     slim = df.select(df[ident].alias("doc_id"), df[text].cast("string").alias("text"))
-    encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
+    encoders = {"pgm": encode_pgm, "bmp": encode_bmp}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
-            rows = []
+            media, sizes = [], []
             for raw in common.filled(part.column("text")).cast(pa.binary()).to_pylist():
                 size = max(1, -(-len(raw) // WIDTH))
-                media = encode(np.frombuffer(raw.ljust(size * WIDTH, b"\0"), np.uint8).reshape(size, WIDTH))
-                image, npy, mark = tile(media)
-                rows.append((len(raw), np.ascontiguousarray(image).tobytes(), media, npy, mark))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "payload", "media", "npy", "dhash"])
+                payload = raw.ljust(size * WIDTH, b"\0")
+                encode = encoders[form or ("pgm", "bmp")[zlib.crc32(payload) & 1]]
+                media.append(encode(np.frombuffer(payload, np.uint8).reshape(size, WIDTH)))
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload binary, media binary, npy binary, dhash string")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")

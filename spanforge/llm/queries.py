@@ -70,11 +70,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = media.text_images(table(spark, sf_dir, "documents"))
-    last = F.expr("substring(payload, greatest(1, octet_length(payload) - 63), 64)")
+    stored = media.text_images(table(spark, sf_dir, "documents"))
+    got = media.media_tiles(stored, "doc_id", "media", ("n_bytes", "media"))
+    last = F.expr("substring(samples, greatest(1, octet_length(samples) - 63), 64)")
     return got.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(last).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"),
+        F.col("id").alias("doc_id"), "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(last).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), F.col("npy").alias("tile"),
     )
 
 
