@@ -31,7 +31,7 @@ SEED = 20240229
 GIANT, GIANT_MEANS = 400, 4
 #: Sources whose targets may be broadcast.
 BROADCAST_SOURCES = 200_000
-_ROW = "struct<doc_id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,whole:int,p:double>"
+_ROW = "struct<doc_id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,whole:int,p:double,h:bigint,nth:int>"
 
 
 def word_count(text: Column) -> Column:
@@ -103,20 +103,26 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
 
     ``share`` is the part of all words that the mix has in all.
     """
+    return _rounded(df, ident, text, source, weights, most, share).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _rounded(df: DataFrame, ident: str, text: str, source: str, weights: tuple = WEIGHTS, most: float = MOST, share: float = 1.0) -> DataFrame:
+    """What ``mix`` returns, with the hash h of the text and the row's number among equal ones, by which equal rows are spread."""
     kind = df.schema[ident].dataType.simpleString()
-    sized = common.written(df.select(F.col(ident).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    sized = df.select(F.col(ident).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"))
+    sized = common.written(sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("size"))))
     targets = source_targets(sized, weights, most, share)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     counted = targets.agg(F.max("n"), F.count(F.lit(1))).first()
     # one row a source, about 60 bytes: broadcast behind a check of their count, else joined by sorting
     targets = F.broadcast(targets) if counted[1] <= BROADCAST_SOURCES else targets
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("p"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("p"), "h", "nth")
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p")))
     giant = (F.col("size") * GIANT > F.col("source_size")) & (F.col("size") * F.col("n") > GIANT_MEANS * F.col("source_size")) & (F.col("p") > 0)
     giants, rows = rows.where(giant), rows.where(~giant)
     largest = counted[0] or 0
-    done, names = [], ["doc_id", "source", "size", "source_size", "target", "n", "whole", "p"]
+    done, names = [], ["doc_id", "source", "size", "source_size", "target", "n", "whole", "p", "h", "nth"]
 
     def fold(rows: DataFrame, block: Column) -> DataFrame:
         # large documents first: the smaller ones that follow can take up or give the words that settle them
@@ -140,7 +146,7 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     rows = rows.unionByName(left.withColumn("p", snapped(F.col("p") + F.col("moved") / F.col("size"))).select(*names))
 
     # two blocks of each source wait for the root, where their many small documents settle what the tree leaves over
-    spread = lambda level: F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / FOLD)))
+    spread = lambda level: F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "h", "nth"), F.greatest(F.lit(1), F.ceil(F.col("n") / FOLD)))
     waiting, level = None, 0
     while largest > (FOLD if waiting else 3 * FOLD):
         if waiting is None:
@@ -155,15 +161,18 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("p").cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), "h")
 
 
 def materialised(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of df, each as often as the mix takes it. Rows with the same id, source and size are interchangeable."""
-    chosen = mix(df, ident, text, source, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_copies")))
-    mine = df.withColumn("_size", word_count(F.col(text)))
-    mine = mine.withColumn("_nth", F.row_number().over(Window.partitionBy(ident, source, "_size").orderBy(F.xxhash64(text))))
-    same = mine[ident].eqNullSafe(chosen["_id"]) & mine[source].eqNullSafe(chosen["_source"]) & (mine["_size"] == chosen["_size"]) & (mine["_nth"] == chosen["_nth"])
-    taken = mine.join(chosen.where("_copies > 0"), same).select(*[mine[c] for c in df.columns], chosen["_copies"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    """The rows of df, each as often as the mix takes it. Rows of one id, source and text share their copies evenly."""
+    key, of, total, rows, times = (common.fresh(df, name) for name in ("key", "of", "total", "rows", "times"))
+    named = lambda a, b, c: F.struct(F.col(a).alias("a"), F.col(b).cast("string").alias("b"), c.alias("c"))  # noqa: E731  nulls inside are equal
+    chosen = _rounded(df, ident, text, source, **how).groupBy(named("doc_id", "source", F.col("h")).alias(of)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    chosen = common.written(chosen.where(F.col(total) > 0))  # read back, so that the join's sides can be split
+    taken = df.withColumn(key, named(ident, source, F.xxhash64(text))).join(chosen.hint("merge"), F.col(key) == F.col(of))
+    # the join has dealt and sorted the rows by this column: the numbers cost no exchange
+    nth = F.row_number().over(Window.partitionBy(of).orderBy(of))
+    extra = F.when(nth <= F.col(total) % F.col(rows), 1).otherwise(0)
+    taken = taken.withColumn(times, (F.floor(F.col(total) / F.col(rows)) + extra).cast("int")).where(F.col(times) > 0)
+    return taken.withColumn(of, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])
