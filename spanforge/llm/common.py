@@ -177,15 +177,14 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(got)
 
 
-def in_blocks(df: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, block): rows dealt to blocks of about ``block_bytes`` of text by a hash of id and text.
-
-    The count of blocks follows the input, so that a block stays small at any size.
+def in_blocks(df: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, block): rows dealt to blocks of about ``block_bytes`` of text by a hash of id and text; the bytes of all
+    texts; the count of blocks, which follows the input, so that a block stays small at any size.
     """
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     row = slim.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(1, math.ceil((row[0] or 0) / block_bytes), math.ceil(row[1] / BLOCK_DOCS))
-    return slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), row[0] or 0, n
 
 
 def messages(parts: np.ndarray, count: int, content) -> list[tuple]:

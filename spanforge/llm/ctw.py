@@ -10,7 +10,9 @@ Training is counting: the counts of (context, byte) in the training texts are al
 blocks of bounded size; a block sends its distinct grams, cut by the two most recent context bytes, to parts that build the
 subtrees below these bytes; the few nodes above are merged from sums by context byte, of which there are 65,280 at most; each
 part answers each block with the log probability of the grams that it asked for. Words and their counts travel the same way. A
-block's messages are as large as its distinct grams and words, so the traffic follows the input.
+block's messages are as large as its distinct grams and words, so the traffic follows the input. What goes to one part is
+merged in a tree of ``FAN`` messages a step, and the answers come down the same tree: a task holds at most ``FAN`` lists of
+distinct grams, however many blocks there are and however common its context bytes are.
 
 Cases: a null text is an empty one, which has the end only. Without training rows every bit has probability 1/2 and every word
 count is 0. Repeated rows are scored each for itself. A null id is not held out. Other columns are ignored.
@@ -32,6 +34,8 @@ from spanforge.llm import common
 DEPTH, END = 5, 255
 #: Bytes of messages that one part holds about.
 PART_BYTES = 8 << 20
+#: Messages to one part that a task merges.
+FAN = 32
 _U = np.uint64
 
 
@@ -230,42 +234,90 @@ def _parts_of(grams: np.ndarray, count: int) -> np.ndarray:
     return (common.mixed(grams >> _U(8 * (DEPTH - 1))) % _U(count)).astype(np.int64)
 
 
+def packed(values: np.ndarray, kind: str, ordered: bool = False) -> bytes:
+    """Integers as compressed byte planes, in order as differences: two or three bytes for a gram of eight."""
+    import zstandard
+
+    values = np.diff(values, prepend=values.dtype.type(0)) if ordered else values
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(raw: bytes, kind: str, ordered: bool = False) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=values.dtype) if ordered else values
+
+
+MESSAGE = "part int, unit int, words array<string>, grams binary, counts binary"
+
+
+def _message(unit: int, rows: list[tuple]) -> pa.Table:
+    """Rows (part, words or None, grams or None, counts) of a unit (a block, or a group of units)."""
+    words = pa.array([None if r[1] is None else r[1].to_pylist() for r in rows], pa.list_(pa.string()))
+    return pa.table({
+        "part": pa.array([r[0] for r in rows], pa.int32()), "unit": pa.array([unit] * len(rows), pa.int32()), "words": words,
+        "grams": pa.array([None if r[2] is None else packed(r[2], "<u8", True) for r in rows], pa.binary()), "counts": pa.array([packed(r[3], "<u8") for r in rows], pa.binary()),
+    })
+
+
 def _ask(part_count: int):
-    """Block of texts -> messages (part, block, grams or words, training counts); parts of words follow those of grams."""
+    """Block of texts -> messages of grams or words with training counts; parts of words follow those of grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
         texts = pc.ascii_lower(common.filled(table.column("text")))
         train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        raws = texts.cast(pa.binary()).to_pylist()
-        grams, n = _block_grams(raws, train)
-        rows = common.messages(_parts_of(grams, part_count), part_count, lambda pick: (None, grams[pick].astype("<u8").tobytes(), n[pick].astype("<u4").tobytes()))
+        grams, n = _block_grams(texts.cast(pa.binary()).to_pylist(), train)
+        rows = common.messages(_parts_of(grams, part_count), part_count, lambda pick: (None, grams[pick], n[pick]))
         vocabulary, h, codes, per = _block_words(texts)
         m = np.bincount(codes, weights=np.repeat(train, per), minlength=len(vocabulary)).astype(np.int64)
         m[np.flatnonzero(pc.equal(vocabulary, "").to_numpy(zero_copy_only=False))] = train.sum()
         parts = (h % _U(part_count)).astype(np.int64)
-        rows += [(part + part_count, *rest) for part, *rest in common.messages(parts, part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, m[pick].astype("<u4").tobytes()))]
-        words = pa.array([None if r[1] is None else r[1].to_pylist() for r in rows], pa.list_(pa.string()))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "words": words, "grams": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
+        rows += [(part + part_count, *rest) for part, *rest in common.messages(parts, part_count, lambda pick: (vocabulary.take(pa.array(pick)), None, m[pick]))]
+        return _message(table.column("block")[0].as_py(), rows)
+
+    return run
+
+
+def _combined(fan: int):
+    """One part's messages of ``fan`` units -> one message with the sums of their counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, unit = table.column("part")[0].as_py(), table.column("unit")[0].as_py() // fan
+        if table.column("grams")[0].as_py() is None:
+            vocabulary, n, _, _ = _word_counts(table)
+            return _message(unit, [(part, vocabulary, None, n)])
+        return _message(unit, [(part, None, *_grams_of(table))])
 
     return run
 
 
-MESSAGE = "part int, block int, words array<string>, grams binary, counts binary"
 NODE = "c1 int, bit int, prefix int, n0 double, n1 double, kids double"
 
 
-def _grams_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
-    return _merged(keys, [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()])
+def _grams_of(table: pa.Table, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all messages, merged whenever ``most`` grams have come, so that not all are held at once."""
+    keys, counts, held = [], [], 0
+    for grams, n in zip(table.column("grams"), table.column("counts"), strict=True):
+        keys.append(unpacked(grams.as_py(), "<u8", True))
+        counts.append(unpacked(n.as_py(), "<u8").astype(np.int64))
+        held += len(keys[-1])
+        if held > most and len(keys) > 1:
+            one = _merged(keys, counts)
+            keys, counts, held = [one[0]], [one[1]], 0
+    return _merged(keys, counts)
 
 
 def _word_counts(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, list[int]]:
     """Distinct words, their counts, the code of each message's words, and the messages' lengths."""
     lists = common.chunked(table.column("words"))
     codes, vocabulary = common.coded(lists.flatten())
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
-    return vocabulary, np.bincount(codes, weights=n, minlength=len(vocabulary)).astype(np.int64), codes, pc.list_value_length(lists).to_pylist()
+    n = np.concatenate([unpacked(x, "<u8") for x in table.column("counts").to_pylist()]).astype(np.int64)
+    sums = np.zeros(len(vocabulary), np.int64)
+    np.add.at(sums, codes, n)
+    return vocabulary, sums, codes, pc.list_value_length(lists).to_pylist()
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -285,28 +337,42 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.asarray(c), t) for c, t in zip(columns, kinds, strict=True)], names=["c1", "bit", "prefix", "n0", "n1", "kids"])
 
 
-ANSWER = "block int, part int, value binary"
+ANSWER = "unit int, part int, value binary"
+
+
+def _answer(asked: pa.Table, values: list[np.ndarray]) -> pa.Table:
+    return pa.table({"unit": asked.column("unit"), "part": asked.column("part"), "value": pa.array([x.tobytes() for x in values], pa.binary())})
 
 
 def _answered(asked: pa.Table, top: pa.Table) -> pa.Table:
-    """One part's messages and the nodes above -> for each block what it asked for, in the order asked.
+    """One part's messages and the nodes above -> for each unit what it asked for, in the order asked.
 
     Grams are told log10 probabilities as 32-bit floats, words their training counts.
     """
     if not asked.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["block", "part", "value"])
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["unit", "part", "value"])
     nodes = {k: np.concatenate([np.asarray(x) for x in top.column(k).to_pylist()]) if top.num_rows else np.zeros(0) for k in ("c1", "bit", "prefix", "n0", "n1", "kids")}
     said = nodes["c1"] < 0
     if asked.column("grams")[0].as_py() is None:
         _, n, codes, lengths = _word_counts(asked)
-        values = np.split(n[codes].astype("<u4"), np.cumsum(lengths)[:-1])
-    else:
-        part = {k: v[~said] for k, v in nodes.items()}
-        above = Top(part["c1"].astype(int), part["bit"].astype(int), part["prefix"].astype(int), part["n0"], part["n1"], part["kids"])
-        distinct, n = _grams_of(asked)
-        value = Tree(distinct, n, 2).gram_log(above) / math.log(10)
-        values = [value[np.searchsorted(distinct, np.frombuffer(x, "<u8"))].astype("<f4") for x in asked.column("grams").to_pylist()]
-    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "value": pa.array([x.tobytes() for x in values], pa.binary())})
+        return _answer(asked, np.split(n[codes].astype("<u8"), np.cumsum(lengths)[:-1]))
+    part = {k: v[~said] for k, v in nodes.items()}
+    above = Top(part["c1"].astype(int), part["bit"].astype(int), part["prefix"].astype(int), part["n0"], part["n1"], part["kids"])
+    distinct, n = _grams_of(asked)
+    value = Tree(distinct, n, 2).gram_log(above) / math.log(10)
+    return _answer(asked, [value[np.searchsorted(distinct, unpacked(x.as_py(), "<u8", True))].astype("<f4") for x in asked.column("grams")])
+
+
+def _passed_on(asked: pa.Table, told: pa.Table) -> pa.Table:
+    """One part's messages of FAN units and the answer to their sum -> the answer to each unit."""
+    if not asked.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["unit", "part", "value"])
+    answer = told.column("value")[0].as_py()
+    if asked.column("grams")[0].as_py() is None:
+        _, _, codes, lengths = _word_counts(asked)
+        return _answer(asked, np.split(np.frombuffer(answer, "<u8")[codes], np.cumsum(lengths)[:-1]))
+    distinct, value = _grams_of(asked)[0], np.frombuffer(answer, "<f4")
+    return _answer(asked, [value[np.searchsorted(distinct, unpacked(x.as_py(), "<u8", True))] for x in asked.column("grams")])
 
 
 SCORE = "doc_id {id}, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long"
@@ -341,7 +407,7 @@ def _scored(part_count: int):
             each = value[np.searchsorted(grams, got[starts])]
             score[at:to] = np.bincount(doc, weights=each[run_], minlength=to - at)
         vocabulary, h, codes, per = _block_words(lower)
-        counts = in_order((h % _U(part_count)).astype(np.int64), part_count, "<u4").astype(np.float64)
+        counts = in_order((h % _U(part_count)).astype(np.int64), part_count, "<u8").astype(np.float64)
         end = counts[np.flatnonzero(pc.equal(vocabulary, "").to_numpy(zero_copy_only=False))[0]]
         doc, of = np.repeat(np.arange(n), per), counts[codes]
         logs = np.bincount(doc, weights=np.log10(of + 0.5), minlength=n) + np.log10(end + 0.5)
@@ -356,19 +422,27 @@ def score_texts(df: DataFrame, held: Column, ident: str = "doc_id", text: str =
 
     ``held`` is an expression over the id (named doc_id); the other rows train. Nothing is collected but two totals.
     """
-    blocks = common.in_blocks(df, ident, text, block_bytes).withColumn("held_out", held)
+    blocks, total, units = common.in_blocks(df, ident, text, block_bytes)
+    blocks = blocks.withColumn("held_out", held)
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (2 * PART_BYTES)))
-    asked = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts)), MESSAGE)
-    nodes = asked.groupBy("part").applyInArrow(common.lean(_summed), NODE)
+    levels = [blocks.groupBy("block").applyInArrow(common.lean(_ask(parts)), MESSAGE)]
+    group = F.floor(F.col("unit") / FAN).cast("int").alias("group")
+    while units > FAN:
+        levels.append(levels[-1].groupBy("part", group).applyInArrow(common.lean(_combined(FAN)), MESSAGE))
+        units = -(-units // FAN)
+        if len(levels) > 2:  # few and merged: no further step repeats what made them
+            levels[-1] = common.written(levels[-1])
+    nodes = levels[-1].groupBy("part").applyInArrow(common.lean(_summed), NODE)
     # at most 65,280 nodes and one row of totals, whatever the corpus
     nodes = nodes.groupBy("c1", "bit", "prefix").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "kids")])
     names = ("c1", "bit", "prefix", "n0", "n1", "kids")
     one = nodes.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names])
     tops = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2 * parts - 1))))
-    told = asked.groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(common.lean(_answered), ANSWER)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_scored(parts)), SCORE.format(id=kind))
+    told = levels[-1].groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(common.lean(_answered), ANSWER)
+    for level in levels[-2::-1]:
+        told = level.groupBy("part", group).cogroup(told.groupBy("part", F.col("unit").alias("group"))).applyInArrow(common.lean(_passed_on), ANSWER)
+    scored = blocks.groupBy("block").cogroup(told.withColumnRenamed("unit", "block").groupBy("block")).applyInArrow(common.lean(_scored(parts)), SCORE.format(id=kind))
     tokens = nodes.where("c1 < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)).cast("long").alias("train_tokens"), F.coalesce(F.sum("n1"), F.lit(0)).alias("distinct"))
     out = scored.crossJoin(F.broadcast(tokens))  # one row
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("distinct") + 1))
