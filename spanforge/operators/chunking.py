@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import splitters, text
 
-#: A private-use character that splits at computed places.
-MARK = "\uf8ff"
-
 
 def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     """Windows every ``size - overlap`` characters; the first that reaches the end is the last. Blank ones are dropped."""
@@ -27,8 +24,8 @@ def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFr
     return out.where(text.has_content(F.col("chunk_text")))
 
 
-def _mapped(docs: DataFrame, fn: Callable[[str], list[tuple]], extra: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Runs a splitter over every text in Arrow batches; fn gives (start, end, *extra)."""
+def _mapped(docs: DataFrame, fn: Callable[[str], list[tuple]], extra: list[tuple[str, str, pa.DataType]], cut: bool = True) -> DataFrame:
+    """Runs a splitter over every text in Arrow batches; fn gives (start, end, *extra). Without ``cut`` the texts are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", "start long", "end long", "chunk_text string", *(f"{name} {sql}" for name, sql, _ in extra)])
     slim = docs.select("doc_id", "text").where(F.col("text").isNotNull())
@@ -40,7 +37,7 @@ def _mapped(docs: DataFrame, fn: Callable[[str], list[tuple]], extra: list[tuple
                 rows, which = [], []
                 for k, body in enumerate(part.column("text").to_pylist()):
                     for a, b, *more in fn(body):
-                        rows.append((a, b, body[a:b], *more))
+                        rows.append((a, b, body[a:b] if cut else None, *more))
                         which.append(k)
                 types = [pa.int64(), pa.int64(), pa.string(), *(t for _, _, t in extra)]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
@@ -89,16 +86,9 @@ CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixed": fixed_chunks, "recursi
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentence_ix, start, end). Texts without fences stay in the JVM; the rest takes the splitter."""
-    fence = F.col("text").rlike(r"(?m)^[ \t]*(```|~~~)")
-    # each cut becomes a character that no text holds; offsets are running sums of lengths
-    marked = F.regexp_replace("text", r"(?U)([.!?][\"')\]]*\s+)", "$1" + MARK)
-    plain = docs.where(~fence & (F.length("text") > 0)).select("doc_id", F.filter(F.split(marked, MARK, -1), lambda x: F.length(x) > 0).alias("parts"))
-    ends = F.aggregate("parts", F.expr("cast(array(0L) as array<bigint>)"), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    plain = plain.select("doc_id", ends.alias("ends")).select("doc_id", "ends", F.posexplode(F.slice("ends", 2, F.size("ends"))))
-    plain = plain.select("doc_id", F.col("pos").cast("long").alias("sentence_ix"), F.expr("ends[pos]").alias("start"), F.col("col").alias("end"))
-    fenced = _mapped(docs.where(fence), lambda body: [(a, b, k) for k, (a, b) in enumerate(splitters.sentence_spans(body))], [("sentence_ix", "long", pa.int64())])
-    return plain.unionByName(fenced.select("doc_id", "sentence_ix", "start", "end"))
+    """(doc_id, sentence_ix, start, end); one map without an exchange, linear in a document's sentences."""
+    numbered = _mapped(docs, lambda body: [(a, b, k) for k, (a, b) in enumerate(splitters.sentence_spans(body))], [("sentence_ix", "long", pa.int64())], cut=False)
+    return numbered.select("doc_id", "sentence_ix", "start", "end")
 
 
 def buffered_windows(docs: DataFrame, spans: DataFrame, buffer: int) -> DataFrame:

@@ -12,8 +12,8 @@ MIN_QUOTE = 25
 SKIP_PREFIX = ("#", "|", "!!!", "///", "```", "~~~", "CHAPTER", "SECTION", "BOOK", "PART", "FOOTNOTE", "Appendices", "* * *", "---", "===")
 #: Words of the anchor by which a quote finds its documents.
 ANCHOR = 4
-#: A private-use character that splits at computed places.
-MARK = "\uf8ff"
+#: What parts paragraphs.
+GAP = r"\n[ \t]*\n"
 
 
 def resolve_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -99,10 +99,8 @@ def passages(docs: DataFrame, low: int = 300, high: int = 700, blocks: int = 3)
 
     A paragraph that begins with a fence opens or closes one and is dropped with all inside; so are structural ones.
     """
-    # a character that no text holds marks the gaps; their own lengths keep the offsets exact
-    marked = F.regexp_replace("text", r"\n[ \t]*\n", MARK)
-    gaps = F.regexp_extract_all("text", F.lit(r"\n[ \t]*\n"), F.lit(0))
-    raw = docs.select("doc_id", "text", F.split(marked, MARK, -1).alias("parts"), gaps.alias("gaps"))
+    # the gaps' own lengths keep the offsets exact
+    raw = docs.select("doc_id", "text", F.split("text", GAP, -1).alias("parts"), F.regexp_extract_all("text", F.lit(GAP), F.lit(0)).alias("gaps"))
     rows = raw.select("doc_id", "text", "gaps", F.posexplode("parts").alias("ix", "part"))
     w = Window.partitionBy("doc_id").orderBy("ix")
     before = F.coalesce(F.sum(F.length("part") + F.coalesce(F.length(F.get("gaps", F.col("ix"))), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
