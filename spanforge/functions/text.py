@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,14 +64,45 @@ def is_refusal(answer: Column) -> Column:
     return found
 
 
-def judged_score(payload: Column) -> Column:
-    """Score in [0, 1] out of a judge's JSON: the first ``score`` at depth 0 to 2, else null.
+def first_value(document: object, key: str, levels: int = 4) -> object | None:
+    """The first value under ``key``, not null, in nested dicts and lists, the outer before the inner, ``levels`` of them deep.
 
-    Booleans are 1 and 0, a per cent sign goes, 10 and more are per cent, the rest is clamped.
+    A dict that has the key is not searched further.
+    """
+    todo = [(document, levels)]
+    while todo:
+        node, left = todo.pop()
+        inside = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+        if isinstance(node, dict) and key in node:
+            if node[key] is not None:
+                return node[key]
+        elif left > 1:
+            todo += [(child, left - 1) for child in reversed(inside)]
+    return None
+
+
+def score_of(payload: str | None, key: str = "score") -> float | None:
+    """Score in [0, 1] out of a judge's JSON, else null: what stands around the outermost braces is left out if it has to be."""
+    for text in (payload or "", (payload or "")[(payload or "").find("{") :][: (payload or "").rfind("}") - (payload or "").find("{") + 1]):
+        try:
+            found = first_value(json.loads(text), key)
+            break
+        except ValueError:
+            found = None
+    try:
+        value = float(found.strip().rstrip("%") if isinstance(found, str) else found)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    if math.isnan(value):
+        return None
+    return max(0.0, min(1.0, value / 100 if value >= 10 else value))
+
+
+@F.pandas_udf(DoubleType())
+def judged_score(payload: pd.Series) -> pd.Series:
+    """Score in [0, 1] of each judge's reply, else null.
+
+    Booleans are 1 and 0, a per cent sign goes, 10 and more are per cent, the rest is clamped. A search of any nesting cannot be
+    written as paths, so replies are parsed in batches.
     """
-    json = F.try_parse_json(payload)
-    raw = F.coalesce(*[F.try_variant_get(json, path, "string") for path in ("$.score", "$.response.score", "$.result.score", "$.result.judgement.score")])
-    text = F.regexp_replace(strip(raw), "%+$", "")
-    value = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
-    scaled = F.when(value >= 10, value / 100).otherwise(value)
-    return F.when(scaled.isNotNull() & ~F.isnan(scaled), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+    return pd.Series([score_of(p) for p in payload], dtype=object)

@@ -21,12 +21,17 @@ def pair_scores(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def align(ranked: DataFrame, truth: DataFrame, mode: str = "coverage", by: tuple = ()) -> DataFrame:
-    """(by, qid, span_ix, rank, overlap, chunk_len): every ranked row of a question with every span of it."""
+    """(by, qid, span_ix, rank, overlap, chunk_len): every ranked row of a question with every span of it.
+
+    The questions are those of the truth: one without ranked rows keeps its spans, with rank null and overlap 0, under each
+    configuration that ranks anything, so that every reduction counts it.
+    """
     t = truth.select("qid", "span_ix", F.col("doc_id").alias("t_doc"), F.col("start").alias("t1"), F.col("end").alias("t2"))
-    both = ranked.join(t, "qid")
+    asked = ranked.select(*by).distinct().crossJoin(t) if by else t
+    both = asked.join(ranked.select(*by, "qid", "rank", "doc_id", "start", "end"), [*by, "qid"], "left")
     shared = F.when(F.col("doc_id") == F.col("t_doc"), overlap_chars(F.col("start"), F.col("end"), F.col("t1"), F.col("t2"))).otherwise(F.lit(0).cast("long"))
     size = F.col("end") - F.col("start")
-    return both.select(*by, "qid", "span_ix", "rank", overlap_score(mode, shared, size, F.col("t2") - F.col("t1")).alias("overlap"), size.alias("chunk_len"))
+    return both.select(*by, "qid", "span_ix", "rank", F.coalesce(overlap_score(mode, shared, size, F.col("t2") - F.col("t1")), F.lit(0.0)).alias("overlap"), size.alias("chunk_len"))
 
 
 def scores(aligned: DataFrame, by: tuple = ()) -> DataFrame:
@@ -53,7 +58,8 @@ def span_recall(aligned: DataFrame, k: int | None, tau: float, by: tuple = ()) -
 
 
 def chars_retrieved(ranked: DataFrame, k: int | None, by: tuple = ()) -> DataFrame:
-    """(by, qid, chars): summed over ranked rows, not over aligned pairs, which repeat a row for each span."""
+    """(by, qid, chars): summed over ranked rows, not over aligned pairs, which repeat a row for each span; a question without
+    rows has none."""
     inside = (F.col("rank") <= k) if k else F.lit(True)
     return ranked.groupBy(*by, "qid").agg(F.coalesce(F.sum(F.when(inside, F.col("end") - F.col("start"))), F.lit(0)).cast("long").alias("chars"))
 
@@ -81,9 +87,10 @@ def per_question(aligned: DataFrame, reach: DataFrame, k: int = 10, tau: float =
 
 
 def ndcg(aligned: DataFrame, k: int, by: tuple = ()) -> DataFrame:
-    """(by, qid, ndcg): gains are raw overlaps, the ideal is the same list in falling order; 0 without gain."""
-    got = scores(aligned, by).where(F.col("rank") <= k)
-    w = Window.partitionBy(*by, "qid")
+    """(by, qid, ndcg): gains are raw overlaps, the ideal is the same list in falling order; 0 without gain or rows."""
+    got = scores(aligned, by).withColumn("inside", F.coalesce(F.col("rank") <= k, F.lit(False)))
+    w = Window.partitionBy(*by, "qid", "inside")
     both = got.withColumn("here", F.row_number().over(w.orderBy("rank"))).withColumn("ideal", F.row_number().over(w.orderBy(F.col("score").desc(), "rank")))
-    sums = both.groupBy(*by, "qid").agg(F.sum(F.col("score") / F.log2(F.col("here") + 1)).alias("dcg"), F.sum(F.col("score") / F.log2(F.col("ideal") + 1)).alias("best"))
+    gain = lambda place: F.sum(F.when(F.col("inside"), F.col("score") / F.log2(F.col(place) + 1)))
+    sums = both.groupBy(*by, "qid").agg(gain("here").alias("dcg"), gain("ideal").alias("best"))
     return sums.select(*by, "qid", F.round(F.coalesce(F.try_divide("dcg", F.nullif("best", F.lit(0.0))), F.lit(0.0)), 9).alias("ndcg"))

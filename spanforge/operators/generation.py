@@ -35,10 +35,12 @@ def overlap_columns(rows: DataFrame, answer: str = "answer", gold: str = "gold",
     return out.drop("_a", "_g", "_o")
 
 
-def extractive_answers(ranked: DataFrame, chunks: DataFrame, most: int = ANSWER_CHARS) -> DataFrame:
-    """(qid, answer): the first chunk, stripped and cut."""
+def extractive_answers(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, most: int = ANSWER_CHARS) -> DataFrame:
+    """(qid, answer) of every question: the first chunk, stripped and cut; empty, which is a refusal, where nothing was retrieved."""
     first = ranked.where("rank = 1").select("qid", "doc_id", "start", "end")
-    return first.join(chunks.select("doc_id", "start", "end", "chunk_text"), ["doc_id", "start", "end"]).select("qid", F.substring(text.strip(F.col("chunk_text")), 1, most).alias("answer"))
+    found = first.join(chunks.select("doc_id", "start", "end", "chunk_text"), ["doc_id", "start", "end"])
+    found = found.select("qid", F.substring(text.strip(F.col("chunk_text")), 1, most).alias("answer"))
+    return questions.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
 def prompts(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, most: int = PROMPT_CHARS) -> DataFrame:

@@ -17,7 +17,8 @@ def parameters(spark: SparkSession, ks: tuple = KS, taus: tuple = TAUS) -> DataF
 def metric_cube(ranked: DataFrame, truth: DataFrame, ks: tuple = KS, taus: tuple = TAUS, by: tuple = ()) -> DataFrame:
     """(by, k, tau, n_questions, hit_at_k, recall_at_k, mrr, ndcg_at_k, soft_score, mean_chars_retrieved, unanswered).
 
-    One alignment serves all cells: per question and cell come conditional aggregates of the same rows.
+    One alignment serves all cells: per question and cell come conditional aggregates of the same rows. Questions without ranked
+    rows count as unanswered.
     """
     spark = ranked.sparkSession
     cells = F.broadcast(parameters(spark, ks, taus))
@@ -27,14 +28,15 @@ def metric_cube(ranked: DataFrame, truth: DataFrame, ks: tuple = KS, taus: tuple
     pick = lambda name: F.coalesce(*[F.when(F.col("k") == k, F.col(f"{name}{k}")) for k in ks])
     recall = spans.crossJoin(cells).withColumn("b", pick("b")).groupBy(*by, "qid", "k", "tau").agg(F.avg((F.col("b") >= F.col("tau")).cast("double")).alias("recall"), F.avg("b").alias("soft"))
     per_rank = alignment.scores(aligned, by)
-    hits = per_rank.crossJoin(cells).where(F.col("rank") <= F.col("k")).groupBy(*by, "qid", "k", "tau").agg(F.min(F.when(F.col("score") >= F.col("tau"), F.col("rank"))).alias("first"))
+    hit = (F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("tau"))
+    hits = per_rank.crossJoin(cells).groupBy(*by, "qid", "k", "tau").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
     gains = None
     for k in ks:
         part = alignment.ndcg(aligned, k, by).withColumn("k", F.lit(k).cast("long"))
         gains = part if gains is None else gains.unionByName(part)
     chars = ranked.groupBy(*by, "qid").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("end") - F.col("start"))).alias(f"c{k}") for k in ks])
     key = [*by, "qid", "k"]
-    rows = recall.join(hits, [*key, "tau"]).join(gains, key).join(chars, [*by, "qid"]).withColumn("chars", pick("c"))
+    rows = recall.join(hits, [*key, "tau"]).join(gains, key).join(chars, [*by, "qid"], "left").withColumn("chars", F.coalesce(pick("c"), F.lit(0)))
     r9 = lambda c, name: F.round(c, 9).alias(name)
     return rows.groupBy(*by, "k", "tau").agg(
         F.count(F.lit(1)).alias("n_questions"), r9(F.avg(F.col("first").isNotNull().cast("double")), "hit_at_k"), r9(F.avg("recall"), "recall_at_k"),
@@ -49,9 +51,11 @@ def draw_index(seed: int, iteration: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
-def bootstrap(values: DataFrame, value: str, by: tuple = (), iterations: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap(values: DataFrame, value: str, by: tuple = (), iterations: int = 2000, confidence: float = 0.95, seed: int = 0, least: int = 1) -> DataFrame:
     """(by, n, point, low, high) of the mean of ``value`` over questions resampled with replacement.
 
+    Under ``least`` values the interval is the point itself.
+
     Values (by, qid, value) become one array a configuration, bounded by the questions; each iteration folds draws from
     it inside one row, so nothing is joined and iterations spread over tasks.
     """
@@ -65,14 +69,16 @@ def bootstrap(values: DataFrame, value: str, by: tuple = (), iterations: int = 2
     placed = means.withColumn("at", F.row_number().over(w) - 1)
     alpha = (1.0 - confidence) / 2.0
     low, high = int(alpha * (iterations - 1)), int((1.0 - alpha) * (iterations - 1))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("sum") / F.col("n")), 9).alias("point"), F.max(F.when(F.col("at") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("high"))
+    out = placed.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("sum") / F.col("n")), 9).alias("point"), F.max(F.when(F.col("at") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("high"))
+    bound = lambda c: F.when(F.col("n") < least, F.col("point")).otherwise(F.col(c)).alias(c)
+    return out.select(*by, "n", "point", bound("low"), bound("high"))
 
 
 def indistinguishable(intervals: DataFrame, key: str) -> DataFrame:
     """(a, b, tied) for each pair of configurations: tied if their intervals overlap."""
     a = intervals.select(F.col(key).alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
     b = intervals.select(F.col(key).alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # one row a configuration
+    pairs = a.join(b, F.col("a") < F.col("b"))  # one row a configuration; all pairs are what is asked for
     return pairs.select("a", "b", (~((F.col("a_high") < F.col("b_low")) | (F.col("b_high") < F.col("a_low")))).alias("tied"))
 
 

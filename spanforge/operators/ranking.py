@@ -6,6 +6,10 @@ soft, chars, latency_ms. Axes compare chunkers with their parameters, so that tw
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,23 +40,55 @@ def candidates(runs: DataFrame, metrics: DataFrame, qa_file: str, corpus: str, k
     return latest(mine).join(cell, ["run_id", "config_id"], "left")
 
 
+def frontier(points: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct points (all axes better high) that no other matches on all axes and beats on one.
+
+    In falling order of their sums no point can beat one before it: each block meets the frontier so far, then itself.
+    """
+    order = np.lexsort((*points.T[::-1], -points.sum(1)))
+    held = np.zeros(0, np.int64)
+    for at in range(0, len(order), 512):
+        block = order[at : at + 512]
+        for against in (held, block):
+            p, o = points[block], points[against]
+            beaten = np.zeros(len(block), bool)
+            for low in range(0, len(o), 4096):
+                some = o[low : low + 4096]
+                beaten |= ((some[None] >= p[:, None]).all(2) & (some[None] > p[:, None]).any(2)).any(1)
+            block = block[~beaten]
+        held = np.concatenate([held, block])
+    return held
+
+
 def pareto(rows: DataFrame, ident: str = "config_id", better_high: tuple = ("quality",), better_low: tuple = ("latency_ms", "chars")) -> DataFrame:
-    """Rows that no other row matches on all axes and beats on one; equal rows all stay.
+    """Rows that no other row matches on all axes and beats on one; equal rows all stay, and rows with a null axis.
 
-    Only distinct points compare, and only the best on the last axis among those equal on the others can dominate: the
-    rest is thinned out by a running best within each value of the first axis before the pairwise test.
+    Each task keeps the frontier of its distinct points, eight tasks the frontiers of these, one task that of the eight: points
+    are never paired by a join, and what is gathered is no larger than eight frontiers.
     """
     axes = [*better_high, *better_low]
-    high = lambda c: F.col(c) if c in better_high else -F.col(c)
-    points = rows.select(*[high(c).cast("double").alias(f"_{c}") for c in axes]).distinct()
-    first, *middle = [f"_{c}" for c in axes]
-    group = points.groupBy(*[f"_{c}" for c in axes[:-1]]).agg(F.max(f"_{axes[-1]}").alias(f"_{axes[-1]}"))
-    o = group.select(*[F.col(c).alias(f"o{c}") for c in group.columns])
-    no_worse = strict = None
-    for c in axes:
-        ge, gt = F.col(f"o_{c}") >= high(c), F.col(f"o_{c}") > high(c)
-        no_worse, strict = (ge, gt) if no_worse is None else (no_worse & ge, strict | gt)
-    return rows.join(o, no_worse & strict, "left_anti")
+    names = [f"_axis{k}" for k in range(len(axes))]
+    sign = [1.0 if c in better_high else -1.0 for c in axes]
+    given = [(F.col(c).cast("double") * s).alias(n) for c, s, n in zip(axes, sign, names, strict=True)]
+    points = rows.select(*given).dropna().distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(names)))
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
+            held = held[frontier(held)]
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(len(names))], names)
+
+    schema = ", ".join(f"{n} double" for n in names)
+    points = points.mapInArrow(run, schema)
+    for tasks in (8, 1):
+        points = points.repartition(tasks).mapInArrow(run, schema)
+    same = None
+    for c, s, n in zip(axes, sign, names, strict=True):
+        here = F.col(c).cast("double") * s == F.col(n)
+        same = here if same is None else same & here
+    lacking = rows.where(" OR ".join(f"`{c}` IS NULL" for c in axes))
+    return rows.join(points, same, "left_semi").unionByName(lacking)
 
 
 def skyline(rows: DataFrame, best_high: str, best_low: str) -> DataFrame:
@@ -64,19 +100,23 @@ def skyline(rows: DataFrame, best_high: str, best_low: str) -> DataFrame:
     return rows.join(front, (F.col(best_low) == F.col("_x")) & (F.col(best_high) == F.col("_y")), "left_semi")
 
 
-def norm(value: Column, lower_is_better: bool = False) -> Column:
-    """Min-max over all rows; 1 for all where the range is nil."""
-    whole = Window.partitionBy()
-    low, high = F.min(value).over(whole), F.max(value).over(whole)
+def norm(value: Column, low: Column, high: Column, lower_is_better: bool = False) -> Column:
+    """Min-max between two bounds; 1 where the range is nil."""
     scaled = (value - low) / F.nullif(high - low, F.lit(0.0))
     return F.when(high - low < 1e-12, F.lit(1.0)).otherwise(1.0 - scaled if lower_is_better else scaled)
 
 
 def weighted(rows: DataFrame, quality_w: float = 0.7, latency_w: float = 0.2, context_w: float = 0.1, normalise: bool = False, ident: str = "config_id") -> DataFrame:
-    """Adds score and position; latency counts by its logarithm. Ties go by the identifier."""
+    """Adds score and position; latency counts by its logarithm. Ties go by the identifier.
+
+    Bounds come from one aggregate, a single row; only the positions need one order of all rows, one a configuration.
+    """
     total = max(quality_w + latency_w + context_w, 1e-9) if normalise else 1.0
-    parts = quality_w * norm(F.col("quality")) + latency_w * norm(F.log10(F.greatest(F.col("latency_ms"), F.lit(0.01))), True) + context_w * norm(F.col("chars"), True)
-    scored = rows.withColumn("score", F.round(parts / total, 9))
+    axes = {"quality": F.col("quality"), "latency": F.log10(F.greatest(F.col("latency_ms"), F.lit(0.01))), "chars": F.col("chars")}
+    bounds = rows.agg(*[f(c).alias(f"_{name}_{f.__name__}") for name, c in axes.items() for f in (F.min, F.max)])
+    scaled = {name: norm(c, F.col(f"_{name}_min"), F.col(f"_{name}_max"), name != "quality") for name, c in axes.items()}
+    parts = quality_w * scaled["quality"] + latency_w * scaled["latency"] + context_w * scaled["chars"]
+    scored = rows.crossJoin(F.broadcast(bounds)).withColumn("score", F.round(parts / total, 9)).drop(*bounds.columns)  # one row
     return scored.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), ident)).cast("long"))
 
 
@@ -145,6 +185,24 @@ def transfer(rows: DataFrame) -> DataFrame:
 
 
 def field_deltas(rows: DataFrame, axes: tuple = ("mrr", "latency_ms", "chars"), ident: str = "config_id") -> DataFrame:
-    """(ident, <axis>_delta): relative distance of each row from the mean of the field."""
-    whole = Window.partitionBy()
-    return rows.select(ident, *[F.round(F.try_divide(F.col(a) - F.avg(a).over(whole), F.nullif(F.avg(a).over(whole), F.lit(0.0))), 9).alias(f"{a}_delta") for a in axes])
+    """(ident, <axis>_delta): relative distance of each row from the mean of the field, which is one aggregated row."""
+    means = rows.agg(*[F.avg(a).alias(f"_{a}_mean") for a in axes])
+    delta = lambda a: F.round(F.try_divide(F.col(a) - F.col(f"_{a}_mean"), F.nullif(F.col(f"_{a}_mean"), F.lit(0.0))), 9).alias(f"{a}_delta")
+    return rows.crossJoin(F.broadcast(means)).select(ident, *[delta(a) for a in axes])
+
+
+def family_counts(rows: DataFrame, families: DataFrame, family: str = "chunker") -> DataFrame:
+    """(family, n, best_mrr): every family, also those without a candidate."""
+    per = rows.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("mrr"), 9).alias("best_mrr"))
+    return families.select(family).distinct().join(per, family, "left").select(family, F.coalesce("n", F.lit(0)).alias("n"), "best_mrr")
+
+
+def scatter(rows: DataFrame, intervals: DataFrame, ident: str = "config_id") -> DataFrame:
+    """(ident, label, quality, latency_ms, chars, half_width, on_frontier): what a chart of candidates shows.
+
+    ``intervals`` has (ident, low, high); half_width is null without one.
+    """
+    best = pareto(rows, ident).select(ident, F.lit(True).alias("on_frontier"))
+    half = intervals.select(ident, F.round((F.col("high") - F.col("low")) / 2, 9).alias("half_width"))
+    out = rows.join(half, ident, "left").join(best, ident, "left")
+    return out.select(ident, "label", "quality", "latency_ms", "chars", "half_width", F.coalesce("on_frontier", F.lit(False)).alias("on_frontier"))

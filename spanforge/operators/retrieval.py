@@ -20,8 +20,10 @@ from spanforge.functions import text
 K1, B, FLOOR, RRF_K, POOL, RERANK_POOL = 1.5, 0.75, 0.25, 60, 50, 30
 #: Bytes of query vectors that travel with a function; beyond, queries go in slices.
 QUERY_BYTES = 32 << 20
-#: Distinct question tokens, and questions, that travel with a function: the matrix over both takes 80 MB at most.
-VOCABULARY, QUESTIONS = 5_000, 2_000
+#: Bytes of the matrix of question tokens by questions that travels with a function.
+MATRIX_BYTES = 80 << 20
+#: Bytes of query vectors that the driver holds at once.
+HELD_BYTES = 256 << 20
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -74,15 +76,14 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool = True, k1: float = K1, b: float = B, idf: DataFrame | None = None) -> DataFrame:
     """Okapi ranking by score, then document order. ``zero_fill`` also ranks chunks without a common token, with score 0.
 
-    Up to ``QUESTIONS`` questions over ``VOCABULARY`` tokens travel to the chunks: a batch of chunks becomes a matrix over the
-    questions' vocabulary, one product scores all pairs, and each batch keeps k rows a question. Pairs never become rows.
-    A larger set of questions is joined with the postings instead.
+    Questions whose weights by token fill ``MATRIX_BYTES`` at most travel to the chunks: a batch of chunks becomes a matrix over
+    the tokens that it shares with them, one product scores all pairs, and each batch keeps k rows a question. Pairs never
+    become rows. A larger set of questions is joined with the postings instead, with the same result.
     """
     idf = weights(chunks) if idf is None else idf
     wanted = question_tokens(questions).join(idf, "tok")
     ids = questions.select("qid").distinct()
-    size = wanted.agg(F.count_distinct("tok").alias("v"), F.count_distinct("qid").alias("q")).first()
-    if size["v"] > VOCABULARY or ids.count() > QUESTIONS:
+    if 8 * wanted.select("tok").distinct().count() * ids.count() > MATRIX_BYTES:
         return _bm25_joined(chunks, ids, wanted, k, zero_fill, k1, b)
     avgdl = corpus_size(chunks).first()["avgdl"] or 1.0
     qids = [r.qid for r in ids.orderBy("qid").collect()]
@@ -106,13 +107,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool =
                 column = pc.index_in(lists.flatten(), value_set=known)
                 row = np.repeat(np.arange(batch.num_rows), dl.astype(np.int64))
                 hit = pc.is_valid(column).to_numpy(zero_copy_only=False)
-                cell = row[hit] * len(vocabulary) + column.filter(pa.array(hit)).to_numpy(zero_copy_only=False)
-                tf = np.bincount(cell, minlength=batch.num_rows * len(vocabulary)).reshape(batch.num_rows, -1).astype(np.float64)
-                scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix, 9).T
+                used, at_token = np.unique(column.filter(pa.array(hit)).to_numpy(zero_copy_only=False), return_inverse=True)
+                tf = np.bincount(row[hit] * len(used) + at_token, minlength=batch.num_rows * len(used)).reshape(batch.num_rows, -1).astype(np.float64)
+                scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix[used], 9).T
                 # rows stand in document order, so a stable sort settles ties as the final order does
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 q, c = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
-                met = ((tf > 0).astype(np.float64) @ (matrix != 0)).T[q, c] > 0
+                met = ((tf > 0).astype(np.float64) @ (matrix[used] != 0)).T[q, c] > 0
                 keep = np.ones(len(q), bool) if zero_fill else met
                 q, c = q[keep], c[keep]
                 yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in key), pa.array(scores[q, c])], ["qid", *key, "score"])
@@ -145,23 +146,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
     """Exact cosine top-k of unit vectors: (qid, rank, *ident, score).
 
     ``queries`` has (qid, vector), a stated set; every partition of ``vectors`` (ident, vector) is multiplied with it in numpy
-    and keeps k rows a query, so only k rows a query and batch leave a task. Queries pass through the driver and travel in
-    slices of ``QUERY_BYTES``; a set that the driver cannot hold is for the caller to split.
+    and keeps k rows a query, so only k rows a query and batch leave a task. Queries travel in slices of ``QUERY_BYTES``; the
+    driver reads them in parts, dealt by a hash of their ids, of ``HELD_BYTES`` about.
     """
     ident = ident or ["vec_id"]
-    rows = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).orderBy("qid").collect()
-    if not rows:
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if not size["n"]:
         return vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), F.lit(0).cast("long").alias("rank"), *ident, F.lit(0.0).alias("score"))
-    step = max(1, QUERY_BYTES // (8 * max(1, len(rows[0].vector))))
+    step = max(1, QUERY_BYTES // (8 * max(1, size["dims"])))
+    parts = -(-8 * size["n"] * max(1, size["dims"]) // HELD_BYTES)
     kind, qid_type = queries.schema["qid"].dataType.simpleString(), to_arrow_type(queries.schema["qid"].dataType)
     schema = ", ".join([f"qid {kind}", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ident), "score double"])
     slim = vectors.select(*ident, F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    for at in range(0, len(rows), step):
-        part = rows[at : at + step]
-        ids, matrix = [r.qid for r in part], np.array([r.vector for r in part], np.float64)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+    def against(ids: list, matrix: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -174,8 +174,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
                 q, c = np.nonzero(scores >= floor - 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in ident), pa.array(scores[q, c])], ["qid", *ident, "score"])
 
-        found = slim.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        return slim.mapInArrow(run, schema)
+
+    out = None
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            found = against([r.qid for r in some], np.array([r.vector for r in some], np.float64))
+            out = found if out is None else out.unionByName(found)
     scored = out.withColumn("score", F.round("score", 9))
     if exclude_self:
         scored = scored.where(F.col("qid") != F.col(ident[0]))

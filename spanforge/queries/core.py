@@ -31,8 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text), dealt to all cores: a single file may be a single row group."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """(doc_id, text) as the scan splits it; dealt anew only where it gives fewer splits than there are cores (a small file is one
+    row group), which no large table does."""
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,31 +298,33 @@ def per_question_reach(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval
 
-#: Document frequency from which a token of a quote goes into its question: common words make questions that tell apart.
-COMMON = 200
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, token weights, questions), kept: several operators of one query read them."""
+    """(chunks, token weights, questions), kept: several operators of one query read them. The question is the whole quote."""
     chunks = chunking.fixed_chunks(documents(spark, sf_dir), 300, 50)
     chunks = chunks.withColumn("toks", T.lexical_tokens(F.col("chunk_text"))).persist()
-    idf = retrieval.weights(chunks).persist()
-    common = idf.where(F.col("df") >= COMMON)
-    asked = quotes(spark, sf_dir).join(spans(spark, sf_dir).select(F.col("qid").alias("item_id")).distinct(), "item_id")
-    toks = asked.select(F.col("item_id").alias("qid"), F.posexplode(T.lexical_tokens(F.col("quote"))).alias("pos", "tok")).join(common.select("tok"), "tok")
-    questions = toks.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("question"))
-    return chunks, idf, questions.persist()
-
-
-BM25 = f"""post AS (SELECT doc_id, "start", "end", tok, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, "start", "end", len(toks) AS dl, unnest(toks) AS tok FROM (SELECT *, {LEX.format('chunk_text')} AS toks FROM chunks)) GROUP BY ALL),
-    stats AS (SELECT count(*) AS n, avg(len({LEX.format('chunk_text')})) AS avgdl FROM chunks),
-    raw AS (SELECT tok, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, stats GROUP BY tok, n),
-    idf AS (SELECT tok, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-    qtok AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT t.qid, unnest({LEX.format('b.text')}) AS tok FROM benchmark b JOIN (SELECT DISTINCT qid FROM truth) t ON b.item_id = t.qid) WHERE tok IN (SELECT tok FROM idf WHERE df >= {COMMON}) GROUP BY 1, 2),
-    hit AS (SELECT qid, doc_id, "start", "end", round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN qtok USING (tok) JOIN idf USING (tok), stats GROUP BY 1, 2, 3, 4),
-    scored AS (SELECT * FROM hit UNION ALL SELECT q.qid, f.doc_id, f."start", f."end", 0.0 FROM (SELECT DISTINCT qid FROM qtok) q, (SELECT doc_id, "start", "end" FROM chunks ORDER BY ALL LIMIT 200) f
-        WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.qid = q.qid AND h.doc_id = f.doc_id AND h."start" = f."start")),
-    lexical AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, "start") AS rank, doc_id, "start", "end", score FROM scored QUALIFY rank <= 50)"""
+    return chunks, retrieval.weights(chunks).persist(), asked(spark, sf_dir)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, question): the whole quotes of all items whose evidence stands in some document."""
+    found = spans(spark, sf_dir).select(F.col("qid").alias("item_id")).distinct()
+    return quotes(spark, sf_dir).join(found, "item_id").select(F.col("item_id").alias("qid"), F.col("quote").alias("question")).persist()
+
+
+def bm25_sql(mark: str = "", k: int = 50) -> str:
+    """Common tables of the lexical ranking of chunks{mark} for all questions; qtok is shared."""
+    return f"""post{mark} AS (SELECT doc_id, "start", "end", tok, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, "start", "end", len(toks) AS dl, unnest(toks) AS tok FROM (SELECT *, {LEX.format('chunk_text')} AS toks FROM chunks{mark})) GROUP BY ALL),
+    stats{mark} AS (SELECT count(*) AS n, avg(len({LEX.format('chunk_text')})) AS avgdl FROM chunks{mark}),
+    raw{mark} AS (SELECT tok, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post{mark}, stats{mark} GROUP BY tok, n),
+    idf{mark} AS (SELECT tok, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw{mark}) ELSE r END AS idf FROM raw{mark}),
+    hit{mark} AS (SELECT qid, doc_id, "start", "end", round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post{mark} JOIN qtok USING (tok) JOIN idf{mark} USING (tok), stats{mark} GROUP BY 1, 2, 3, 4),
+    scored{mark} AS (SELECT * FROM hit{mark} UNION ALL SELECT q.qid, f.doc_id, f."start", f."end", 0.0 FROM (SELECT DISTINCT qid FROM qtok) q, (SELECT doc_id, "start", "end" FROM chunks{mark} ORDER BY ALL LIMIT 200) f
+        WHERE NOT EXISTS (SELECT 1 FROM hit{mark} h WHERE h.qid = q.qid AND h.doc_id = f.doc_id AND h."start" = f."start")),
+    lexical{mark} AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, "start") AS rank, doc_id, "start", "end", score FROM scored{mark} QUALIFY rank <= {k})"""
+
+
+QTOK = f"""qtok AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT t.qid, unnest({LEX.format('b.text')}) AS tok FROM benchmark b JOIN (SELECT DISTINCT qid FROM truth) t ON b.item_id = t.qid) GROUP BY 1, 2)"""
+BM25 = f"{QTOK}, {bm25_sql()}"
 HEAD = f"WITH {fixed_sql(300, 50)}, {TRUTH}, {BM25}"
 RANKED = 'ranked AS (SELECT * FROM lexical WHERE rank <= 10)'
 
@@ -437,6 +441,20 @@ def metric_cube(spark, sf_dir):
     return metrics.metric_cube(*flow(spark, sf_dir))
 
 
+GAPS = f"{HEAD}, ranked AS (SELECT * FROM lexical WHERE rank <= 10 AND qid % 3 <> 0), {ALIGNED}"
+
+
+@query(f"""{GAPS}, {CUBE}, every AS (SELECT qid, span_ix, k, tau FROM truth, cells), q AS (SELECT DISTINCT qid, k, tau FROM every),
+        rec AS (SELECT e.qid, e.k, e.tau, avg(CASE WHEN coalesce(s.b, 0) >= e.tau THEN 1.0::DOUBLE ELSE 0 END) AS recall, avg(coalesce(s.b, 0)) AS soft FROM every e LEFT JOIN sb s USING (qid, span_ix, k, tau) GROUP BY 1, 2, 3)
+    SELECT q.k, q.tau, count(*)::BIGINT AS n_questions, round(avg(CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1 END), 9) AS hit_at_k, round(avg(recall), 9) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr,
+        round(avg(coalesce(ndcg, 0)), 9)::DOUBLE AS ndcg_at_k, round(avg(soft), 9) AS soft_score, round(avg(coalesce(chars, 0)), 9) AS mean_chars_retrieved, count(*) FILTER (WHERE first IS NULL)::BIGINT AS unanswered
+    FROM q JOIN rec USING (qid, k, tau) LEFT JOIN firsts USING (qid, k, tau) LEFT JOIN chars USING (qid, k, tau) LEFT JOIN gains USING (qid, k) GROUP BY 1, 2""")
+def metric_cube_gaps(spark, sf_dir):
+    """A third of the questions retrieve nothing: they count as unanswered, with recall and gain 0."""
+    ranked, spans_ = flow(spark, sf_dir)
+    return metrics.metric_cube(ranked.where("qid % 3 <> 0"), spans_)
+
+
 RECORDS = f"""{PAIRS}, {REACH}, first5 AS (SELECT qid, min(CASE WHEN score >= 0.5 THEN rank END) AS rank FROM best GROUP BY qid),
     sb10 AS (SELECT qid, span_ix, max(overlap) AS b FROM aligned GROUP BY 1, 2),
     records AS (SELECT f.qid, f.rank, round(r.reachable, 4) AS reachable, round(r.m, 4) AS max_achievable, round(s.b, 4) AS best_coverage, round(s.soft, 4) AS soft FROM first5 f
@@ -456,15 +474,15 @@ def per_question_records(spark, sf_dir):
 
 BOOT = """firsts10 AS (SELECT qid, coalesce(1.0::DOUBLE / min(CASE WHEN score >= 0.5 THEN rank END), 0) AS rr FROM best GROUP BY qid),
     arr AS (SELECT list(rr ORDER BY qid) AS vs, count(*) AS n FROM firsts10),
-    draws AS (SELECT it, round(avg(vs[1 + (('0x' || substr(md5('0:' || it || ':' || slot), 1, 8))::BIGINT % n)]), 9) AS m FROM arr, range(0, 500) t(it), (SELECT unnest(range(0, n)) AS slot FROM arr) GROUP BY it),
+    draws AS (SELECT it, round(avg(vs[1 + (('0x' || substr(md5('0:' || it || ':' || slot), 1, 8))::BIGINT % n)]), 9) AS m FROM arr, range(0, 2000) t(it), (SELECT unnest(range(0, n)) AS slot FROM arr) GROUP BY it),
     placed_ AS (SELECT m, row_number() OVER (ORDER BY m, it) - 1 AS p FROM draws)"""
 
 
-@query(f"{FLOW}, {BOOT} SELECT (SELECT n FROM arr)::BIGINT AS n, (SELECT round(avg(rr), 9) FROM firsts10) AS point, max(CASE WHEN p = 12 THEN m END) AS low, max(CASE WHEN p = 486 THEN m END) AS high FROM placed_")
+@query(f"{FLOW}, {BOOT} SELECT (SELECT n FROM arr)::BIGINT AS n, (SELECT round(avg(rr), 9) FROM firsts10) AS point, max(CASE WHEN p = 49 THEN m END) AS low, max(CASE WHEN p = 1949 THEN m END) AS high FROM placed_")
 def bootstrap_mrr_ci(spark, sf_dir):
-    """500 resamples of the questions; places 12 and 486 bound 95 per cent."""
+    """2,000 resamples of the questions; places 49 and 1949 bound 95 per cent."""
     hits = alignment.first_hits(alignment.align(*flow(spark, sf_dir)), 10, 0.5)
-    return metrics.bootstrap(hits.withColumn("rr", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), "rr", iterations=500)
+    return metrics.bootstrap(hits.withColumn("rr", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), "rr")
 
 
 @query("""WITH c AS (SELECT p_brand AS config, avg(p_retailprice) - 2 * stddev_pop(p_retailprice) / sqrt(count(*)) AS low, avg(p_retailprice) + 2 * stddev_pop(p_retailprice) / sqrt(count(*)) AS high FROM part GROUP BY 1)
@@ -475,6 +493,14 @@ def ci_indistinguishable(spark, sf_dir):
     return metrics.indistinguishable(rows, "config")
 
 
+@query("""SELECT o_custkey, count(*)::BIGINT AS n, round(avg(o_totalprice), 6) AS point, round(avg(o_totalprice), 6) AS low, round(avg(o_totalprice), 6) AS high FROM orders GROUP BY 1 HAVING count(*) < 6""")
+def bootstrap_degenerate(spark, sf_dir):
+    """Customers of less than six orders: no resampling, the interval is the mean."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("qid"), F.col("o_totalprice").cast("double").alias("v"))
+    got = metrics.bootstrap(rows, "v", ("o_custkey",), iterations=40, least=6).where("n < 6")
+    return got.select("o_custkey", "n", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
+
+
 @query("""WITH x AS (SELECT event_type, value, CASE WHEN event_type = 'click' THEN 1.0 ELSE user_id END::DOUBLE AS u FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL)
     SELECT event_type, count(*)::BIGINT AS n, CASE WHEN count(*) >= 3 AND stddev_pop(value) * stddev_pop(u) > 0 THEN round(covar_pop(value, u) / (stddev_pop(value) * stddev_pop(u)), 9) END AS r FROM x GROUP BY 1""")
 def pearson_guarded(spark, sf_dir):
@@ -607,6 +633,23 @@ def field_deltas(spark, sf_dir):
     return ranking.field_deltas(candidate_rows(spark, sf_dir))
 
 
+@query(f"""WITH {CANDIDATES} SELECT f.chunker, count(c.config_id)::BIGINT AS n, round(max(c.mrr), 9) AS best_mrr FROM (SELECT DISTINCT p_brand AS chunker FROM part UNION SELECT 'none') f
+    LEFT JOIN (SELECT * FROM cq WHERE n_chunks > 40) c USING (chunker) GROUP BY 1""")
+def family_counts(spark, sf_dir):
+    """Families of chunkers with the candidates of over 40 chunks; one family has none."""
+    rows = candidate_rows(spark, sf_dir)
+    families = rows.select("chunker").unionByName(spark.createDataFrame([("none",)], "chunker string"))
+    return ranking.family_counts(rows.where("n_chunks > 40"), families)
+
+
+@query(f"""WITH {CANDIDATES} SELECT config_id, label, quality, latency_ms, chars, CASE WHEN config_id % 3 = 0 THEN round(hit / 2, 9) END AS half_width,
+        NOT EXISTS (SELECT 1 FROM cq o WHERE o.quality >= c.quality AND o.latency_ms <= c.latency_ms AND o.chars <= c.chars AND (o.quality > c.quality OR o.latency_ms < c.latency_ms OR o.chars < c.chars)) AS on_frontier FROM cq c""")
+def candidate_scatter(spark, sf_dir):
+    """Every candidate with the half width of its interval, where it has one, and whether it is on the frontier."""
+    rows = candidate_rows(spark, sf_dir)
+    return ranking.scatter(rows, rows.where("config_id % 3 = 0").select("config_id", F.lit(0.0).alias("low"), F.col("hit").alias("high")))
+
+
 @query("""WITH authored AS (SELECT DISTINCT o_orderpriority AS corpus, o_orderstatus AS qa_file FROM orders), runs AS (SELECT DISTINCT o_orderpriority AS corpus, o_orderstatus AS qa_file FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority < '3'),
     used AS (SELECT * FROM authored INTERSECT SELECT * FROM runs) SELECT * FROM used UNION ALL SELECT * FROM authored WHERE corpus NOT IN (SELECT corpus FROM used)""")
 def question_files(spark, sf_dir):
@@ -671,17 +714,19 @@ def chunk_id_gold(spark, sf_dir):
     return study.gold_chunks(author_chunks(spark, sf_dir), spans(spark, sf_dir), ("author",))
 
 
-#: What each configuration retrieves in the study: chunks of the evidence's documents by hashed order, a stand-in that any engine repeats.
-STUDY_RANKED = """sranked AS (SELECT c.author AS config_id, q.qid, row_number() OVER (PARTITION BY c.author, q.qid ORDER BY md5(q.qid || ':' || c.doc_id || ':' || (c."start" // 400)), c.doc_id, c."start") AS rank, c.doc_id, c."start", c."end"
-        FROM author_chunks c JOIN (SELECT DISTINCT qid, doc_id FROM truth) q USING (doc_id) QUALIFY rank <= 5)"""
+#: What each configuration retrieves in the study: the lexical ranking over its own chunks of all documents.
+STUDY_RANKED = f"{QTOK}, " + ", ".join(f"chunks_{size} AS (SELECT * FROM ch{size}), {bm25_sql(f'_{size}', 5)}" for size, _ in AUTHORS) + ", sranked AS (" + " UNION ALL ".join(
+    f"SELECT 'fixed{size}' AS config_id, qid, rank, doc_id, \"start\", \"end\" FROM lexical_{size}" for size, _ in AUTHORS) + ")"
 
 
 def study_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spans(spark, sf_dir).select("qid", "doc_id").distinct()
-    rows = author_chunks(spark, sf_dir).join(asked, "doc_id")
-    order = F.md5(F.concat_ws(":", F.col("qid").cast("string"), F.col("doc_id").cast("string"), F.floor(F.col("start") / 400).cast("string")))
-    w = Window.partitionBy("author", "qid").orderBy(order, "doc_id", "start")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select(F.col("author").alias("config_id"), "qid", "rank", "doc_id", "start", "end").persist()
+    """The first five chunks of each configuration for all questions."""
+    questions, docs, out = asked(spark, sf_dir), documents(spark, sf_dir), None
+    for size, overlap in AUTHORS:
+        chunks = chunking.fixed_chunks(docs, size, overlap)
+        part = retrieval.bm25(chunks, questions, 5).select(F.lit(f"fixed{size}").alias("config_id"), "qid", "rank", "doc_id", "start", "end")
+        out = part if out is None else out.unionByName(part)
+    return out.persist()
 
 
 def rotation_sql(ious: str) -> str:
@@ -766,31 +811,39 @@ def refusals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.is_refusal(F.col("text")).alias("refused"))
 
 
-@query(f"""{HEAD} SELECT qid, substr(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), 1, 900) AS answer FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank = 1""")
+@query(f"""{HEAD} SELECT q.qid, coalesce(substr(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), 1, 900), '') AS answer FROM (SELECT DISTINCT qid FROM truth) q
+    LEFT JOIN (SELECT * FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank = 1 AND qid % 3 <> 0) USING (qid)""")
 def extractive_answers(spark, sf_dir):
-    return generation.extractive_answers(flow(spark, sf_dir)[0], corpus(spark, sf_dir)[0])
+    """Questions that retrieve nothing, here every third, are answered by an empty text."""
+    return generation.extractive_answers(flow(spark, sf_dir)[0].where("qid % 3 <> 0"), corpus(spark, sf_dir)[0], asked(spark, sf_dir))
 
 
-@query(f"""{HEAD}, blocks AS (SELECT qid, rank, '[' || rank || '] ' || regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g') AS block FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank <= 10),
-    fit AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM blocks QUALIFY used <= 1500),
+@query(f"""{HEAD}, blocks AS (SELECT qid, rank, '[' || rank || '] ' || regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g') AS block FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank <= 30),
+    fit AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM blocks QUALIFY used <= 6000),
     ctx AS (SELECT qid, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS c FROM fit GROUP BY qid)
-    SELECT q.qid, coalesce(n, 0)::BIGINT AS n_blocks, md5('Context:' || chr(10) || coalesce(c, '(no context retrieved)') || chr(10) || chr(10) || 'Question: Q' || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM (SELECT DISTINCT qid FROM qtok) q LEFT JOIN ctx USING (qid)""")
+    SELECT q.qid, coalesce(n, 0)::BIGINT AS n_blocks, md5('Context:' || chr(10) || coalesce(c, '(no context retrieved)') || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Answer:') AS prompt_md5
+    FROM (SELECT DISTINCT qid FROM truth) q JOIN benchmark b ON b.item_id = q.qid LEFT JOIN ctx USING (qid)""")
 def prompt_context(spark, sf_dir):
-    chunks, _, questions = corpus(spark, sf_dir)
-    got = generation.prompts(questions.withColumn("question", F.lit("Q")), flow(spark, sf_dir)[0], chunks, 1500)
+    """The first 30 chunks, as far as 6,000 characters hold them, and the whole question."""
+    chunks, idf, questions = corpus(spark, sf_dir)
+    got = generation.prompts(questions, retrieval.bm25(chunks, questions, 30, idf=idf), chunks)
     return got.select("qid", "n_blocks", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("""WITH p AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 100) / 100.0 WHEN 1 THEN event_id % 101 WHEN 2 THEN 5 WHEN 3 THEN -3 WHEN 4 THEN 1 END AS v FROM events)
+@query("""WITH p AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN (event_id % 100) / 100.0 WHEN 1 THEN event_id % 101 WHEN 2 THEN 5 WHEN 3 THEN -3 WHEN 4 THEN 1 WHEN 5 THEN (event_id % 50) / 50.0 WHEN 6 THEN (event_id % 10) / 10.0 END AS v FROM events)
     SELECT event_id, CASE WHEN v IS NULL THEN NULL ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN v >= 10 THEN v::DOUBLE / 100 ELSE v::DOUBLE END)), 9) END AS score FROM p""")
 def judge_score_parse(spark, sf_dir):
-    """Payloads in the shapes that judges reply in: plain, nested, per cent, out of range, boolean, without a score."""
+    """Replies of many shapes: plain, nested under names made from the event, in lists, per cent, out of range, boolean, in prose,
+    without a score, and with one that is nested too deep."""
     i = F.col("event_id")
+    name, tenth = F.concat(F.lit("k"), (i % 13).cast("string")), (i % 10 / 10.0).cast("string")
+    wrapped = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     kinds = (
-        F.format_string('{"score":%s}', (i % 100 / 100.0).cast("string")), F.format_string('{"response":{"score":"%d%%"}}', i % 101), F.lit('{"result":{"judgement":{"score":5}}}'),
-        F.lit('{"score":-3}'), F.lit('{"score":true}'), F.lit('{"verdict":"good"}'),
+        F.format_string('{"score":%s}', (i % 100 / 100.0).cast("string")), wrapped('{"', name, '":{"score":"', (i % 101).cast("string"), '%"}}'), wrapped('[{"note":1},{"', name, '":[{"score":5}]}]'),
+        wrapped('{"', name, '":{"b":{"score":-3}}}'), F.lit('{"score":true}'), wrapped('Verdict: {"', name, '":{"score":', (i % 50 / 50.0).cast("string"), '}} as asked.'),
+        wrapped('{"first":{"x":[]},"', name, '":[[{"score":', tenth, '}]]}'), F.lit('{"verdict":"good"}'), wrapped('{"a":{"b":{"c":{"', name, '":{"score":1}}}}}'),
     )
-    payload = F.coalesce(*[F.when(i % 6 == k, c) for k, c in enumerate(kinds)])
+    payload = F.coalesce(*[F.when(i % 9 == k, c) for k, c in enumerate(kinds)])
     return table(spark, sf_dir, "events").select("event_id", F.round(T.judged_score(payload), 9).alias("score"))
 
 
@@ -813,6 +866,14 @@ def embedding_cache_misses(spark, sf_dir):
     return files.cache_misses(docs, cache, "model").select("key")
 
 
+@query("""SELECT DISTINCT sha256('{"model": "m", "prompt": ' || to_json(text)::VARCHAR || ', "temperature": 0}') AS key FROM conversations WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM conversations WHERE conv_id % 2 = 0 AND text IS NOT NULL)""")
+def reply_cache_misses(spark, sf_dir):
+    """Replies to the turns of even conversations are in the cache already."""
+    turns_ = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    cache = turns_.where("conv_id % 2 = 0").select(files.reply_key("m", F.col("text"), temperature=0).alias("key"), F.lit("r").alias("reply")).distinct()
+    return files.through_replies(turns_.select(F.col("text").alias("prompt")), cache, "m", lambda new: new.select("key", F.lit("r").alias("reply")), temperature=0)[1].select("key")
+
+
 @query("SELECT o_orderkey AS config_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def pending_configs(spark, sf_dir):
     """Where a stopped run resumes: orders without a returned line."""
@@ -855,9 +916,17 @@ def metric_at_cell(spark, sf_dir):
 
 @query()
 def experiment_grid(spark, sf_dir):
-    """Chunk, index, search, fuse, re-rank, align and reduce for four configurations in one plan."""
+    """Chunk, index, search, fuse, re-rank, align and reduce for all 30 configurations of the grid in one plan."""
+    from spanforge.plans.experiment import GRID, Experiment
+
+    return Experiment(documents(spark, sf_dir), asked(spark, sf_dir), spans(spark, sf_dir)).over(GRID).metrics()
+
+
+@query()
+def run_manifests(spark, sf_dir):
+    """Manifests of two configurations, as they are saved, but for what is measured by the clock."""
     from spanforge.plans.experiment import Config, Experiment
 
-    chunkers = (("fixed", {"size": 300, "overlap": 50}), ("semantic", {"percentile": 90.0}))
-    configs = tuple(Config(c, p, r, r == "bm25") for c, p in chunkers for r in ("bm25", "hybrid"))
-    return Experiment(documents(spark, sf_dir), corpus(spark, sf_dir)[2], spans(spark, sf_dir)).over(configs).metrics()
+    params = {"size": 800, "overlap": 100}
+    run = Experiment(documents(spark, sf_dir), asked(spark, sf_dir), spans(spark, sf_dir)).over((Config("fixed", params, "bm25"), Config("fixed", params, "dense")))
+    return run.manifests("documents", "benchmark", fingerprint=files.wide_fingerprint(table(spark, sf_dir, "documents"))).drop("build_seconds", "query_ms_mean", "query_ms_p90", "run_ts", "env")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,10 @@ RUN_SCHEMA = (
 )
 
 
+#: Bytes of ids and texts that ``fingerprint`` takes: half of what one value may hold.
+FINGERPRINT_BYTES = 1 << 30
+
+
 @dataclass(frozen=True)
 class Corpus:
     """A named folder of texts."""
@@ -50,8 +55,14 @@ def load_corpus(spark: SparkSession, registry: dict[str, Corpus], name: str) ->
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(fingerprint, n): 16 hex digits over ids and texts in id order. The whole corpus passes through one row: for corpora
-    that fit one; ``wide_fingerprint`` has no such bound."""
+    """(fingerprint, n): 16 hex digits over ids and texts in id order.
+
+    The digest of a concatenation has no parts that could be computed apart, so the whole corpus passes through one row: over
+    ``FINGERPRINT_BYTES`` of text this fails with a message; ``wide_fingerprint`` has no such bound.
+    """
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length(F.col("doc_id").cast("string")))
+    checked = docs.agg(size.alias("size")).select(F.when(F.col("size") > FINGERPRINT_BYTES, F.raise_error(F.lit("corpus too large for fingerprint; use wide_fingerprint"))).otherwise(F.lit(True)).cast("boolean").alias("fits"))
+    docs = docs.crossJoin(F.broadcast(checked)).where("fits")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["i"], x["t"])), "")
     return docs.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
@@ -122,6 +133,28 @@ def through_cache(wanted: DataFrame, cache: DataFrame, model: str, compute) -> t
     return cache.join(keys, "key", "left_semi").unionByName(missing), missing
 
 
+def reply_key(model: str, prompt: Column, **options) -> Column:
+    """The key of a model's reply: the digest of the request's body as JSON with sorted keys; options are its other fields."""
+    fixed = {name: F.lit(json.dumps(value)) for name, value in {"model": model, **options}.items()}
+    quoted = F.regexp_extract(F.to_json(F.struct(prompt.alias("p"))), r"(?s)^\{\"p\":(.*)\}$", 1)
+    fields = {**fixed, "prompt": quoted}
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(json.dumps(name) + ": "), fields[name]) for name in sorted(fields)]), F.lit("}"))
+    return F.sha2(body, 256)
+
+
+def through_replies(prompts: DataFrame, cache: DataFrame, model: str, call, **options) -> tuple[DataFrame, DataFrame]:
+    """(prompts with their replies, new cache rows (key, reply) to append). ``call`` maps (key, prompt) to (key, reply) and sees
+    each distinct prompt that the cache lacks once."""
+    keyed = prompts.withColumn("key", reply_key(model, F.col("prompt"), **options))
+    missing = call(keyed.select("key", "prompt").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"))
+    return keyed.join(cache.select("key", "reply").unionByName(missing.select("key", "reply")), "key", "left").drop("key"), missing
+
+
+def save_manifests(runs: DataFrame, root: str) -> None:
+    """Appends manifests (RUN_SCHEMA, run_ts) as JSON, below a folder for each corpus."""
+    runs.withColumn("folder", F.col("corpus")).write.mode("append").partitionBy("folder").json(root)
+
+
 def pending(configs: DataFrame, done: DataFrame, keys: tuple = ("config_id",)) -> DataFrame:
     """Configurations without a finished row: where a stopped run resumes."""
     return configs.join(done.select(*keys).distinct(), list(keys), "left_anti")

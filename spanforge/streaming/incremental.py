@@ -21,10 +21,10 @@ def cache_new_texts(texts: DataFrame, cache_root: str, model: str, compute: Call
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            cache = spark.read.parquet(cache_root)
-        except Exception:  # no cache yet
-            cache = compute(batch.limit(0).select(F.lit("").alias("key"), "text"))
+        where = spark._jvm.org.apache.hadoop.fs.Path(cache_root)
+        there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+        # without a cache all texts are new; one that cannot be read fails the batch
+        cache = spark.read.parquet(cache_root) if there else compute(batch.limit(0).select(F.lit("").alias("key"), "text"))
         compute(files.cache_misses(batch, cache, model)).write.mode("append").parquet(cache_root)
 
     return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

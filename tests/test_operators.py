@@ -79,6 +79,19 @@ def test_reductions_of_the_alignment(spark):
     assert n["q2"] == 0 and n["q5"] == 1.0 and math.isclose(n["q1"], 1 / math.log2(3), rel_tol=1e-8)
 
 
+def test_questions_without_rows_count_in_every_reduction(spark):
+    truths = spark.createDataFrame([("q", 0, "a", 0, 10), ("none", 0, "a", 0, 10), ("none", 1, "b", 5, 9)], "qid string, span_ix long, doc_id string, start long, end long")
+    ranked = spark.createDataFrame([("q", 1, "a", 0, 10)], RANK)
+    cell = metrics.metric_cube(ranked, truths, (5,), (0.5,)).first()
+    assert (cell.n_questions, cell.unanswered, cell.hit_at_k, cell.mrr, cell.recall_at_k, cell.ndcg_at_k, cell.mean_chars_retrieved) == (2, 1, 0.5, 0.5, 0.5, 0.5, 5.0)
+    aligned = alignment.align(ranked, truths)
+    assert rows(alignment.first_hits(aligned, 5, 0.5), "qid") == [("none", None), ("q", 1)]
+    assert rows(alignment.span_recall(aligned, 5, 0.5), "qid") == [("none", 0.0, 0.0), ("q", 1.0, 1.0)]
+    assert rows(alignment.ndcg(aligned, 5), "qid") == [("none", 0.0), ("q", 1.0)]
+    by = alignment.align(ranked.withColumn("c", F.lit("x")), truths, by=("c",))
+    assert sorted({(r.c, r.qid) for r in by.collect()}) == [("x", "none"), ("x", "q")]
+
+
 def test_metric_cube_is_consistent(spark):
     cube = {(r.k, r.tau): r for r in metrics.metric_cube(*ranked_fixture(spark)).collect()}
     assert len(cube) == 16 and all(r.n_questions == 5 for r in cube.values())
@@ -121,6 +134,20 @@ def test_bm25_by_hand(spark):
     assert [(r[2], r[5]) for r in got if r[0] == "none"] == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
 
 
+@pytest.mark.parametrize("zero_fill", [True, False])
+def test_bm25_over_postings_ranks_alike(spark, monkeypatch, zero_fill):
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n))
+    chunks = spark.createDataFrame([(k // 3, 100 * (k % 3), 100 * (k % 3) + 50, text(rng.randrange(1, 30))) for k in range(150)], "doc_id long, start long, end long, chunk_text string")
+    questions = spark.createDataFrame([(k, text(6)) for k in range(12)] + [(50, "nowhere at all"), (51, "w59 nowhere")], "qid long, question string")
+    matrix = rows(retrieval.bm25(chunks, questions, 7, zero_fill), "qid", "rank")
+    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 0)
+    joined = rows(retrieval.bm25(chunks, questions, 7, zero_fill), "qid", "rank")
+    assert [r[:5] for r in matrix] == [r[:5] for r in joined] and all(math.isclose(a[5], b[5], abs_tol=2e-9) for a, b in zip(matrix, joined))
+
+
 def test_fusion_and_rerank(spark):
     d = spark.createDataFrame([("q", 1, "a", 0, 1), ("q", 2, "b", 0, 1)], RANK)
     l = spark.createDataFrame([("q", 1, "b", 0, 1), ("q", 2, "c", 0, 1)], RANK)
@@ -192,6 +219,20 @@ def cands(spark):
     return df.withColumn("quality", ranking.quality())
 
 
+def test_frontier_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for points in (rng.integers(0, 6, (400, 3)).astype(float), rng.random((1500, 3)), np.stack([np.arange(700.0), -np.arange(700.0)], 1)):
+        points = np.unique(points, axis=0)
+        beaten = [((points >= p).all(1) & (points > p).any(1)).any() for p in points]
+        assert sorted(ranking.frontier(points).tolist()) == np.flatnonzero(~np.array(beaten)).tolist()
+    data = [(int(k), float(a), float(b), float(c)) for k, (a, b, c) in enumerate(rng.integers(0, 9, (300, 3)))]
+    df = spark.createDataFrame([*data, (900, None, 1.0, 1.0)], "config_id long, quality double, latency_ms double, chars double")
+    want = [k for k, q, t, c in data if not any(q2 >= q and t2 <= t and c2 <= c and (q2, t2, c2) != (q, t, c) for _, q2, t2, c2 in data)]
+    assert sorted(r.config_id for r in ranking.pareto(df.repartition(5)).collect()) == [*want, 900]
+
+
 def test_ranking(spark):
     df = cands(spark)
     assert sorted(r.config_id for r in ranking.pareto(df).collect()) == ["a", "b", "c", "e"]  # equal rows both stay
@@ -255,9 +296,14 @@ def test_answers(spark):
 
 
 def test_judged_scores(spark):
-    cases = {'{"score":0.4}': 0.4, '{"response":{"score":0.4}}': 0.4, '{"result":{"judgement":{"score":1.0}}}': 1.0, '{"score":85}': 0.85, '{"score":"0.6"}': 0.6, '{"score":" 90% "}': 0.9, '{"score":5}': 1.0, '{"score":-3}': 0.0, '{"score":true}': 1.0, "{}": None, '{"verdict":"good"}': None, "no json": None}
-    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "p string, want double").withColumn("got", T.judged_score(F.col("p")))
-    assert all(r.got == r.want or (r.got is not None and math.isclose(r.got, r.want)) for r in df.collect())
+    cases = [
+        ('{"score": 0.4}', 0.4), ('{"any": {"score": 0.9}}', 0.9), ('[{"score": 0.9}]', 0.9), ('{"a": {"b": {"score": 0.9}}}', 0.9), ('{"a": [[{"score": 0.3}]]}', 0.3), ('{"a": {"b": {"c": {"score": 1}}}}', 1.0),
+        ('{"a": {"b": {"c": {"d": {"score": 1}}}}}', None), ('{"a": {"score": 0.1}, "score": 0.2}', 0.2), ('{"a": {"score": null}, "b": {"score": 0.7}}', 0.7), ('{"score": null, "b": {"score": 0.7}}', None),
+        ('{"score": 85}', 0.85), ('{"score": " 60% "}', 0.6), ('{"score": 5}', 1.0), ('{"score": -2}', 0.0), ('{"score": true}', 1.0), ('{"score": false}', 0.0), ('{"score": "high"}', None), ('{"score": {"x": 1}}', None),
+        ('{"verdict": "good"}', None), ("no json", None), ("", None), (None, None), ('Sure: {"score": 0.5}. Done', 0.5), ("} {", None),
+    ]
+    got = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, p string").select("k", T.judged_score(F.col("p")).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: c[1] for k, c in enumerate(cases)}
 
 
 def test_prompts_and_judges(spark):
@@ -266,7 +312,7 @@ def test_prompts_and_judges(spark):
     qs = spark.createDataFrame([("q", "Why?"), ("r", "How?")], "qid string, question string")
     got = {r.qid: (r.n_blocks, r.prompt) for r in generation.prompts(qs, ranked, chunks, 30).collect()}
     assert got["q"] == (1, "Context:\n[1] one\n\nQuestion: Why?\n\nAnswer:") and "(no context retrieved)" in got["r"][1]  # stops at the first that does not fit
-    assert generation.extractive_answers(ranked, chunks).first().answer == "one"
+    assert {r.qid: r.answer for r in generation.extractive_answers(ranked, chunks, qs).collect()} == {"q": "one", "r": ""}
     judged = generation.judge(spark.createDataFrame([("q", "p"), ("bad", "p2")], "qid string, prompt string"), "prompt", lambda ps: ['{"score":0.5}' if not p.startswith("p2") else "?" for p in ps], 2)
     assert {r.qid: (r.score, r.spread, r.failures) for r in judged.collect()} == {"q": (0.5, 0.0, 0), "bad": (None, None, 2)}
 
@@ -319,3 +365,50 @@ def test_experiment_end_to_end(spark):
     cells = run.over(configs).metrics().where("k = 5 AND tau = 0.5").collect()
     assert {c.config_id for c in cells} == {"fixed_120_30_bm25", "recursive_120_0_hybrid", "fixed_120_30_bm25_rerank"} and all(c.hit_at_k == 1.0 for c in cells)
     assert run.records(configs[0]).first().rank == 1 and run.ceilings((0.5,)).count() == 2 and len(GRID) == 30
+
+
+def test_manifests_are_written_read_and_ranked(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "The red fox runs. " + "Some other words stand here. " * 9), ("b", "A blue cat sleeps here. " + "Nothing of that is told. " * 9)], "doc_id string, text string")
+    questions = spark.createDataFrame([("q1", "red fox"), ("q2", "blue cat")], "qid string, question string")
+    spans_ = spark.createDataFrame([("q1", 0, "a", 4, 11), ("q2", 0, "b", 2, 10)], "qid string, span_ix long, doc_id string, start long, end long")
+    run = Experiment(docs, questions, spans_, 5).over((Config("fixed", {"size": 60, "overlap": 10}, "bm25"),))
+    assert len(run.timed(run.configs[0], 2)) == 2
+    rows_ = run.manifests("c", "f.json", files.fingerprint(docs), (1, 5), (0.5,))
+    files.save_manifests(rows_, str(tmp_path / "runs"))
+    got = files.load_manifests(spark, str(tmp_path / "runs" / "*" / "*.json"))
+    one = got.first()
+    assert (one.config.id, one.config.chunker_params, one.corpus, one.qa_file) == ("fixed_60_10_bm25", {"size": "60", "overlap": "10"}, "c", "f.json")
+    assert one.query_ms_p90 >= 0 and one.query_ms_mean > 0 and one.build_seconds >= 0 and one.oracle_reachability and set(one.per_question) == {"q1", "q2"}
+    cells = {(r.k, r.tau): r.mrr for r in files.manifest_cells(got).collect()}
+    assert cells == {(1, 0.5): 1.0, (5, 0.5): 1.0}
+
+
+def test_replies_are_asked_for_once(spark):
+    prompts = spark.createDataFrame([(1, 'say "a"'), (2, "b"), (3, "b"), (4, None)], "id long, prompt string")
+    none = spark.createDataFrame([], "key string, reply string")
+    call = lambda new: new.select("key", F.upper("prompt").alias("reply"))
+    got, new = files.through_replies(prompts.where("prompt IS NOT NULL"), none, "m", call, temperature=0)
+    assert {r.id: r.reply for r in got.collect()} == {1: 'SAY "A"', 2: "B", 3: "B"} and new.count() == 2
+    import hashlib
+    import json
+
+    body = json.dumps({"model": "m", "prompt": 'say "a"', "temperature": 0}, sort_keys=True)
+    assert hashlib.sha256(body.encode()).hexdigest() in {r.key for r in new.collect()}
+    assert files.through_replies(prompts, new, "m", call, temperature=0)[1].where("reply IS NOT NULL").count() == 0
+
+
+def test_queries_in_parts_find_the_same(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "vec_id long, vector array<double>")
+    q = v.where("vec_id < 20").withColumnRenamed("vec_id", "qid")
+    want = rows(retrieval.nearest(v, q, 4), "qid", "rank")
+    monkeypatch.setattr(retrieval, "HELD_BYTES", 100)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 48)
+    assert rows(retrieval.nearest(v, q, 4), "qid", "rank") == want
+
+
+def test_private_characters_keep_offsets(spark):
+    body = "A first sentence\uf8ff is here. Then a second one follows.\n\nB\uf8ff second paragraph is here. And it goes on a bit."
+    docs = spark.createDataFrame([("a", body)], "doc_id string, text string")
+    got = truth.passages(docs, 10, 400).collect()
+    assert got and all(body[r.start : r.end] == r.passage for r in got)
+    assert [(r.start, r.end) for r in chunking.sentences(docs).orderBy("sentence_ix").collect()][-1][1] == len(body)
