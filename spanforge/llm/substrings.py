@@ -9,8 +9,8 @@ backward search, whose matching statistics report where a whole window occurs el
 give its first occurrence. A word goes if a window over it also starts earlier. Windows are judged on the input.
 
 Cases: a null or empty text has no words, the rest is the empty string; texts under ``WINDOW`` words keep all. "Earlier" is a
-smaller id (null least), then an earlier start; rows that repeat an id and a text count as one place. Other columns are
-ignored.
+smaller id (null least), then an earlier start, whichever row of that id has it; each row is cut by its own marks, and rows
+that repeat an id and a text count as one place. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def _cut(parts: int):
         starts = np.cumsum(counts) - counts
         block = texts.column("block")[0].as_py() if texts.num_rows else 0
         return pa.table({
-            "block": pa.array([block] * len(doc), pa.int32()), "doc_id": ids.take(pa.array(doc)), "start": pa.array(first - starts[doc], pa.int32()),
+            "block": pa.array([block] * len(doc), pa.int32()), "doc_id": ids.take(pa.array(doc)), "h": texts.column("h").take(pa.array(doc)), "start": pa.array(first - starts[doc], pa.int32()),
             "shard": pa.array(got["key"][keep].view(np.int64)), "segment": pc.binary_join(lists, " "),
         })
 
@@ -135,50 +135,44 @@ def _first_windows(table: pa.Table) -> pa.Table:
 
 
 def _drop(texts: pa.Table, told: pa.Table) -> pa.Table:
-    """One block: removes the words under the marked windows."""
-    flat, counts = common.words(common.filled(texts.column("text")))
+    """One block: removes the words under the marked windows. A row is known by its id and the hash of its text."""
+    ids, h = common.chunked(texts.column("doc_id")), texts.column("h").to_numpy(zero_copy_only=False)
+    known = pc.unique(ids)
+    ident = pc.index_in(ids, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    # rows that repeat both are one text
+    _, first, row = np.unique(np.stack([ident, h], 1), axis=0, return_index=True, return_inverse=True)
+    row = row.ravel()
+    flat, counts = common.words(common.filled(texts.column("text").take(pa.array(first))))
     n = len(counts)
     starts = np.cumsum(counts) - counts
     edge = np.zeros(len(flat) + 1, np.int64)
     if told.num_rows and n:
-        ids = common.chunked(texts.column("doc_id"))
         marks = [np.frombuffer(m, np.uint8) if m is not None else np.ones(w, np.uint8) for m, w in zip(told.column("mask").to_pylist(), told.column("windows").to_pylist(), strict=True)]
-        begin = told.column("start").to_numpy(zero_copy_only=False).astype(np.int64)
+        asked = np.stack([pc.index_in(common.chunked(told.column("doc_id")), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64), told.column("h").to_numpy(zero_copy_only=False)], 1)
+        _, code = np.unique(np.concatenate([np.stack([ident, h], 1)[first], asked]), axis=0, return_inverse=True)
+        which = code.ravel()[n:]  # first stands in the order of the pairs, and all pairs asked are among them
         sizes = np.fromiter(map(len, marks), np.int64, len(marks))
-        which = pc.index_in(common.chunked(told.column("doc_id")), value_set=pc.unique(ids)).to_numpy(zero_copy_only=False).astype(np.int64)
-        mine = pc.index_in(ids, value_set=pc.unique(ids)).to_numpy(zero_copy_only=False).astype(np.int64)
-        within = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        on = np.concatenate(marks).astype(bool)
-        owner, within = np.repeat(which, sizes)[on], within[on]
-        nth = np.zeros(n, np.int64)  # rows that repeat an id take the same marks
-        order = np.argsort(mine, kind="stable")
-        head = np.concatenate([[True], mine[order][1:] != mine[order][:-1]])
-        nth[order] = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        for k in range(int(nth.max()) + 1):
-            row = np.full(int(mine.max()) + 1, -1)
-            row[mine[nth == k]] = np.flatnonzero(nth == k)
-            at = row[owner]
-            fine = (at >= 0) & (within + WINDOW <= counts[np.maximum(at, 0)])
-            place = starts[at[fine]] + within[fine]
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + WINDOW, -1)
+        begin = starts[which] + told.column("start").to_numpy(zero_copy_only=False).astype(np.int64)
+        place = (np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())))[np.concatenate(marks).astype(bool)]
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + WINDOW, -1)
     gone = np.cumsum(edge)[:-1] > 0
     doc = np.repeat(np.arange(n), counts)
     removed = np.bincount(doc, weights=gone, minlength=n).astype(np.int64)
     kept = flat.filter(pa.array(~gone))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts - removed)]), pa.int32()), kept)
-    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(counts), "n_removed": pa.array(removed), "kept": pc.binary_join(lists, " ")})
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(counts[row]), "n_removed": pa.array(removed[row]), "kept": pc.binary_join(lists, " ").take(pa.array(row))})
 
 
 def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block_bytes: int = common.BLOCK_BYTES // 2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every text; kept words are joined by one space."""
     spark = df.sparkSession
-    blocks = common.in_blocks(df, ident, text, block_bytes)
+    blocks, total, _ = common.in_blocks(df, ident, text, block_bytes)
+    blocks = blocks.withColumn("h", F.xxhash64("text"))
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (40 * PART_KEYS)))
     told = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts)), "part int, block int, keys binary").groupBy("part").applyInArrow(common.lean(_repeated), "block int, part int, keys binary")
-    cut = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_cut(parts)), f"block int, doc_id {kind}, start int, shard long, segment string")
+    cut = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean(_cut(parts)), f"block int, doc_id {kind}, h long, start int, shard long, segment string")
     windows = F.size(F.split("segment", " ")) - (WINDOW - 1)
     places = common.written(cut.withColumn("mark", F.xxhash64("segment")).withColumn("windows", windows))
     del told, cut
@@ -192,6 +186,6 @@ def drop_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", block
     common.drop_written(first)
     del first, ordered
     common.release(spark)
-    gone = places.drop("segment").join(masks, ["shard", "mark"]).select("block", "doc_id", "start", "windows", F.when(F.col("first").eqNullSafe(F.struct("doc_id", "start")), F.col("mask")).alias("mask"))
+    gone = places.drop("segment").join(masks, ["shard", "mark"]).select("block", "doc_id", "h", "start", "windows", F.when(F.col("first").eqNullSafe(F.struct("doc_id", "start")), F.col("mask")).alias("mask"))
     gone = gone.where("mask IS NULL OR instr(hex(mask), '01') > 0")
     return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(common.lean(_drop), f"doc_id {kind}, n_words long, n_removed long, kept string")
