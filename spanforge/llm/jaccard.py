@@ -14,8 +14,8 @@ link between different components is left out. Pairs are tested only if their si
 bitmaps of the sets leave room for the overlap that a link needs. Similarities are exact over 64-bit shingle hashes.
 
 Cases: without words (or text) a set is empty and linked with nothing; fewer words than a shingle has are one shingle. A null
-id is linked with nothing and has no component. Ids must name rows: repeated rows are linked as equal sets. Other columns are
-ignored.
+id is linked with nothing and has no component. Rows that repeat an id are rows of their own, told apart by their texts; equal
+rows are linked as equal sets. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,9 +95,9 @@ def _count(table: pa.Table) -> pa.Table:
     })
 
 
-SET = "doc_id {id}, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, first int, bitmap array<long>, shingles binary"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-_NAMES = ("doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "first", "bitmap", "shingles")
+SET = "doc_id {id}, h long, n_shingles long, sig_a long, sig_b long, prefix array<long>, in_base int, first int, bitmap array<long>, shingles binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+_NAMES = ("doc_id", "h", "n_shingles", "sig_a", "sig_b", "prefix", "in_base", "first", "bitmap", "shingles")
 
 
 def _bitmaps(key: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> pa.Array:
@@ -151,7 +151,7 @@ def _index(parts: int, width: int, least: int):
         maps = _bitmaps(key, doc, many > 0)
         raw, edges = key.astype("<u8"), np.cumsum(size)
         held = [raw[b - s : b].tobytes() if m else None for s, b, m in zip(size, edges, many, strict=True)]
-        return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(first), maps, pa.array(held, pa.binary())], names=list(_NAMES))
+        return pa.table([texts.column("doc_id"), texts.column("h"), pa.array(size, pa.int64()), pa.array(sig_a), pa.array(sig_b), prefix, pa.array(in_base), pa.array(first), maps, pa.array(held, pa.binary())], names=list(_NAMES))
 
     return run
 
@@ -188,10 +188,16 @@ def _fits(a: Column, b: Column, least: int) -> Column:
 
 def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bytes: int = common.BLOCK_BYTES // 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``least`` is the similarity in hundredths."""
+    return jaccard_rows(df, ident, text, width, least, block_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bytes: int = common.BLOCK_BYTES // 2) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, component): h is the text's xxhash64, which tells rows of one id apart, component
+    names the group of linked rows (null for a row that no other can be linked with: without words or id)."""
     spark = df.sparkSession
-    blocks = common.in_blocks(df, ident, text, block_bytes)
+    blocks, total, _ = common.in_blocks(df, ident, text, block_bytes)
+    blocks = blocks.withColumn("h", F.xxhash64("text"))
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(4, min(1 << 20, total // (6 * PART_KEYS)))
     asked = blocks.groupBy("block").applyInArrow(common.lean(_ask(parts, width)), "part int, block int, keys binary")
     told = asked.groupBy("part").applyInArrow(common.lean(_count), "block int, part int, keys binary, often binary")
@@ -199,12 +205,14 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
     del blocks, asked, told
     common.release(spark)
     key = ["n_shingles", "sig_a", "sig_b"]
-    classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # a class of equal sets is a node, named by a hash, as ids may repeat
+    classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64(*key))
     classes = common.written(classes)  # read back, so that a large class can be split in the join
-    members = common.written(sets.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", "rep"))
+    members = common.written(sets.select("doc_id", "h", *key).join(classes, key, "left").select("doc_id", "h", "n_shingles", "rep", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
     # what stands for a class and shares a rare shingle with some other row
-    indexed = sets.where(F.size("prefix") > 0).join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    indexed = common.written(indexed.withColumn("n", F.col("n_shingles")))
+    ones = classes.select(F.col("rep").alias("doc_id"), *key, "node")
+    indexed = sets.where(F.size("prefix") > 0).join(ones, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+    indexed = common.written(indexed.drop("doc_id", "h").withColumn("n", F.col("n_shingles")))
     common.drop_written(sets)
     common.release(spark)
     cost = indexed.select("n", F.floor(4 * F.log2("n")).alias("class"), (F.size("prefix") * (F.size("prefix") - 1) / 2).alias("subsets"), (SCAN_COST * F.col("in_base")).alias("lists"))
@@ -213,18 +221,18 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
     room = lambda at: (F.col("n") - F.col("first") - at).cast("long").alias("room")
     pairs_of = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y, j: F.struct(F.xxhash64(x, y).alias("sig"), room(i + j)))))
     listed = F.transform(F.slice("prefix", 1, F.greatest(F.lit(1), "in_base")), lambda x, i: F.struct(x.alias("sig"), room(i)))
-    small = indexed.where(F.col("n") * least <= 100 * limit).select(F.col("doc_id").alias("d"), "n", F.explode(pairs_of).alias("e"), F.lit(0).alias("way"))
-    large = indexed.where(F.col("n") > limit).select(F.col("doc_id").alias("d"), "n", F.explode(listed).alias("e"), F.lit(1).alias("way"))
+    small = indexed.where(F.col("n") * least <= 100 * limit).select(F.col("node").alias("d"), "n", F.explode(pairs_of).alias("e"), F.lit(0).alias("way"))
+    large = indexed.where(F.col("n") > limit).select(F.col("node").alias("d"), "n", F.explode(listed).alias("e"), F.lit(1).alias("way"))
     entries = small.unionByName(large).select("e.sig", "way", "d", "n", "e.room")
     often = entries.groupBy("sig", "way").count().where("count > 1").drop("count")
     entries = common.written(entries.join(often, ["sig", "way"]))
     tested = edges = comps = None
-    bytes_of = indexed.select(F.col("doc_id").alias("d"), "shingles")
+    bytes_of = indexed.select(F.col("node").alias("d"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(bytes_of.select(F.col("d").alias("u"), F.col("shingles").alias("set_a")), "u")
         both = left.join(bytes_of.select(F.col("d").alias("v"), F.col("shingles").alias("set_b")), "v").select("u", "v", "set_a", "set_b")
-        return common.written(both.mapInArrow(_similar(least), f"u {kind}, v {kind}"))
+        return common.written(both.mapInArrow(_similar(least), "u long, v long"))
 
     def may_link(n1: Column, room1: Column, n2: Column, room2: Column) -> Column:
         """Sizes fit, and the overlap that this bucket leaves room for is enough. Linked sets meet so in their first bucket."""
@@ -239,7 +247,7 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
             met = open_.join(mixed, ["sig", "way"]).where((F.col("c") != F.col("centre.c")) & may_link(F.col("n"), F.col("room"), F.col("centre.n"), F.col("centre.room")))
             pairs = met.select(F.least("d", "centre.d").alias("u"), F.greatest("d", "centre.d").alias("v")).distinct()
         else:
-            maps = indexed.select(F.col("doc_id").alias("d"), *[F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITS // 64)])
+            maps = indexed.select(F.col("node").alias("d"), *[F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITS // 64)])
             still = open_.join(mixed.select("sig", "way"), ["sig", "way"]).join(maps, "d")
             other = still.select("sig", "way", *[F.col(c).alias(f"{c}_") for c in ("d", "n", "room", "c", *maps.columns[1:])])
             differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_"))) for m in maps.columns[2:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("m0_"))))
@@ -255,6 +263,11 @@ def jaccard_classes(df: DataFrame, ident: str = "doc_id", text: str = "text", wi
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
-    out = members if comps is None else members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = F.coalesce(F.col("component") if comps is not None else F.lit(None), F.col("rep"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+    if comps is None:
+        return members.select("doc_id", "h", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"), F.col("node").alias("component"))
+    # the least id of each component, whose node is only a hash
+    linked = comps.join(classes.select("node", "rep"), "node")
+    first = linked.groupBy("component").agg(F.min("rep").alias("first"))
+    named = linked.select("node", "component").join(first, "component")
+    out = members.join(named, "node", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("first", "rep", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
