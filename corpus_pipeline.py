@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 Parquet into the shared folder and reads it again as the next stage's documents.
 
 Cases: null and empty texts have no letters, so the first stage rejects them. Without any labelled row, it rejects only texts
-without letters. A null id is linked with nothing and stays; of rows that repeat an id one stays. Columns that documents has
+without letters. A null id is linked with nothing and stays; rows that repeat an id are rows of their own. Columns that documents has
 beyond the usual ones are carried to the last stage. Empty tables pass through all stages.
 """
 
@@ -38,10 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates."""
-    classes = jaccard.jaccard_classes(docs)
-    least = classes.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Keeps the row of the least id (then text hash) of each group of near duplicates; rows without words or id stay."""
+    rows = common.written(jaccard.jaccard_rows(docs))
+    of, mark, h = (common.fresh(docs, name) for name in ("of", "mark", "h"))
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("f")).select(F.col("f.doc_id").alias(of), F.col("f.h").alias(mark))
+    alone = rows.where("component IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias(of), F.col("h").alias(mark))
+    kept = docs.withColumn(h, F.xxhash64("text")).join(first.unionByName(alone).distinct().hint("merge"), (F.col("doc_id") == F.col(of)) & (F.col(h) == F.col(mark)), "left_semi")
+    return kept.dropDuplicates(["doc_id", h]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
