@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, langid, media, quality_bands
+from spanforge.llm import byte_bpe, langid, media, quality_bands, queries
 from spanforge.llm.queries import held_out, vocabulary
 from tests.llm.helpers import SCHEMA, frame, odd_rows, words
 
@@ -44,6 +44,58 @@ def test_compression_bands_reject_both_ends():
     assert not quality_bands.compression(prose + b"spam " * 2000, z)[0]
 
 
+def brute_kept(text):
+    """Whole text and 4 KiB chunks, the last one its last 4 KiB, each within the band of its length."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    raw = (text or "").encode()
+    ratio = lambda x: len(z.compress(x)) / len(x)
+    if not raw:
+        return False
+    low, high = next((a, b) for most, a, b in quality_bands.WHOLE_BANDS if len(raw) < most)
+    chunks = [raw[k : k + 4096] for k in range(0, len(raw) - 4095, 4096)] + [raw[-4096:]] if len(raw) > 4096 else []
+    return low <= ratio(raw) <= high and all(0.10 <= ratio(c) <= 0.85 for c in chunks)
+
+
+def test_kept_over_rows(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))
+    texts = [None, "", prose(30), prose(3000), prose(800) + " " + "ab cd " * 60, prose(700) + "z" * 300, prose(900) + " " + "z" * 4000, rng.bytes(9000).hex(), prose(1200) + " " + " ".join(rng.bytes(40).hex() for _ in range(100))]
+    rows = [*odd_rows(n=10), *((2000 + k, t, *[None] * 10) for k, t in enumerate(texts))]
+    got = [(r.doc_id, r.base_failed, r.kept) for r in quality_bands.quality_bands(frame(spark, rows)).collect()]
+    assert sorted((k, kept) for k, failed, kept in got if k is not None and not failed) == sorted((r[0], brute_kept(r[1])) for r, g in zip(rows, got, strict=True) if g[0] is not None and not g[1])
+    assert not any(kept for _, failed, kept in got if failed) and {kept for _, failed, kept in got if not failed} == {True, False}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_pieces_merge_like_the_matrices(seed):
+    """Any order of ranks: joined tokens may have lesser ranks than their halves."""
+    rng = np.random.default_rng(seed)
+    tokens = [bytes([b]) for b in range(256)]
+    letters = b"abc"[: 2 + seed % 2]
+    while len(tokens) < 330:
+        token = rng.choice(list(letters), rng.integers(2, 7)).astype(np.uint8).tobytes()
+        if token not in tokens:
+            tokens.append(token)
+    order = np.concatenate([np.arange(256), 256 + rng.permutation(len(tokens) - 256)])
+    import base64
+
+    table = byte_bpe.Merges(b"\n".join(base64.b64encode(tokens[t]) + b" %d" % k for k, t in enumerate(order)))
+    for n in (1, 2, 3, 60, 250):
+        for _ in range(20):
+            piece = rng.choice(list(letters), n).astype(np.uint8).tobytes()
+            assert table.merge_long(piece).tolist() == table.merge_rows([piece], 256)[0].tolist()
+
+
+def test_a_very_long_piece_is_quick():
+    table = byte_bpe.merges(vocabulary()[0])
+    rng = np.random.default_rng(0)
+    for piece in (b"x" * 300_000, rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 60_000).astype(np.uint8).tobytes()):
+        ids = table.merge_long(piece)
+        assert table.decode(ids) == piece
+
+
 def test_bpe_equals_the_library_and_decodes(spark):
     import tiktoken
 
@@ -67,14 +119,55 @@ def test_media_round_trips(spark):
     assert media.decode(b"P3 1 1 255 9 8 7\n").tolist() == [[[9, 8, 7]]]
     assert media.decode(b"P4\n9 1\n\x80\x80").tolist() == [[0, 255, 255, 255, 255, 255, 255, 255, 0]]
     rows = odd_rows(n=10)
-    for form in ("pgm", "bmp"):
-        for r, (_, text, *_) in zip(media.text_images(frame(spark, rows).coalesce(1), form=form).collect(), rows, strict=True):
+    for form in ("pgm", "bmp", None):
+        stored = media.text_images(frame(spark, rows).coalesce(1), form=form)
+        for r, (_, text, *_) in zip(media.media_tiles(stored, "doc_id", "media", ("n_bytes", "media")).collect(), rows, strict=True):
             raw = (text or "").encode()
             padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
-            assert (r.n_bytes, bytes(r.payload)) == (len(raw), padded) and bytes(media.decode(bytes(r.media)).tobytes()) == padded
+            assert (r.n_bytes, bytes(r.samples), r.error) == (len(raw), padded, None)
+            assert bytes(r.media[:2]) == {"pgm": b"P5", "bmp": b"BM", None: (b"P5", b"BM")[zlib.crc32(padded) & 1]}[form]
             assert np.load(io.BytesIO(bytes(r.npy))).shape == (8, 9) and len(r.dhash) == 16
 
 
+def test_columns_of_op9(spark, tmp_path):
+    """Each column from the text alone; the feature by plain means over fractions of samples."""
+    rows = odd_rows(n=8)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_bytes): r for r in queries.op9_media_tiles(spark, str(tmp_path)).collect()}
+    for ident, text, *_ in rows:
+        raw = (text or "").encode()
+        r = got[ident, len(raw)]
+        padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        plane = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        stored = (media.encode_pgm, media.encode_bmp)[zlib.crc32(padded) & 1](plane)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        fine = np.kron(plane.astype(float), np.ones((8, 9)))  # a multiple of 8 x 9 cells
+        small = np.round(fine.reshape(8, len(fine) // 8, 9, 64).mean((1, 3)), 6)
+        assert r.feature == np.packbits((small[:, 1:] > small[:, :-1]).ravel()).tobytes().hex()
+        assert (np.load(io.BytesIO(bytes(r.tile))) == np.rint(small)).all()
+
+
+def test_no_bytes_break_the_decoder(spark):
+    """Headers with impossible sizes, and images with some bytes changed, cut or doubled, give an error or an image."""
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (6, 10), np.uint8)
+    raws = [b"P5\n99999999999 99999999999\n255\n", b"P5 0 0 255 ", b"P2 1 1 255 99999999999999999999999999", b"P6 4 4 70000 ", b"BM", b"P4", b"P5 2 2 255 \0", b"P3 1 1 255 1 2", b"P1 2 2 1"]
+    big = bytearray(media.encode_bmp(image))
+    big[18:26] = b"\xff\xff\xff\x7f" * 2
+    raws.append(bytes(big))
+    for whole in (media.encode_pgm(image), media.encode_bmp(image)):
+        for _ in range(300):
+            raw = bytearray(whole)
+            for _ in range(rng.integers(1, 5)):
+                raw[rng.integers(min(60, len(raw)))] = rng.integers(256)
+            raws.append(bytes(raw[: rng.integers(1, len(raw) + 1)] if rng.random() < 0.3 else raw))
+    for raw in raws:
+        got = media._tiled(raw)
+        assert (got[6] is None) != (got[3] is None)
+    assert all(media._tiled(raw)[6] for raw in raws[:10])
+
+
 def test_area_resize_is_the_mean_over_cells():
     rng = np.random.default_rng(2)
     plane = rng.integers(0, 256, (5, 7))
@@ -91,6 +184,46 @@ def test_media_tiles_report_what_is_no_image(spark):
     assert got[2].error and got[2].npy is None and got[3].npy is None and got[3].error is None and got[4].error
 
 
+def test_prediction_is_the_mean_over_letters_of_a_plain_run(monkeypatch):
+    """Position by position, one byte and one text at a time, over the span and the bytes around it."""
+    net = langid.Network(["a", "b", "c"], units=4, seed=2)
+    rng = np.random.default_rng(1)
+    raws = [bytes(rng.integers(32, 128, n, np.uint8)) for n in (1, 5, 96, 97, 300)] + ["Ünïcode 語 text".encode()]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(side, codes):
+        w, k, h, out = side.w, side.units, np.zeros(side.units), []
+        for c in codes:
+            into, rec = w["x"][c] + w["b"], h @ w["u"]
+            z, r = sigmoid(into[:k] + rec[:k]), sigmoid(into[k : 2 * k] + rec[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(into[2 * k :] + r * rec[2 * k :])
+            out.append(h)
+        return out
+
+    for raw, got in zip(raws, net.frozen().pooled(raws), strict=True):
+        sums, letters = np.zeros(3), 0
+        size = -(-len(raw) // langid.SPAN) * langid.SPAN
+        padded = b" " * langid.AROUND + raw.ljust(size) + b" " * langid.AROUND
+        for at in range(0, size, langid.SPAN):
+            codes = list(padded[at : at + langid.SPAN + 2 * langid.AROUND].lower())
+            ahead, back = run(net.sides[0], codes), run(net.sides[1], codes[::-1])[::-1]
+            for k in range(langid.AROUND, langid.AROUND + langid.SPAN):
+                byte = padded[at + k]
+                if byte >= 128 or chr(byte).isalpha():
+                    logits = np.concatenate([ahead[k], back[k]]) @ net.out["v"] + net.out["c"]
+                    p = np.exp(logits - logits.max())
+                    sums, letters = sums + p / p.sum(), letters + 1
+        assert np.allclose(got, sums / max(1, letters), atol=1e-4)
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    """Two rows in five thousand, and the bound on bytes leaves one row a language at least."""
+    rows = [(k, "the usual words of it " * 2, "aa") for k in range(5000)] + [(9000, "zzz qqq xxx " * 4, "rare"), (9001, "qqq zzz " * 6, "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, F.lit(True), rows=40).languages == ["aa", "rare"]
+    assert langid.fit(df, F.lit(True), rows=40, most=10).languages == ["aa", "rare"]
+
+
 def test_backpropagation_matches_numeric_gradients():
     net = langid.Network(["a", "b", "c"], units=3, seed=5)
     rng = np.random.default_rng(0)
@@ -136,8 +269,3 @@ def test_languages_are_learned_and_odd_texts_have_none(spark):
 @pytest.mark.parametrize("run", [quality_bands.quality_bands, media.text_images, lambda d: byte_bpe.encode(d, *vocabulary()), lambda d: langid.identify(d, None)])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
-
-
-def test_hash_of_ids_is_little_endian():
-    ids = np.array([1, 258], np.int32)
-    assert hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\2\1\0\0").hexdigest()
