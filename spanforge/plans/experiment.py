@@ -52,6 +52,7 @@ class Experiment:
     k: int = 10
     _chunks: dict[str, DataFrame] = field(default_factory=dict)
     _idf: dict[str, DataFrame] = field(default_factory=dict)
+    _pools: dict[tuple, DataFrame] = field(default_factory=dict)
     ranked: DataFrame | None = None
     configs: tuple[Config, ...] = ()
     build_seconds: dict[str, float] = field(default_factory=dict)
@@ -70,11 +71,29 @@ class Experiment:
             self._idf[config.chunk_id] = retrieval.weights(self.chunks(config)).persist()
         return self._idf[config.chunk_id]
 
+    def pool(self, config: Config, retriever: str) -> DataFrame:
+        """The first rows of a retriever, once a chunker: shorter lists, fusion and the second stage all begin with them."""
+        key = (config.chunk_id, retriever)
+        if key not in self._pools:
+            n = max(self.k, retrieval.POOL, retrieval.RERANK_POOL)
+            self._pools[key] = retrieval.retrieve(retriever, self.chunks(config), self.questions, n, idf=self.idf(config) if retriever == "bm25" else None).persist()
+        return self._pools[key]
+
+    def retrieved(self, config: Config) -> DataFrame:
+        """The same rows as retrieval.retrieve, from the pools."""
+        n = retrieval.RERANK_POOL if config.reranked else self.k
+        if config.retriever == "hybrid":
+            pools = [self.pool(config, name).where(F.col("rank") <= retrieval.POOL) for name in ("dense", "bm25")]
+            rows = retrieval.fuse(*pools, n)
+        else:
+            rows = self.pool(config, config.retriever).where(F.col("rank") <= n)
+        return retrieval.rerank(rows, self.chunks(config), self.questions, self.k) if config.reranked else rows
+
     def over(self, configs: tuple[Config, ...] = GRID) -> Experiment:
         """Ranks all questions under all configurations; rows carry config_id."""
         out = None
         for config in configs:
-            rows = retrieval.retrieve(config.retriever, self.chunks(config), self.questions, self.k, config.reranked, None if config.retriever == "dense" else self.idf(config)).withColumn("config_id", F.lit(config.config_id))
+            rows = self.retrieved(config).withColumn("config_id", F.lit(config.config_id))
             out = rows if out is None else out.unionByName(rows)
         self.configs, self.ranked = configs, out.persist()
         return self
