@@ -129,16 +129,31 @@ def chunk_heading(spark, sf_dir):
     return chunking.heading_chunks(markdown(spark, sf_dir))
 
 
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+HEADINGS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
     marked AS (SELECT doc_id, i, CASE WHEN i % 6 = 0 THEN '# ' || raw WHEN i % 3 = 0 THEN '## ' || raw ELSE raw END AS line FROM lines),
     placed AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start" FROM marked),
     heads AS (SELECT doc_id, "start", length(regexp_extract(line, '^(#+)', 1))::BIGINT AS level, trim(regexp_extract(line, '^#{1,6}[ \t]+(.+?)[ \t]*$', 1)) AS title FROM placed WHERE regexp_matches(line, '^#{1,6}[ \t]+[^ \t]')),
-    up AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t1 FROM heads)
-    SELECT doc_id, "start", level, title, CASE WHEN level = 1 OR t1 IS NULL THEN title ELSE t1 || ' > ' || title END AS path FROM up""")
+    up AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t1 FROM heads),
+    headed AS (SELECT doc_id, "start", level, title, CASE WHEN level = 1 OR t1 IS NULL THEN title ELSE t1 || ' > ' || title END AS path FROM up)"""
+
+
+@query(f"WITH {HEADINGS} SELECT * FROM headed")
 def heading_paths(spark, sf_dir):
     return chunking.heading_lines(markdown(spark, sf_dir))
 
 
+@query(rf"""WITH {HEADINGS}, body AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM marked GROUP BY 1),
+    cuts AS (SELECT doc_id, 0::BIGINT AS "start", '' AS path, 0 AS nth FROM body UNION ALL SELECT doc_id, "start", path, 1 FROM headed),
+    sections AS (SELECT c.doc_id, "start", lead("start", 1, length(text)) OVER (PARTITION BY c.doc_id ORDER BY "start", nth) AS "end", path, text FROM cuts c JOIN body b ON b.doc_id = c.doc_id),
+    real AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY "start", "end") AS before FROM sections WHERE regexp_matches(substr(text, "start" + 1, "end" - "start"), '\S')),
+    grouped AS (SELECT *, sum(CASE WHEN "end" - "start" < 200 AND before = "start" THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS g FROM real),
+    joined AS (SELECT doc_id, min("start") AS a, max("end") AS b, min_by(path, "start") AS path, any_value(text) AS text FROM grouped GROUP BY doc_id, g)
+    SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", substr(text, a + 1, b - a) AS chunk_text, path AS context_prefix, false AS sub_split FROM joined""")
+def chunk_heading_sections(spark, sf_dir):
+    """Sections of any length: headings, paths and the joining of runts, without the recursive split of long ones."""
+    return chunking.heading_chunks(markdown(spark, sf_dir), max_size=1 << 30)
+
+
 SENTENCES = r"""marked AS (SELECT doc_id, regexp_replace(text, '([.!?]["'')\]]*\s+)', '\1' || chr(63743), 'g') AS m FROM documents WHERE text <> ''),
     parts AS (SELECT doc_id, unnest(string_split(m, chr(63743))) AS part, generate_subscripts(string_split(m, chr(63743)), 1) AS i FROM marked),
     sentences AS (SELECT doc_id, (row_number() OVER w - 1)::BIGINT AS sentence_ix, (sum(length(part)) OVER w - length(part))::BIGINT AS "start", (sum(length(part)) OVER w)::BIGINT AS "end"
@@ -586,7 +601,16 @@ def reranker_twin(spark, sf_dir):
     return ranking.reranker_twins(candidate_rows(spark, sf_dir))
 
 
-@query()
+@query(f"""{BEST}, alt AS (SELECT CASE WHEN (c.chunker, c.params) <> (w.chunker, w.params) AND c.retriever = w.retriever THEN 'chunker' WHEN (c.chunker, c.params) = (w.chunker, w.params) AND c.retriever <> w.retriever THEN 'retriever' END AS axis,
+        c.config_id, c.label, c.mrr, round(w.mrr - c.mrr, 9) AS delta FROM cq c, win w WHERE c.config_id <> w.config_id AND (c.reranker IS NULL) = (w.reranker IS NULL)),
+    first_alt AS (SELECT * FROM alt WHERE axis IS NOT NULL QUALIFY row_number() OVER (PARTITION BY axis ORDER BY mrr DESC, config_id) = 1),
+    twins AS (SELECT a.config_id, b.config_id AS twin_id, round(a.mrr - b.mrr, 9) AS d_mrr, round(a.latency_ms - b.latency_ms, 9) AS d_ms FROM cq a JOIN cq b USING (chunker, params, retriever) WHERE a.reranker IS NOT NULL AND b.reranker IS NULL)
+    SELECT 0::BIGINT AS line_no, 'RECOMMENDED: ' || label AS line FROM win
+    UNION ALL SELECT 1, printf('Quality  MRR %.3f | hit %.3f | nDCG %.3f', mrr, hit, ndcg) FROM win
+    UNION ALL SELECT 2, printf('Cost     %.1f ms/query | %.0f chars of context | %d chunks indexed', latency_ms, chars, n_chunks) FROM win
+    UNION ALL SELECT CASE axis WHEN 'chunker' THEN 3 ELSE 4 END, printf('%s: %s the best alternative (%s) by %.3f MRR, all else equal', axis, CASE WHEN delta >= 0 THEN 'outperforms' ELSE 'trails' END, label, abs(delta)) FROM first_alt
+    UNION ALL SELECT 5, CASE WHEN t.twin_id = w.config_id THEN 'Rejected: ' ELSE '' END || printf('Reranking: %+.3f MRR for %+.0f ms/query', d_mrr, d_ms) FROM twins t JOIN win w ON t.config_id = w.config_id OR t.twin_id = w.config_id
+    UNION ALL SELECT 6, printf('WARNING: only %.1f%% of evidence spans are within reach at the strictest threshold', hit * 100) FROM win WHERE hit < 0.99""")
 def explanation_lines(spark, sf_dir):
     rows = candidate_rows(spark, sf_dir)
     ceilings = rows.select("config_id", F.lit(0.999).alias("tau"), F.col("hit").alias("reachable"))
@@ -847,6 +871,21 @@ def judge_score_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(T.judged_score(payload), 9).alias("score"))
 
 
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS qid, length(text) + 7 + i AS n FROM conversations, range(0, 3) t(i) WHERE text IS NOT NULL),
+    g AS (SELECT qid, CASE WHEN n % 4 = 3 THEN NULL ELSE n % 11 / 10.0::DOUBLE END AS s FROM r)
+    SELECT qid, round(avg(s), 9) AS score, round(stddev_pop(s), 9) AS spread, count(*) FILTER (WHERE s IS NULL)::BIGINT AS failures FROM g GROUP BY 1""")
+def judge_repeats(spark, sf_dir):
+    """A judge that answers by the length of what it is asked, three times with three seeds; every fourth length gets no score."""
+
+    def reply(asked: list[str]) -> list[str]:
+        number = lambda ask: len(ask) - 1 + int(ask[-1])  # noqa: E731  the text, "\nseed: " and the seed itself
+        return ['{"verdict": "none"}' if number(a) % 4 == 3 else f'{{"seen": {{"score": {number(a) % 11 / 10}}}}}' for a in asked]
+
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    got = generation.judge(rows, "text", reply, 3)
+    return got.select("qid", F.round("score", 9).alias("score"), F.round("spread", 9).alias("spread"), "failures")
+
+
 @query(f"""WITH {TURNS}, {BAGS}, s AS (SELECT conv_id % 7 AS config_id, {REFUSED.format('answer')} AS refused, CASE WHEN na = 0 OR ng = 0 THEN 0 ELSE 2.0::DOUBLE * o / (na + ng) END AS f1, CASE WHEN ng = 0 THEN 0 ELSE o::DOUBLE / ng END AS rc,
         CASE WHEN turn % 3 = 0 THEN NULL ELSE (conv_id * 31 % 101) / 100.0::DOUBLE END AS f, CASE WHEN turn % 2 = 0 THEN (conv_id * 17 % 101) / 100.0::DOUBLE END AS r FROM sc)
     SELECT config_id, count(*)::BIGINT AS n, round(avg(refused::INT), 4) AS refusal_rate, round(avg(round(f1, 4)), 4) AS token_f1, round(avg(round(rc, 4)), 4) AS gold_recall, round(avg(round(rc, 4)), 4) AS span_grounding,
