@@ -269,3 +269,19 @@ def test_languages_are_learned_and_odd_texts_have_none(spark):
 @pytest.mark.parametrize("run", [quality_bands.quality_bands, media.text_images, lambda d: byte_bpe.encode(d, *vocabulary()), lambda d: langid.identify(d, None)])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_beyond_a_slice(spark):
+    """Five megabytes in one text, between small ones: each is whole in what comes out."""
+    data, pattern = vocabulary()
+    rng = np.random.default_rng(7)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 300, 1_200_000))
+    rows = [(1, "small one"), (2, long), (3, None), (4, "the last of them")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len(long) > 4 << 20
+    assert {r.doc_id: r.n_words for r in quality_bands.quality_bands(df).collect()} == {1: 2, 2: 1_200_000, 3: 0, 4: 4}
+    assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.encode(df, data, pattern).collect()} == {k: (t or "").encode() for k, t in rows}
+    stored = media.media_tiles(media.text_images(df), "doc_id", "media", ("n_bytes",))
+    assert {r.id: bytes(r.samples)[: r.n_bytes] for r in stored.collect()} == {k: (t or "").encode() for k, t in rows}
+    model = langid.Network(["a", "b"], units=2).frozen()
+    assert {r.doc_id: r.lang_pred != "und" for r in langid.identify(df, model).collect()} == {1: True, 2: True, 3: False, 4: True}
