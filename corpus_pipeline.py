@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from spanforge.llm import byte_bpe, common, jaccard, langid, line_templates, mixing
 from spanforge.llm.queries import held_out, vocabulary
 
-#: Pooled probability below which no language is recognised.
-LEAST_SCORE = 0.3
+#: Pooled probability below which no language is recognised: the best one must outweigh all others together.
+LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
