@@ -91,6 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 
+#: Words as DuckDB finds them.
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_RUN = lambda n: "concat_ws(' ', word, " + ", ".join(f"lead(word, {j}) OVER w" for j in range(1, n)) + ")"
+_PLACED = "SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM t"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+
+def _round(j: int) -> str:
+    """A round of the template tree: templates r{j} (tp, room) and those of the masked lines o{j} (ms, tp) to r{j + 1}, o{j + 1}."""
+    return f"""
+        w{j} AS (SELECT tp, tp AS made, 0 AS k FROM r{j} UNION ALL SELECT tp, list_transform(tp, lambda x, i: CASE WHEN i = k THEN '<*>' ELSE x END), k FROM (SELECT tp, unnest(range(3, len(tp) + 1)) AS k FROM r{j} WHERE room > 0) WHERE tp[k] <> '<*>'),
+        c{j} AS (SELECT made, count(*) AS c FROM w{j} GROUP BY 1 HAVING count(*) > 1),
+        v{j} AS (SELECT tp, made FROM w{j} JOIN c{j} USING (made) QUALIFY row_number() OVER (PARTITION BY tp ORDER BY c DESC, k) = 1 AND k > 0),
+        o{j + 1} AS (SELECT ms, coalesce(made, tp) AS tp FROM o{j} LEFT JOIN v{j} USING (tp)),
+        r{j + 1} AS (SELECT coalesce(made, tp) AS tp, max(room - CASE WHEN made IS NULL THEN 0 ELSE 1 END) AS room FROM r{j} LEFT JOIN v{j} USING (tp) GROUP BY 1),"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": f"""
         WITH rules(rhost, rpath, verdict) AS (VALUES {', '.join(map(repr, URL_RULES))}),
@@ -101,4 +119,39 @@ ORACLE_SQL: dict[str, str] = {
             FROM urls u LEFT JOIN rules r
               ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE rn = 1""",
+    "op5_fm_substrings": f"""
+        WITH t AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS ws FROM documents),
+        runs AS (SELECT doc_id, k AS i, {_RUN(20)} AS s, lead(word, 19) OVER w AS last FROM ({_PLACED}) WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM runs WHERE last IS NOT NULL),
+        edges AS (SELECT doc_id, i AS k, 1 AS d FROM windows WHERE nth > 1 UNION ALL SELECT doc_id, i + 20, -1 FROM windows WHERE nth > 1),
+        steps AS (SELECT doc_id, k, sum(d) AS d FROM edges GROUP BY 1, 2),
+        words AS (SELECT doc_id, k, word, sum(coalesce(d, 0)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) > 0 AS gone FROM ({_PLACED}) LEFT JOIN steps USING (doc_id, k)),
+        cut AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM words GROUP BY 1)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN cut USING (doc_id)""",
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, s FROM (SELECT doc_id, {_RUN(5)} AS s, lead(word, 4) OVER w AS last FROM ({_PLACED}) WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE last IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM t WHERE len(ws) BETWEEN 1 AND 4)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reached(doc_id, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other)
+        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY 1""",
+    "op10_line_templates": f"""
+        WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, i, line, {_WORDS.format('line')} AS ws FROM l),
+        f AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) AS figures FROM w),
+        m AS (SELECT *, CASE WHEN 2 * figures <= n THEN list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE ws END AS ms FROM f),
+        held AS (SELECT ms, count(DISTINCT doc_id) AS docs FROM m WHERE n >= {line_templates.LEAST_WORDS} GROUP BY 1),
+        cells AS (SELECT ms, len(ms) AS n, generate_subscripts(ms, 1) AS k, unnest(ms) AS word, docs FROM held),
+        counted AS (SELECT *, k > 2 AND word <> '<*>' AND sum(docs) OVER (PARTITION BY n, ms[1], ms[2], k, word) < {line_templates.DOCS} AS rare FROM cells),
+        t0 AS (SELECT ms, any_value(n) // 4 - count(*) FILTER (WHERE rare) AS room, list(CASE WHEN rare THEN '<*>' ELSE word END ORDER BY k) AS tp FROM counted GROUP BY 1),
+        o0 AS (SELECT ms, tp FROM t0 WHERE room >= 0), r0 AS (SELECT tp, max(room) AS room FROM t0 WHERE room >= 0 GROUP BY 1),{''.join(map(_round, range(line_templates.ROUNDS)))}
+        placed AS (SELECT m.*, o.tp FROM m LEFT JOIN o{line_templates.ROUNDS} o ON o.ms = m.ms AND m.n >= {line_templates.LEAST_WORDS}),
+        common AS (SELECT tp, min(doc_id) AS first FROM placed WHERE tp IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= {line_templates.DOCS}),
+        exact AS (SELECT ws, min(doc_id) AS first FROM m WHERE n >= {line_templates.LONG} GROUP BY 1 HAVING count(DISTINCT doc_id) >= {line_templates.EXACT_DOCS}),
+        judged AS (SELECT p.doc_id, p.i, p.line, coalesce(c.first <> p.doc_id, false) OR coalesce(e.first <> p.doc_id, false) AS gone FROM placed p LEFT JOIN common c ON c.tp = p.tp LEFT JOIN exact e ON e.ws = p.ws),
+        cut AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY 1)
+        SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN cut USING (doc_id)""",
 }
