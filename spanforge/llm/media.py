@@ -7,9 +7,9 @@ null text is an empty payload (64 zero bytes). Repeated rows give equal values;
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,12 +134,19 @@ def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
     return (sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]) / cell
 
 
+def npy_head(size: int = 8) -> str:
+    """The NPY header of a tile of bytes, in hex."""
+    out = io.BytesIO()
+    np.save(out, np.zeros((size, size + 1), np.uint8))
+    return out.getvalue()[: -size * (size + 1)].hex()
+
+
 def tile(raw: bytes, size: int = 8) -> tuple[np.ndarray, bytes, str]:
     """(decoded image, NPY bytes of its size x (size + 1) tile, difference hash in hex)."""
     image = decode(raw)
     small = np.round(area_resize(grey(image), size, size + 1), 6)
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(small), 0, 65535).astype(np.uint8 if image.dtype == np.uint8 else np.uint16))
+    np.save(out, np.ascontiguousarray(np.clip(np.rint(small), 0, 65535).astype(np.uint8 if image.dtype == np.uint8 else np.uint16)))
     return image, out.getvalue(), np.packbits((small[:, 1:] > small[:, :-1]).ravel()).tobytes().hex()
 
 
@@ -174,7 +181,7 @@ def text_images(df: DataFrame, ident: str = "doc_id", text: str = "text", form:
     """Stores every whole text as an image: (doc_id, n_bytes, media).
 
     The payload is the UTF-8 text with zero bytes up to a positive multiple of 64, one image row for each 64 bytes. Without a
-    ``form`` (pgm or bmp) the payload's CRC-32 chooses: even ones are Netpbm, odd ones BMP.
+    ``form`` (pgm or bmp) the last bit of the payload's SHA-256 chooses: 0 is Netpbm, 1 BMP.
     """
     slim = df.select(df[ident].alias("doc_id"), df[text].cast("string").alias("text"))
     encoders = {"pgm": encode_pgm, "bmp": encode_bmp}
@@ -185,7 +192,7 @@ def text_images(df: DataFrame, ident: str = "doc_id", text: str = "text", form:
             for raw in common.filled(part.column("text")).cast(pa.binary()).to_pylist():
                 size = max(1, -(-len(raw) // WIDTH))
                 payload = raw.ljust(size * WIDTH, b"\0")
-                encode = encoders[form or ("pgm", "bmp")[zlib.crc32(payload) & 1]]
+                encode = encoders[form or ("pgm", "bmp")[hashlib.sha256(payload).digest()[-1] & 1]]
                 media.append(encode(np.frombuffer(payload, np.uint8).reshape(size, WIDTH)))
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])

@@ -99,6 +99,23 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 
 
+def _little(value: str) -> str:
+    """A 32-bit number's bytes in hex, the low one first."""
+    return "(" + " || ".join(f"printf('%02X', ({value}) >> {8 * k} & 255)" for k in range(4)) + ")"
+
+
+def _crc_table() -> str:
+    """The 256 remainders of the reflected polynomial EDB88320."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return str(out)
+
+
+def _crc(numbers: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {numbers}), lambda c, x: xor(remainders[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+
+
 def _round(j: int) -> str:
     """A round of the template tree: templates r{j} (tp, room) and those of the masked lines o{j} (ms, tp) to r{j + 1}, o{j + 1}."""
     return f"""
@@ -154,4 +171,26 @@ ORACLE_SQL: dict[str, str] = {
         judged AS (SELECT p.doc_id, p.i, p.line, coalesce(c.first <> p.doc_id, false) OR coalesce(e.first <> p.doc_id, false) AS gone FROM placed p LEFT JOIN common c ON c.tp = p.tp LEFT JOIN exact e ON e.ws = p.ws),
         cut AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY 1)
         SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents LEFT JOIN cut USING (doc_id)""",
+    "op9_media_tiles": f"""
+        WITH tables AS (SELECT {_crc_table()}::BIGINT[] AS remainders),
+        t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, len(h) // 2 AS n, greatest(1, (len(h) + 127) // 128) AS rows_, rpad(h, (greatest(1, (len(h) + 127) // 128) * 128)::INT, '0') AS h FROM t),
+        lines AS (SELECT doc_id, rows_, r, substr(h, 128 * r + 1, 128) AS line FROM (SELECT *, unnest(range(0, rows_)) AS r FROM p)),
+        flipped AS (SELECT doc_id, string_agg(line, '' ORDER BY r DESC) AS h FROM lines GROUP BY 1),
+        bytes AS (SELECT doc_id, rows_, r, unnest(range(0, 64)) AS c, unnest(list_transform(range(0, 64), lambda i: ('0x' || substr(line, 2 * i + 1, 2))::BIGINT)) AS x FROM lines),
+        lasts AS (SELECT doc_id, list(x ORDER BY c) AS v FROM bytes WHERE r = rows_ - 1 GROUP BY 1),
+        c AS (SELECT p.*, ('0x' || right(sha256(unhex(h)), 1))::INT % 2 AS odd, {_crc('v')} AS tail FROM p JOIN lasts USING (doc_id), tables),
+        stored AS (SELECT c.*, unhex(CASE WHEN odd = 0 THEN hex(encode('P5' || chr(10) || '64 ' || rows_ || chr(10) || '255' || chr(10))) || c.h
+            ELSE '424D' || {_little('1078 + rows_ * 64')} || '00000000' || {_little('1078')} || {_little('40')} || {_little('64')} || {_little('rows_')} || '01000800' || {_little('0')} || {_little('rows_ * 64')}
+                || {_little('2835')} || {_little('2835')} || {_little('256')} || {_little('0')} || (SELECT string_agg(printf('%02X', g) || printf('%02X', g) || printf('%02X', g) || '00', '' ORDER BY g) FROM range(0, 256) x(g)) || f.h END) AS media
+            FROM c JOIN flipped f USING (doc_id)),
+        across AS (SELECT doc_id, any_value(rows_) AS rows_, r, j, sum(x * (least(c + 1, (j + 1) * 64 / 9.0::DOUBLE) - greatest(c, j * 64 / 9.0::DOUBLE))) AS s
+            FROM bytes JOIN (SELECT c, j FROM range(0, 64) a(c), range(0, 9) t(j) WHERE c + 1 > j * 64 / 9.0::DOUBLE AND c < (j + 1) * 64 / 9.0::DOUBLE) USING (c) GROUP BY doc_id, r, j),
+        cells AS (SELECT doc_id, j, k, round(sum(s * (least(r + 1, (k + 1) * rows_ / 8.0::DOUBLE) - greatest(r, k * rows_ / 8.0::DOUBLE))) / (any_value(rows_) / 8.0::DOUBLE * 64 / 9), 6) AS m
+            FROM across, range(0, 8) t(k) WHERE r + 1 > k * rows_ / 8.0::DOUBLE AND r < (k + 1) * rows_ / 8.0::DOUBLE GROUP BY 1, 2, 3),
+        steps AS (SELECT *, lead(m) OVER (PARTITION BY doc_id, k ORDER BY j) AS after FROM cells),
+        marks AS (SELECT doc_id, k, sum(CASE WHEN after > m THEN 1 << (7 - j) ELSE 0 END)::BIGINT AS bits, string_agg(printf('%02X', round_even(m, 0)::BIGINT), '' ORDER BY j) AS tile FROM steps GROUP BY 1, 2),
+        features AS (SELECT doc_id, string_agg(printf('%02x', bits), '' ORDER BY k) AS feature, unhex('{media.npy_head()}' || string_agg(tile, '' ORDER BY k)) AS tile FROM marks GROUP BY 1)
+        SELECT doc_id, n::BIGINT AS n_bytes, (rows_ * 64)::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256, tail::BIGINT AS tail_crc32, octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256, feature, tile
+        FROM stored JOIN features USING (doc_id)""",
 }
