@@ -125,7 +125,7 @@ def test_media_round_trips(spark):
             raw = (text or "").encode()
             padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
             assert (r.n_bytes, bytes(r.samples), r.error) == (len(raw), padded, None)
-            assert bytes(r.media[:2]) == {"pgm": b"P5", "bmp": b"BM", None: (b"P5", b"BM")[zlib.crc32(padded) & 1]}[form]
+            assert bytes(r.media[:2]) == {"pgm": b"P5", "bmp": b"BM", None: (b"P5", b"BM")[hashlib.sha256(padded).digest()[-1] & 1]}[form]
             assert np.load(io.BytesIO(bytes(r.npy))).shape == (8, 9) and len(r.dhash) == 16
 
 
@@ -140,7 +140,7 @@ def test_columns_of_op9(spark, tmp_path):
         padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         plane = np.frombuffer(padded, np.uint8).reshape(-1, 64)
-        stored = (media.encode_pgm, media.encode_bmp)[zlib.crc32(padded) & 1](plane)
+        stored = (media.encode_pgm, media.encode_bmp)[hashlib.sha256(padded).digest()[-1] & 1](plane)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         fine = np.kron(plane.astype(float), np.ones((8, 9)))  # a multiple of 8 x 9 cells
         small = np.round(fine.reshape(8, len(fine) // 8, 9, 64).mean((1, 3)), 6)
