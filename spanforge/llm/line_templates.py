@@ -116,20 +116,21 @@ def lines_of(df: DataFrame, exact: bool) -> DataFrame:
 
 
 def masked_templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -> DataFrame:
-    """(leaf, mark, t, room, cells) of the masked lines that can have a recurring template: t is the hash of the template,
-    cells its constant places after the leading ones with their hashes, room how many of them may still become variable."""
+    """(mark, t, room, cells) of the masked lines that can have a recurring template: t is the hash of the template, cells its
+    constant places after the leading ones with their hashes, room how many of them may still become variable."""
     lines = reached.groupBy("leaf", "mark").agg(F.sum(F.size("docs")).alias("n"), F.first("line").alias("line")).withColumn("words", F.split("line", " "))
     places = F.transform("words", lambda w, k: F.struct(k.alias("pos"), F.when(w != VARIABLE, F.xxhash64(F.col("leaf"), k, w)).alias("h")))
     room = F.floor((1 - like) * F.size("words") + 1e-9).cast("int")
     base = common.written(lines.select("leaf", "mark", "n", room.alias("room"), F.filter(places, lambda c: c["h"].isNotNull() & (c["pos"] >= LEADING)).alias("cells")))
-    common_cells = common.written(base.select("n", F.explode("cells.h").alias("h")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= docs).select("h", F.lit(True).alias("held")))
-    each = base.select("leaf", "mark", "room", F.explode_outer("cells").alias("c")).select("leaf", "mark", "room", F.col("c.pos").alias("pos"), F.col("c.h").alias("h"))
-    each = each.join(common_cells, "h", "left")
-    constant = F.when(F.col("held"), F.struct("pos", "h"))
-    out = each.groupBy("leaf", "mark", "room").agg((F.count("pos") - F.count("held")).cast("int").alias("rare"), F.collect_list(constant).alias("cells"), F.bit_xor(F.when(F.col("held"), F.col("h"))).alias("x"))
-    out = out.where("rare <= room").select("leaf", "mark", F.xxhash64("leaf", F.lit(-1)).bitwiseXOR(F.coalesce("x", F.lit(0).cast("long"))).alias("t"), (F.col("room") - F.col("rare")).alias("room"), "cells")
-    out = common.written(out)
-    for done in (base, common_cells):
+    held = common.written(base.select("n", F.explode("cells.h").alias("h")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= docs).select("h"))
+    each = base.select("mark", F.explode("cells").alias("c")).select("mark", F.col("c.pos").alias("pos"), F.col("c.h").alias("h"))
+    # a masked line is known by its mark alone: its leaf and its room join again once its places are counted
+    constant = each.join(held, "h").groupBy("mark").agg(F.collect_list(F.struct("pos", "h")).alias("kept"), F.bit_xor("h").alias("x"))
+    out = base.select("mark", "leaf", "room", F.size("cells").alias("of")).join(constant, "mark", "left")
+    kept = F.coalesce("kept", F.expr("cast(array() as array<struct<pos:int,h:bigint>>)"))
+    out = out.select("mark", F.xxhash64("leaf", F.lit(-1)).bitwiseXOR(F.coalesce("x", F.lit(0).cast("long"))).alias("t"), (F.col("room") - F.col("of") + F.size(kept)).alias("room"), kept.alias("cells"))
+    out = common.written(out.where("room >= 0"))
+    for done in (base, held):
         common.drop_written(done)
     return out
 
@@ -145,16 +146,16 @@ def joined(now: DataFrame) -> DataFrame:
 
 
 def templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE, rounds: int = ROUNDS) -> DataFrame:
-    """(leaf, mark, t): the template of each masked line that can have a recurring one."""
+    """(mark, t): the template of each masked line that can have a recurring one."""
     first = masked_templates(reached, docs, like)
-    own = first.select("leaf", "mark", "t")
+    own = first.select("mark", "t")
     once = lambda rows: rows.groupBy("t").agg(F.max("room").alias("room"), F.first("cells").alias("cells"))
     now = common.written(once(first.select("t", "room", "cells")))
     for step in range(rounds):
         moves = joined(now)
         if moves.isEmpty():
             break
-        own = own.join(moves.select("t", "to"), "t", "left").select("leaf", "mark", F.coalesce("to", "t").alias("t"))
+        own = own.join(moves.select("t", "to"), "t", "left").select("mark", F.coalesce("to", "t").alias("t"))
         if step < rounds - 1:
             after = now.join(moves, "t", "left")
             now = common.written(once(after.select(F.coalesce("to", "t").alias("t"), F.when(F.col("to").isNull(), F.col("room")).otherwise(F.col("room") - 1).alias("room"), F.filter("cells", lambda c: F.coalesce(c["pos"] != F.col("pos"), F.lit(True))).alias("cells"))))
@@ -165,12 +166,13 @@ def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: in
     """(doc_id, mark): the lines to drop, by the hash of their masked words or, of long lines, of all words."""
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = common.written(lines_of(slim, exact < docs))
-    short = lines.where("NOT whole").drop("whole")
-    leaves = common.written(short.groupBy("leaf").agg(F.sum(F.size("docs")).alias("n")).where(F.col("n") >= docs).select("leaf"))
-    reached = common.written(short.join(leaves.hint("shuffle_hash"), "leaf"))
-    template = templates(reached, docs)
-    short = reached.select("leaf", "mark", "docs").join(template, ["leaf", "mark"]).select("mark", "t", "docs", F.lit(docs).alias("least"))
-    whole = lines.where("whole").select("mark", F.col("mark").alias("t"), "docs", F.lit(exact).alias("least"))
+    least = F.when(F.col("whole"), exact).otherwise(docs)
+    leaves = lines.groupBy("leaf", least.alias("least")).agg(F.sum(F.size("docs")).alias("n")).where("n >= least")
+    leaves = common.written(leaves.select("leaf", "least"))
+    reached = common.written(lines.drop("whole").join(leaves.hint("shuffle_hash"), "leaf"))
+    short, whole = reached.where("line IS NOT NULL"), reached.where("line IS NULL")
+    short = short.select("mark", "docs", "least").join(templates(short, docs), "mark").select("mark", "t", "docs", "least")
+    whole = whole.select("mark", F.col("mark").alias("t"), "docs", "least")
     # read back, so that a common template can be split in the join
     held = common.written(short.unionByName(whole).select("mark", "t", "least", F.explode("docs").alias("doc_id")))
     per = held.groupBy("t", "doc_id").agg(F.max("least").alias("least")).groupBy("t").agg(F.count("least").alias("n"), F.max("least").alias("least"), F.min("doc_id").alias("first"))
