@@ -1,4 +1,4 @@
-"""A compressed FM-index over word codes: wavelet matrix, backward search, matching statistics. All steps are vectorised."""
+"""An FM-index over word codes: wavelet matrix of plain bit vectors, backward search, matching statistics. All steps are vectorised."""
 
 from __future__ import annotations
 
