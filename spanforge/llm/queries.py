@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, ctw, jaccard, langid, line_templates, media, mixing, quality_bands, substrings, url_rules
+from spanforge.llm import byte_bpe, clustering, common, ctw, jaccard, langid, late_arrivals, line_templates, media, mixing, quality_bands, substrings, url_rules
 
 #: The rules of op2: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -84,8 +84,36 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: What arrives before is op11's starting layout.
+LATE_FROM = "2024-03-01"
+
+
+def with_copies(sales: DataFrame) -> DataFrame:
+    """op11's rows: a third of the sales of every tenth day come again, later and dearer."""
+    h, day = F.crc32(F.col("sale_id").cast("string").cast("binary")), late_arrivals.day_of(late_arrivals.micros(sales, "sold_at"))
+    again = F.coalesce((h % 3 == 0) & (day % 10 == 0), F.lit(False))
+    copy, hash_ = common.fresh(sales, "copy"), common.fresh(sales, "hash")
+    rows = sales.withColumn(hash_, h).withColumn(copy, F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    new = {
+        "total": F.col("total") + F.col(copy),
+        "sold_at": F.when(F.col(copy) == 0, F.col("sold_at")).otherwise(F.col("sold_at") + F.make_dt_interval((F.col(hash_) % 2).cast("int"))),
+        "arrived_at": F.when(F.col(copy) == 0, F.col("arrived_at")).otherwise(F.col("arrived_at") + F.make_dt_interval((1 + F.col(hash_) % 97).cast("int"))),
+    }
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in sales.columns))
+
+
+def op11_late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    layout, start = late_arrivals.amended_layout(with_copies(sales), LATE_FROM, 1 + sales.count() // 900)
+    return late_arrivals.files(layout, start)
+
+
+def op12_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles, op10_line_templates)
+    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles, op10_line_templates, op11_late_arrivals, op12_partial_distance)
 }
 
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -126,6 +154,15 @@ def _round(j: int) -> str:
         r{j + 1} AS (SELECT coalesce(made, tp) AS tp, max(room - CASE WHEN made IS NULL THEN 0 ELSE 1 END) AS room FROM r{j} LEFT JOIN v{j} USING (tp) GROUP BY 1),"""
 
 
+def _lloyd(j: int) -> str:
+    """A round of op12: the assignment to the centroids c{j} (c, v), and those of the next round."""
+    return f"""
+        a{j} AS MATERIALIZED (SELECT k.rid, any_value(k.v) AS v, min([list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.c]) AS d FROM kept k, c{j} c GROUP BY 1),
+        s{j} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT d[2] AS c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{j}) GROUP BY 1, 2),
+        m{j} AS (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{j} GROUP BY 1),
+        c{j + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{j} c LEFT JOIN m{j} m USING (c)),"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": f"""
         WITH rules(rhost, rpath, verdict) AS (VALUES {', '.join(map(repr, URL_RULES))}),
@@ -193,4 +230,11 @@ ORACLE_SQL: dict[str, str] = {
         features AS (SELECT doc_id, string_agg(printf('%02x', bits), '' ORDER BY k) AS feature, unhex('{media.npy_head()}' || string_agg(tile, '' ORDER BY k)) AS tile FROM marks GROUP BY 1)
         SELECT doc_id, n::BIGINT AS n_bytes, (rows_ * 64)::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256, tail::BIGINT AS tail_crc32, octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256, feature, tile
         FROM stored JOIN features USING (doc_id)""",
+    "op12_partial_distance": f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < 8),{''.join(map(_lloyd, range(10)))}
+        placed AS (SELECT k.vec_id, min([list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.c]) AS d FROM kept k, c10 c GROUP BY k.rid, k.vec_id)
+        SELECT vec_id, d[2]::INTEGER AS cluster, d[1] AS distance, sum(d[1]) OVER (PARTITION BY d[2])::BIGINT AS cluster_inertia, sum(d[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+        FROM placed JOIN c10 ON c10.c = d[2]""",
 }
