@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import byte_bpe, clustering, common, ctw, jaccard, langid, late_arrivals, line_templates, media, mixing, quality_bands, substrings, url_rules
+from spanforge.llm import byte_bpe, clustering, common, ctw, jaccard, langid, late_arrivals, line_templates, media, mixing, pii, quality_bands, substrings, url_rules
 
 #: The rules of op2: host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -112,8 +112,12 @@ def op12_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles, op10_line_templates, op11_late_arrivals, op12_partial_distance)
+    f.__name__: f for f in (op1_langid, op2_url_rules, op3_pivotal_mix, op4_ctw, op5_fm_substrings, op6_quality_bands, op7_jaccard_join, op8_byte_bpe, op9_media_tiles, op10_line_templates, op11_late_arrivals, op12_partial_distance, op13_pii_crf)
 }
 
 _HOST = "coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
