@@ -11,10 +11,25 @@ from pyspark.sql import functions as F
 from spanforge.functions.overlap import overlap_chars, overlap_score
 
 
-def pair_scores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Chunks (doc_id, start, end) x truths (qid, span_ix, doc_id, start, end) that share characters, in all three modes."""
+#: Characters of a bin: spans meet in the bins that they reach into.
+BIN = 2048
+
+
+def binned(spans: DataFrame, start: str, end: str, width: int, out: str = "bin") -> DataFrame:
+    """The spans, each once for every bin that it reaches into; an empty span stands in the bin of its place."""
+    first, last = (F.floor(c / F.lit(width)) for c in (F.col(start), F.greatest(F.col(start), F.col(end) - 1)))
+    return spans.withColumn(out, F.explode(F.sequence(first, last)))
+
+
+def pair_scores(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+    """Chunks (doc_id, start, end) x truths (qid, span_ix, doc_id, start, end) that share characters, in all three modes.
+
+    Both sides are dealt by document and bin, so that a long document is many keys; a pair counts in the first bin that it has in
+    common, which is where the later of the two starts.
+    """
     t = right.select("qid", "span_ix", "doc_id", F.col("start").alias("t1"), F.col("end").alias("t2"))
-    met = left.select("doc_id", "start", "end").join(t, "doc_id").where((F.col("start") < F.col("t2")) & (F.col("t1") < F.col("end")))
+    met = binned(left.select("doc_id", "start", "end"), "start", "end", width).join(binned(t, "t1", "t2", width), ["doc_id", "bin"])
+    met = met.where((F.col("start") < F.col("t2")) & (F.col("t1") < F.col("end")) & (F.col("bin") == F.floor(F.greatest("start", "t1") / F.lit(width))))
     shared, size, truth = overlap_chars(F.col("start"), F.col("end"), F.col("t1"), F.col("t2")), F.col("end") - F.col("start"), F.col("t2") - F.col("t1")
     modes = [F.round(overlap_score(m, shared, size, truth), 9).alias(m) for m in ("coverage", "precision", "iou")]
     return met.select("qid", "span_ix", "doc_id", "start", "end", shared.alias("overlap_chars"), *modes)

@@ -98,11 +98,17 @@ def buffered_windows(docs: DataFrame, spans: DataFrame, buffer: int) -> DataFram
     return wide.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sentence_ix", F.expr("substring(text, cast(a as int) + 1, cast(b - a as int))").alias("window_text"))
 
 
+#: Fixed value: what ends a line, as a Java regular expression.
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
 def heading_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, start, level, title, path) of headings outside fences, in SQL: fence parity and titles by running windows."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_ix", "raw")).withColumn("line", F.regexp_replace("raw", r"\r+$", ""))
+    breaks = F.regexp_extract_all("text", F.lit(f"({LINE_BREAK})"), F.lit(1))
+    lines = docs.select("doc_id", breaks.alias("breaks"), F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line_ix", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_ix")
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    size = F.length("line") + F.coalesce(F.length(F.get("breaks", F.col("line_ix"))), F.lit(0))
+    lines = lines.withColumn("start", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     lines = lines.withColumn("is_fence", F.col("line").rlike(r"^[ \t]*(```|~~~)")).withColumn("parity", F.sum(F.col("is_fence").cast("int")).over(w) % 2)
     found = lines.where(~F.col("is_fence") & (F.col("parity") == 0) & F.col("line").rlike(r"^#{1,6}[ \t]+[^ \t]"))
     found = found.select("doc_id", "start", F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("level"), text.strip(F.regexp_extract("line", r"^#{1,6}[ \t]+(.+?)[ \t]*$", 1)).alias("title"))

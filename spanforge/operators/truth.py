@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text
+from spanforge.operators import verbatim
 
 #: Least characters of a quote; line starts that mark structure, not prose.
 MIN_QUOTE = 25
 SKIP_PREFIX = ("#", "|", "!!!", "///", "```", "~~~", "CHAPTER", "SECTION", "BOOK", "PART", "FOOTNOTE", "Appendices", "* * *", "---", "===")
-#: Words of the anchor by which a quote finds its documents.
-ANCHOR = 4
 #: What parts paragraphs.
 GAP = r"\n[ \t]*\n"
 
@@ -19,14 +18,15 @@ GAP = r"\n[ \t]*\n"
 def resolve_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     """Items (item_id, quotes array<struct<doc, quote, occurrence>>) -> one row a quote with its span or error.
 
-    (item_id, quote_ix, doc_id, start, end, error); errors in the order unknown_doc, ambiguous_quote, unresolved_quote.
+    (item_id, quote_ix, doc_id, start, end, error); errors in the order unknown_doc, ambiguous_quote, unresolved_quote. An empty
+    quote is unresolved.
     """
     refs = items.select("item_id", F.posexplode("quotes").alias("quote_ix", "q")).select("item_id", F.col("quote_ix").cast("long").alias("quote_ix"), F.col("q.doc").alias("doc_id"), F.col("q.quote").alias("quote"), F.coalesce(F.col("q.occurrence"), F.lit(0)).alias("occurrence"))
     joined = refs.join(docs.select("doc_id", "text"), "doc_id", "left")
     # non-overlapping count, as counting does; all starts, as searching does
-    count = F.when(F.col("text").isNotNull(), (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")).cast("long")
+    count = F.when(F.col("text").isNotNull(), (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.nullif(F.length("quote"), F.lit(0))).cast("long")
     nth = nth_start("text", "quote", "occurrence")
-    error = F.when(F.col("text").isNull(), "unknown_doc").when((F.col("occurrence") == 0) & (count > 1), "ambiguous_quote").when(nth == 0, "unresolved_quote")
+    error = F.when(F.col("text").isNull(), "unknown_doc").when((F.col("occurrence") == 0) & (count > 1), "ambiguous_quote").when((nth == 0) | (F.length("quote") == 0), "unresolved_quote")
     return joined.select("item_id", "quote_ix", "doc_id", (nth - 1).cast("long").alias("start"), (nth - 1 + F.length("quote")).cast("long").alias("end"), error.alias("error"))
 
 
@@ -60,21 +60,9 @@ def short_quotes(items: DataFrame) -> DataFrame:
 def locate_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Quotes (item_id, quote) found verbatim in any document: (item_id, doc_id, start, end), the first place of each.
 
-    Words inside a quote stand whole in every document that holds it, so four of them in a row are an equi-join key; only
-    documents that share the key are searched. Quotes of fewer than six words are searched for everywhere.
+    Documents are found by the quotes' rarest windows (verbatim.holding). An empty quote is found nowhere.
     """
-    inner = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda x: F.length(x) > 0)
-    cut = quotes.withColumn("w", inner(F.col("quote")))
-    key = F.xxhash64(*[F.expr(f"w[{k}]") for k in range(1, ANCHOR + 1)])
-    long_ = cut.where(F.size("w") >= ANCHOR + 2).select("item_id", "quote", key.alias("key"))
-    short = cut.where(F.size("w") < ANCHOR + 2).select("item_id", "quote")
-    worded = docs.select("doc_id", inner(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(ANCHOR)])))
-    found = worded.select("doc_id", F.explode(keys).alias("key")).join(long_, "key").select("doc_id", "item_id", "quote")
-    pairs = found.join(docs.select("doc_id", "text"), "doc_id")
-    few = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("quote")))
-    both = pairs.select("item_id", "doc_id", "text", "quote").unionByName(few.select("item_id", "doc_id", "text", "quote"))
-    spans = both.withColumn("at", F.expr("locate(quote, text)")).where("at > 0")
+    spans = verbatim.holding(quotes, docs).withColumn("at", F.expr("locate(quote, text)"))
     return spans.select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("start"), (F.col("at") - 1 + F.length("quote")).cast("long").alias("end"))
 
 

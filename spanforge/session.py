@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,3 +38,34 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on a local master without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not found:
+        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
+        _own_dirs[spark.sparkContext.applicationId] = found
+    return found
+
+
+_own_dirs: dict[str, str] = {}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back: computed once, with a known size, whoever reads them."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: the shared folder's owner cleans up
+        pass
