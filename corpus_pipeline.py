@@ -31,10 +31,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates from all documents but the first that holds them.
 
-    Long lines of two or three documents stay: they are what near_duplicates knows the copies by.
+    A column n_chars of whole numbers is made to fit what is left, in its own type; all other columns stay as they are.
     """
-    got = line_templates.dedup_lines(docs, exact=line_templates.DOCS)
-    return got.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    got = line_templates.dedup_lines(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind in ("bigint", "int"):
+        got = got.withColumn("n_chars", F.length("text").cast(kind))
+    return got.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
