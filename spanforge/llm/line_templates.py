@@ -7,11 +7,11 @@ two ways that look at counts only, so that no leaf has to stand in one task and
 1. A word that fewer than ``DOCS`` documents have in this place of this leaf can be no constant of a recurring template: its
    place is variable. A line with more than ``1 - LIKE`` of its words variable in this way belongs to no template.
 2. Templates that are equal but for one place share a key, the template with that place variable. Each template takes the key
-   that most templates share (itself counts; ties: as it stands, then the earlier place), in ``ROUNDS`` rounds: so many fields
-   of common words may vary, and any number of fields of rare ones. No template makes more than ``1 - LIKE`` of its line variable.
+   that most templates share (itself counts; ties: as it stands, then the earlier place), round after round until none moves.
+   No template makes more than ``1 - LIKE`` of its line variable, so rounds end.
 
-A template met in ``DOCS`` documents or more recurs; its lines stay in the first of these documents and are dropped from all
-others. A line of ``LONG`` words or more that stands word by word in ``EXACT_DOCS`` documents recurs, whatever its template does.
+A template met in ``DOCS`` documents or more recurs, whatever its length; its lines stay in the first of these documents and are
+dropped from all others.
 
 Equal masked lines are counted before anything is exchanged, so a line that a third of the documents hold is one row a batch.
 Leaves that fewer than ``DOCS`` documents reach are left at once. Templates are 64-bit hashes, the exclusive or over their
@@ -19,7 +19,7 @@ constant places, so a key costs one operation. The plan is the same at every siz
 
 Cases: a null text stays null with 0 lines; lines of fewer than ``LEAST_WORDS`` words and blank lines are always kept. "First"
 is the least id; a null id is dropped from nowhere and counts as no document. Rows that repeat an id count as one document.
-Other columns are carried, but for ``n_lines`` and ``n_dropped``, which are replaced.
+Other columns are carried as they are; counts take other names where df has columns ``n_lines`` or ``n_dropped`` (``count_names``).
 """
 
 from __future__ import annotations
@@ -36,10 +36,6 @@ from spanforge.llm import common
 
 #: Leading words in the tree; least words of a template; share of words alike; documents of a recurring template.
 LEADING, LEAST_WORDS, LIKE, DOCS = 2, 3, 0.75, 4
-#: Fields of a template whose words are common ones, at most.
-ROUNDS = 3
-#: Words of a line that recurs word by word, and documents from which on it does.
-LONG, EXACT_DOCS = 41, 2
 VARIABLE = "<*>"
 _U = np.uint64
 
@@ -66,11 +62,8 @@ class Lines:
         h = hashes[self.codes]
         nth = np.arange(len(codes)) - np.repeat(starts, self.counts)
         powers = np.cumprod(np.full(int(nth.max()) + 1 if len(nth) else 1, 0x9E3779B97F4A7C15, np.uint64))
-        sums = lambda h: np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
-        self.hash = common.mixed(sums(h) * (self.counts > 0) + self.counts.astype(np.uint64))
-        self.long = self.counts >= LONG
-        # of a long line with all its words, apart from any masked line's
-        self.exact = common.mixed(~self.hash ^ sums(hashes[codes]))
+        sums = np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
+        self.hash = common.mixed(sums * (self.counts > 0) + self.counts.astype(np.uint64))
         self.fit = self.counts >= LEAST_WORDS
         leaf = self.counts.astype(np.uint64)
         for k in range(LEADING):
@@ -95,24 +88,18 @@ def _gathered(keys: np.ndarray, docs: np.ndarray, which: np.ndarray) -> tuple[np
     return order[first], np.append(first, len(order)), docs[order]
 
 
-def lines_of(df: DataFrame, exact: bool) -> DataFrame:
-    """(leaf, mark, line, docs, whole): the masked lines of each batch with the documents that hold them, by (doc_id, text);
-    if ``exact``, long lines again with the hash of all their words."""
+def lines_of(df: DataFrame) -> DataFrame:
+    """(leaf, mark, line, docs): the masked lines of each batch with the documents that hold them, by (doc_id, text)."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    names = ["leaf", "mark", "line", "docs", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             lines = Lines(common.filled(part.column("text")))
-            ids = part.column("doc_id")
-            for whole in (False, True) if exact else (False,):
-                keys, leaf = (lines.exact, lines.exact) if whole else (lines.hash, lines.leaf)
-                which, edges, docs = _gathered(keys, lines.doc, np.flatnonzero(lines.long if whole else lines.fit))
-                held = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids.take(pa.array(docs)))
-                masked = pa.nulls(len(which), pa.string()) if whole else lines.masked(which)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[which].view(np.int64)), pa.array(keys[which].view(np.int64)), common.chunked(masked), held, pa.array(np.full(len(which), whole))], names)
+            which, edges, docs = _gathered(lines.hash, lines.doc, np.flatnonzero(lines.fit))
+            held = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), part.column("doc_id").take(pa.array(docs)))
+            yield pa.RecordBatch.from_arrays([pa.array(lines.leaf[which].view(np.int64)), pa.array(lines.hash[which].view(np.int64)), common.chunked(lines.masked(which)), held], ["leaf", "mark", "line", "docs"])
 
-    return df.mapInArrow(run, f"leaf long, mark long, line string, docs array<{kind}>, whole boolean")
+    return df.mapInArrow(run, f"leaf long, mark long, line string, docs array<{kind}>")
 
 
 def masked_templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -> DataFrame:
@@ -145,38 +132,41 @@ def joined(now: DataFrame) -> DataFrame:
     return common.written(best.select("t", F.col("b.to").alias("to"), (-F.col("b.early")).alias("pos")).where("pos >= 0"))
 
 
-def templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE, rounds: int = ROUNDS) -> DataFrame:
+def templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -> DataFrame:
     """(mark, t): the template of each masked line that can have a recurring one."""
     first = masked_templates(reached, docs, like)
-    own = first.select("mark", "t")
     once = lambda rows: rows.groupBy("t").agg(F.max("room").alias("room"), F.first("cells").alias("cells"))
-    now = common.written(once(first.select("t", "room", "cells")))
-    for step in range(rounds):
+    now, moved = common.written(once(first.select("t", "room", "cells"))), None
+    while True:  # every move leaves a template with a constant place less, so this ends
         moves = joined(now)
         if moves.isEmpty():
             break
-        own = own.join(moves.select("t", "to"), "t", "left").select("mark", F.coalesce("to", "t").alias("t"))
-        if step < rounds - 1:
-            after = now.join(moves, "t", "left")
-            now = common.written(once(after.select(F.coalesce("to", "t").alias("t"), F.when(F.col("to").isNull(), F.col("room")).otherwise(F.col("room") - 1).alias("room"), F.filter("cells", lambda c: F.coalesce(c["pos"] != F.col("pos"), F.lit(True))).alias("cells"))))
-    return own
+        after = now.join(moves, "t", "left")
+        shorter = F.filter("cells", lambda c: F.coalesce(c["pos"] != F.col("pos"), F.lit(True)))
+        before, now = now, common.written(once(after.select(F.coalesce("to", "t").alias("t"), F.when(F.col("to").isNull(), F.col("room")).otherwise(F.col("room") - 1).alias("room"), shorter.alias("cells"))))
+        common.drop_written(before)
+        step = moves.select(F.col("t").alias("at"), "to")
+        if moved is None:
+            moved = step.withColumnRenamed("at", "t")
+        else:
+            # what had moved to a template moves on with it; a template that had moved itself is another's place by now
+            on = moved.withColumnRenamed("to", "was").join(step, F.col("was") == F.col("at"), "left").select("t", F.coalesce("to", "was").alias("to"))
+            new = step.join(moved.select("t"), F.col("at") == F.col("t"), "left_anti").select(F.col("at").alias("t"), "to")
+            moved = common.written(on.unionByName(new))
+    own = first.select("mark", "t")
+    return own if moved is None else own.join(moved, "t", "left").select("mark", F.coalesce("to", "t").alias("t"))
 
 
-def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
-    """(doc_id, mark): the lines to drop, by the hash of their masked words or, of long lines, of all words."""
+def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:
+    """(doc_id, mark): the lines to drop, by the hash of their masked words."""
     slim = df.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = common.written(lines_of(slim, exact < docs))
-    least = F.when(F.col("whole"), exact).otherwise(docs)
-    leaves = lines.groupBy("leaf", least.alias("least")).agg(F.sum(F.size("docs")).alias("n")).where("n >= least")
-    leaves = common.written(leaves.select("leaf", "least"))
-    reached = common.written(lines.drop("whole").join(leaves.hint("shuffle_hash"), "leaf"))
-    short, whole = reached.where("line IS NOT NULL"), reached.where("line IS NULL")
-    short = short.select("mark", "docs", "least").join(templates(short, docs), "mark").select("mark", "t", "docs", "least")
-    whole = whole.select("mark", F.col("mark").alias("t"), "docs", "least")
+    lines = common.written(lines_of(slim))
+    leaves = common.written(lines.groupBy("leaf").agg(F.sum(F.size("docs")).alias("n")).where(F.col("n") >= docs).select("leaf"))
+    reached = common.written(lines.join(leaves.hint("shuffle_hash"), "leaf"))
     # read back, so that a common template can be split in the join
-    held = common.written(short.unionByName(whole).select("mark", "t", "least", F.explode("docs").alias("doc_id")))
-    per = held.groupBy("t", "doc_id").agg(F.max("least").alias("least")).groupBy("t").agg(F.count("least").alias("n"), F.max("least").alias("least"), F.min("doc_id").alias("first"))
-    per = common.written(per.where("n >= least").select("t", "first"))
+    held = common.written(reached.select("mark", "docs").join(templates(reached, docs), "mark").select("mark", "t", F.explode("docs").alias("doc_id")))
+    per = held.select("t", "doc_id").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    per = common.written(per.where(F.col("n") >= docs).select("t", "first"))
     out = common.written(held.join(per, "t").where("doc_id <> first").select("doc_id", "mark"))
     for done in (lines, leaves, reached, held, per):
         common.drop_written(done)
@@ -200,18 +190,23 @@ def without(texts: pa.Array, marks: pa.Array) -> tuple[pa.Array, np.ndarray]:
         at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
         return (values[at] == keys) & np.isin(lines.doc * len(values) + at, pairs)
 
-    gone = lines.fit & (named(lines.hash) | (lines.long & named(lines.exact))) if len(values) else np.zeros(len(lines.doc), bool)
+    gone = lines.fit & named(lines.hash) if len(values) else np.zeros(len(lines.doc), bool)
     dropped[hit] = np.bincount(lines.doc, weights=gone, minlength=len(hit))
     left = np.bincount(lines.doc, weights=~gone, minlength=len(hit)).astype(np.int64)
     rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), lines.raw.filter(pa.array(~gone)))
     return pc.replace_with_mask(texts, pa.array(listed), pc.binary_join(rest, "\n")), dropped
 
 
-def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS, exact: int = EXACT_DOCS) -> DataFrame:
-    """All columns of df, its text without recurring lines, and n_lines and n_dropped (columns of these names are replaced)."""
-    rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+def count_names(df: DataFrame) -> tuple[str, str]:
+    """The names of the counts beside the columns of df: n_lines and n_dropped, with underscores before them where df has these."""
+    return common.fresh(df, "n_lines"), common.fresh(df, "n_dropped")
+
+
+def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:
+    """All columns of df, its text without recurring lines, and two counts (``count_names``): its lines, and those dropped."""
+    rest, counts = df.columns, count_names(df)
     of, salt, same, held = (common.fresh(df, name) for name in ("of", "salt", "same", "marks"))
-    marks = recurring(df, ident, text, docs, exact).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("mark").alias(held)).withColumn(same, F.lit(0).cast("long"))
+    marks = recurring(df, ident, text, docs).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("mark").alias(held)).withColumn(same, F.lit(0).cast("long"))
     # rows without an id meet nothing, and must not meet in one task either
     mine = df.select(*[F.col(f"`{c}`") for c in rest], F.when(F.col(ident).isNull(), F.xxhash64(text)).otherwise(0).alias(salt))
     both = mine.join(marks.hint("merge"), (F.col(ident) == F.col(of)) & (F.col(salt) == F.col(same)), "left").select(*[F.col(f"`{c}`") for c in rest], held)
@@ -225,7 +220,7 @@ def dedup_lines(df: DataFrame, ident: str = "doc_id", text: str = "text", docs:
             out, dropped = without(texts, common.chunked(part.column(part.num_columns - 1)))
             columns = [part.column(k) for k in range(len(rest))]
             columns[place] = pc.if_else(pc.is_null(given), pa.nulls(len(texts), pa.string()), out)
-            yield pa.RecordBatch.from_arrays([*columns, total, pa.array(dropped)], [*rest, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, total, pa.array(dropped)], [*rest, *counts])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return both.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return both.mapInArrow(run, f"{schema}, {counts[0]} long, {counts[1]} long")

@@ -317,9 +317,10 @@ def test_recurring_lines_go_and_others_stay(spark):
     for k in range(20):
         rows.append((k, f"unique line of document number{k} {prose(random.Random(k), 6)}\nPage {k} of 20 printed today\n\nok\nAll rights reserved forever", "x", *[None] * 9))
     rows += [(50, None, *[None] * 10), (51, "", *[None] * 10), (52, "just prose here and there", *[None] * 10), rows[4], (None, "Page 9 of 20 printed today", *[None] * 10)]
-    df = frame(spark, rows).withColumn("n_lines", F.lit(99))
+    df = frame(spark, rows).withColumn("n_lines", F.lit("mine")).withColumn("N_dropped", F.lit(7))
     got = line_templates.dedup_lines(df)
-    texts = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got.collect()}
+    assert got.columns == [*df.columns, "_n_lines", "_n_dropped"] and {(r.n_lines, r.N_dropped) for r in got.collect()} == {("mine", 7)}
+    texts = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in got.collect()}
     assert got.count() == len(rows)
     assert texts[0][0].count("\n") == 4 and "Page 0" in texts[0][0]  # the first keeps them
     for k in range(1, 20):
@@ -327,9 +328,9 @@ def test_recurring_lines_go_and_others_stay(spark):
     assert texts[50] == (None, 0, 0) and texts[51] == ("", 1, 0) and texts[52][2] == 0 and texts[None][2] == 0
 
 
-def brute_lines(rows, docs=line_templates.DOCS, exact=line_templates.EXACT_DOCS):
-    """The definition of the tree over plain tuples: (id, masked line or exact line) that goes."""
-    held, exacts = defaultdict(list), defaultdict(set)
+def brute_lines(rows, docs=line_templates.DOCS):
+    """The definition of the tree over plain tuples: (id, masked line) that goes."""
+    held = defaultdict(list)
     for ident, text in rows:
         if ident is None or text is None:
             continue
@@ -343,8 +344,6 @@ def brute_lines(rows, docs=line_templates.DOCS, exact=line_templates.EXACT_DOCS)
             if masked not in seen:
                 held[masked].append(ident)
             seen.add(masked)
-            if len(w) >= line_templates.LONG:
-                exacts[tuple(w)].add(ident)
     cells = Counter()
     for m, ids in held.items():
         for k in range(2, len(m)):
@@ -356,7 +355,7 @@ def brute_lines(rows, docs=line_templates.DOCS, exact=line_templates.EXACT_DOCS)
         if left >= 0:
             own[m] = t
             room[t] = max(left, room.get(t, 0))
-    for _ in range(line_templates.ROUNDS):
+    while True:
         ways = {t: [(t, -1), *((t[:k] + ("<*>",) + t[k + 1 :], k) for k in range(2, len(t)) if room[t] and t[k] != "<*>")] for t in room}
         often = Counter(to for way in ways.values() for to, _ in way)
         best = {t: max((often[to], -k, to) for to, k in way if often[to] > 1) for t, way in ways.items() if any(often[to] > 1 for to, _ in way)}
@@ -372,8 +371,7 @@ def brute_lines(rows, docs=line_templates.DOCS, exact=line_templates.EXACT_DOCS)
     met = defaultdict(set)
     for m, t in own.items():
         met[t].update(held[m])
-    gone = {(k, m) for m, t in own.items() if len(met[t]) >= docs for k in met[t] if k != min(met[t])}
-    return gone | {(k, ("exact", *w)) for w, ids in exacts.items() if len(ids) >= exact for k in ids if k != min(ids)}
+    return {(k, m) for m, t in own.items() if len(met[t]) >= docs for k in met[t] if k != min(met[t])}
 
 
 def brute_kept(rows):
@@ -385,7 +383,7 @@ def brute_kept(rows):
             w = words(line)
             digits = [any(c in "0123456789" for c in x) for x in w]
             masked = tuple("<*>" if d and 2 * sum(digits) <= len(w) else x for x, d in zip(w, digits, strict=True))
-            if not (len(w) >= line_templates.LEAST_WORDS and ((ident, masked) in gone or (ident, ("exact", *w)) in gone)):
+            if not (len(w) >= line_templates.LEAST_WORDS and (ident, masked) in gone):
                 kept.append(line)
         out.append((ident, None if text is None else "\n".join(kept)))
     return out
@@ -448,11 +446,17 @@ def test_empty_pages(spark):
     assert [tuple(r) for r in url_rules.judge_urls(one, rules).collect()] == [(1, "a", "/b", None, "allow")]
 
 
-def test_long_lines_recur_from_two_documents_on(spark):
-    """Word by word only: a line that differs in a figure, or a short one, needs four documents."""
-    long, figures, short = prose(random.Random(1), 55).replace("w", "a"), " ".join(["word"] * 60), "a short line of words"
-    long = long.translate(str.maketrans("0123456789", "bcdefghijk"))
-    texts = [f"{long}\nown line number {k}" for k in range(2)] + [f"{figures} {k} at the end" for k in (7, 8, 8)] + [short] * 3 + [f"{long} more"]
-    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(frame(spark, [(k, t, *[None] * 10) for k, t in enumerate(texts)])).collect()}
-    assert got[1] == ("own line number 1", 1) and got[4] == ("", 1)
-    assert all(got[k] == (texts[k], 0) for k in range(len(texts)) if k not in (1, 4))
+@pytest.mark.parametrize("n", [40, 41, 60])
+def test_one_rule_at_any_length(spark, n):
+    """A line that two or three documents share stays, one that four share goes from all but the first, whatever its length."""
+    line = lambda k: " ".join([f"{'abcdefgh'[k]}word"] * n)
+    texts = ["\n".join(line(k) for k, docs in enumerate((2, 3, 4, 5)) if j < docs) for j in range(5)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(frame(spark, [(k, t, *[None] * 10) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 2, 4: 1}
+
+
+def test_rounds_go_on_until_no_template_moves(spark):
+    """32 lines of 27 words, all combinations of two common words in five places: one template."""
+    rows = [(k, " ".join(["the", "user", *(f"{'abcde'[j]}{'xy'[k >> j & 1]}" for j in range(5)), *["word"] * 20])) for k in range(32)]
+    got = line_templates.dedup_lines(frame(spark, [(*r, *[None] * 10) for r in rows]))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(brute_kept(rows)) and {r.doc_id: r.n_dropped for r in got.collect()} == {k: int(k > 0) for k in range(32)}

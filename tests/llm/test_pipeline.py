@@ -27,6 +27,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert last.count() == fourth.count() and all(r.n_tokens * 4 == len(r.ids) for r in last.collect())
 
 
+def test_line_dedup_leaves_other_columns_alone(spark):
+    rows = [(k, f"a line that all of them have\nown {'abcdefg'[k]} line", "mine", "keepme", 5) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_dropped string, n_chars int")
+    got = pipeline.line_dedup(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert {(r.n_lines, r.n_dropped) for r in got.collect()} == {("mine", "keepme")} and all(r.n_chars == len(r.text) for r in got.collect()) and sum("all of them" in r.text for r in got.collect()) == 1
+    named = pipeline.line_dedup(spark, docs.withColumn("n_chars", docs.n_lines), "")
+    assert {r.n_chars for r in named.collect()} == {"mine"}
+
+
 def test_run_over_a_folder_and_an_empty_table(spark, tmp_path):
     frame(spark, odd_rows(8, 20)).select(*COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() > 0
