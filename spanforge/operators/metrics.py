@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.operators import alignment
@@ -10,33 +10,34 @@ from spanforge.operators import alignment
 KS, TAUS = (1, 3, 5, 10), (0.1, 0.3, 0.5, 0.7)
 
 
-def parameters(spark: SparkSession, ks: tuple = KS, taus: tuple = TAUS) -> DataFrame:
-    return spark.createDataFrame([(int(k), float(t)) for k in ks for t in taus], "k long, tau double")
-
-
 def metric_cube(ranked: DataFrame, truth: DataFrame, ks: tuple = KS, taus: tuple = TAUS, by: tuple = ()) -> DataFrame:
     """(by, k, tau, n_questions, hit_at_k, recall_at_k, mrr, ndcg_at_k, soft_score, mean_chars_retrieved, unanswered).
 
-    One alignment serves all cells: per question and cell come conditional aggregates of the same rows. Questions without ranked
-    rows count as unanswered.
+    All cells are conditional aggregates over one alignment, by span and by ranked row; a question is one wide row until the end.
+    Questions without ranked rows count as unanswered.
     """
-    spark = ranked.sparkSession
-    cells = F.broadcast(parameters(spark, ks, taus))
     aligned = alignment.align(ranked, truth, by=by)
-    # each span's best up to every k, from one aggregate; then each cell looks at its k and tau
+    cells = [(k, tau) for k in ks for tau in taus]
+    # each span's best up to every k, then shares of spans by cell
     spans = aligned.groupBy(*by, "qid", "span_ix").agg(*[F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("overlap"))), F.lit(0.0)).alias(f"b{k}") for k in ks])
-    pick = lambda name: F.coalesce(*[F.when(F.col("k") == k, F.col(f"{name}{k}")) for k in ks])
-    recall = spans.crossJoin(cells).withColumn("b", pick("b")).groupBy(*by, "qid", "k", "tau").agg(F.avg((F.col("b") >= F.col("tau")).cast("double")).alias("recall"), F.avg("b").alias("soft"))
-    per_rank = alignment.scores(aligned, by)
-    hit = (F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("tau"))
-    hits = per_rank.crossJoin(cells).groupBy(*by, "qid", "k", "tau").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
-    gains = None
+    recall = spans.groupBy(*by, "qid").agg(*[F.avg((F.col(f"b{k}") >= tau).cast("double")).alias(f"r{i}") for i, (k, tau) in enumerate(cells)], *[F.avg(f"b{k}").alias(f"soft{k}") for k in ks])
+    # first hits of all cells and gains of all k from the same rows: one exchange by question
+    per_rank, w = alignment.scores(aligned, by), Window.partitionBy(*by, "qid")
+    places = {}
     for k in ks:
-        part = alignment.ndcg(aligned, k, by).withColumn("k", F.lit(k).cast("long"))
-        gains = part if gains is None else gains.unionByName(part)
+        inside = F.coalesce(F.col("rank") <= k, F.lit(False))
+        places |= {f"in{k}": inside, f"here{k}": F.row_number().over(w.orderBy(inside.desc(), "rank")), f"ideal{k}": F.row_number().over(w.orderBy(inside.desc(), F.col("score").desc(), "rank"))}
+    gain = lambda k, place: F.sum(F.when(F.col(f"in{k}"), F.col("score") / F.log2(F.col(f"{place}{k}") + 1)))
+    share = lambda k: F.round(F.coalesce(F.try_divide(gain(k, "here"), F.nullif(gain(k, "ideal"), F.lit(0.0))), F.lit(0.0)), 9)
+    hits = per_rank.withColumns(places).groupBy(*by, "qid").agg(
+        *[F.min(F.when((F.col("rank") <= k) & (F.col("score") >= tau), F.col("rank"))).alias(f"f{i}") for i, (k, tau) in enumerate(cells)], *[share(k).alias(f"g{k}") for k in ks]
+    )
     chars = ranked.groupBy(*by, "qid").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("end") - F.col("start"))).alias(f"c{k}") for k in ks])
-    key = [*by, "qid", "k"]
-    rows = recall.join(hits, [*key, "tau"]).join(gains, key).join(chars, [*by, "qid"], "left").withColumn("chars", F.coalesce(pick("c"), F.lit(0)))
+    wide = recall.join(hits, [*by, "qid"]).join(chars, [*by, "qid"], "left")
+    cell = lambda i, k, tau: F.struct(
+        F.lit(int(k)).cast("long").alias("k"), F.lit(float(tau)).alias("tau"), F.col(f"r{i}").alias("recall"), F.col(f"soft{k}").alias("soft"), F.col(f"f{i}").alias("first"), F.col(f"g{k}").alias("ndcg"), F.coalesce(F.col(f"c{k}"), F.lit(0)).alias("chars"),
+    )
+    rows = wide.select(*by, F.explode(F.array(*[cell(i, k, tau) for i, (k, tau) in enumerate(cells)])).alias("cell")).select(*by, "cell.*")
     r9 = lambda c, name: F.round(c, 9).alias(name)
     return rows.groupBy(*by, "k", "tau").agg(
         F.count(F.lit(1)).alias("n_questions"), r9(F.avg(F.col("first").isNotNull().cast("double")), "hit_at_k"), r9(F.avg("recall"), "recall_at_k"),
@@ -74,6 +75,41 @@ def bootstrap(values: DataFrame, value: str, by: tuple = (), iterations: int = 2
     return out.select(*by, "n", "point", bound("low"), bound("high"))
 
 
+#: The chances that a Poisson variable of mean 1 is at most 0, 1, 2, ...; the next one is 1 to nine digits.
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080, 0.99999887480, 0.99999988857)
+#: Draws that one digest gives: eight hex digits each.
+DRAWS = 4
+
+
+def poisson_bootstrap(values: DataFrame, value: str, by: tuple = (), iterations: int = 2000, confidence: float = 0.95, seed: int = 0, least: int = 1) -> DataFrame:
+    """(by, n, point, low, high) of the mean of ``value``: each question counts as often as its own Poisson draw says.
+
+    Draws depend on the question and the iteration alone, so each row gives its part of every iteration where it stands, and parts
+    are added up before they are exchanged: what moves is one row a task, configuration and block of iterations, however many
+    questions there are. For many questions this is the interval of ``bootstrap``, whose resamples have exactly n draws.
+    """
+    blocks = -(-iterations // DRAWS)
+    rows = values.where(F.col(value).isNotNull()).select(*by, "qid", F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col("qid").cast("string")))
+    rows = rows.withColumn("digest", digest)
+
+    def weight(j: int) -> Column:
+        u = F.conv(F.substring("digest", 8 * j + 1, 8), 16, 10).cast("double") / float(1 << 32)
+        return sum(((u >= p).cast("long") for p in POISSON[1:]), (u >= POISSON[0]).cast("long"))
+
+    weighed = rows.select(*by, "block", "v", *[weight(j).alias(f"w{j}") for j in range(DRAWS)])
+    sums = weighed.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), *[F.sum(f"w{j}").alias(f"n{j}") for j in range(DRAWS)], *[F.sum(F.col(f"w{j}") * F.col("v")).alias(f"s{j}") for j in range(DRAWS)])
+    runs = sums.select(*by, "n", "s", "block", F.posexplode(F.array(*[F.try_divide(F.col(f"s{j}"), F.col(f"n{j}")) for j in range(DRAWS)])).alias("j", "m"))
+    runs = runs.where(DRAWS * F.col("block") + F.col("j") < iterations).withColumn("m", F.round("m", 9)).where("m IS NOT NULL")
+    w = Window.partitionBy(*by)
+    placed = runs.withColumn("at", F.row_number().over(w.orderBy("m")) - 1).withColumn("of", F.count(F.lit(1)).over(w))
+    alpha = (1.0 - confidence) / 2.0
+    end = lambda share: F.max(F.when(F.col("at") == F.floor(share * (F.col("of") - 1)), F.col("m")))
+    point = F.round(F.max(F.col("s") / F.col("n")), 9)
+    few = F.max("n") < least
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), point.alias("point"), F.when(few, point).otherwise(end(alpha)).alias("low"), F.when(few, point).otherwise(end(1.0 - alpha)).alias("high"))
+
+
 def indistinguishable(intervals: DataFrame, key: str) -> DataFrame:
     """(a, b, tied) for each pair of configurations: tied if their intervals overlap."""
     a = intervals.select(F.col(key).alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.order import best_before, with_positions
+
 
 def quality() -> Column:
     return 0.5 * F.col("mrr") + 0.3 * F.col("ndcg") + 0.2 * F.col("hit")
@@ -93,10 +95,9 @@ def pareto(rows: DataFrame, ident: str = "config_id", better_high: tuple = ("qua
 
 def skyline(rows: DataFrame, best_high: str, best_low: str) -> DataFrame:
     """Pareto rows on two axes by one sort and a running best: no pairwise test, for tables of any size."""
-    per = rows.groupBy(F.col(best_low).alias("_x")).agg(F.max(best_high).alias("_y"))
     # one row for each distinct value of the low axis
-    w = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    front = per.withColumn("_best", F.max("_y").over(w)).where(F.col("_best").isNull() | (F.col("_y") > F.col("_best"))).drop("_best")
+    per = best_before(rows.groupBy(F.col(best_low).alias("_x")).agg(F.max(best_high).alias("_y")), "_x", "_y", "_best")
+    front = per.where(F.col("_best").isNull() | (F.col("_y") > F.col("_best"))).drop("_best")
     return rows.join(front, (F.col(best_low) == F.col("_x")) & (F.col(best_high) == F.col("_y")), "left_semi")
 
 
@@ -109,7 +110,7 @@ def norm(value: Column, low: Column, high: Column, lower_is_better: bool = False
 def weighted(rows: DataFrame, quality_w: float = 0.7, latency_w: float = 0.2, context_w: float = 0.1, normalise: bool = False, ident: str = "config_id") -> DataFrame:
     """Adds score and position; latency counts by its logarithm. Ties go by the identifier.
 
-    Bounds come from one aggregate, a single row; only the positions need one order of all rows, one a configuration.
+    Bounds come from one aggregate, a single row; positions from ranges of the order.
     """
     total = max(quality_w + latency_w + context_w, 1e-9) if normalise else 1.0
     axes = {"quality": F.col("quality"), "latency": F.log10(F.greatest(F.col("latency_ms"), F.lit(0.01))), "chars": F.col("chars")}
@@ -117,7 +118,7 @@ def weighted(rows: DataFrame, quality_w: float = 0.7, latency_w: float = 0.2, co
     scaled = {name: norm(c, F.col(f"_{name}_min"), F.col(f"_{name}_max"), name != "quality") for name, c in axes.items()}
     parts = quality_w * scaled["quality"] + latency_w * scaled["latency"] + context_w * scaled["chars"]
     scored = rows.crossJoin(F.broadcast(bounds)).withColumn("score", F.round(parts / total, 9)).drop(*bounds.columns)  # one row
-    return scored.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), ident)).cast("long"))
+    return with_positions(scored, F.col("score").desc(), ident)
 
 
 def best_varying(rows: DataFrame, winner: DataFrame) -> DataFrame:
@@ -168,9 +169,9 @@ def grid(chunkers: DataFrame, retrievers: DataFrame, rerankers: DataFrame) -> Da
 
 def spread_sample(rows: DataFrame, n: int, by: Column, ident: str = "config_id") -> DataFrame:
     """n rows at even places of the order by ``by``; places round half to even."""
-    ordered = rows.withColumn("place", F.row_number().over(Window.orderBy(by, ident)) - 1)
+    ordered = with_positions(rows, by, ident, out="place", first=0)
     size = ordered.agg(F.max("place").alias("last"))
-    picks = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.bround(F.col("id") * F.col("last") / max(1, n - 1)).cast("int").alias("place")).distinct()
+    picks = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.bround(F.col("id") * F.col("last") / max(1, n - 1)).cast("long").alias("place")).distinct()
     return ordered.join(F.broadcast(picks), "place").drop("place")
 
 

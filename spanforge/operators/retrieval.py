@@ -76,26 +76,40 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool = True, k1: float = K1, b: float = B, idf: DataFrame | None = None) -> DataFrame:
     """Okapi ranking by score, then document order. ``zero_fill`` also ranks chunks without a common token, with score 0.
 
-    Questions whose weights by token fill ``MATRIX_BYTES`` at most travel to the chunks: a batch of chunks becomes a matrix over
-    the tokens that it shares with them, one product scores all pairs, and each batch keeps k rows a question. Pairs never
-    become rows. A larger set of questions is joined with the postings instead, with the same result.
+    Questions travel to the chunks as matrices of their weights by token, of ``MATRIX_BYTES`` at most: a batch of chunks becomes a
+    matrix over the tokens that it shares with them, one product scores all pairs, and each batch keeps k rows a question. Pairs
+    never become rows. Many questions are many matrices; postings.search has a written index for these.
     """
     idf = weights(chunks) if idf is None else idf
     wanted = question_tokens(questions).join(idf, "tok")
     ids = questions.select("qid").distinct()
-    if 8 * wanted.select("tok").distinct().count() * ids.count() > MATRIX_BYTES:
-        return _bm25_joined(chunks, ids, wanted, k, zero_fill, k1, b)
+    kind = questions.schema["qid"].dataType.simpleString()
+    key = ["doc_id", "start", "end"]
+    parts = max(1, -(-8 * wanted.select("tok").distinct().count() * ids.count() // MATRIX_BYTES))
     avgdl = corpus_size(chunks).first()["avgdl"] or 1.0
-    qids = [r.qid for r in ids.orderBy("qid").collect()]
-    rows = wanted.collect()
-    vocabulary = sorted({r.tok for r in rows})
+    qid_type = to_arrow_type(questions.schema["qid"].dataType)
+    schema = f"qid {kind}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, start long, end long, score double"
+    slim = tokened(chunks).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "toks")
+    scored = chunks.limit(0).select(F.lit(None).cast(kind).alias("qid"), *key, F.lit(0.0).alias("score"))
+    for part in range(parts):
+        own = F.pmod(F.xxhash64("qid"), F.lit(parts)) == part
+        qids = [r.qid for r in ids.where(own).orderBy("qid").collect()]
+        if qids:
+            found = slim.mapInArrow(_scorer(qids, wanted.where(own).collect(), qid_type, avgdl, k, zero_fill, k1, b), schema)
+            scored = found if parts == 1 else scored.unionByName(found)
+    # adding 0 turns a negative zero into zero
+    scored = scored.withColumn("score", F.round("score", 9) + F.lit(0.0))
+    return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", *key, "score")
+
+
+def _scorer(qids: list, rows: list, qid_type: pa.DataType, avgdl: float, k: int, zero_fill: bool, k1: float, b: float):
+    """The map from chunks (doc_id, start, end, toks) to the k best of each batch for each of these questions."""
+    vocabulary, key = sorted({r.tok for r in rows}), ["doc_id", "start", "end"]
     place, number = {t: j for j, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
     matrix = np.zeros((len(vocabulary), len(qids)))
     for r in rows:
         matrix[place[r.tok], number[r.qid]] = r.qtf * r.idf
     known = pa.array(vocabulary, pa.string())
-    kind = questions.schema["qid"].dataType.simpleString()
-    key = ["doc_id", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,28 +132,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool =
                 q, c = q[keep], c[keep]
                 yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in key), pa.array(scores[q, c])], ["qid", *key, "score"])
 
-    qid_type = to_arrow_type(questions.schema["qid"].dataType)
-    schema = f"qid {kind}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, start long, end long, score double"
-    scored = tokened(chunks).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "toks").mapInArrow(run, schema) if vocabulary or qids else None
-    if scored is None:
-        scored = chunks.limit(0).select(F.lit(None).cast(kind).alias("qid"), *key, F.lit(0.0).alias("score"))
-    # adding 0 turns a negative zero into zero
-    scored = scored.withColumn("score", F.round("score", 9) + F.lit(0.0))
-    return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", *key, "score")
-
-
-def _bm25_joined(chunks: DataFrame, ids: DataFrame, wanted: DataFrame, k: int, zero_fill: bool, k1: float, b: float) -> DataFrame:
-    """The same ranking by joining postings with question tokens."""
-    hits = postings(chunks).join(wanted, "tok").crossJoin(F.broadcast(corpus_size(chunks).select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "doc_id", "start", "end").agg(F.round(F.sum(part), 9).alias("score"))
-    if zero_fill:
-        # a question with fewer than k hits takes chunks in order; among the first 2k of them k are no hits
-        few = ids.join(scored.groupBy("qid").agg(F.count(F.lit(1)).alias("hits")), "qid", "left").where(F.coalesce("hits", F.lit(0)) < k).select("qid")
-        first = chunks.select("doc_id", "start", "end").orderBy("doc_id", "start", "end").limit(2 * k)
-        none = few.crossJoin(F.broadcast(first)).join(scored.select("qid", "doc_id", "start", "end"), ["qid", "doc_id", "start", "end"], "left_anti")
-        scored = scored.unionByName(none.withColumn("score", F.lit(0.0)))
-    return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", "doc_id", "start", "end", "score")
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str] | None = None, exclude_self: bool = False) -> DataFrame:

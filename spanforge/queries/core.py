@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import alignment, chunking, diagnosis, generation, metrics, ranking, retrieval, study, truth
+from spanforge.operators import alignment, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
+from spanforge.session import shared_dir
 from spanforge.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,6 +352,14 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(chunks, questions, 10, idf=idf)
 
 
+@query(f"{HEAD} SELECT * FROM lexical WHERE rank <= 10")
+def bm25_index_topk(spark, sf_dir):
+    """The same ranking from a written index, blocks below each question's bar unread."""
+    chunks, _, questions = corpus(spark, sf_dir)
+    index = postings.write(chunks, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return postings.search(index, questions, 10).ranked
+
+
 DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END * 17) % 64)"
 DENSE = f"""cvec AS (SELECT doc_id, "start", "end", {DIM} AS dim, sum(tf)::DOUBLE AS v FROM post GROUP BY ALL),
     cnorm AS (SELECT doc_id, "start", "end", sqrt(sum(v * v)) AS nv FROM cvec GROUP BY ALL),
@@ -500,6 +510,19 @@ def bootstrap_mrr_ci(spark, sf_dir):
     return metrics.bootstrap(hits.withColumn("rr", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), "rr")
 
 
+@query(f"""WITH d AS (SELECT o_orderpriority, floor(o_totalprice)::DOUBLE AS v, block, md5('0:' || block || ':' || o_orderkey) AS g FROM orders, range(0, 100) t(block) WHERE o_totalprice IS NOT NULL),
+    u AS (SELECT o_orderpriority, v, 4 * block + j AS it, ('0x' || substr(g, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(0, 4) y(j)),
+    w AS (SELECT o_orderpriority, it, v, {' + '.join(f'(u >= {p})::BIGINT' for p in metrics.POISSON)} AS w FROM u),
+    m AS (SELECT o_orderpriority, it, round(sum(w * v) / sum(w), 9) AS m FROM w GROUP BY 1, 2),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) - 1 AS place FROM m)
+    SELECT o_orderpriority, (SELECT count(*) FROM orders o WHERE o.o_orderpriority = p.o_orderpriority AND o_totalprice IS NOT NULL)::BIGINT AS n, (SELECT round(avg(floor(o_totalprice)::DOUBLE), 9) FROM orders o WHERE o.o_orderpriority = p.o_orderpriority) AS point,
+        max(CASE WHEN place = 9 THEN m END) AS low, max(CASE WHEN place = 389 THEN m END) AS high FROM placed p GROUP BY 1""")
+def bootstrap_poisson(spark, sf_dir):
+    """400 Poisson resamples of all orders of each priority."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").alias("qid"), F.floor("o_totalprice").alias("v"))
+    return metrics.poisson_bootstrap(orders, "v", ("o_orderpriority",), 400)
+
+
 @query("""WITH c AS (SELECT p_brand AS config, avg(p_retailprice) - 2 * stddev_pop(p_retailprice) / sqrt(count(*)) AS low, avg(p_retailprice) + 2 * stddev_pop(p_retailprice) / sqrt(count(*)) AS high FROM part GROUP BY 1)
     SELECT a.config AS a, b.config AS b, NOT (a.high < b.low OR b.high < a.low) AS tied FROM c a JOIN c b ON a.config < b.config""")
 def ci_indistinguishable(spark, sf_dir):

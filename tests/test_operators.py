@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import alignment, chunking, diagnosis, generation, metrics, ranking, retrieval, study, truth
+from spanforge.operators import alignment, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
 from spanforge.plans.experiment import GRID, Config, Experiment
 from spanforge.sources import files
 from spanforge.streaming import incremental
@@ -135,7 +135,7 @@ def test_bm25_by_hand(spark):
 
 
 @pytest.mark.parametrize("zero_fill", [True, False])
-def test_bm25_over_postings_ranks_alike(spark, monkeypatch, zero_fill):
+def test_bm25_over_many_matrices_and_over_an_index_ranks_alike(spark, monkeypatch, tmp_path, zero_fill):
     import random
 
     rng = random.Random(3)
@@ -143,9 +143,11 @@ def test_bm25_over_postings_ranks_alike(spark, monkeypatch, zero_fill):
     chunks = spark.createDataFrame([(k // 3, 100 * (k % 3), 100 * (k % 3) + 50, text(rng.randrange(1, 30))) for k in range(150)], "doc_id long, start long, end long, chunk_text string")
     questions = spark.createDataFrame([(k, text(6)) for k in range(12)] + [(50, "nowhere at all"), (51, "w59 nowhere")], "qid long, question string")
     matrix = rows(retrieval.bm25(chunks, questions, 7, zero_fill), "qid", "rank")
-    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 0)
-    joined = rows(retrieval.bm25(chunks, questions, 7, zero_fill), "qid", "rank")
-    assert [r[:5] for r in matrix] == [r[:5] for r in joined] and all(math.isclose(a[5], b[5], abs_tol=2e-9) for a, b in zip(matrix, joined))
+    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 2000)
+    sliced = rows(retrieval.bm25(chunks, questions, 7, zero_fill), "qid", "rank")
+    indexed = rows(postings.search(postings.write(chunks, f"{tmp_path}/index", width=16), questions, 7, zero_fill).ranked, "qid", "rank")
+    for other in (sliced, indexed):
+        assert [r[:5] for r in matrix] == [r[:5] for r in other] and all(math.isclose(a[5], b[5], abs_tol=2e-9) for a, b in zip(matrix, other, strict=True))
 
 
 def test_fusion_and_rerank(spark):
