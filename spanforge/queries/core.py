@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import alignment, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
+from spanforge.operators import alignment, cells, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
 from spanforge.session import shared_dir
 from spanforge.sources import files
 
@@ -399,14 +399,25 @@ def lexical_rerank_topk(spark, sf_dir):
     return retrieval.rerank(retrieval.bm25(chunks, questions, retrieval.RERANK_POOL, idf=idf), chunks, questions, 10)
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
-    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 10""")
+NEAREST = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+
+@query(NEAREST)
 def dense_topk(spark, sf_dir):
     """The stated queries are the vectors whose id is divisible by 100, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return retrieval.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), 10, exclude_self=True)
 
 
+@query(NEAREST)
+def dense_cells_topk(spark, sf_dir):
+    """The same rows from written cells; cells that cannot reach a query's bar are not read."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    held = cells.write(vectors, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}")
+    return cells.search(held, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), 10, exclude_self=True).ranked
+
+
 # ---------------------------------------------------------------- alignment and metrics
 
 ALIGNED = """aligned AS (SELECT r.qid, t.span_ix, r.rank, CASE WHEN r.doc_id = t.doc_id THEN greatest(0, least(r."end", t."end") - greatest(r."start", t."start")) ELSE 0 END::DOUBLE / (t."end" - t."start") AS overlap, r."end" - r."start" AS chunk_len
