@@ -61,7 +61,8 @@ def _header(raw: bytes, fields: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6: height x width (x 3); bits become 0 and 255, 16-bit samples keep two bytes."""
+    """P1 to P6: height x width (x 3); bits become 0 and 255, samples fill their bytes: the maximum becomes 255, or 65,535 where it is
+    over 255. A sample over the maximum is an error."""
     kind = raw[1:2]
     (width, height, *most), at = _header(raw, 2 if kind in b"14" else 3)
     _sized(width, height, raw)
@@ -78,19 +79,23 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         return ((1 - bits.reshape(height, width)) * 255).astype(np.uint8)
     dtype = np.uint8 if most < 256 else np.dtype(">u2")
     if kind in b"23":
-        samples = np.array(raw[at:].split()[: width * height * planes], np.int64).astype(dtype)
+        samples = np.array(raw[at:].split()[: width * height * planes], np.int64)
     else:
         samples = np.frombuffer(raw, dtype, width * height * planes, at)
+    if samples.size and (samples.max() > most or samples.min() < 0):
+        raise ValueError("sample over the maximum")
+    top = 255 if most < 256 else 65535
+    samples = (samples if most == top else (samples.astype(np.int64) * top + most // 2) // most).astype(dtype)
     return samples.reshape((height, width, 3) if planes == 3 else (height, width))
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits; grey palettes give one plane, others red, green, blue."""
     at, head, width, height, _, bits, packing = struct.unpack_from("<I", raw, 10)[0], *struct.unpack_from("<IiiHHI", raw, 14)
-    _sized(abs(width), abs(height), raw)
+    _sized(width, abs(height), raw)  # a height under 0 means rows from the top, a width under 0 nothing
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP form not supported")
-    stride, rows = (abs(width) * bits + 31) // 32 * 4, abs(height)
+    stride, rows = (width * bits + 31) // 32 * 4, abs(height)
     data = np.frombuffer(raw, np.uint8, stride * rows, at).reshape(rows, stride)
     data = data[::-1] if height > 0 else data
     if bits >= 24:

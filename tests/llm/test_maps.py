@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import struct
 import zlib
 from collections import Counter
 
@@ -148,6 +149,32 @@ def test_columns_of_op9(spark, tmp_path):
         assert (np.load(io.BytesIO(bytes(r.tile))) == np.rint(small)).all()
 
 
+def test_impossible_headers_and_samples_are_errors():
+    image = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    bmp = media.encode_bmp(image)
+    resized = lambda width, height: bmp[:18] + struct.pack("<ii", width, height) + bmp[26:]
+    assert (media.decode(resized(10, -6)) == image[::-1]).all()  # rows from the top
+    for width, height in ((-8, 6), (0, 6), (10, 0), (-(1 << 31), -(1 << 31)), (1 << 30, 1)):
+        with pytest.raises(ValueError):
+            media.decode(resized(width, height))
+    for raw in (b"P2 2 1 255 7 300", b"P2 1 1 15 16", b"P5 1 1 15 \x10", b"P2 1 1 255 -1", b"P5 1 1 300 \xff\xff"):
+        with pytest.raises(ValueError):
+            media.decode(raw)
+    assert media.decode(b"P2 3 1 15 0 8 15").tolist() == [[0, 136, 255]] and media.decode(b"P5 2 1 1 \0\1").tolist() == [[0, 255]]
+    assert media.decode(b"P2 2 1 1000 500 1000").tolist() == [[32768, 65535]] and media.decode(b"P6 1 1 65535 \0\1\0\2\xff\xff").tolist() == [[[1, 2, 65535]]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_signed_header_fields(seed):
+    """Any numbers in the header give an error or an image of positive sizes, never a tile out of nothing."""
+    rng = np.random.default_rng(seed)
+    bmp = media.encode_bmp(rng.integers(0, 256, (6, 10), np.uint8))
+    for _ in range(300):
+        sizes = [int(x) for x in rng.choice([-10, -8, -1, 0, 1, 6, 8, 10, 11, 2**31 - 1, -(2**31)], 2)]
+        height, width, planes, npy, mark, samples, error = media._tiled(bmp[:18] + struct.pack("<ii", *sizes) + bmp[26:])
+        assert error if height is None else height > 0 and width > 0 and len(samples) == height * width * planes and not np.isnan(np.load(io.BytesIO(npy)).astype(float)).any()
+
+
 def test_no_bytes_break_the_decoder(spark):
     """Headers with impossible sizes, and images with some bytes changed, cut or doubled, give an error or an image."""
     rng = np.random.default_rng(4)
