@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import alignment, cells, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
-from spanforge.session import shared_dir
+from spanforge.queries.splitting import recursive_sql
+from spanforge.session import settled, shared_dir
 from spanforge.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truth.truth_spans(quotes(spark, sf_dir), documents(spark, sf_dir)).persist()
+    return settled(truth.truth_spans(quotes(spark, sf_dir), documents(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- chunks
@@ -110,27 +111,18 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_stats(docs, chunking.fixed_chunks(docs, 800, 100))
 
 
-@query()
+@query(rf"""WITH RECURSIVE c_src AS (SELECT doc_id AS sid, text FROM documents WHERE text <> ''), {recursive_sql('c_', 800, 100)}
+    SELECT sid AS doc_id, a AS "start", b AS "end", substr(text, a + 1, b - a) AS chunk_text FROM c_cut JOIN c_src USING (sid) WHERE regexp_matches(substr(text, a + 1, b - a), '\S')""")
 def chunk_recursive(spark, sf_dir):
     return chunking.recursive_chunks(documents(spark, sf_dir))
 
 
-@query()
-def chunk_semantic(spark, sf_dir):
-    return chunking.semantic_chunks(documents(spark, sf_dir))
-
-
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with headings: every sixth line of level 1, other third ones of level 2."""
     head = lambda line, i: F.when(i % 6 == 0, F.concat(F.lit("# "), line)).when(i % 3 == 0, F.concat(F.lit("## "), line)).otherwise(line)
     return documents(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), head), "\n"))
 
 
-@query()
-def chunk_heading(spark, sf_dir):
-    return chunking.heading_chunks(markdown(spark, sf_dir))
-
-
 HEADINGS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
     marked AS (SELECT doc_id, i, CASE WHEN i % 6 = 0 THEN '# ' || raw WHEN i % 3 = 0 THEN '## ' || raw ELSE raw END AS line FROM lines),
     placed AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start" FROM marked),
@@ -156,6 +148,23 @@ def chunk_heading_sections(spark, sf_dir):
     return chunking.heading_chunks(markdown(spark, sf_dir), max_size=1 << 30)
 
 
+@query(rf"""WITH RECURSIVE {HEADINGS}, body AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM marked GROUP BY 1),
+    cuts AS (SELECT doc_id, 0::BIGINT AS "start", '' AS path, 0 AS nth FROM body UNION ALL SELECT doc_id, "start", path, 1 FROM headed),
+    sections AS (SELECT c.doc_id, "start", lead("start", 1, length(text)) OVER (PARTITION BY c.doc_id ORDER BY "start", nth) AS "end", path, text FROM cuts c JOIN body b ON b.doc_id = c.doc_id),
+    real AS (SELECT row_number() OVER () AS sid, doc_id, "start", "end", path, substr(text, "start" + 1, "end" - "start") AS text FROM sections WHERE regexp_matches(substr(text, "start" + 1, "end" - "start"), '\S')),
+    h_src AS (SELECT sid, text FROM real WHERE length(text) > 1200), {recursive_sql('h_', 1200, 100)},
+    parts AS (SELECT doc_id, r."start" AS sec, i, r."start" + a AS "start", r."start" + b AS "end", path, true AS sub_split FROM real r JOIN h_cut USING (sid)
+        UNION ALL SELECT doc_id, "start", 1, "start", "end", path, false FROM real WHERE length(text) <= 1200),
+    after AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY sec, i) AS before FROM parts),
+    grouped AS (SELECT *, sum(CASE WHEN "end" - "start" < 200 AND before = "start" THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sec, i ROWS UNBOUNDED PRECEDING) AS g FROM after),
+    joined AS (SELECT doc_id, arg_min("start", (sec, i)) AS a, arg_max("end", (sec, i)) AS b, arg_min(path, (sec, i)) AS path, arg_min(sub_split, (sec, i)) AS sub_split FROM grouped GROUP BY doc_id, g)
+    SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", substr(text, a + 1, b - a) AS chunk_text, path AS context_prefix, sub_split FROM joined JOIN body USING (doc_id)""")
+def chunk_heading(spark, sf_dir):
+    return chunking.heading_chunks(markdown(spark, sf_dir))
+
+
+LEX = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\\-.]*'), lambda x: lower(x))"
+
 SENTENCES = r"""marked AS (SELECT doc_id, regexp_replace(text, '([.!?]["'')\]]*\s+)', '\1' || chr(63743), 'g') AS m FROM documents WHERE text <> ''),
     parts AS (SELECT doc_id, unnest(string_split(m, chr(63743))) AS part, generate_subscripts(string_split(m, chr(63743)), 1) AS i FROM marked),
     sentences AS (SELECT doc_id, (row_number() OVER w - 1)::BIGINT AS sentence_ix, (sum(length(part)) OVER w - length(part))::BIGINT AS "start", (sum(length(part)) OVER w)::BIGINT AS "end"
@@ -174,6 +183,33 @@ def buffered_sentences(spark, sf_dir):
     return chunking.buffered_windows(docs, chunking.sentences(docs), 1)
 
 
+HASH_DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END * 17) % 64)"
+
+
+@query(rf"""WITH RECURSIVE {SENTENCES},
+    body AS (SELECT s.doc_id, sentence_ix AS i, text, substr(text, "start" + 1, "end" - "start") AS sentence FROM sentences s JOIN documents USING (doc_id)),
+    bag AS (SELECT doc_id, i, {HASH_DIM} AS dim, count(*)::DOUBLE AS v FROM (SELECT doc_id, i, unnest({LEX.format('sentence')}) AS tok FROM body) GROUP BY ALL),
+    norms AS (SELECT doc_id, i, sqrt(sum(v * v)) AS nv FROM bag GROUP BY ALL),
+    dots AS (SELECT a.doc_id, b.i, sum(a.v * b.v) AS dot FROM bag a JOIN bag b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.dim = b.dim GROUP BY ALL),
+    far AS (SELECT doc_id, i, round(1 - coalesce(dot / (x.nv * y.nv), 0), 9) AS f FROM body LEFT JOIN dots USING (doc_id, i) LEFT JOIN norms y USING (doc_id, i) LEFT JOIN norms x ON x.doc_id = body.doc_id AND x.i = body.i - 1 WHERE i > 0),
+    bars AS (SELECT doc_id, quantile_cont(f, 0.9) AS bar FROM far GROUP BY 1 HAVING count(*) >= 2),
+    edges AS (SELECT doc_id, list_append(list("start" ORDER BY sentence_ix), max("end")) AS e, count(*)::BIGINT AS n FROM sentences GROUP BY 1),
+    marks AS (SELECT doc_id, 0::BIGINT AS m FROM edges UNION SELECT doc_id, n FROM edges UNION SELECT doc_id, i FROM far JOIN bars USING (doc_id) WHERE f >= bar),
+    halves(doc_id, a, b, m) AS (
+        SELECT doc_id, a, b, CASE WHEN b - a > 1 AND e[b + 1] - e[a + 1] > 1200 THEN len(list_filter(e, lambda x: x < e[a + 1] + (e[b + 1] - e[a + 1]) // 2)) END
+        FROM (SELECT doc_id, m AS a, lead(m) OVER (PARTITION BY doc_id ORDER BY m) AS b FROM marks) JOIN edges USING (doc_id) WHERE b IS NOT NULL
+        UNION ALL SELECT doc_id, a, b, CASE WHEN b - a > 1 AND e[b + 1] - e[a + 1] > 1200 THEN len(list_filter(e, lambda x: x < e[a + 1] + (e[b + 1] - e[a + 1]) // 2)) END
+        FROM (SELECT doc_id, unnest([a, cut]) AS a, unnest([cut, b]) AS b FROM (
+            SELECT doc_id, a, b, CASE WHEN (e[a + 1] + (e[b + 1] - e[a + 1]) // 2) - e[before + 1] <= e[after + 1] - (e[a + 1] + (e[b + 1] - e[a + 1]) // 2) THEN before ELSE after END AS cut
+            FROM (SELECT *, greatest(after - 1, a + 1) AS before FROM (SELECT doc_id, a, b, least(greatest(m, a + 1), b - 1) AS after FROM halves WHERE m IS NOT NULL)) JOIN edges USING (doc_id))) JOIN edges USING (doc_id)),
+    groups AS (SELECT doc_id, a, b, e[a + 1] AS "start", e[b + 1] AS "end" FROM halves JOIN edges USING (doc_id) WHERE m IS NULL),
+    joined AS (SELECT *, sum(CASE WHEN "end" - "start" < 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) + CASE WHEN first_value("end" - "start") OVER (PARTITION BY doc_id ORDER BY a) < 200 THEN 1 ELSE 0 END AS g FROM groups),
+    spans AS (SELECT doc_id, min("start") AS "start", max("end") AS "end", (max(b) - min(a))::BIGINT AS n_sentences FROM joined GROUP BY doc_id, g)
+    SELECT doc_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end", substr(text, "start" + 1, "end" - "start") AS chunk_text, n_sentences FROM spans JOIN documents USING (doc_id) WHERE regexp_matches(substr(text, "start" + 1, "end" - "start"), '\S')""")
+def chunk_semantic(spark, sf_dir):
+    return chunking.semantic_chunks(documents(spark, sf_dir))
+
+
 @query("""SELECT substr(sha256(string_agg(doc_id::VARCHAR || coalesce(text, ''), '' ORDER BY doc_id::VARCHAR)), 1, 16) AS fingerprint, count(*)::BIGINT AS n FROM documents""")
 def corpus_fingerprint(spark, sf_dir):
     return files.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -181,7 +217,6 @@ def corpus_fingerprint(spark, sf_dir):
 
 # ---------------------------------------------------------------- tokens
 
-LEX = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\\-.]*'), lambda x: lower(x))"
 ANS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 
@@ -325,7 +360,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, question): the whole quotes of all items whose evidence stands in some document."""
     found = spans(spark, sf_dir).select(F.col("qid").alias("item_id")).distinct()
-    return quotes(spark, sf_dir).join(found, "item_id").select(F.col("item_id").alias("qid"), F.col("quote").alias("question")).persist()
+    return settled(quotes(spark, sf_dir).join(found, "item_id").select(F.col("item_id").alias("qid"), F.col("quote").alias("question")))
 
 
 def bm25_sql(mark: str = "", k: int = 50) -> str:
@@ -360,7 +395,7 @@ def bm25_index_topk(spark, sf_dir):
     return postings.search(index, questions, 10).ranked
 
 
-DIM = "((ascii(tok) * 131 + ascii(substr(tok, -1)) * 31 + length(tok) * 7 + CASE WHEN length(tok) > 1 THEN ascii(substr(tok, 2, 1)) ELSE 0 END * 17) % 64)"
+DIM = HASH_DIM
 DENSE = f"""cvec AS (SELECT doc_id, "start", "end", {DIM} AS dim, sum(tf)::DOUBLE AS v FROM post GROUP BY ALL),
     cnorm AS (SELECT doc_id, "start", "end", sqrt(sum(v * v)) AS nv FROM cvec GROUP BY ALL),
     qvec AS (SELECT qid, {DIM} AS dim, sum(qtf)::DOUBLE AS v FROM qtok GROUP BY ALL),
@@ -429,7 +464,7 @@ FLOW = f"{HEAD}, {RANKED}, {ALIGNED}"
 def flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(ranked, truth) of the lexical retriever."""
     chunks, idf, questions = corpus(spark, sf_dir)
-    return retrieval.bm25(chunks, questions, 10, idf=idf).persist(), spans(spark, sf_dir)
+    return settled(retrieval.bm25(chunks, questions, 10, idf=idf)), spans(spark, sf_dir)
 
 
 @query(f"{FLOW} SELECT qid, span_ix, rank, round(overlap, 9) AS overlap, chunk_len FROM aligned")

@@ -34,14 +34,23 @@ class Corpus:
     structure: str = ""
 
 
-def load_documents(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+#: Bytes of a text file at most: a text is one value, which has to fit into a row.
+FILE_BYTES = 256 << 20
+
+
+def load_documents(spark: SparkSession, root: str, pattern: str = "*.md", most: int = FILE_BYTES) -> DataFrame:
     """(doc_id, path, text) of all files below root: whole, UTF-8, line ends untouched; ids are paths below root.
 
-    Bytes that are no UTF-8 fail the read; so does an empty match.
+    A file over ``most`` bytes, or with bytes that are no UTF-8, fails the read by its name; so does an empty match. Sizes come from
+    the listing, so a file that is too large is never read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = "/" + root.split("://")[-1].strip("/") + "/"
-    text = F.decode("content", "UTF-8")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    large = files.where(F.col("length") > most).select("path", "length").orderBy("path").limit(3).collect()
+    if large:
+        raise ValueError(f"files over {most} bytes: " + ", ".join(f"{row.path} ({row.length})" for row in large))
+    raw, base = files.where(F.col("length") <= most), "/" + root.split("://")[-1].strip("/") + "/"
+    plain = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.raise_error(F.concat(F.lit("no UTF-8: "), F.col("path"))))
     docs = raw.select(F.element_at(F.split("path", base, 2), -1).alias("doc_id"), "path", text.alias("text"))
     if docs.isEmpty():
         raise FileNotFoundError(f"no {pattern} below {root}")

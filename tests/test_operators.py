@@ -337,6 +337,12 @@ def test_sources(spark, tmp_path):
         files.load_documents(spark, str(tmp_path), "*.nothing")
     with pytest.raises(KeyError):
         files.load_corpus(spark, {}, "x")
+    with pytest.raises(ValueError, match="sub/b.md|a.md"):
+        files.load_documents(spark, str(tmp_path), most=3)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "bad name.md").write_bytes(b"fine \xff\xfe")
+    with pytest.raises(Exception, match="no UTF-8: .*bad(%20| )name.md"):
+        files.load_documents(spark, str(tmp_path / "broken")).collect()
     (tmp_path / "qa.json").write_text(json.dumps([{"id": "1", "question": "Q", "answer": "A", "quotes": [{"doc": "a.md", "quote": "y"}]}]))
     q = files.load_questions(spark, str(tmp_path / "qa.json")).first()
     assert (q.item_id, q.quotes[0].quote, q.quotes[0].occurrence, q.tags) == ("1", "y", None, [])
