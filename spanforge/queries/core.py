@@ -123,7 +123,12 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), head), "\n"))
 
 
-HEADINGS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+def headings_sql(marked: bool) -> str:
+    """Headings of the documents as ``markdown`` marks them, or as they stand."""
+    return _HEADINGS if marked else _HEADINGS.replace("CASE WHEN i % 6 = 0 THEN '# ' || raw WHEN i % 3 = 0 THEN '## ' || raw ELSE raw END AS line", "raw AS line")
+
+
+_HEADINGS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
     marked AS (SELECT doc_id, i, CASE WHEN i % 6 = 0 THEN '# ' || raw WHEN i % 3 = 0 THEN '## ' || raw ELSE raw END AS line FROM lines),
     placed AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start" FROM marked),
     heads AS (SELECT doc_id, "start", length(regexp_extract(line, '^(#+)', 1))::BIGINT AS level, trim(regexp_extract(line, '^#{1,6}[ \t]+(.+?)[ \t]*$', 1)) AS title FROM placed WHERE regexp_matches(line, '^#{1,6}[ \t]+[^ \t]')),
@@ -131,6 +136,9 @@ HEADINGS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r
     headed AS (SELECT doc_id, "start", level, title, CASE WHEN level = 1 OR t1 IS NULL THEN title ELSE t1 || ' > ' || title END AS path FROM up)"""
 
 
+HEADINGS = headings_sql(True)
+
+
 @query(f"WITH {HEADINGS} SELECT * FROM headed")
 def heading_paths(spark, sf_dir):
     return chunking.heading_lines(markdown(spark, sf_dir))
@@ -148,7 +156,8 @@ def chunk_heading_sections(spark, sf_dir):
     return chunking.heading_chunks(markdown(spark, sf_dir), max_size=1 << 30)
 
 
-@query(rf"""WITH RECURSIVE {HEADINGS}, body AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM marked GROUP BY 1),
+def heading_chunks_sql(headings: str) -> str:
+    return rf"""WITH RECURSIVE {headings}, body AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM marked GROUP BY 1),
     cuts AS (SELECT doc_id, 0::BIGINT AS "start", '' AS path, 0 AS nth FROM body UNION ALL SELECT doc_id, "start", path, 1 FROM headed),
     sections AS (SELECT c.doc_id, "start", lead("start", 1, length(text)) OVER (PARTITION BY c.doc_id ORDER BY "start", nth) AS "end", path, text FROM cuts c JOIN body b ON b.doc_id = c.doc_id),
     real AS (SELECT row_number() OVER () AS sid, doc_id, "start", "end", path, substr(text, "start" + 1, "end" - "start") AS text FROM sections WHERE regexp_matches(substr(text, "start" + 1, "end" - "start"), '\S')),
@@ -158,7 +167,10 @@ def chunk_heading_sections(spark, sf_dir):
     after AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY sec, i) AS before FROM parts),
     grouped AS (SELECT *, sum(CASE WHEN "end" - "start" < 200 AND before = "start" THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sec, i ROWS UNBOUNDED PRECEDING) AS g FROM after),
     joined AS (SELECT doc_id, arg_min("start", (sec, i)) AS a, arg_max("end", (sec, i)) AS b, arg_min(path, (sec, i)) AS path, arg_min(sub_split, (sec, i)) AS sub_split FROM grouped GROUP BY doc_id, g)
-    SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", substr(text, a + 1, b - a) AS chunk_text, path AS context_prefix, sub_split FROM joined JOIN body USING (doc_id)""")
+    SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", substr(text, a + 1, b - a) AS chunk_text, path AS context_prefix, sub_split FROM joined JOIN body USING (doc_id)"""
+
+
+@query(heading_chunks_sql(HEADINGS))
 def chunk_heading(spark, sf_dir):
     return chunking.heading_chunks(markdown(spark, sf_dir))
 
@@ -788,16 +800,22 @@ def recommended_action(spark, sf_dir):
 
 # ---------------------------------------------------------------- the ground-truth study
 
-AUTHORS = ((800, 100), (300, 50), (500, 50))
-AUTHORED = ", ".join(fixed_sql(s, o, f"ch{s}") for s, o in AUTHORS) + ", author_chunks AS (" + " UNION ALL ".join(f"SELECT 'fixed{s}' AS author, doc_id, \"start\", \"end\" FROM ch{s}" for s, _ in AUTHORS) + ")"
+#: The authors of the study: a chunker each.
+AUTHORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "fixed800": lambda docs: chunking.fixed_chunks(docs, 800, 100), "recursive800": chunking.recursive_chunks, "heading1200": chunking.heading_chunks, "semantic90": chunking.semantic_chunks,
+}
+_AUTHOR_SQL = {"fixed800": ORACLE_SQL["chunk_fixed_800_100"], "recursive800": ORACLE_SQL["chunk_recursive"], "heading1200": heading_chunks_sql(headings_sql(False)), "semantic90": ORACLE_SQL["chunk_semantic"]}
+_INDEXED = {"heading1200": "CASE WHEN context_prefix = '' THEN chunk_text ELSE context_prefix || chr(10) || chr(10) || chunk_text END"}
+AUTHORED = ", ".join(f'ch_{name} AS MATERIALIZED (SELECT DISTINCT doc_id, "start", "end", {_INDEXED.get(name, "chunk_text")} AS chunk_text FROM ({sql}))' for name, sql in _AUTHOR_SQL.items())
+AUTHORED += ", author_chunks AS (" + " UNION ALL ".join(f"SELECT '{name}' AS author, doc_id, \"start\", \"end\" FROM ch_{name}" for name in AUTHORS) + ")"
 GOLD = """gold AS (SELECT author, qid, span_ix, doc_id, "start", "end", coverage FROM (SELECT c.author, t.qid, t.span_ix, c.doc_id, c."start", c."end", round((least(c."end", t."end") - greatest(c."start", t."start"))::DOUBLE / (t."end" - t."start"), 9) AS coverage
         FROM author_chunks c JOIN truth t ON c.doc_id = t.doc_id AND c."start" < t."end" AND t."start" < c."end") QUALIFY row_number() OVER (PARTITION BY author, qid, span_ix ORDER BY coverage DESC, "start", "end") = 1)"""
 
 
 def author_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), None
-    for size, overlap in AUTHORS:
-        part = chunking.fixed_chunks(docs, size, overlap).select(F.lit(f"fixed{size}").alias("author"), "doc_id", "start", "end")
+    for name, chunker in AUTHORS.items():
+        part = retrieval.distinct_chunks(chunker(docs)).select(F.lit(name).alias("author"), "doc_id", "start", "end")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -808,18 +826,18 @@ def chunk_id_gold(spark, sf_dir):
 
 
 #: What each configuration retrieves in the study: the lexical ranking over its own chunks of all documents.
-STUDY_RANKED = f"{QTOK}, " + ", ".join(f"chunks_{size} AS (SELECT * FROM ch{size}), {bm25_sql(f'_{size}', 5)}" for size, _ in AUTHORS) + ", sranked AS (" + " UNION ALL ".join(
-    f"SELECT 'fixed{size}' AS config_id, qid, rank, doc_id, \"start\", \"end\" FROM lexical_{size}" for size, _ in AUTHORS) + ")"
+STUDY_RANKED = f"{QTOK}, " + ", ".join(f"chunks_{name} AS (SELECT * FROM ch_{name}), {bm25_sql(f'_{name}', 5)}" for name in AUTHORS) + ", sranked AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS config_id, qid, rank, doc_id, \"start\", \"end\" FROM lexical_{name}" for name in AUTHORS) + ")"
 
 
 def study_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five chunks of each configuration for all questions."""
     questions, docs, out = asked(spark, sf_dir), documents(spark, sf_dir), None
-    for size, overlap in AUTHORS:
-        chunks = chunking.fixed_chunks(docs, size, overlap)
-        part = retrieval.bm25(chunks, questions, 5).select(F.lit(f"fixed{size}").alias("config_id"), "qid", "rank", "doc_id", "start", "end")
+    for name, chunker in AUTHORS.items():
+        chunks = retrieval.distinct_chunks(chunker(docs))
+        part = retrieval.bm25(chunks, questions, 5).select(F.lit(name).alias("config_id"), "qid", "rank", "doc_id", "start", "end")
         out = part if out is None else out.unionByName(part)
-    return out.persist()
+    return settled(out)
 
 
 def rotation_sql(ious: str) -> str:
@@ -905,10 +923,9 @@ def refusals(spark, sf_dir):
 
 
 @query(f"""{HEAD} SELECT q.qid, coalesce(substr(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), 1, 900), '') AS answer FROM (SELECT DISTINCT qid FROM truth) q
-    LEFT JOIN (SELECT * FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank = 1 AND qid % 3 <> 0) USING (qid)""")
+    LEFT JOIN (SELECT * FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank = 1) USING (qid)""")
 def extractive_answers(spark, sf_dir):
-    """Questions that retrieve nothing, here every third, are answered by an empty text."""
-    return generation.extractive_answers(flow(spark, sf_dir)[0].where("qid % 3 <> 0"), corpus(spark, sf_dir)[0], asked(spark, sf_dir))
+    return generation.extractive_answers(flow(spark, sf_dir)[0], corpus(spark, sf_dir)[0], asked(spark, sf_dir))
 
 
 @query(f"""{HEAD}, blocks AS (SELECT qid, rank, '[' || rank || '] ' || regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g') AS block FROM lexical JOIN chunks USING (doc_id, "start", "end") WHERE rank <= 30),
