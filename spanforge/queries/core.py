@@ -68,6 +68,19 @@ def chunk_fixed_300_50(spark, sf_dir):
     return chunking.fixed_chunks(documents(spark, sf_dir), 300, 50)
 
 
+@query(f"""WITH {fixed_sql(800, 100)}, bent AS (SELECT CASE doc_id % 7 WHEN 3 THEN -doc_id ELSE doc_id END AS doc_id, CASE doc_id % 7 WHEN 1 THEN "start" + 1 ELSE "start" END AS "start", "end",
+        CASE doc_id % 7 WHEN 2 THEN chunk_text || '~' ELSE chunk_text END AS chunk_text FROM chunks)
+    SELECT b.* FROM bent b LEFT JOIN documents d USING (doc_id) WHERE d.text IS NULL OR substr(d.text, (b."start" + 1)::BIGINT, (b."end" - b."start")::BIGINT) <> b.chunk_text""")
+def bent_chunks(spark, sf_dir):
+    """Chunks of which some are shifted, changed, or of no document: what the invariants find."""
+    docs, kind = documents(spark, sf_dir), F.col("doc_id") % 7
+    bent = chunking.fixed_chunks(docs, 800, 100).select(
+        F.when(kind == 3, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(kind == 1, F.col("start") + 1).otherwise(F.col("start")).alias("start"), "end",
+        F.when(kind == 2, F.concat("chunk_text", F.lit("~"))).otherwise(F.col("chunk_text")).alias("chunk_text"),
+    )
+    return chunking.invariant_violations(docs, bent)
+
+
 @query(f"""WITH {fixed_sql(800, 100)} SELECT c.* FROM chunks c JOIN documents d USING (doc_id)
     WHERE substr(d.text, (c."start" + 1)::BIGINT, (c."end" - c."start")::BIGINT) <> c.chunk_text""")
 def chunk_invariant_violations(spark, sf_dir):
@@ -102,6 +115,14 @@ def chunk_coverage(spark, sf_dir):
     return chunking.coverage(docs, chunking.fixed_chunks(docs, 300, 50)).select("doc_id", F.round("coverage", 9).alias("coverage"))
 
 
+@query(f"""WITH {fixed_sql(800, 100)} SELECT doc_id, count(*)::BIGINT AS n, sum("end" - "start")::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, "start", "end" FROM (SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id % 2 = 0)) GROUP BY 1""")
+def distinct_spans(spark, sf_dir):
+    """Chunks of which those of every second document are given twice, each span once."""
+    chunks = chunking.fixed_chunks(documents(spark, sf_dir), 800, 100)
+    once = retrieval.distinct_chunks(chunks.unionByName(chunks.where("doc_id % 2 = 0")))
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_chars"))
+
+
 @query(f"""WITH {fixed_sql(800, 100)}, {COVERAGE_SQL},
     o AS (SELECT "end" - "start" AS len, row_number() OVER (ORDER BY "end" - "start") - 1 AS i, count(*) OVER () AS n FROM chunks)
     SELECT count(*)::BIGINT AS n_chunks, round(avg(len), 6) AS mean_len, max(CASE WHEN i = n // 10 THEN len END)::BIGINT AS p10, max(CASE WHEN i = 9 * n // 10 THEN len END)::BIGINT AS p90,
@@ -175,6 +196,13 @@ def chunk_heading(spark, sf_dir):
     return chunking.heading_chunks(markdown(spark, sf_dir))
 
 
+@query(f"""SELECT doc_id, "start", "end", md5(CASE WHEN context_prefix = '' THEN chunk_text ELSE context_prefix || chr(10) || chr(10) || chunk_text END) AS digest FROM ({heading_chunks_sql(HEADINGS)})""")
+def indexed_texts(spark, sf_dir):
+    """What is indexed of each heading chunk: its path, an empty line, and itself."""
+    chunks = chunking.heading_chunks(markdown(spark, sf_dir))
+    return chunks.select("doc_id", "start", "end", F.md5(retrieval.indexed_text(chunks)).alias("digest"))
+
+
 LEX = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\\-.]*'), lambda x: lower(x))"
 
 SENTENCES = r"""marked AS (SELECT doc_id, regexp_replace(text, '([.!?]["'')\]]*\s+)', '\1' || chr(63743), 'g') AS m FROM documents WHERE text <> ''),
@@ -290,6 +318,13 @@ def quote_rejections(spark, sf_dir):
     return truth.judged_items(authored_items(spark, sf_dir), documents(spark, sf_dir))[1]
 
 
+@query(r"""WITH items AS (SELECT CASE WHEN doc_id % 6 = 3 THEN doc_id - 1 ELSE doc_id END AS item_id, CASE doc_id % 6 WHEN 1 THEN substr(text, 1, 40) || '~' WHEN 2 THEN substr(text, 1, 1) ELSE substr(text, 1, 40) END AS quote FROM documents WHERE length(text) >= 60)
+    SELECT item_id FROM items WHERE length(regexp_replace(quote, '^\s+|\s+$', '', 'g')) < 25""")
+def short_quote_items(spark, sf_dir):
+    """Items that break a question file's form: a quote under 25 characters once stripped."""
+    return truth.short_quotes(authored_items(spark, sf_dir))
+
+
 @query(f"""WITH {TRUTH}, o AS (SELECT "end" - "start" AS len, row_number() OVER (ORDER BY "end" - "start") - 1 AS i, count(*) OVER () AS n FROM truth)
     SELECT count(*)::BIGINT AS n_spans, min(len)::BIGINT AS min_len, max(CASE WHEN i = n // 2 THEN len END)::BIGINT AS median_len, max(len)::BIGINT AS max_len,
         (SELECT count(DISTINCT doc_id) FROM truth)::BIGINT AS n_docs, (SELECT count(*) FROM (SELECT qid FROM truth GROUP BY qid HAVING count(*) > 1))::BIGINT AS n_multi FROM o""")
@@ -653,13 +688,23 @@ def skyline_two_axes(spark, sf_dir):
     return ranking.skyline(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
-@query(f"""WITH {CANDIDATES}, b AS (SELECT min(quality) q0, max(quality) q1, min(log10(greatest(latency_ms, 0.01))) l0, max(log10(greatest(latency_ms, 0.01))) l1, min(chars) c0, max(chars) c1 FROM cq),
-    s AS (SELECT config_id, round(0.7 * (quality - q0) / (q1 - q0) + 0.2 * (1 - (log10(greatest(latency_ms, 0.01)) - l0) / (l1 - l0)) + 0.1 * (1 - (chars - c0) / (c1 - c0)), 9) AS score FROM cq, b)
-    SELECT config_id, score, row_number() OVER (ORDER BY score DESC, config_id) AS position FROM s""")
+def weighted_sql(quality: str, latency: str, context: str) -> str:
+    return f"""WITH {CANDIDATES}, b AS (SELECT min(quality) q0, max(quality) q1, min(log10(greatest(latency_ms, 0.01))) l0, max(log10(greatest(latency_ms, 0.01))) l1, min(chars) c0, max(chars) c1 FROM cq),
+    s AS (SELECT config_id, round({quality} * (quality - q0) / (q1 - q0) + {latency} * (1 - (log10(greatest(latency_ms, 0.01)) - l0) / (l1 - l0)) + {context} * (1 - (chars - c0) / (c1 - c0)), 9) AS score FROM cq, b)
+    SELECT config_id, score, row_number() OVER (ORDER BY score DESC, config_id) AS position FROM s"""
+
+
+@query(weighted_sql("0.7", "0.2", "0.1"))
 def weighted_rank(spark, sf_dir):
     return ranking.weighted(candidate_rows(spark, sf_dir)).select("config_id", "score", "position")
 
 
+@query(weighted_sql("0.375::DOUBLE", "0.5::DOUBLE", "0.125::DOUBLE"))
+def weighted_rank_normalised(spark, sf_dir):
+    """Weights 3, 4 and 1 count by their shares of eight."""
+    return ranking.weighted(candidate_rows(spark, sf_dir), 3.0, 4.0, 1.0, normalise=True).select("config_id", "score", "position")
+
+
 BEST = f"WITH {CANDIDATES}, win AS (SELECT * FROM cq ORDER BY quality DESC, config_id LIMIT 1)"
 
 
