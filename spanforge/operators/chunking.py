@@ -61,6 +61,32 @@ def semantic_chunks(docs: DataFrame, percentile: float = 90.0, max_size: int = 1
     return _mapped(docs, lambda body: splitters.semantic_spans(body, vectors, percentile, max_size, min_size, buffer), [("n_sentences", "long", pa.int64())])
 
 
+def recovered_offsets(pieces: DataFrame, docs: DataFrame, reorder: bool = False) -> DataFrame:
+    """(doc_id, ix, start, end) of verbatim pieces (doc_id, ix, piece), in the order of ix: of each its first place that does not
+    begin before the piece ahead of it. Empty and null pieces have none; a piece that does not occur, and a document that is
+    missing, fail with a message that names the document.
+
+    A document's pieces go with its text, as a splitter would have made them; they are no more than the text holds, and documents
+    are dealt over tasks.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    per = pieces.where("piece <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", "piece"))).alias("pieces"))
+    both = per.join(docs.select("doc_id", "text"), "doc_id", "left").select("doc_id", "text", F.col("pieces.ix").alias("ix"), F.col("pieces.piece").alias("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, body, ix, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ix", "piece")), strict=True):
+                try:
+                    if body is None:
+                        raise splitters.OffsetError("no such document")
+                    spans = splitters.recover_offsets(body, found, reorder)
+                except splitters.OffsetError as error:
+                    raise splitters.OffsetError(f"document {ident}: {error}") from None
+                yield pa.RecordBatch.from_arrays([pa.array([ident] * len(ix), batch.schema.field("doc_id").type), pa.array(ix, pa.int64()), *(pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1))], ["doc_id", "ix", "start", "end"])
+
+    return both.mapInArrow(run, f"doc_id {kind}, ix long, start long, end long")
+
+
 def chapter_texts(docs: DataFrame, start: str, end: str, chapter: str, min_chars: int = 2000, max_chars: int = 8000, keep: int | None = None) -> DataFrame:
     """(doc_id, part, text) of raw books; ``keep`` is the number of parts kept of each book."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import alignment, cells, chunking, diagnosis, generation, metrics, postings, ranking, retrieval, study, truth
-from spanforge.queries.splitting import recursive_sql
+from spanforge.queries.splitting import recover_sql, recursive_sql
 from spanforge.session import settled, shared_dir
 from spanforge.sources import files
 
@@ -138,6 +138,17 @@ def chunk_recursive(spark, sf_dir):
     return chunking.recursive_chunks(documents(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE o_src AS (SELECT doc_id AS sid, text FROM documents WHERE text IS NOT NULL),
+    o_words AS (SELECT doc_id AS sid, unnest(string_split(text, ' ')) AS piece, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE text IS NOT NULL),
+    o_told AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY k) AS i, piece, k FROM o_words WHERE piece <> '' AND k % 5 = 0), {recover_sql('o_')}
+    SELECT sid AS doc_id, k::BIGINT AS ix, a AS "start", b AS "end" FROM o_cut JOIN o_told USING (sid, i)""")
+def recovered_offsets(spark, sf_dir):
+    """Every fifth word of each document found again, none before the one ahead of it."""
+    docs = documents(spark, sf_dir)
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("ix", "piece")).select("doc_id", (F.col("ix") + 1).cast("long").alias("ix"), "piece")
+    return chunking.recovered_offsets(words.where("ix % 5 = 0"), docs)
+
+
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with headings: every sixth line of level 1, other third ones of level 2."""
     head = lambda line, i: F.when(i % 6 == 0, F.concat(F.lit("# "), line)).when(i % 3 == 0, F.concat(F.lit("## "), line)).otherwise(line)

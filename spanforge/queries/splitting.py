@@ -26,6 +26,15 @@ def _level(p: str, j: int, size: int) -> str:
         {p}i{j + 1} AS (SELECT sid, x AS a, y AS b, sep + 1 AS lev FROM {p}g{j} WHERE long),"""
 
 
+def recover_sql(p: str) -> str:
+    """Common tables from {p}told (sid, i, piece), pieces numbered from 1, and {p}src (sid, text) to {p}cut (sid, i, a, b): of each
+    piece the first place that does not begin before the piece ahead of it."""
+    return f"""{p}found(sid, i, a, piece) AS (
+            SELECT sid, i, (strpos(text, piece) - 1)::BIGINT, piece FROM {p}told JOIN {p}src USING (sid) WHERE i = 1
+            UNION ALL SELECT t.sid, t.i, (f.a + strpos(substr(s.text, (f.a + 1)::BIGINT), t.piece) - 1)::BIGINT, t.piece FROM {p}found f JOIN {p}told t ON t.sid = f.sid AND t.i = f.i + 1 JOIN {p}src s ON s.sid = f.sid),
+        {p}cut AS (SELECT sid, i, a, (a + length(piece))::BIGINT AS b FROM {p}found)"""
+
+
 def recursive_sql(p: str, size: int, overlap: int) -> str:
     """Common tables from {p}src (sid, text) to {p}cut (sid, i, a, b): recursive cuts where recovered offsets place them, in order.
 
@@ -41,7 +50,4 @@ def recursive_sql(p: str, size: int, overlap: int) -> str:
             UNION ALL SELECT sid, edges, nf, ({upto.format('nf')})::BIGINT FROM (SELECT *, ({onward})::BIGINT AS nf FROM {p}pack WHERE upto < len(edges) - 1)),
         {p}said AS (SELECT sid, edges[first + 1] AS a, edges[upto + 1] AS b FROM {p}pack UNION ALL {' UNION ALL '.join(f'SELECT sid, a, b FROM {p}i{j} WHERE lev = {n}' for j in range(1, n + 1))}),
         {p}told AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY a, b) AS i, substr(text, (a + 1)::BIGINT, (b - a)::BIGINT) AS piece FROM {p}said JOIN {p}src USING (sid)),
-        {p}found(sid, i, a, piece) AS (
-            SELECT sid, i, (strpos(text, piece) - 1)::BIGINT, piece FROM {p}told JOIN {p}src USING (sid) WHERE i = 1
-            UNION ALL SELECT t.sid, t.i, (f.a + strpos(substr(s.text, (f.a + 1)::BIGINT), t.piece) - 1)::BIGINT, t.piece FROM {p}found f JOIN {p}told t ON t.sid = f.sid AND t.i = f.i + 1 JOIN {p}src s ON s.sid = f.sid),
-        {p}cut AS (SELECT sid, i, a, (a + length(piece))::BIGINT AS b FROM {p}found)"""
+        {recover_sql(p)}"""
