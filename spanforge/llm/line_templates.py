@@ -6,9 +6,10 @@ two ways that look at counts only, so that no leaf has to stand in one task and
 
 1. A word that fewer than ``DOCS`` documents have in this place of this leaf can be no constant of a recurring template: its
    place is variable. A line with more than ``1 - LIKE`` of its words variable in this way belongs to no template.
-2. Templates that are equal but for one place share a key, the template with that place variable. Each template takes the key
-   that most templates share (itself counts; ties: as it stands, then the earlier place), round after round until none moves.
-   No template makes more than ``1 - LIKE`` of its line variable, so rounds end.
+2. A place in which a template differs from another one, while they are equal in all others, is variable. Templates that do so in
+   any place share a key, the template with that place variable, so keys are counted. All such places of a template become
+   variable at once, those whose keys most templates share first (then the earlier ones), round after round until none moves. No
+   template makes more than ``1 - LIKE`` of its line variable, so rounds end.
 
 A template met in ``DOCS`` documents or more recurs, whatever its length; its lines stay in the first of these documents and are
 dropped from all others.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanforge.llm import common
@@ -40,6 +41,26 @@ VARIABLE = "<*>"
 _U = np.uint64
 
 
+_SCATTER = common.mixed(np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F))
+_BACK = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: differences of prefix sums over the bytes of all of them, so no word becomes an object."""
+    words = words.cast(pa.binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    size, ends = np.diff(edges), edges[1:] - edges[0]
+    ahead, back = np.ones(len(raw) + 1, np.uint64), np.ones(len(raw) + 1, np.uint64)
+    np.cumprod(np.full(len(raw), 0x9E3779B97F4A7C15, np.uint64), out=ahead[1:])
+    np.cumprod(np.full(len(raw), _BACK, np.uint64), out=back[1:])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_SCATTER[raw] * ahead[:-1], out=sums[1:])
+    return common.mixed(common.mixed((sums[ends] - sums[ends - size]) * back[ends - size]) + size.astype(np.uint64))
+
+
 class Lines:
     """The lines of texts with their masked words, leaf and hash; arrays by line."""
 
@@ -58,8 +79,7 @@ class Lines:
         mask = digit[codes] & (2 * figures <= self.counts)[line]
         self.vocabulary = pa.concat_arrays([vocabulary, pa.array([VARIABLE])])
         self.codes = np.where(mask, len(vocabulary), codes)
-        hashes = common.hashes(self.vocabulary)
-        h = hashes[self.codes]
+        h = word_hashes(self.vocabulary)[self.codes]
         nth = np.arange(len(codes)) - np.repeat(starts, self.counts)
         powers = np.cumprod(np.full(int(nth.max()) + 1 if len(nth) else 1, 0x9E3779B97F4A7C15, np.uint64))
         sums = np.add.reduceat(np.append(common.mixed(h) * powers[nth], _U(0)), np.minimum(starts, len(codes))) if len(starts) else np.zeros(0, np.uint64)
@@ -122,39 +142,40 @@ def masked_templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -
     return out
 
 
-def joined(now: DataFrame) -> DataFrame:
-    """One round over templates (t, room, cells): (t, to, pos) of those that make the place pos variable and become ``to``."""
-    keys = now.select("t", F.col("t").alias("to"), F.lit(-1).alias("pos")).unionByName(
-        now.where("room > 0").select("t", F.explode("cells").alias("c")).select("t", F.col("t").bitwiseXOR(F.col("c.h")).alias("to"), F.col("c.pos").alias("pos"))
-    )
-    often = common.written(keys.groupBy("to").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    best = keys.join(often, "to").groupBy("t").agg(F.max(F.struct("n", (-F.col("pos")).alias("early"), "to")).alias("b"))
-    return common.written(best.select("t", F.col("b.to").alias("to"), (-F.col("b.early")).alias("pos")).where("pos >= 0"))
+def merged(now: DataFrame) -> tuple[DataFrame, int]:
+    """One round over templates (t, room, cells): (t, to, room, cells) with the template that each becomes, its room and places by
+    then, written; and how many became another."""
+    each = now.where("room > 0").select("t", "room", F.explode("cells").alias("c")).select("t", "room", F.col("t").bitwiseXOR(F.col("c.h")).alias("to"), "c")
+    often = now.select(F.col("t").alias("to")).unionByName(each.select("to")).groupBy("to").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # as many picks as there are words in a line
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("c.pos").alias("pos"), F.col("c.h").alias("h"))))
+    picks = each.join(often, "to").groupBy("t", F.col("room").alias("most")).agg(ordered.alias("p")).select("t", F.slice("p", 1, F.col("most")).alias("p"))
+    became = F.aggregate("p", F.col("t"), lambda t, x: t.bitwiseXOR(x["h"]))
+    left = F.filter("cells", lambda c: ~F.array_contains("p.pos", c["pos"]))
+    after = now.join(picks, "t", "left").select("t", F.coalesce(became, "t").alias("to"), (F.col("room") - F.coalesce(F.size("p"), F.lit(0))).alias("room"), F.when(F.col("p").isNull(), F.col("cells")).otherwise(left).alias("cells"))
+    counted = Observation()
+    after = common.written(after.observe(counted, F.count_if(F.col("t") != F.col("to")).alias("moves")))
+    return after, counted.get["moves"]
 
 
 def templates(reached: DataFrame, docs: int = DOCS, like: float = LIKE) -> DataFrame:
     """(mark, t): the template of each masked line that can have a recurring one."""
     first = masked_templates(reached, docs, like)
-    once = lambda rows: rows.groupBy("t").agg(F.max("room").alias("room"), F.first("cells").alias("cells"))
-    now, moved = common.written(once(first.select("t", "room", "cells"))), None
+    once = lambda rows: common.written(rows.groupBy("t").agg(F.max(F.struct("room", "cells")).alias("m")).select("t", "m.room", "m.cells"))
+    now = begun = once(first.select("t", "room", "cells"))
+    rounds = []
     while True:  # every move leaves a template with a constant place less, so this ends
-        moves = joined(now)
-        if moves.isEmpty():
+        after, moves = merged(now)
+        if not moves:
             break
-        after = now.join(moves, "t", "left")
-        shorter = F.filter("cells", lambda c: F.coalesce(c["pos"] != F.col("pos"), F.lit(True)))
-        before, now = now, common.written(once(after.select(F.coalesce("to", "t").alias("t"), F.when(F.col("to").isNull(), F.col("room")).otherwise(F.col("room") - 1).alias("room"), shorter.alias("cells"))))
-        common.drop_written(before)
-        step = moves.select(F.col("t").alias("at"), "to")
-        if moved is None:
-            moved = step.withColumnRenamed("at", "t")
-        else:
-            # what had moved to a template moves on with it; a template that had moved itself is another's place by now
-            on = moved.withColumnRenamed("to", "was").join(step, F.col("was") == F.col("at"), "left").select("t", F.coalesce("to", "was").alias("to"))
-            new = step.join(moved.select("t"), F.col("at") == F.col("t"), "left_anti").select(F.col("at").alias("t"), "to")
-            moved = common.written(on.unionByName(new))
-    own = first.select("mark", "t")
-    return own if moved is None else own.join(moved, "t", "left").select("mark", F.coalesce("to", "t").alias("t"))
+        rounds.append(after.where("t <> to").select(F.col("t").alias("at"), F.col("to").alias("on")))
+        now = once(after.select(F.col("to").alias("t"), "room", "cells"))
+    if not rounds:
+        return first.select("mark", "t")
+    ends = begun.select("t", F.col("t").alias("to"))
+    for step in rounds:
+        ends = ends.join(step, F.col("to") == F.col("at"), "left").select("t", F.coalesce("on", "to").alias("to"))
+    return first.select("mark", "t").join(common.written(ends.where("t <> to")), "t", "left").select("mark", F.coalesce("to", "t").alias("t"))
 
 
 def recurring(df: DataFrame, ident: str = "doc_id", text: str = "text", docs: int = DOCS) -> DataFrame:

@@ -149,17 +149,17 @@ def _crc(numbers: str) -> str:
 
 
 #: Rounds that the SQL of op10 writes out: more than it takes on any table here until no template moves.
-_ROUNDS = 12
+_ROUNDS = 8
 
 
 def _round(j: int) -> str:
     """A round of the template tree: templates r{j} (tp, room) and those of the masked lines o{j} (ms, tp) to r{j + 1}, o{j + 1}."""
     return f"""
-        w{j} AS (SELECT tp, tp AS made, 0 AS k FROM r{j} UNION ALL SELECT tp, list_transform(tp, lambda x, i: CASE WHEN i = k THEN '<*>' ELSE x END), k FROM (SELECT tp, unnest(range(3, len(tp) + 1)) AS k FROM r{j} WHERE room > 0) WHERE tp[k] <> '<*>'),
+        w{j} AS (SELECT tp, tp AS made, 0 AS k, 0 AS room FROM r{j} UNION ALL SELECT tp, list_transform(tp, lambda x, i: CASE WHEN i = k THEN '<*>' ELSE x END), k, room FROM (SELECT tp, unnest(range(3, len(tp) + 1)) AS k, room FROM r{j} WHERE room > 0) WHERE tp[k] <> '<*>'),
         c{j} AS (SELECT made, count(*) AS c FROM w{j} GROUP BY 1 HAVING count(*) > 1),
-        v{j} AS (SELECT tp, made FROM w{j} JOIN c{j} USING (made) QUALIFY row_number() OVER (PARTITION BY tp ORDER BY c DESC, k) = 1 AND k > 0),
-        o{j + 1} AS (SELECT ms, coalesce(made, tp) AS tp FROM o{j} LEFT JOIN v{j} USING (tp)),
-        r{j + 1} AS (SELECT coalesce(made, tp) AS tp, max(room - CASE WHEN made IS NULL THEN 0 ELSE 1 END) AS room FROM r{j} LEFT JOIN v{j} USING (tp) GROUP BY 1),"""
+        v{j} AS (SELECT tp, list(k) AS ks FROM (SELECT tp, k FROM w{j} JOIN c{j} USING (made) WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY tp ORDER BY c DESC, k) <= room) GROUP BY 1),
+        o{j + 1} AS MATERIALIZED (SELECT ms, list_transform(tp, lambda x, i: CASE WHEN list_contains(ks, i) THEN '<*>' ELSE x END) AS tp FROM o{j} LEFT JOIN v{j} USING (tp)),
+        r{j + 1} AS MATERIALIZED (SELECT list_transform(tp, lambda x, i: CASE WHEN list_contains(ks, i) THEN '<*>' ELSE x END) AS tp, max(room - coalesce(len(ks), 0)) AS room FROM r{j} LEFT JOIN v{j} USING (tp) GROUP BY 1),"""
 
 
 def _lloyd(j: int) -> str:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,16 @@ def test_url_rules_against_brute_force(spark):
         assert got[k] == (host, path, best[3] if best else None, best[4] if best else "allow"), url
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(0)
+    words_ = list({"".join(rng.choice("abé語0") for _ in range(rng.randrange(0, 12))) for _ in range(20_000)}) + ["x" * 5000, "x" * 5001, "ab" * 3000, "ba" * 3000]
+    whole = pa.array(words_)
+    got = line_templates.word_hashes(whole)
+    assert len(set(got.tolist())) == len(words_)
+    assert (line_templates.word_hashes(whole.slice(7, 100)) == got[7:107]).all() and (line_templates.word_hashes(pa.array(words_[::-1])) == got[::-1]).all()
+    assert len(line_templates.word_hashes(pa.array([], pa.string()))) == 0 and len(line_templates.word_hashes(pa.array([""]))) == 1
+
+
 def test_recurring_lines_go_and_others_stay(spark):
     rows = []
     for k in range(20):
@@ -356,17 +367,17 @@ def brute_lines(rows, docs=line_templates.DOCS):
             own[m] = t
             room[t] = max(left, room.get(t, 0))
     while True:
-        ways = {t: [(t, -1), *((t[:k] + ("<*>",) + t[k + 1 :], k) for k in range(2, len(t)) if room[t] and t[k] != "<*>")] for t in room}
-        often = Counter(to for way in ways.values() for to, _ in way)
-        best = {t: max((often[to], -k, to) for to, k in way if often[to] > 1) for t, way in ways.items() if any(often[to] > 1 for to, _ in way)}
-        moves = {t: to for t, (_, k, to) in best.items() if k <= 0}
+        ways = {t: {k: t[:k] + ("<*>",) + t[k + 1 :] for k in range(2, len(t)) if room[t] and t[k] != "<*>"} for t in room}
+        often = Counter(to for way in ways.values() for to in way.values()) + Counter(room.keys())
+        picks = {t: sorted((-often[to], k) for k, to in way.items() if often[to] > 1)[: room[t]] for t, way in ways.items()}
+        moves = {t: tuple("<*>" if k in {p for _, p in pick} else x for k, x in enumerate(t)) for t, pick in picks.items() if pick}
         if not moves:
             break
         own = {m: moves.get(t, t) for m, t in own.items()}
         after = {}
         for t, left in room.items():
             to = moves.get(t, t)
-            after[to] = max(after.get(to, 0), left - (t in moves))
+            after[to] = max(after.get(to, 0), left - len(picks[t]))
         room = after
     met = defaultdict(set)
     for m, t in own.items():
