@@ -3,8 +3,8 @@
 A text is cut by the vocabulary's pattern; each distinct piece of a batch is a row of a matrix of token ids, padded within its
 length bucket. In each round every row merges its leftmost pair of least rank; pairs are looked up in an open-addressing
 hash table held in numpy arrays, the tail of the row moves up by one, and finished rows leave the matrix. A piece over
-``LONGEST`` bytes is a row of its own with the same lookups and compaction; a round merges all its pairs of least rank at once,
-from the left, unless one of these merges makes a pair of lesser rank: then it is the leftmost alone, as ever.
+``LONGEST`` bytes is a row for each of its overlapping windows, and the windows are joined at tokens that neighbours share, which
+gives the ids of the whole (see ``merge_windows``).
 
 Cases: a null or empty text has no tokens. Any bytes can be encoded, since all 256 single bytes have ranks. Decoding ids gives
 the text's bytes back. Repeated rows give equal values. Ids of rows are passed through; other columns are ignored.
@@ -22,11 +22,18 @@ from pyspark.sql import DataFrame
 
 from spanforge.llm import common
 
-#: Bytes beyond which a piece is a row of its own; upper ends of the length buckets; distinct pieces that a worker remembers.
+#: Bytes beyond which a piece is several rows; upper ends of the length buckets; distinct pieces that a worker remembers.
 LONGEST, BUCKETS, REMEMBERED = 256, (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 150_000
+#: Bytes of a window of a long piece, from one window's start to the next, in both of them; cells of a matrix.
+WINDOW, STRIDE, OVERLAP, CELLS = 128, 96, 32, 1 << 20
 NONE = np.int32(1 << 30)
 
 
+def _bucket(length: int) -> int:
+    """Width of the matrix for pieces of a length; windows that had to grow have powers of two."""
+    return next((w for w in BUCKETS if length <= w), 1 << (length - 1).bit_length())
+
+
 class Merges:
     """The ranks of a vocabulary, and the pairs of tokens whose joined bytes have a rank."""
 
@@ -120,55 +127,73 @@ class Merges:
             ranks[back, at[back] - 1] = self.pair_ranks(ids[back, at[back] - 1], ids[back, at[back]])
         return result
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, all places of the least rank in a round."""
-        ids = self.first[np.frombuffer(piece, np.uint8)]
-        ranks = self.pair_ranks(ids[:-1], ids[1:])
-        while len(ranks) and (best := ranks.min()) != NONE:
-            at = np.flatnonzero(ranks == best)
-            # of overlapping pairs (one token repeated) every other one merges, from the left
-            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            if len(at) > 1:
-                # what each merge meets: merged places on its left, those on its right as they are
-                before = np.where(np.concatenate([[False], at[1:] == at[:-1] + 2]), best, ids[np.maximum(at - 1, 0)])
-                left, right = at > 0, at + 2 < len(ids)
-                made = np.concatenate([self.pair_ranks(before[left], np.full(int(left.sum()), best, np.int32)), self.pair_ranks(np.full(int(right.sum()), best, np.int32), ids[at[right] + 2])])
-                if len(made) and made.min() < best:
-                    at = at[:1]
-            ids = ids.copy()
-            ids[at] = best
-            stay = np.ones(len(ids), bool)
-            stay[at + 1] = False
-            place = at - np.arange(len(at))
-            # the rank of a pair stands with its left token: that of a merged token is the one its right half had
-            kept = ranks[np.flatnonzero(stay)[:-1]]
-            ids = ids[stay]
-            ranks = kept[: len(ids) - 1]
-            for side in (place - 1, place):
-                side = side[(side >= 0) & (side + 1 < len(ids))]
-                ranks[side] = self.pair_ranks(ids[side], ids[side + 1])
-        return ids
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece; a piece that is a token as a whole is that token."""
+    def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces up to the widest bucket, by merges alone."""
         out: list = [None] * len(pieces)
         sorted_in: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
-            if (whole := self.ranks.get(piece)) is not None:
-                out[k] = np.array([whole], np.int32)
-            elif len(piece) > LONGEST:
-                out[k] = self.merge_long(piece)
-            else:
-                sorted_in.setdefault(next(w for w in BUCKETS if len(piece) <= w), []).append(k)
+            sorted_in.setdefault(_bucket(len(piece)), []).append(k)
         for width, where in sorted_in.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, CELLS // width)
             for at in range(0, len(where), step):
                 part = where[at : at + step]
                 for k, ids in zip(part, self.merge_rows([pieces[k] for k in part], width), strict=True):
                     out[k] = ids
         return out
 
+    def merge_windows(self, piece: bytes, rows: dict[bytes, np.ndarray]) -> np.ndarray:
+        """Ids of a long piece from ``rows``, the ids of its windows; windows that are lacking are merged and added.
+
+        Windows are joined at a token that both have at the same place: then any two tokens that stand side by side do so in
+        a window, so each pair is what merges make of its own bytes, and no merge of the whole crosses them. Where two windows
+        share no token (a run of one letter, cut out of step), the next window starts at a token of the last, further and
+        further back, and then grows until they do; the last resort is the piece as one row.
+        """
+
+        def window(start: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = piece[start : start + width]
+            if (ids := rows.get(own)) is None:
+                ids = rows[own] = self.merged([own])[0]
+            ends = start + np.cumsum(self.lengths[ids])
+            return ids, ends - self.lengths[ids], ends
+
+        def shared(one: tuple, other: tuple) -> tuple[int, int] | None:
+            _, at, to = np.intersect1d(one[1], other[1], assume_unique=True, return_indices=True)
+            same = np.flatnonzero(one[2][at] == other[2][to])
+            return (int(at[same[-1]]), int(to[same[-1]])) if len(same) else None
+
+        last, done = window(0, WINDOW), []
+        while (end := int(last[2][-1])) < len(piece):
+            following = window((end - OVERLAP) // STRIDE * STRIDE, WINDOW)
+            seam = shared(last, following)
+            at, more = len(last[0]), WINDOW
+            while seam is None:
+                if at == 0:
+                    if end + more >= len(piece):
+                        return self.merged([piece])[0]
+                    at, more = len(last[0]), 2 * more
+                at //= 2
+                start = int(last[1][at])
+                following = window(start, end + more - start)
+                seam = shared(last, following)
+            done.append(last[0][: seam[0]])
+            last = tuple(x[seam[1] :] for x in following)
+        return np.concatenate([*done, last[0]])
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece; a piece that is a token as a whole is that token."""
+        whole = [self.ranks.get(piece) for piece in pieces]
+        short = [k for k, piece in enumerate(pieces) if whole[k] is None and len(piece) <= LONGEST]
+        long = [k for k, piece in enumerate(pieces) if whole[k] is None and len(piece) > LONGEST]
+        out = [None if rank is None else np.array([rank], np.int32) for rank in whole]
+        for k, ids in zip(short, self.merged([pieces[k] for k in short]), strict=True):
+            out[k] = ids
+        windows = list({pieces[k][at : at + WINDOW] for k in long for at in range(0, len(pieces[k]) - OVERLAP, STRIDE)})
+        rows = dict(zip(windows, self.merged(windows), strict=True))
+        for k in long:
+            out[k] = self.merge_windows(pieces[k], rows)
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         return gathered(self.flat, self.ends - self.lengths, self.lengths, ids).tobytes()
 

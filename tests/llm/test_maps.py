@@ -70,8 +70,8 @@ def test_kept_over_rows(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_long_pieces_merge_like_the_matrices(seed):
-    """Any order of ranks: joined tokens may have lesser ranks than their halves."""
+def test_windows_join_to_what_one_row_gives(seed, monkeypatch):
+    """Any order of ranks: joined tokens may have lesser ranks than their halves. Tokens of up to six letters may span windows."""
     rng = np.random.default_rng(seed)
     tokens = [bytes([b]) for b in range(256)]
     letters = b"abc"[: 2 + seed % 2]
@@ -83,18 +83,21 @@ def test_long_pieces_merge_like_the_matrices(seed):
     import base64
 
     table = byte_bpe.Merges(b"\n".join(base64.b64encode(tokens[t]) + b" %d" % k for k, t in enumerate(order)))
-    for n in (1, 2, 3, 60, 250):
-        for _ in range(20):
-            piece = rng.choice(list(letters), n).astype(np.uint8).tobytes()
-            assert table.merge_long(piece).tolist() == table.merge_rows([piece], 256)[0].tolist()
+    for window in (2, 9, 32):
+        for name, value in (("WINDOW", window), ("OVERLAP", window // 2), ("STRIDE", window - window // 2)):
+            monkeypatch.setattr(byte_bpe, name, value)
+        for n in (1, 2, 60, 250):
+            for _ in range(3):
+                piece = rng.choice(list(letters), n).astype(np.uint8).tobytes()
+                for own in (piece, b"z" + piece[:1] * n + piece):
+                    assert table.merge_windows(own, {}).tolist() == table.merge_rows([own], 512)[0].tolist()
 
 
 def test_a_very_long_piece_is_quick():
     table = byte_bpe.merges(vocabulary()[0])
     rng = np.random.default_rng(0)
-    for piece in (b"x" * 300_000, rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 60_000).astype(np.uint8).tobytes()):
-        ids = table.merge_long(piece)
-        assert table.decode(ids) == piece
+    for piece in (b"x" * 300_000, b"-x" + b"=" * 300_000, rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 60_000).astype(np.uint8).tobytes()):
+        assert table.decode(table.encode_pieces([piece])[0]) == piece
 
 
 def test_bpe_equals_the_library_and_decodes(spark):
@@ -103,7 +106,9 @@ def test_bpe_equals_the_library_and_decodes(spark):
     data, pattern = vocabulary()
     table = byte_bpe.merges(data)
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.ranks, special_tokens={})
-    rows = [*odd_rows(n=10), (900, "a" * 700 + " " + "ab" * 400 + "\r\n\n  tail <|endoftext|>", *[None] * 10)]
+    letters = np.random.default_rng(5).choice(list("etaoinshrdlu"), 3_000)
+    long = ["a" * 700 + " " + "ab" * 400 + "\r\n\n  tail <|endoftext|>", "x" + "a" * 999, " ." + "=" * 901 + "-" * 640, " " * 1_001 + "x", "".join(letters), "é" * 300]
+    rows = [*odd_rows(n=10), *((900 + k, text, *[None] * 10) for k, text in enumerate(long))]
     got = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in byte_bpe.encode(frame(spark, rows), data, pattern).collect()}
     for ident, text, *_ in rows:
         ids = library.encode_ordinary(text or "")
