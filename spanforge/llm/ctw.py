@@ -311,9 +311,16 @@ def _grams_of(table: pa.Table, most: int = 1 << 22) -> tuple[np.ndarray, np.ndar
 
 
 def _word_counts(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, list[int]]:
-    """Distinct words, their counts, the code of each message's words, and the messages' lengths."""
+    """Distinct words in order, their counts, the code of each message's words, and the messages' lengths.
+
+    A group's messages come in another order each time they are fetched, so the words are sorted: an answer to their sum is read by
+    place."""
     lists = common.chunked(table.column("words"))
     codes, vocabulary = common.coded(lists.flatten())
+    order = pc.sort_indices(vocabulary).to_numpy(zero_copy_only=False)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes, vocabulary = place[codes], vocabulary.take(pa.array(order))
     n = np.concatenate([unpacked(x, "<u8") for x in table.column("counts").to_pylist()]).astype(np.int64)
     sums = np.zeros(len(vocabulary), np.int64)
     np.add.at(sums, codes, n)

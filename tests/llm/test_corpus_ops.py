@@ -471,3 +471,14 @@ def test_rounds_go_on_until_no_template_moves(spark):
     rows = [(k, " ".join(["the", "user", *(f"{'abcde'[j]}{'xy'[k >> j & 1]}" for j in range(5)), *["word"] * 20])) for k in range(32)]
     got = line_templates.dedup_lines(frame(spark, [(*r, *[None] * 10) for r in rows]))
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(brute_kept(rows)) and {r.doc_id: r.n_dropped for r in got.collect()} == {k: int(k > 0) for k in range(32)}
+
+
+def test_ctw_answers_do_not_follow_the_order_of_messages():
+    asked = [(0, pa.array(["b", "a", ""]), [3, 1, 2]), (1, pa.array(["c", "a"]), [5, 7])]
+    table = lambda rows: pa.concat_tables([ctw._message(unit, [(9, words, None, np.array(n))]) for unit, words, n in rows])
+    merged = ctw._combined(2)(table(asked))
+    (unit, part, value), = ((r["unit"], r["part"], r["value"]) for r in ctw._answered(merged, pa.table({c: [[]] for c in ("c1", "bit", "prefix", "n0", "n1", "kids")})).to_pylist())
+    told = pa.table({"unit": [unit], "part": [part], "value": [value]})
+    for rows in (asked, asked[::-1]):
+        got = {r["unit"]: np.frombuffer(r["value"], "<u8").tolist() for r in ctw._passed_on(table(rows), told).to_pylist()}
+        assert got == {0: [3, 8, 2], 1: [5, 8]}
