@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanforge.functions import text
+from spanforge.functions import lexical, text
+from spanforge.session import settled
 
 #: BM25 saturation and length weight; floor of negative weights as a share of the mean; fusion constant; pool sizes.
 K1, B, FLOOR, RRF_K, POOL, RERANK_POOL = 1.5, 0.75, 0.25, 60, 50, 30
@@ -31,6 +32,13 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["doc_id", "start", "end"])
 
 
+def distinct_written(chunks: DataFrame) -> DataFrame:
+    """The same of a written table: only its keys are exchanged, and texts where some span does come twice."""
+    key = ["doc_id", "start", "end"]
+    once = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return chunks if once else distinct_chunks(chunks)
+
+
 def indexed_text(chunks: DataFrame) -> Column:
     return text.with_context(F.col("chunk_text"), F.col("context_prefix")) if "context_prefix" in chunks.columns else F.col("chunk_text")
 
@@ -48,18 +56,70 @@ def postings(chunks: DataFrame) -> DataFrame:
     return toks.groupBy("doc_id", "start", "end", "dl", "tok").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Distinct tokens that a task holds before it hands on their counts.
+HELD_TOKENS = 1 << 19
+
+
+def slim(chunks: DataFrame) -> DataFrame:
+    """(doc_id, start, end, body): what is indexed, or the list of its tokens where ``toks`` is kept with the chunks."""
+    body = F.col("toks") if "toks" in chunks.columns else indexed_text(chunks)
+    return chunks.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), body.alias("body"))
+
+
+def token_counts(chunks: DataFrame) -> DataFrame:
+    """(tok, df, n_toks): in how many chunks each token stands; the row without a token counts chunks and all their tokens.
+
+    One map over the chunks: no token of a chunk becomes a row, a task hands on its distinct tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, rows = ["tok", "df", "n_toks"], [], 0
+        n = toks = 0
+
+        def merged() -> pa.Table:
+            got = pa.concat_tables(held).group_by("tok").aggregate([("df", "sum")])
+            return pa.table({"tok": got.column("tok"), "df": got.column("df_sum")})
+
+        def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in table.to_batches(1 << 16):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int64())], names)
+
+        for _, found in lexical.parts(batches, "body", 8192):
+            n, toks = n + len(found.dl), toks + int(found.dl.sum())
+            own, df = found.counted()
+            held.append(pa.table({"tok": own, "df": pa.array(df)}))
+            rows += len(own)
+            if rows > 2 * HELD_TOKENS:
+                held = [merged()]
+                rows = held[0].num_rows
+                if rows > HELD_TOKENS:
+                    yield from told(held[0])
+                    held, rows = [], 0
+        if held:
+            yield from told(merged())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([toks], pa.int64())], names)
+
+    found = slim(chunks).select("body").mapInArrow(run, "tok string, df long, n_toks long")
+    return found.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("n_toks").alias("n_toks"))
+
+
+def _size(counts: DataFrame) -> DataFrame:
+    return counts.where("tok IS NULL AND df > 0").select(F.col("df").alias("n"), (F.col("n_toks") / F.col("df")).alias("avgdl"))
+
+
 def corpus_size(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in tokens."""
-    return tokened(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    return _size(token_counts(chunks)).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("avgdl").alias("avgdl"))
 
 
 def weights(chunks: DataFrame) -> DataFrame:
-    """(tok, df, idf): negative weights become FLOOR of the mean weight over the vocabulary."""
-    raw = tokened(chunks).select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    raw = raw.crossJoin(F.broadcast(corpus_size(chunks).select("n")))  # one row
-    raw = raw.select("tok", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    """(tok, df, idf, n, avgdl): negative weights become FLOOR of the mean weight over the vocabulary. The counts are written, so
+    that the chunks are read once, whoever asks for weights."""
+    counts = settled(token_counts(chunks))
+    raw = counts.where("tok IS NOT NULL").select("tok", "df").crossJoin(F.broadcast(_size(counts)))  # one row
+    raw = raw.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n", "avgdl")
 
 
 def question_tokens(questions: DataFrame) -> DataFrame:
@@ -77,60 +137,92 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, zero_fill: bool =
     """Okapi ranking by score, then document order. ``zero_fill`` also ranks chunks without a common token, with score 0.
 
     Questions travel to the chunks as matrices of their weights by token, of ``MATRIX_BYTES`` at most: a batch of chunks becomes a
-    matrix over the tokens that it shares with them, one product scores all pairs, and each batch keeps k rows a question. Pairs
-    never become rows. Many questions are many matrices; postings.search has a written index for these.
+    matrix over the tokens that it shares with them, and one product scores all pairs. A task holds k rows a question, and what
+    does not reach the last of these is left out at once, so that k rows a question leave a task. Pairs never become rows. Many
+    questions are many matrices; postings.search has a written index for these.
     """
     idf = weights(chunks) if idf is None else idf
     wanted = question_tokens(questions).join(idf, "tok")
+    # one row a question and known token, read by several jobs
+    wanted = settled(wanted.select("qid", "tok", "qtf", "idf", *(["avgdl"] if "avgdl" in idf.columns else [])))
     ids = questions.select("qid").distinct()
     kind = questions.schema["qid"].dataType.simpleString()
     key = ["doc_id", "start", "end"]
     parts = max(1, -(-8 * wanted.select("tok").distinct().count() * ids.count() // MATRIX_BYTES))
-    avgdl = corpus_size(chunks).first()["avgdl"] or 1.0
+    known = wanted.select("avgdl").first() if "avgdl" in idf.columns else corpus_size(chunks).first()
+    avgdl = known["avgdl"] or 1.0 if known else 1.0  # without a known token no length counts
     qid_type = to_arrow_type(questions.schema["qid"].dataType)
     schema = f"qid {kind}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, start long, end long, score double"
-    slim = tokened(chunks).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "toks")
     scored = chunks.limit(0).select(F.lit(None).cast(kind).alias("qid"), *key, F.lit(0.0).alias("score"))
     for part in range(parts):
         own = F.pmod(F.xxhash64("qid"), F.lit(parts)) == part
         qids = [r.qid for r in ids.where(own).orderBy("qid").collect()]
         if qids:
-            found = slim.mapInArrow(_scorer(qids, wanted.where(own).collect(), qid_type, avgdl, k, zero_fill, k1, b), schema)
+            found = slim(chunks).mapInArrow(_scorer(qids, wanted.where(own).collect(), qid_type, avgdl, k, zero_fill, k1, b), schema)
             scored = found if parts == 1 else scored.unionByName(found)
     # adding 0 turns a negative zero into zero
     scored = scored.withColumn("score", F.round("score", 9) + F.lit(0.0))
     return top(scored, k, F.col("score").desc(), F.col("doc_id"), F.col("start"), F.col("end")).select("qid", "rank", *key, "score")
 
 
+def firsts(q: np.ndarray, order: list[np.ndarray], k: int) -> np.ndarray:
+    """Positions of the first k of each q in the order of these columns, the most important last, as in lexsort."""
+    at = np.lexsort((*order, q))
+    new = np.concatenate([[True], q[at][1:] != q[at][:-1]]) if len(at) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    return at[np.arange(len(at)) - begin[np.cumsum(new) - 1] < k] if len(at) else at
+
+
 def _scorer(qids: list, rows: list, qid_type: pa.DataType, avgdl: float, k: int, zero_fill: bool, k1: float, b: float):
-    """The map from chunks (doc_id, start, end, toks) to the k best of each batch for each of these questions."""
+    """The map from chunks (doc_id, start, end, body) to the k best of each task for each of these questions."""
     vocabulary, key = sorted({r.tok for r in rows}), ["doc_id", "start", "end"]
     place, number = {t: j for j, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    hashed = lexical.hash_of(vocabulary)
+    order = np.argsort(hashed)
     matrix = np.zeros((len(vocabulary), len(qids)))
     for r in rows:
         matrix[place[r.tok], number[r.qid]] = r.qtf * r.idf
-    known = pa.array(vocabulary, pa.string())
+    matrix, hashed = matrix[order], hashed[order]
+
+    def cut(held: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held, [("q", "ascending"), ("score", "descending"), *((c, "ascending") for c in key)]))
+        q = held.column("q").to_numpy()
+        return held.take(pa.array(firsts(q, [np.arange(len(q))], k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in key]))
-                lists = batch.column("toks")
-                dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.float64)
-                column = pc.index_in(lists.flatten(), value_set=known)
-                row = np.repeat(np.arange(batch.num_rows), dl.astype(np.int64))
-                hit = pc.is_valid(column).to_numpy(zero_copy_only=False)
-                used, at_token = np.unique(column.filter(pa.array(hit)).to_numpy(zero_copy_only=False), return_inverse=True)
-                tf = np.bincount(row[hit] * len(used) + at_token, minlength=batch.num_rows * len(used)).reshape(batch.num_rows, -1).astype(np.float64)
-                scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix[used], 9).T
-                # rows stand in document order, so a stable sort settles ties as the final order does
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q, c = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
-                met = ((tf > 0).astype(np.float64) @ (matrix[used] != 0)).T[q, c] > 0
-                keep = np.ones(len(q), bool) if zero_fill else met
-                q, c = q[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], qid_type), *(batch.column(n).take(pa.array(c)) for n in key), pa.array(scores[q, c])], ["qid", *key, "score"])
+        held, pending, rows = None, [], 0
+        bar = np.full(len(qids), -np.inf)
+        for batch, found in lexical.parts(batches, "body"):
+            at = np.searchsorted(hashed, found.h)
+            hit = at < len(hashed)
+            hit[hit] = hashed[at[hit]] == found.h[hit]
+            used, at_token = np.unique(at[hit], return_inverse=True)
+            n, dl = batch.num_rows, found.dl.astype(np.float64)
+            tf = np.bincount(found.row[hit] * len(used) + at_token, minlength=n * len(used)).reshape(n, -1).astype(np.float64)
+            scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix[used], 9).T + 0.0
+            keep = scores >= bar[:, None]
+            if not zero_fill:
+                keep &= ((tf > 0).astype(np.float64) @ (matrix[used] != 0)).T > 0
+            q, c = np.nonzero(keep)
+            if not len(q):
+                continue
+            score = scores[q, c]
+            if len(q) > 2 * k * len(qids):  # ties go by the chunk's place
+                rank = np.empty(n, np.int64)
+                rank[pc.sort_indices(batch.select(key), [(x, "ascending") for x in key]).to_numpy()] = np.arange(n)
+                best = firsts(q, [rank[c], -score], k)
+                q, c, score = q[best], c[best], score[best]
+            pending.append(pa.table({"q": pa.array(q), **{x: batch.column(x).take(pa.array(c)) for x in key}, "score": pa.array(score)}))
+            rows += len(q)
+            if rows > k * len(qids):
+                held, pending, rows = cut(pa.concat_tables([*([held] if held else []), *pending])), [], 0
+                full, last = np.bincount(held.column("q").to_numpy(), minlength=len(qids)), held.column("score").to_numpy()
+                ends = np.cumsum(full) - 1
+                bar = np.where(full == k, last[np.maximum(ends, 0)], -np.inf)
+        if held or pending:
+            held = cut(pa.concat_tables([*([held] if held else []), *pending]))
+            names = pa.array(qids, qid_type).take(held.column("q").combine_chunks())
+            yield pa.RecordBatch.from_arrays([names, *(held.column(x).combine_chunks() for x in (*key, "score"))], ["qid", *key, "score"])
 
     return run
 

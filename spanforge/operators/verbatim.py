@@ -1,8 +1,8 @@
 """Finding many verbatim texts in many documents: rolling fingerprints of short byte windows, rarest window first.
 
-A few windows of each quote are fingerprinted. One map over the documents counts in how many each window stands, and the rarest
-becomes the quote's anchor; a second map keeps the documents that hold an anchor, an equi-join on fingerprints names the quotes,
-and only those pairs are searched. Maps carry a Bloom filter of bounded size in place of the quotes, so quotes of any number and
+A few windows of each quote are fingerprinted. One map over the documents writes which of them stand in which, the rarest becomes
+the quote's anchor, an equi-join of ids on the anchors' fingerprints names quotes and documents, and only those pairs are searched.
+The map carries a Bloom filter of bounded size in place of the quotes, so quotes of any number and
 length take the same plan: there is no join without keys, and nothing that grows with quotes or documents reaches the driver.
 """
 
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.lexical import powers
 from spanforge.session import settled
 
 #: Bytes of a window: a quote takes the largest that it can hold. Windows of a quote that are weighed against each other.
@@ -31,20 +32,14 @@ _P = 0x9E3779B97F4A7C15
 _BACK = pow(_P, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def fingerprints(raw: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit fingerprint of the ``width`` bytes from each position on: differences of one polynomial's prefix sums."""
     n = len(raw) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(raw)), out=sums[1:])
-    h = (sums[width:] - sums[:n]) * _powers(_BACK, n)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_P, len(raw)), out=sums[1:])
+    h = (sums[width:] - sums[:n]) * powers(_BACK, n)
     h = (h ^ (h >> np.uint64(29)) ^ np.uint64(width)) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -82,6 +77,8 @@ class Filter:
 
     def __init__(self, marks: np.ndarray, widths: list[int]):
         self.marks, self.widths = marks, widths
+        # a small filter is looked at first as one byte a bit
+        self.flags = np.unpackbits(marks.astype("<u4").view(np.uint8), bitorder="little").astype(bool) if len(marks) <= 1 << 19 else None
 
     @classmethod
     def of(cls, found: DataFrame) -> Filter:
@@ -101,7 +98,8 @@ class Filter:
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
         """Positions of fingerprints that pass."""
-        bits, at = 32 * len(self.marks), np.arange(len(h))
+        bits = 32 * len(self.marks)
+        at = np.arange(len(h)) if self.flags is None else np.flatnonzero(self.flags[h & np.uint64(bits - 1)])
         for spots in _places(h, bits):
             spots = spots[at]
             at = at[(self.marks[spots >> np.uint64(5)] >> (spots & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0]
@@ -124,6 +122,18 @@ def hits(texts: pa.Array, keep: Filter) -> tuple[np.ndarray, np.ndarray]:
     return both[0].astype(np.int64), both[1].view(np.int64)
 
 
+def found_windows(docs: DataFrame, keep: Filter, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, fp): the fingerprints that pass, each once a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, fps = hits(batch.column("t"), keep)
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(rows)), pa.array(fps, pa.int64())], [doc, "fp"])
+
+    slim = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    return slim.mapInArrow(run, f"`{doc}` {slim.schema['d'].dataType.simpleString()}, fp long")
+
+
 def document_counts(docs: DataFrame, keep: Filter, text: str = "text") -> DataFrame:
     """(fp, n): in how many documents each fingerprint that passes stands."""
 
@@ -135,27 +145,29 @@ def document_counts(docs: DataFrame, keep: Filter, text: str = "text") -> DataFr
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
 
 
-def anchors(quotes: DataFrame, docs: DataFrame, ident: str = "item_id", quote: str = "quote", text: str = "text") -> DataFrame:
+def rarest(own: DataFrame, counts: DataFrame, ident: str = "item_id") -> DataFrame:
     """(ident, fp, width): of each quote the window in the fewest documents; a quote whose windows do not all stand somewhere
-    stands nowhere and has none."""
-    own = windows(quotes, ident, quote)
-    counted = own.join(document_counts(docs, Filter.of(own.select("fp", "width")), text), "fp", "left")
+    stands nowhere and has none. ``own`` are the quotes' windows, ``counts`` has (fp, n)."""
+    counted = own.join(counts, "fp", "left")
     per = counted.groupBy(ident).agg(F.min_by(F.struct("fp", "width"), F.struct("n", "fp")).alias("a"), F.bool_and(F.col("n").isNotNull()).alias("all"))
     return per.where("all").select(ident, "a.fp", "a.width")
 
 
-def holding(quotes: DataFrame, docs: DataFrame, ident: str = "item_id", quote: str = "quote", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, doc, quote, text) of pairs in which the document holds the quote, character by character."""
-    chosen = settled(anchors(quotes, docs, ident, quote, text))  # one row a quote
-    keep = Filter.of(chosen)
+def anchors(quotes: DataFrame, docs: DataFrame, ident: str = "item_id", quote: str = "quote", text: str = "text") -> DataFrame:
+    """The rarest windows of quotes in documents."""
+    own = windows(quotes, ident, quote)
+    return rarest(own, document_counts(docs, Filter.of(own.select("fp", "width")), text), ident)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, fps = hits(batch.column("t"), keep)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(fps, pa.int64())], ["d", "t", "fp"])
 
-    slim = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
-    found = slim.mapInArrow(run, f"d {slim.schema['d'].dataType.simpleString()}, t string, fp long")
-    named = chosen.select(ident, "fp").join(quotes.select(ident, quote), ident)
-    return found.join(named, "fp").where(F.contains("t", quote)).select(ident, F.col("d").alias(doc), quote, F.col("t").alias(text))
+def holding(quotes: DataFrame, docs: DataFrame, ident: str = "item_id", quote: str = "quote", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, doc, quote, text) of pairs in which the document holds the quote, character by character.
+
+    What meets by fingerprint are ids, so a window that stands in many documents is no heap of texts in one task; texts then go by
+    their own ids.
+    """
+    own = settled(windows(quotes, ident, quote))
+    found = settled(found_windows(docs, Filter.of(own), doc, text))
+    chosen = settled(rarest(own, found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), ident))  # one row a quote
+    pairs = found.join(chosen.select(ident, "fp"), "fp").select(ident, F.col(doc).alias("_d")).distinct()
+    pairs = settled(pairs.join(quotes.select(ident, quote), ident))
+    return docs.join(pairs, F.col(doc).eqNullSafe(F.col("_d"))).where(F.contains(F.col(text).cast("string"), quote)).select(ident, F.col(doc).alias(doc), quote, F.col(text).cast("string").alias(text))
