@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,18 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def written_once(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows, written to the shared folder for as long as the block runs: what is made of them inside has to be settled there."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(schema).parquet(path)
+    finally:
+        _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
