@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.operators.order import ranged
+
 #: A question file: an array of items.
 QA_SCHEMA = "id string, question string, answer string, quotes array<struct<doc:string,quote:string,occurrence:int>>, tags array<string>"
 #: A run manifest, as far as rankings read it.
@@ -19,10 +24,6 @@ RUN_SCHEMA = (
 )
 
 
-#: Bytes of ids and texts that ``fingerprint`` takes: half of what one value may hold.
-FINGERPRINT_BYTES = 1 << 30
-
-
 @dataclass(frozen=True)
 class Corpus:
     """A named folder of texts."""
@@ -64,16 +65,25 @@ def load_corpus(spark: SparkSession, registry: dict[str, Corpus], name: str) ->
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(fingerprint, n): 16 hex digits over ids and texts in id order.
+    """(fingerprint, n): 16 hex digits over ids and texts in the order of ids as text, then of texts.
 
-    The digest of a concatenation has no parts that could be computed apart, so the whole corpus passes through one row: over
-    ``FINGERPRINT_BYTES`` of text this fails with a message; ``wide_fingerprint`` has no such bound.
+    The digest of a concatenation has no parts that could be computed apart, so one task hashes all rows; it holds one batch at a
+    time, however large the corpus is. Rows come to it sorted, from ranges that many tasks have sorted. ``wide_fingerprint`` is
+    dealt over tasks throughout.
     """
-    size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length(F.col("doc_id").cast("string")))
-    checked = docs.agg(size.alias("size")).select(F.when(F.col("size") > FINGERPRINT_BYTES, F.raise_error(F.lit("corpus too large for fingerprint; use wide_fingerprint"))).otherwise(F.lit(True)).cast("boolean").alias("fits"))
-    docs = docs.crossJoin(F.broadcast(checked)).where("fits")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["i"], x["t"])), "")
-    return docs.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    rows, place = ranged(docs.select(F.col("doc_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")), "i", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for row in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if row[0] is not None:  # a row without an id counts, as in the SQL, but gives nothing to the digest
+                    digest.update("".join(row).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:16] if n else None], pa.string()), pa.array([n], pa.int64())], ["fingerprint", "n"])
+
+    # one partition sorted by place: written ranges are merged from disk, none is held whole
+    return rows.repartition(1).sortWithinPartitions(place).select("i", "t").mapInArrow(run, "fingerprint string, n long")
 
 
 def wide_fingerprint(docs: DataFrame) -> DataFrame:
