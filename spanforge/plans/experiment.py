@@ -14,9 +14,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions import text
 from spanforge.operators import alignment, chunking, retrieval
 from spanforge.operators.metrics import KS, TAUS, metric_cube
+from spanforge.session import settled
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,7 @@ class Experiment:
     _chunks: dict[str, DataFrame] = field(default_factory=dict)
     _idf: dict[str, DataFrame] = field(default_factory=dict)
     _pools: dict[tuple, DataFrame] = field(default_factory=dict)
+    _bodies: dict[tuple, DataFrame] = field(default_factory=dict)
     ranked: DataFrame | None = None
     configs: tuple[Config, ...] = ()
     build_seconds: dict[str, float] = field(default_factory=dict)
@@ -61,14 +62,14 @@ class Experiment:
     def chunks(self, config: Config) -> DataFrame:
         if config.chunk_id not in self._chunks:
             built = chunking.build_chunks(self.docs, config.chunker, **config.params)
-            distinct = retrieval.distinct_chunks(built)
-            self._chunks[config.chunk_id] = distinct.withColumn("toks", text.lexical_tokens(retrieval.indexed_text(distinct))).persist()
+            # fixed windows are cut anew as cheaply as they are read; the other chunkers' rows are written once
+            self._chunks[config.chunk_id] = retrieval.distinct_written(built if config.chunker == "fixed" else settled(built, "zstd"))
         return self._chunks[config.chunk_id]
 
     def idf(self, config: Config) -> DataFrame:
         """Token weights, once a chunker."""
         if config.chunk_id not in self._idf:
-            self._idf[config.chunk_id] = retrieval.weights(self.chunks(config)).persist()
+            self._idf[config.chunk_id] = retrieval.weights(self.chunks(config))
         return self._idf[config.chunk_id]
 
     def pool(self, config: Config, retriever: str) -> DataFrame:
@@ -76,9 +77,20 @@ class Experiment:
         key = (config.chunk_id, retriever)
         if key not in self._pools:
             n = max(self.k, retrieval.POOL, retrieval.RERANK_POOL)
-            self._pools[key] = retrieval.retrieve(retriever, self.chunks(config), self.questions, n, idf=self.idf(config) if retriever == "bm25" else None).persist()
+            self._pools[key] = settled(retrieval.retrieve(retriever, self.chunks(config), self.questions, n, idf=self.idf(config) if retriever == "bm25" else None))
         return self._pools[key]
 
+    def bodies(self, config: Config) -> DataFrame:
+        """The chunks that the second stage may read: those in the pools of this retriever, with their texts."""
+        key = (config.chunk_id, config.retriever)
+        if key not in self._bodies:
+            names, spans = ("dense", "bm25") if config.retriever == "hybrid" else (config.retriever,), None
+            for name in names:
+                own = self.pool(config, name).select("doc_id", "start", "end")
+                spans = own if spans is None else spans.unionByName(own)
+            self._bodies[key] = settled(self.chunks(config).join(settled(spans.distinct()), ["doc_id", "start", "end"], "left_semi"))
+        return self._bodies[key]
+
     def retrieved(self, config: Config) -> DataFrame:
         """The same rows as retrieval.retrieve, from the pools."""
         n = retrieval.RERANK_POOL if config.reranked else self.k
@@ -87,7 +99,7 @@ class Experiment:
             rows = retrieval.fuse(*pools, n)
         else:
             rows = self.pool(config, config.retriever).where(F.col("rank") <= n)
-        return retrieval.rerank(rows, self.chunks(config), self.questions, self.k) if config.reranked else rows
+        return retrieval.rerank(rows, self.bodies(config), self.questions, self.k) if config.reranked else rows
 
     def over(self, configs: tuple[Config, ...] = GRID) -> Experiment:
         """Ranks all questions under all configurations; rows carry config_id."""
@@ -95,7 +107,7 @@ class Experiment:
         for config in configs:
             rows = self.retrieved(config).withColumn("config_id", F.lit(config.config_id))
             out = rows if out is None else out.unionByName(rows)
-        self.configs, self.ranked = configs, out.persist()
+        self.configs, self.ranked = configs, settled(out)
         return self
 
     def metrics(self, ks: tuple = KS, taus: tuple = TAUS) -> DataFrame:

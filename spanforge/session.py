@@ -56,11 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
 _own_dirs: dict[str, str] = {}
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder and read back: computed once, with a known size, whoever reads them."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(schema).parquet(path)
 
