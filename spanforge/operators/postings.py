@@ -5,17 +5,22 @@ range as packed arrays, and the largest part of a score that any of them can giv
 and range, which reads no postings, and scores the few ranges with the highest bounds; the k-th best score so far is what a range's
 bound has to reach to be read at all. Results are those of scoring everything.
 
-A block is at most ``RANGE`` postings and a token has one a range, so a common token is many keys. Blocks lie in buckets by
+A block is at most ``RANGE`` postings, those of one batch of chunks, so a common token is many keys; where a range falls into several
+batches its bound is the sum of theirs, which only reads more. Blocks lie in buckets by
 token, and only the buckets and row groups of asked tokens are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import lexical, text
 from spanforge.operators import retrieval
 from spanforge.operators.order import with_positions
 from spanforge.session import settled
@@ -61,22 +66,45 @@ class Index:
 def write(chunks: DataFrame, root: str, k1: float = retrieval.K1, b: float = retrieval.B, width: int = RANGE) -> Index:
     """Writes the index of chunks (doc_id, start, end, chunk_text or toks) into a new folder."""
     spark = chunks.sparkSession
-    toks = retrieval.tokened(chunks)
-    stats = retrieval.corpus_size(chunks).first()
-    avgdl = stats["avgdl"] or 1.0
-    retrieval.weights(chunks).write.parquet(f"{root}/terms")
-    numbered = with_positions(toks, "doc_id", "start", "end", out="cid", first=0)
-    numbered.select("cid", "doc_id", "start", "end", F.size("toks").alias("dl")).write.parquet(f"{root}/chunks")
-    each = numbered.select("cid", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).groupBy("tok", "cid", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    posting = F.struct((F.col("cid") % width).cast("int").alias("at"), "tf", "dl")
-    packed = each.groupBy("tok", F.floor(F.col("cid") / width).alias("range")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(part).alias("most"), F.array_sort(F.collect_list(posting)).alias("p"))
-    out = packed.select(F.pmod(F.hash("tok"), F.lit(BUCKETS)).alias("bucket"), "tok", "range", "n", "most", F.col("p.at").alias("at"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+    terms = retrieval.weights(chunks)
+    stats = terms.select("n", "avgdl").first()
+    n, avgdl = (stats["n"], stats["avgdl"] or 1.0) if stats else (retrieval.corpus_size(chunks).first()["n"], 1.0)
+    terms.select("tok", "df", "idf").write.parquet(f"{root}/terms")
+    numbered = with_positions(retrieval.slim(chunks), "doc_id", "start", "end", out="cid", first=0)
+    lengths = "toks" in chunks.columns
+    numbered.select("cid", "doc_id", "start", "end", F.size("body" if lengths else text.lexical_tokens(F.col("body"))).alias("dl")).write.parquet(f"{root}/chunks")
+    packed = numbered.select("cid", "body").mapInArrow(_packer(float(avgdl), k1, b, width), "tok string, range long, n int, most double, at array<int>, tf array<int>, dl array<int>")
+    out = packed.select(F.pmod(F.hash("tok"), F.lit(BUCKETS)).alias("bucket"), "tok", "range", "n", "most", "at", "tf", "dl")
     out.repartition("bucket", "range").sortWithinPartitions("bucket", "tok", "range").write.partitionBy("bucket").parquet(f"{root}/blocks")
-    spark.createDataFrame([(stats["n"], float(avgdl), k1, b, width)], "n long, avgdl double, k1 double, b double, width int").coalesce(1).write.parquet(f"{root}/about")
+    spark.createDataFrame([(n, float(avgdl), k1, b, width)], "n long, avgdl double, k1 double, b double, width int").coalesce(1).write.parquet(f"{root}/about")
     return Index(spark, root, k1, b)
 
 
+def _packer(avgdl: float, k1: float, b: float, width: int):
+    """The map from numbered chunks (cid, body) to blocks, those of one batch: no posting becomes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in lexical.parts(batches, "body", RANGE):
+            cid = batch.column("cid").to_numpy()[found.row]
+            order = np.lexsort((cid, found.h))
+            h, cid, row = found.h[order], cid[order], found.row[order]
+            changes = lambda *keys: np.flatnonzero(np.logical_or.reduce([np.concatenate([[True], k[1:] != k[:-1]]) for k in keys])) if len(h) else np.zeros(0, np.int64)
+            each = changes(h, cid)
+            tf, dl, range_ = np.diff(np.append(each, len(h))), found.dl[row[each]], cid[each] // width
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            begin = np.searchsorted(each, changes(h, cid // width))
+            if not len(begin):
+                continue
+            edges = pa.array(np.append(begin, len(each)), pa.int32())
+            listed = lambda x: pa.ListArray.from_arrays(edges, pa.array(x, pa.int32()))
+            one = order[each[begin]]
+            tok = [bytes(found.raw[x:y]).decode() for x, y in zip(found.start[one], found.end[one], strict=True)]
+            columns = [pa.array(tok, pa.string()), pa.array(range_[begin], pa.int64()), pa.array(np.diff(np.append(begin, len(each))), pa.int32()), pa.array(np.maximum.reduceat(part, begin))]
+            yield pa.RecordBatch.from_arrays([*columns, listed(cid[each] % width), listed(tf), listed(dl)], ["tok", "range", "n", "most", "at", "tf", "dl"])
+
+    return run
+
+
 def opened(spark: SparkSession, root: str) -> Index:
     about = spark.read.parquet(f"{root}/about").first()
     return Index(spark, root, about.k1, about.b)

@@ -50,3 +50,13 @@ def test_what_meets_by_fingerprint_are_ids(spark):
     keep = verbatim.Filter.of(verbatim.windows(quotes).select("fp", "width"))
     assert verbatim.found_windows(docs, keep).columns == ["doc_id", "fp"]
     assert sorted(r.doc_id for r in verbatim.holding(quotes, docs).collect()) == list(range(40))
+
+
+def test_index_blocks_come_packed():
+    """No posting becomes a row on its way into the written index."""
+    from spanforge.operators import postings
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(["a b a", "a", "", "b", "a", "a a"])], ["cid", "body"])
+    out = pa.Table.from_batches(postings._packer(2.0, 1.5, 0.75, 4)(iter([batch]))).to_pylist()
+    got = {(r["tok"], r["range"]): (r["n"], r["at"], r["tf"], r["dl"]) for r in out}
+    assert got == {("a", 0): (2, [0, 1], [2, 1], [3, 1]), ("a", 1): (2, [0, 1], [1, 2], [1, 2]), ("b", 0): (2, [0, 3], [1, 1], [3, 1])}
