@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 #: Units of a direction, bytes of a training row, rows of a batch, steps.
 UNITS, WINDOW, BATCH, STEPS = 12, 40, 192, 260
 #: When predicting: bytes of a row, bytes read on either side of it, rows at once.
-SPAN, AROUND, ROWS = 96, 8, 2048
+SPAN, AROUND, ROWS = 96, 8, 1024
 _ASCII_LETTER = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
 _LETTER = _ASCII_LETTER | (np.arange(256) >= 128)
 #: The network sees A-Z lower-cased.
@@ -79,9 +79,13 @@ class Direction:
         return grads
 
     def folded(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights for prediction: bias inside the table, gates halved so that one tanh serves as sigmoid."""
-        half = np.concatenate([np.full(2 * self.units, 0.5), np.ones(self.units)]).astype(np.float32)
-        return np.ascontiguousarray((self.w["x"] + self.w["b"]) * half), np.ascontiguousarray(self.w["u"] * half)
+        """Weights for prediction, (gate, byte) and (gate, unit and a constant 1).
+
+        A state h is kept as g = (1 + h) / 2, so that tanh is a sigmoid too; signs and factors are those of 1 / (1 + exp(x)).
+        """
+        factor = np.concatenate([np.full(2 * self.units, -1.0), np.full(self.units, -2.0)]).astype(np.float32)
+        u = np.concatenate([2 * self.w["u"], -self.w["u"].sum(0, keepdims=True)])
+        return np.ascontiguousarray(((self.w["x"] + self.w["b"]) * factor).T), np.ascontiguousarray((u * factor).T)
 
 
 class Network:
@@ -138,47 +142,55 @@ class Network:
         return smooth
 
     def frozen(self) -> Predictor:
-        return Predictor(self.languages, [side.folded() for side in self.sides], self.out["v"], self.out["c"])
+        v = self.out["v"].reshape(2, -1, len(self.languages))
+        ends = [np.concatenate([2 * own, -own.sum(0, keepdims=True)]) for own in v]
+        ends[0][-1] += self.out["c"]
+        return Predictor(self.languages, [(*side.folded(), np.ascontiguousarray(own.T)) for side, own in zip(self.sides, ends, strict=True)])
 
 
 class Predictor:
     """The trained weights, small enough to travel with a function."""
 
-    def __init__(self, languages: list[str], sides: list, v: np.ndarray, c: np.ndarray):
-        self.languages, self.sides, self.v, self.c = languages, sides, v, c
+    def __init__(self, languages: list[str], sides: list):
+        self.languages, self.sides = languages, sides
 
     @staticmethod
-    def _states(codes: np.ndarray, table: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
-        """Fills out (time, row, unit) with the states over codes (time, row)."""
-        k, n = u.shape[0], codes.shape[1]
-        h, into, rec, gates, c = np.zeros((n, k), np.float32), np.empty((n, 3 * k), np.float32), np.empty((n, 3 * k), np.float32), np.empty((n, 2 * k), np.float32), np.empty((n, k), np.float32)
+    def _add_logits(codes: np.ndarray, table: np.ndarray, u: np.ndarray, v: np.ndarray, out: np.ndarray) -> None:
+        """Adds what one direction says of codes (time, row) to out (time, language, row).
+
+        Rows are the last axis throughout, so every step is a pass over whole contiguous arrays.
+        """
+        k, n = u.shape[1] - 1, codes.shape[1]
+        state, into, rec, told = np.full((k + 1, n), 0.5, np.float32), np.empty((3 * k, n), np.float32), np.empty((3 * k, n), np.float32), np.empty((len(v), n), np.float32)
+        state[k] = 1
+        h, gates, c = state[:k], rec[: 2 * k], rec[2 * k :]
         for t in range(len(codes)):
-            np.take(table, codes[t], axis=0, out=into, mode="clip")
-            np.dot(h, u, out=rec)
-            np.add(into[:, : 2 * k], rec[:, : 2 * k], out=gates)
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            np.multiply(gates[:, k:], rec[:, 2 * k :], out=c)
-            c += into[:, 2 * k :]
-            np.tanh(c, out=c)
+            np.take(table, codes[t].astype(np.intp), axis=1, out=into, mode="clip")
+            np.dot(u, state, out=rec)
+            gates += into[: 2 * k]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
+            c *= gates[k:]
+            c += into[2 * k :]
+            np.exp(c, out=c)
+            c += 1
+            np.divide(1, c, out=c)
             h -= c
-            h *= gates[:, :k]
+            h *= gates[:k]
             h += c
-            out[t] = h
+            out[t] += np.dot(v, state, out=told)
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
-        """Probabilities (time, row, language) at every position of codes (time, row)."""
-        k = self.sides[0][1].shape[0]
-        both = np.empty((*codes.shape, 2 * k), np.float32)
-        self._states(codes, *self.sides[0], both[:, :, :k])
-        self._states(codes[::-1], *self.sides[1], both[::-1, :, k:])
-        logits = both.reshape(-1, 2 * k) @ self.v
-        logits += self.c
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits.reshape(*codes.shape, -1)
+        """Probabilities (time, language, row) at every position of codes (time, row)."""
+        p = np.zeros((len(codes), len(self.languages), codes.shape[1]), np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + inf)
+            self._add_logits(codes, *self.sides[0], p)
+            self._add_logits(codes[::-1], *self.sides[1], p[::-1])
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return p
 
     def pooled(self, raws: list[bytes]) -> np.ndarray:
         """Mean probabilities of each text's letter positions; zeros where it has none."""
@@ -197,7 +209,7 @@ class Predictor:
             codes = np.ascontiguousarray(codes.T)
             mask = _LETTER[codes].astype(np.float32)
             mask[:AROUND], mask[-AROUND:] = 0, 0
-            sums[at : at + ROWS] = np.einsum("tnc,tn->nc", self.positions(_LOWER[codes]), mask)
+            sums[at : at + ROWS] = np.einsum("tcn,tn->nc", self.positions(_LOWER[codes]), mask)
             letters[at : at + ROWS] = mask.sum(0)
         doc = np.repeat(np.arange(n), sizes)
         held = np.bincount(doc, weights=letters, minlength=n)
