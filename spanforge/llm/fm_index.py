@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from spanforge.llm import common
+
 _U = np.uint64
+#: For each place in a word: the bits before it.
+_BEFORE = (_U(1) << np.arange(64, dtype=np.uint64)) - _U(1)
+#: Searches that run side by side, few enough for their arrays to stay in a core's cache.
+TOGETHER = 1 << 13
 
 
 class BitRank:
@@ -21,8 +27,8 @@ class BitRank:
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
-        word, rest = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[word] + np.bitwise_count(self.words[word] & ((_U(1) << rest) - _U(1)))
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & _BEFORE[at & 63])
 
 
 class WaveletMatrix:
@@ -40,25 +46,37 @@ class WaveletMatrix:
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
             ones = level.rank(at)
-            at = np.where(symbol >> k & 1, level.zeros + ones, at - ones)
+            at = at - ones
+            np.copyto(at, ones + level.zeros, where=(symbol >> k & 1).astype(bool))
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before its position."""
+        """How often each symbol stands before its position; positions may have a leading axis more."""
         return self._down(symbol, at) - self.start[symbol]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a sequence of non-negative integers, by doubling the compared prefix."""
+def _ordered(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of n keys below (n + 1) ** 2, and the keys in this order."""
+    bits = n.bit_length()
+    if 3 * bits > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort(key << bits | np.arange(n))  # a key and its place in one number: plain sorting is faster than that of places
+    return both & ((1 << bits) - 1), both >> bits
+
+
+def suffix_array(text: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Order of the suffixes of a sequence of non-negative integers by their first ``most`` values at least, by all without it.
+
+    The compared prefix is doubled.
+    """
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    order, step = np.argsort(rank, kind="stable"), 1
-    while n and rank.max() < n - 1:
+    rank = text.astype(np.int64) if n and text.max() < n else np.unique(text, return_inverse=True)[1]
+    order, step = np.zeros(n, np.int64), 1
+    while n and (step == 1 or rank.max() < n - 1 and (most is None or step < most)):
         after = np.zeros(n, np.int64)
         after[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        ordered = key[order]
+        order, ordered = _ordered(rank * (n + 1) + after, n)
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         step *= 2
@@ -66,9 +84,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index over several sequences of codes 0 .. symbols - 1; each ends in a separator of its own."""
+    """Index over several sequences of codes 0 .. symbols - 1; each ends in a separator of its own.
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray, symbols: int):
+    With ``most``, suffixes are in order by that many codes only: enough for sequences up to this length, whose rows are the
+    same then, as a search by one more code counts rows and does not ask for the order inside them.
+    """
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, symbols: int, most: int | None = None):
         m = len(lengths)
         self.sequence = np.repeat(np.arange(m), lengths + 1)
         self.starts = np.cumsum(lengths + 1) - (lengths + 1)
@@ -77,7 +99,7 @@ class FMIndex:
         word[ends] = False
         text = np.empty(len(codes) + m, np.int64)
         text[word], text[ends] = codes + m, np.arange(m)
-        self.order = suffix_array(text)
+        self.order = suffix_array(text, most)
         self.text = np.where(word, text - m + 1, 0)  # separators are one symbol, 0, which no search extends by
         self.tree = WaveletMatrix(self.text[self.order - 1], symbols + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=symbols + 1))])
@@ -85,7 +107,8 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose suffixes begin with the symbol (shifted by one) followed by those of [low, high)."""
-        return self.first[symbol] + self.tree.rank(symbol, low), self.first[symbol] + self.tree.rank(symbol, high)
+        low, high = self.first[symbol] + self.tree.rank(symbol, np.stack([low, high]))
+        return low, high
 
     def statistics(self, codes: np.ndarray, ends: np.ndarray, most: int, once: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For a streamed sequence: at each end, the longest match ending there, up to ``most``, and its rows [low, high).
@@ -93,21 +116,45 @@ class FMIndex:
         A search stops where no more than ``once`` rows are left: with 1, a sequence that is itself in the index is
         followed only as far as it occurs elsewhere too. Codes outside the index are negative.
         """
-        n = len(ends)
-        length, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, len(self.text))
-        alive = np.arange(n)
+        length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text))
+        for a in range(0, len(ends), TOGETHER):
+            part = slice(a, a + TOGETHER)
+            self._statistics(codes, ends[part], most, once, length[part], low[part], high[part])
+        return length, low, high
+
+    def rows_of(self, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the ``size`` codes of the index itself up to each end: whether they stand at two places or more, and their rows.
+
+        Places with one hash are searched once, by the first of them; a place that is not among the rows found has other codes
+        and a search of its own.
+        """
+        begins = ends - (size - 1)
+        _, lead, of = np.unique(common.grams(common.mixed(self.text.astype(np.uint64)), size)[begins], return_index=True, return_inverse=True)
+        length, low, high = (x[of] for x in self.statistics(self.text - 1, ends[lead], size, once=1))
+        row = np.empty(len(self.text), np.int64)
+        row[self.order] = np.arange(len(row))
+        found = (length == size) & (low <= row[begins]) & (row[begins] < high)
+        own = ~found
+        own[lead] = False
+        length, low[own], high[own] = self.statistics(self.text - 1, ends[own], size, once=1)
+        found[own] = length == size
+        return found, low, high
+
+    def _statistics(self, codes: np.ndarray, ends: np.ndarray, most: int, once: int, length: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Fills length, low and high."""
+        alive = np.arange(len(ends))
         for k in range(most):
             at = ends[alive] - k
             symbol = np.where(at >= 0, codes[np.maximum(at, 0)], -1) + 1
             fine = (symbol > 0) & (symbol < len(self.first) - 1)
             alive, symbol = alive[fine], symbol[fine]
-            a, b = self.extend(symbol, low[alive], high[alive])
+            # the empty sequence has all rows, so the first code needs no search
+            a, b = self.extend(symbol, low[alive], high[alive]) if k else (self.first[symbol], self.first[symbol + 1])
             more = b - a > once
             alive = alive[more]
             low[alive], high[alive], length[alive] = a[more], b[more], k + 1
             if not len(alive):
                 break
-        return length, low, high
 
 
 def least_in_rows(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -29,6 +29,14 @@ WINDOW, GRAM, PART_KEYS, SHARD_CHARS = 20, 8, 1_000_000, 4 << 20
 _U = np.uint64
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values, from those of half the width."""
+    got, size = x, 1
+    while 2 * size <= width:
+        got, size = np.minimum(got[:-size], got[size:]), 2 * size
+    return np.minimum(got[: len(x) - width + 1], got[width - size :])
+
+
 def segments(flat: pa.Array, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Runs of windows with one minimiser: key, text, first word (in flat), windows, and whether it stands at two places."""
     empty = {k: np.zeros(0, t) for k, t in (("key", np.uint64), ("doc", np.int64), ("at", np.int64), ("windows", np.int64), ("twice", bool))}
@@ -42,16 +50,13 @@ def segments(flat: pa.Array, counts: np.ndarray, window: int = WINDOW, gram: int
     real = np.flatnonzero(doc[: total - window + 1] == doc[window - 1 :])
     if not len(real):
         return empty
-    place = np.empty(len(view), np.int64)
-    for a in range(0, len(view), 1 << 18):
-        place[a : a + (1 << 18)] = view[a : a + (1 << 18)].argmin(1)
-    key = kg[np.arange(len(view)) + place]
+    key = _least(kg, window - gram + 1)
     new = np.ones(len(real), bool)
     new[1:] = (key[real[1:]] != key[real[:-1]]) | (real[1:] != real[:-1] + 1) | (doc[real[1:]] != doc[real[:-1]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(real)) - 1
     # two places: the first window's leftmost minimum is not the last window's rightmost one
-    left = real[first] + place[real[first]]
+    left = real[first] + view[real[first]].argmin(1)
     right = real[last] + (window - gram) - view[real[last]][:, ::-1].argmin(1)
     return {"key": key[real[first]], "doc": doc[real[first]], "at": real[first], "windows": last - first + 1, "twice": left != right}
 
@@ -73,10 +78,18 @@ def _ask(parts: int):
 
 def _repeated(table: pa.Table) -> pa.Table:
     """One part: tells each block which of its minimisers stand at two places or more."""
-    asked = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-    ordered = np.sort(np.concatenate(asked))
+    lists = table.column("keys").to_pylist()
+    asked = np.frombuffer(b"".join(lists), "<u4")
+    ordered = np.sort(asked)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    told = [np.intersect1d(x, again).astype("<u4").tobytes() for x in asked]
+    ends = np.cumsum([len(x) // 4 for x in lists])
+    # all blocks at once: what a block costs is its own keys, however many others there are
+    hit = again[np.minimum(np.searchsorted(again, asked), len(again) - 1)] == asked if len(again) else np.zeros(len(asked), bool)
+    new = np.ones(len(asked), bool)
+    new[1:] = asked[1:] != asked[:-1]
+    new[ends[:-1]] = True  # no list of a block is empty
+    held = np.concatenate([[0], np.cumsum(hit & new)])[ends]
+    told = [x.tobytes() for x in np.split(asked[hit & new], held[:-1])]
     return pa.table({"block": table.column("block"), "part": table.column("part"), "keys": pa.array(told, pa.binary())})
 
 
@@ -112,12 +125,11 @@ def _first_windows(table: pa.Table) -> pa.Table:
     flat, lengths = common.words(common.filled(table.column("segment")))
     codes, vocabulary = common.coded(flat)
     codes = codes.astype(np.int64)
-    index = FMIndex(codes, lengths, len(vocabulary))
+    index = FMIndex(codes, lengths, len(vocabulary), WINDOW)
     in_text = np.flatnonzero(index.text > 0)
     offset = np.arange(len(index.text)) - index.starts[index.sequence]
     ends = in_text[offset[in_text] >= WINDOW - 1]
-    length, low, high = index.statistics(index.text - 1, ends, WINDOW, once=1)
-    hit = length == WINDOW
+    hit, low, high = index.rows_of(ends, WINDOW)
     # order of all places by (id, start)
     ids = table.column("doc_id")
     nth_id = np.empty(len(ids), np.int64)

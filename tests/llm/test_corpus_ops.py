@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,6 +138,43 @@ def test_fm_index_counts_and_statistics():
     assert suffix_array(np.array([2, 1, 2, 1, 0])).tolist() == [4, 3, 1, 2, 0]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_places_of_equal_windows_share_one_search(monkeypatch, collide):
+    """Against all windows; also where every window has one hash."""
+    if collide:
+        monkeypatch.setattr(common, "grams", lambda h, n: np.zeros(len(h) - n + 1, np.uint64))
+    rng = np.random.default_rng(4)
+    lengths = np.array([60, 3, 40, 0, 80])
+    codes = rng.integers(0, 3, lengths.sum())
+    codes[-40:] = codes[:40]
+    index = FMIndex(codes, lengths, 3, 4)
+    ends = np.concatenate([s + np.arange(3, n) for s, n in zip(index.starts, lengths, strict=True) if n > 3])
+    found, low, high = index.rows_of(ends, 4)
+    at = defaultdict(set)
+    for e in ends:
+        at[tuple(index.text[e - 3 : e + 1])].add(e - 3)
+    for e, f, a, b in zip(ends, found, low, high, strict=True):
+        same = at[tuple(index.text[e - 3 : e + 1])]
+        assert f == (len(same) > 1) and (not f or set(index.order[a:b]) == same)
+
+
+def test_repeated_minimisers_cost_what_a_block_asks():
+    """As many keys in fifty times the blocks take about as long, not fifty times."""
+    keys = np.random.default_rng(5).integers(0, 60_000, 200_000).astype("<u4")
+
+    def seconds(blocks):
+        lists = [np.sort(x).tobytes() for x in np.split(keys, blocks)]
+        table = pa.table({"part": pa.array([0] * blocks, pa.int32()), "block": pa.array(range(blocks), pa.int32()), "keys": pa.array(lists, pa.binary())})
+        began = time.thread_time()
+        got = substrings._repeated(table)
+        took = time.thread_time() - began
+        again = np.flatnonzero(np.bincount(keys) > 1)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got.column("keys").to_pylist()] == [np.intersect1d(np.frombuffer(x, "<u4"), again).tolist() for x in lists]
+        return took
+
+    assert seconds(1000) < 5 * seconds(20) + 0.2
+
+
 def ctw_brute(train, text, depth=ctw.DEPTH):
     """The definition, by recursion over dictionaries."""
     counts = defaultdict(lambda: [0, 0])
