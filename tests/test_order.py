@@ -88,3 +88,26 @@ def test_poisson_parts_merge(spark):
     df = spark.range(3000).select(F.lit("a").alias("config"), F.col("id").alias("qid"), (F.col("id") % 7).cast("double").alias("v"))
     results = {tuple(metrics.poisson_bootstrap(df.repartition(n), "v", ("config",), 40).first()) for n in (1, 3, 8)}
     assert len(results) == 1
+
+
+def test_a_range_hands_on_k_rows_a_question(spark, tmp_path, monkeypatch):
+    """No pair of a posting and a question becomes a row, texts are not exchanged, and slices of questions and tokens score the same."""
+    rows = [(n % 7, n, n + 1, " ".join(f"c{j}" for j in range(12) if (n * 31 + j * 17) % (j + 2) < 2)) for n in range(300)]
+    chunks = spark.createDataFrame(rows, "doc_id long, start long, end long, chunk_text string").repartition(3)
+    questions = spark.createDataFrame([(q, " ".join(f"c{(q + j) % 12}" for j in range(5))) for q in range(9)], "qid long, question string")
+    index = postings.write(chunks, f"{tmp_path}/index", width=32)
+    assert index.held.count() >= 10 and sorted(map(tuple, index.keys.select("doc_id", "start").collect())) == sorted((r[0], r[1]) for r in rows)
+    found = postings.search(index, questions, 4, first=1)
+    want = [tuple(r) for r in retrieval.bm25(chunks, questions, 4).orderBy("qid", "rank").collect()]
+    assert [tuple(r) for r in found.ranked.orderBy("qid", "rank").collect()] == want
+    asked, avgdl = postings._asked(index, questions), spark.read.parquet(f"{index.root}/about").first().avgdl
+    scored = postings._scored(index, found.bounds.select("qid", "range"), asked, avgdl, 4)
+    assert 0 < scored.count() <= 4 * found.bounds.count() < index.blocks.agg(F.sum("n")).first()[0]
+    one = index.held.select("range").first()[0]
+    blocks = index.blocks.where(F.col("range") == one).select("tok", "at", "tf", "dl", *[F.expr(f"cast(null as array<long>) as {c}") for c in ("doc_id", "start", "end")])
+    blocks = blocks.unionByName(index.held.where(F.col("range") == one).selectExpr("cast(null as string) as tok", "cast(null as array<int>) as at", "cast(null as array<int>) as tf", "dl", "doc_id", "start", "end")).toArrow()
+    own = asked.withColumn("w", F.col("w") - 1.0).groupBy("qid").agg(F.collect_list(F.struct("tok", "w")).alias("t")).selectExpr("qid", "t.tok as toks", "t.w as ws", "cast(null as double) as floor").toArrow()
+    whole = postings._ranker(avgdl, 1.5, 0.75, 3)(blocks, own).to_pylist()
+    monkeypatch.setattr(postings, "ASKED", 2)
+    monkeypatch.setattr(postings, "TOKENS", 3)
+    assert postings._ranker(avgdl, 1.5, 0.75, 3)(blocks, own).to_pylist() == whole and len(whole) == 27
