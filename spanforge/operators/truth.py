@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions import text
-from spanforge.operators import verbatim
+from spanforge.functions import splitters, text
+from spanforge.operators import chunking, verbatim
 
 #: Least characters of a quote; line starts that mark structure, not prose.
 MIN_QUOTE = 25
 SKIP_PREFIX = ("#", "|", "!!!", "///", "```", "~~~", "CHAPTER", "SECTION", "BOOK", "PART", "FOOTNOTE", "Appendices", "* * *", "---", "===")
-#: What parts paragraphs.
-GAP = r"\n[ \t]*\n"
 
 
 def resolve_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -82,41 +81,35 @@ def truth_stats(truth: DataFrame) -> DataFrame:
     return middle.crossJoin(truth.agg(F.countDistinct("doc_id").alias("n_docs"))).crossJoin(per.agg(F.count_if(F.col("c") > 1).alias("n_multi")))
 
 
-def passages(docs: DataFrame, low: int = 300, high: int = 700, blocks: int = 3) -> DataFrame:
+def passages(docs: DataFrame, low: int = 300, high: int = 700, blocks: int = 3, counted: bool = False) -> DataFrame:
     """(doc_id, start, end, passage): runs of one to three neighbouring paragraphs that read as prose evidence.
 
-    A paragraph that begins with a fence opens or closes one and is dropped with all inside; so are structural ones.
+    A paragraph that begins with a fence opens or closes one and is dropped with all inside; so are structural ones. One map over
+    the documents: no text is exchanged, and only runs of the right size become rows. With ``counted``, ``times`` says how often the
+    document holds the passage.
     """
-    # the gaps' own lengths keep the offsets exact
-    raw = docs.select("doc_id", "text", F.split("text", GAP, -1).alias("parts"), F.regexp_extract_all("text", F.lit(GAP), F.lit(0)).alias("gaps"))
-    rows = raw.select("doc_id", "text", "gaps", F.posexplode("parts").alias("ix", "part"))
-    w = Window.partitionBy("doc_id").orderBy("ix")
-    before = F.coalesce(F.sum(F.length("part") + F.coalesce(F.length(F.get("gaps", F.col("ix"))), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    body = text.strip(F.col("part"))
-    rows = rows.select("doc_id", "text", "ix", "part", before.alias("at"), body.alias("body"))
-    fence = F.col("body").startswith("```") | F.col("body").startswith("~~~")
-    rows = rows.withColumn("fence", fence).withColumn("open", F.sum(F.col("fence").cast("int")).over(w) % 2)
-    prose = (F.col("body") != "") & ~F.col("fence") & (F.col("open") == 0)
-    for prefix in SKIP_PREFIX:
-        prose = prose & ~F.col("body").startswith(prefix)
-    lead = F.length("part") - F.length(F.regexp_replace("part", r"(?U)^\s+", ""))
-    kept = rows.where(prose).select("doc_id", "text", (F.col("at") + lead).alias("a"), (F.col("at") + lead + F.length("body")).alias("b"), F.row_number().over(w).alias("nth"))
-    reach = Window.partitionBy("doc_id").orderBy("nth")
-    ends = kept.select("doc_id", "text", "a", F.array(*[F.lead("b", k).over(reach) if k else F.col("b") for k in range(blocks)]).alias("ends"))
-    spans = ends.select("doc_id", "text", "a", F.explode("ends").alias("b")).where("b IS NOT NULL")
-    spans = spans.select("doc_id", F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end"), F.expr("substring(text, cast(a as int) + 1, cast(b - a as int))").alias("passage"))
-    size, p = F.length("passage"), F.col("passage")
+
+    def cut(body: str) -> list[tuple]:
+        runs = splitters.paragraph_runs(body, low, high, blocks, SKIP_PREFIX)
+        return [(a, b, body.count(body[a:b])) for a, b in runs] if counted else runs
+
+    spans = chunking._mapped(docs, cut, [("times", "long", pa.int64())] if counted else []).withColumnRenamed("chunk_text", "passage")
+    p = F.col("passage")
     bullets = F.size(F.filter(F.split(p, "\n"), lambda line: text.strip(line).startswith("*") | text.strip(line).startswith("-")))
     ends_ = F.regexp_count(p, F.lit(r"[.!?][\"')\]]*(\s|$)"))
     first = F.substring(p, 1, 1)
-    return spans.where((size > low) & (size < high) & ((ends_ >= 2) | (bullets >= 3)) & ((first != F.lower(first)) | (bullets >= 3)))
+    return spans.where(((ends_ >= 2) | (bullets >= 3)) & ((first != F.lower(first)) | (bullets >= 3)))
 
 
 def sampled_passages(candidates: DataFrame, docs: DataFrame, used_docs: DataFrame, used_quotes: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """One unused passage a document, from documents in a hashed order; only passages that their document holds once."""
-    fresh = candidates.join(used_docs.select("doc_id").distinct(), "doc_id", "left_anti").join(used_quotes.select(F.col("quote").alias("passage")).distinct(), "passage", "left_anti")
-    joined = fresh.join(docs.select("doc_id", "text"), "doc_id")
-    once = joined.where((F.length("text") - F.length(F.replace(F.col("text"), F.col("passage"), F.lit("")))) == F.length("passage"))
+    """One unused passage a document, from documents in a hashed order; only passages that their document holds once.
+
+    Candidates that are counted bring this with them; without, they are joined with their documents' texts.
+    """
+    once = candidates.where("times = 1") if "times" in candidates.columns else candidates
+    once = once.join(used_docs.select("doc_id").distinct(), "doc_id", "left_anti").join(used_quotes.select(F.col("quote").alias("passage")).distinct(), "passage", "left_anti")
+    if "times" not in candidates.columns:
+        once = once.join(docs.select("doc_id", "text"), "doc_id").where((F.length("text") - F.length(F.replace(F.col("text"), F.col("passage"), F.lit("")))) == F.length("passage"))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")))
     w = Window.partitionBy("doc_id").orderBy(draw)
     per = once.select("doc_id", "start", "end", F.row_number().over(w).alias("nth")).where("nth = 1")

@@ -420,3 +420,23 @@ def test_private_characters_keep_offsets(spark):
     got = truth.passages(docs, 10, 400).collect()
     assert got and all(body[r.start : r.end] == r.passage for r in got)
     assert [(r.start, r.end) for r in chunking.sentences(docs).orderBy("sentence_ix").collect()][-1][1] == len(body)
+
+
+def test_passages_exchange_no_text(spark):
+    """Passages are one map, and a sample of counted ones exchanges keys only; odd white space, gaps and fences keep their places."""
+    para = "A first sentence is here. Then a second one follows it closely. "
+    odd = ["", " " + para * 2 + " ", "\x1c" + para * 2, "```\n" + para, para * 2, "~~~", "# " + para, " \t" + para * 2, para + "\n\n" + para]
+    texts = ["\n \t\n".join(odd), "\n\n\n\n".join(odd[::-1]), para * 2 + "\n\n" + para * 2, "", "\n\n" + para * 3 + "\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, None)], "doc_id long, text string")
+    got = truth.passages(docs, 100, 420, counted=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan(got) for x in ("Window", "Join", "Aggregate", "Generate", "Sort"))
+    found = got.collect()
+    assert found and all(texts[r.doc_id][r.start : r.end] == r.passage and texts[r.doc_id].count(r.passage) == r.times for r in found)
+    spans = {(r.doc_id, r.start, r.end) for r in found}
+    assert {(4, 2, 2 + len(para * 3) - 1), (2, 0, len(para * 2) - 1)} <= spans and any(r.passage[0] == "A" and texts[r.doc_id][r.start - 1] == " " for r in found)
+    used, none = spark.createDataFrame([(4,)], "doc_id long"), spark.createDataFrame([], "quote string")
+    sample = truth.sampled_passages(got, docs, used, none, 5)
+    assert plan(sample).count("LeftAnti") == 2 and "Inner" not in plan(sample)
+    plain = truth.sampled_passages(truth.passages(docs, 100, 420), docs, used, none, 5)
+    assert sample.collect() == plain.collect() and {r.doc_id for r in plain.collect()} <= {0, 1, 2}
