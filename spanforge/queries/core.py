@@ -371,7 +371,7 @@ def candidate_passages(spark, sf_dir):
     SELECT doc_id, "start", "end" FROM per WHERE nth = 1 ORDER BY md5('0:' || doc_id), doc_id LIMIT 30""")
 def sampled_passages(spark, sf_dir):
     docs = paragraphs(spark, sf_dir)
-    return truth.sampled_passages(truth.passages(docs), docs, spans(spark, sf_dir), quotes(spark, sf_dir), 30)
+    return truth.sampled_passages(truth.passages(docs, counted=True), docs, spans(spark, sf_dir), quotes(spark, sf_dir), 30)
 
 
 @query(f"""WITH {TRUTH} SELECT qid, string_agg(substr(d.text, t."start" + 1, t."end" - t."start"), ' ' ORDER BY span_ix) AS evidence FROM truth t JOIN documents d USING (doc_id) GROUP BY qid""")
