@@ -27,8 +27,9 @@ def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFr
     return _mapped(docs, cut, [])
 
 
-def _mapped(docs: DataFrame, fn: Callable[[str], list[tuple]], extra: list[tuple[str, str, pa.DataType]], cut: bool = True) -> DataFrame:
-    """Runs a splitter over every text in Arrow batches; fn gives (start, end, *extra). Without ``cut`` the texts are null."""
+def _mapped(docs: DataFrame, fn: Callable, extra: list[tuple[str, str, pa.DataType]], cut: bool = True, many: bool = False) -> DataFrame:
+    """Runs a splitter over every text in Arrow batches; fn gives (start, end, *extra), of a list of texts if it takes ``many``.
+    Without ``cut`` the texts are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", "start long", "end long", "chunk_text string", *(f"{name} {sql}" for name, sql, _ in extra)])
     slim = docs.select("doc_id", "text").where(F.col("text").isNotNull())
@@ -38,8 +39,9 @@ def _mapped(docs: DataFrame, fn: Callable[[str], list[tuple]], extra: list[tuple
             for at in range(0, batch.num_rows, 256):  # bounds what one output batch holds
                 part = batch.slice(at, 256)
                 rows, which = [], []
-                for k, body in enumerate(part.column("text").to_pylist()):
-                    for a, b, *more in fn(body):
+                bodies = part.column("text").to_pylist()
+                for k, (body, spans) in enumerate(zip(bodies, fn(bodies) if many else map(fn, bodies), strict=True)):
+                    for a, b, *more in spans:
                         rows.append((a, b, body[a:b] if cut else None, *more))
                         which.append(k)
                 types = [pa.int64(), pa.int64(), pa.string(), *(t for _, _, t in extra)]
@@ -61,7 +63,7 @@ def heading_chunks(docs: DataFrame, max_size: int = 1200, min_size: int = 200, o
 
 def semantic_chunks(docs: DataFrame, percentile: float = 90.0, max_size: int = 1200, min_size: int = 200, buffer: int = 0, vectors: Callable = splitters.bag_vectors) -> DataFrame:
     """``vectors`` embeds a list of sentences; the default is the hashed bag."""
-    return _mapped(docs, lambda body: splitters.semantic_spans(body, vectors, percentile, max_size, min_size, buffer), [("n_sentences", "long", pa.int64())])
+    return _mapped(docs, lambda bodies: splitters.semantic_many(bodies, vectors, percentile, max_size, min_size, buffer), [("n_sentences", "long", pa.int64())], many=True)
 
 
 def recovered_offsets(pieces: DataFrame, docs: DataFrame, reorder: bool = False) -> DataFrame:

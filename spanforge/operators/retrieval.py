@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanforge.functions import lexical, text
+from spanforge.functions import lexical, splitters, text
 from spanforge.session import settled
 
 #: BM25 saturation and length weight; floor of negative weights as a share of the mean; fusion constant; pool sizes.
@@ -23,6 +23,8 @@ K1, B, FLOOR, RRF_K, POOL, RERANK_POOL = 1.5, 0.75, 0.25, 60, 50, 30
 QUERY_BYTES = 32 << 20
 #: Bytes of the matrix of question tokens by questions that travels with a function.
 MATRIX_BYTES = 80 << 20
+#: Questions of a token beyond which it is a column of the product that scores chunks.
+MANY = 16
 #: Bytes of query vectors that the driver holds at once.
 HELD_BYTES = 256 << 20
 
@@ -183,6 +185,35 @@ def _scorer(qids: list, rows: list, qid_type: pa.DataType, avgdl: float, k: int,
     for r in rows:
         matrix[place[r.tok], number[r.qid]] = r.qtf * r.idf
     matrix, hashed = matrix[order], hashed[order]
+    # tokens of many questions are multiplied, the others' few questions are added one by one
+    asks = matrix != 0
+    n_asked = asks.sum(1)
+    many = n_asked > MANY
+    column, dense, dense_asks = np.cumsum(many) - 1, matrix[many], asks[many].astype(np.float64)
+    few_q, few_w = np.nonzero(asks)[1], matrix[asks]
+    first = np.cumsum(n_asked) - n_asked
+
+    def scored(found: lexical.Tokens, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Of each chunk and question the score and, where that is asked for, whether they share a token."""
+        at = np.searchsorted(hashed, found.h)
+        hit = at < len(hashed)
+        hit[hit] = hashed[at[hit]] == found.h[hit]
+        pair, tf = np.unique(found.row[hit] * max(1, len(hashed)) + at[hit], return_counts=True)
+        row, tok = np.divmod(pair, max(1, len(hashed)))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * found.dl.astype(np.float64) / avgdl)[row])
+        is_many = many[tok]
+        parts = np.zeros((n, len(dense)))
+        parts[row[is_many], column[tok[is_many]]] = part[is_many]
+        row, tok, part = row[~is_many], tok[~is_many], part[~is_many]
+        times = n_asked[tok]
+        place = np.repeat(first[tok] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = np.repeat(row, times) * len(qids) + few_q[place]
+        scores = parts @ dense + np.bincount(cell, np.repeat(part, times) * few_w[place], n * len(qids)).reshape(n, -1)
+        if zero_fill:
+            return scores, None
+        shared = (parts > 0).astype(np.float64) @ dense_asks > 0
+        shared.reshape(-1)[cell] = True
+        return scores, shared
 
     def cut(held: pa.Table) -> pa.Table:
         held = held.take(pc.sort_indices(held, [("q", "ascending"), ("score", "descending"), *((c, "ascending") for c in key)]))
@@ -193,16 +224,12 @@ def _scorer(qids: list, rows: list, qid_type: pa.DataType, avgdl: float, k: int,
         held, pending, rows = None, [], 0
         bar = np.full(len(qids), -np.inf)
         for batch, found in lexical.parts(batches, "body"):
-            at = np.searchsorted(hashed, found.h)
-            hit = at < len(hashed)
-            hit[hit] = hashed[at[hit]] == found.h[hit]
-            used, at_token = np.unique(at[hit], return_inverse=True)
-            n, dl = batch.num_rows, found.dl.astype(np.float64)
-            tf = np.bincount(found.row[hit] * len(used) + at_token, minlength=n * len(used)).reshape(n, -1).astype(np.float64)
-            scores = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ matrix[used], 9).T + 0.0
+            n = batch.num_rows
+            scores, shared = scored(found, n)
+            scores = np.round(scores, 9).T + 0.0
             keep = scores >= bar[:, None]
-            if not zero_fill:
-                keep &= ((tf > 0).astype(np.float64) @ (matrix[used] != 0)).T > 0
+            if shared is not None:
+                keep &= shared.T
             q, c = np.nonzero(keep)
             if not len(q):
                 continue
@@ -227,12 +254,13 @@ def _scorer(qids: list, rows: list, qid_type: pa.DataType, avgdl: float, k: int,
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str] | None = None, exclude_self: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str] | None = None, exclude_self: bool = False, embed=None) -> DataFrame:
     """Exact cosine top-k of unit vectors: (qid, rank, *ident, score).
 
     ``queries`` has (qid, vector), a stated set; every partition of ``vectors`` (ident, vector) is multiplied with it in numpy
     and keeps k rows a query, so only k rows a query and batch leave a task. Queries travel in slices of ``QUERY_BYTES``; the
-    driver reads them in parts, dealt by a hash of their ids, of ``HELD_BYTES`` about.
+    driver reads them in parts, dealt by a hash of their ids, of ``HELD_BYTES`` about. With ``embed``, a function from a list of
+    texts to vectors, the column ``vector`` of ``vectors`` holds texts, whose vectors never leave the task.
     """
     ident = ident or ["vec_id"]
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
@@ -243,15 +271,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
     parts = -(-8 * size["n"] * max(1, size["dims"]) // HELD_BYTES)
     kind, qid_type = queries.schema["qid"].dataType.simpleString(), to_arrow_type(queries.schema["qid"].dataType)
     schema = ", ".join([f"qid {kind}", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ident), "score double"])
-    slim = vectors.select(*ident, F.col("vector").cast("array<double>").alias("vector"))
+    slim = vectors.select(*ident, F.col("vector") if embed else F.col("vector").cast("array<double>").alias("vector"))
 
     def against(ids: list, matrix: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-                scores = matrix @ flat.reshape(batch.num_rows, -1).T
+                if embed:
+                    found = np.asarray(embed(pc.fill_null(batch.column("vector"), "").to_pylist()), np.float64)
+                else:
+                    found = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                scores = matrix @ found.T
                 keep = min(k + exclude_self, batch.num_rows)
                 best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
                 # all that tie with the last one stay, so that the final order decides
@@ -276,9 +307,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: list[str
 
 def dense(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """Nearest chunks by the hashed bag of what is indexed; put a model's vector column in its place where there is one."""
-    vectors = chunks.select("doc_id", "start", "end", text.hashed_bag(indexed_text(chunks)).alias("vector"))
+    vectors = chunks.select("doc_id", "start", "end", indexed_text(chunks).alias("vector"))
     asked = questions.select("qid", text.hashed_bag(F.col("question")).alias("vector"))
-    return nearest(vectors, asked, k, ["doc_id", "start", "end"])
+    return nearest(vectors, asked, k, ["doc_id", "start", "end"], embed=splitters.bag_vectors)
 
 
 def fuse(dense_ranked: DataFrame, lexical_ranked: DataFrame, k: int = 10, constant: int = RRF_K) -> DataFrame:
